@@ -4,26 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, toxicity
+from . import decontaminate, langid, licenses, mixing, nearest, neardup, quality, toxicity
 from .common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit(documents))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_nearest": op2_nearest,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
+    "op9_neardup": op9_neardup,
     "op10_langid": op10_langid,
 }
 ORACLE_SQL: dict[str, str] = {}
