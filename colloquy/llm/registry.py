@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, mixing, nearest, neardup, quality, toxicity
+from . import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, quality, toxicity
 from .common import read
 
 
@@ -32,6 +32,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -48,6 +56,8 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
+    "op7_lmscore": op7_lmscore,
+    "op8_html": op8_html,
     "op9_neardup": op9_neardup,
     "op10_langid": op10_langid,
 }
