@@ -1,6 +1,5 @@
 """The queries over the reference's operators, with their SQL."""
 
-from __future__ import annotations
+from .plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

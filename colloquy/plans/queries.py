@@ -1,0 +1,622 @@
+"""The queries over the reference's operators, each with its SQL where SQL can express it.
+
+Adapters give the driver's tables the roles of segments, regions, vectors and
+results; every query reads its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..functions import text as T
+from ..functions import vector as V
+from ..operators import evaluation as E
+from ..operators import segments as S
+from ..operators import signals as G
+from ..operators import summary as M
+from ..operators import vectors as X
+from ..streaming import windows as W
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def talk(spark, sf_dir) -> DataFrame:
+    """Conversations as segments: a turn lasts one second."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seg_idx"), F.col("role").alias("speaker_id"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
+
+
+def spoken(spark, sf_dir) -> DataFrame:
+    """Events as segments of a day: milliseconds of the day, length in value seconds, speaker by type."""
+    e = table(spark, sf_dir, "events")
+    ms = F.expr("timestampdiff(MILLISECOND, date_trunc('DAY', ts), ts)").cast("double") / 1000
+    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("meeting_id"), F.col("event_id").alias("seg_idx"), F.col("event_type").alias("speaker_id"), ms.alias("start"), F.round(ms + F.col("value"), 3).alias("end"), F.col("event_type").alias("text"), "user_id", "value")
+
+
+SPOKEN = """spoken AS (SELECT strftime(ts, '%Y-%m-%d') AS meeting_id, event_id AS seg_idx, event_type AS speaker_id,
+ date_diff('millisecond', date_trunc('day', ts), ts)::DOUBLE / 1000 AS "start",
+ round(date_diff('millisecond', date_trunc('day', ts), ts)::DOUBLE / 1000 + value, 3) AS "end", event_type AS text, user_id, value FROM events)"""
+WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''))"
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# --- statistics ------------------------------------------------------------------------------
+
+
+@query(f"SELECT conv_id AS meeting_id, role AS speaker_id, sum({WORDS.format('text')})::BIGINT AS word_count, count(*)::DOUBLE AS duration, count(*) AS segment_count, min(turn) AS first_seen FROM conversations GROUP BY 1, 2")
+def speaker_stats(spark, sf_dir):
+    return S.speaker_stats(talk(spark, sf_dir))
+
+
+@query(f"SELECT conv_id AS meeting_id, count(*) AS total_segments, sum({WORDS.format('text')})::BIGINT AS total_words, count(*)::DOUBLE AS total_duration, count(DISTINCT role) AS num_speakers, round(sum({WORDS.format('text')}) / (count(*) / 60.0), 6) AS words_per_minute FROM conversations GROUP BY 1")
+def transcription_stats(spark, sf_dir):
+    return S.transcription_stats(talk(spark, sf_dir)).withColumn("words_per_minute", F.round("words_per_minute", 6))
+
+
+_OVERLAPS = f"""{SPOKEN}, marked AS (SELECT a.*, EXISTS (SELECT 1 FROM spoken b WHERE a.meeting_id = b.meeting_id AND a.speaker_id <> b.speaker_id
+ AND greatest(a."start", b."start") < least(a."end", b."end")) AS is_overlap FROM spoken a)"""
+
+
+@query(f"WITH {_OVERLAPS} SELECT meeting_id, seg_idx, is_overlap FROM marked")
+def detect_overlaps(spark, sf_dir):
+    return S.detect_overlaps(spoken(spark, sf_dir)).select("meeting_id", "seg_idx", "is_overlap")
+
+
+@query(f"""WITH {_OVERLAPS} SELECT meeting_id, speaker_id, round(sum("end" - "start"), 3) AS total_duration, count(*) AS segment_count,
+ round(sum(CASE WHEN is_overlap THEN "end" - "start" ELSE 0 END), 3) AS overlap_duration, round(avg("end" - "start"), 3) AS avg_duration FROM marked GROUP BY 1, 2""")
+def speaker_overlap_stats(spark, sf_dir):
+    out = S.overlap_stats(S.detect_overlaps(spoken(spark, sf_dir)))
+    return out.select("meeting_id", "speaker_id", F.round("total_duration", 3).alias("total_duration"), "segment_count", F.round("overlap_duration", 3).alias("overlap_duration"), F.round("avg_duration", 3).alias("avg_duration"))
+
+
+# --- turns, islands, windows -----------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE trim(text) <> ''),
+ c AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM a)
+ SELECT conv_id AS meeting_id, g::BIGINT AS turn_idx, role AS speaker_id, min(turn)::DOUBLE AS "start", (max(turn) + 1)::DOUBLE AS "end", string_agg(t, ' ' ORDER BY turn) AS text, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS indices FROM c GROUP BY 1, 2, 3""")
+def speaker_turns(spark, sf_dir):
+    out = S.speaker_turns(talk(spark, sf_dir))
+    return out.withColumn("turn_idx", F.col("turn_idx").cast("long")).withColumn("indices", F.array_join(F.col("indices").cast("array<string>"), ","))
+
+
+@query("SELECT conv_id AS meeting_id, turn AS seg_idx, concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def context_window(spark, sf_dir):
+    return S.context(talk(spark, sf_dir)).select("meeting_id", "seg_idx", "context")
+
+
+@query("SELECT conv_id AS meeting_id, string_agg('[' || lpad((turn // 60)::VARCHAR, 2, '0') || ':' || lpad((turn % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' || trim(text, ' '), chr(10) ORDER BY turn) AS transcript FROM conversations WHERE length(trim(text, ' ')) > 0 GROUP BY 1")
+def formatted_transcript(spark, sf_dir):
+    return S.formatted(talk(spark, sf_dir))
+
+
+@query(f"""WITH {SPOKEN}, a AS (SELECT *, lag(speaker_id) OVER (PARTITION BY meeting_id ORDER BY "start", seg_idx) AS b FROM spoken),
+ c AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> speaker_id THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY "start", seg_idx) AS run FROM a),
+ d AS (SELECT *, max("end") OVER (PARTITION BY meeting_id, run ORDER BY "start", seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+ e AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" - reach > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, run ORDER BY "start", seg_idx) AS g FROM d)
+ SELECT meeting_id, speaker_id, min("start") AS "start", max("end") AS "end", count(*) AS merged FROM e GROUP BY meeting_id, run, g, speaker_id""")
+def merge_segments(spark, sf_dir):
+    return S.merge_segments(spoken(spark, sf_dir), gap=60.0)
+
+
+@query(f"""WITH {SPOKEN}, d AS (SELECT *, max("end") OVER (PARTITION BY meeting_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spoken),
+ e AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" - reach > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM d)
+ SELECT meeting_id, min("start") AS "start", max("end") AS "end" FROM e GROUP BY meeting_id, g""")
+def merge_regions(spark, sf_dir):
+    return S.merge_regions(spoken(spark, sf_dir).select("meeting_id", "start", "end"), 0.5, ["meeting_id"])
+
+
+@query()
+def smooth_segments(spark, sf_dir):
+    return S.smooth_segments(spoken(spark, sf_dir), shortest=5.0)
+
+
+@query(f"""WITH {SPOKEN}, a AS (SELECT seg_idx, "start", "end", unnest(generate_series(0, CASE WHEN "end" - "start" < 3.0 THEN 0 ELSE floor(("end" - "start") / 0.75)::BIGINT END)) AS k FROM spoken),
+ b AS (SELECT seg_idx, k, "start" + k * 0.75 AS s, CASE WHEN "end" - "start" < 3.0 THEN "end" ELSE least("start" + k * 0.75 + 1.5, "end") END AS e FROM a)
+ SELECT seg_idx, k AS window_idx, round(s, 3) AS w_start, round(e, 3) AS w_end FROM b WHERE e - s >= 0.3""")
+def analysis_windows(spark, sf_dir):
+    return S.analysis_windows(spoken(spark, sf_dir)).select("seg_idx", F.col("k").cast("long").alias("window_idx"), F.round("w_start", 3).alias("w_start"), F.round("w_end", 3).alias("w_end"))
+
+
+@query("""WITH a AS (SELECT event_id, value AS d, unnest(generate_series(0, greatest(ceil(value / 25.0)::BIGINT - 1, 0))) AS k FROM events)
+ SELECT event_id, k AS chunk_idx, round(k * 25.0, 6) AS c_start, round(least(k * 25.0 + 30.0, d), 6) AS c_end FROM a""")
+def audio_chunks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("duration"))
+    return S.chunks(e, 30.0, 5.0).select("event_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), r6(F.col("c_start"), "c_start"), r6(F.col("c_end"), "c_end"))
+
+
+def _blocks(spark, sf_dir):
+    s = spoken(spark, sf_dir)
+    return s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1").withColumnRenamed("seg_idx", "block_idx")
+
+
+@query(f"""WITH {SPOKEN}, s AS (SELECT * FROM spoken WHERE seg_idx % 2 = 0), b AS (SELECT * FROM spoken WHERE seg_idx % 2 = 1)
+ SELECT s.meeting_id, s.seg_idx, coalesce(string_agg(b.text, ' ' ORDER BY b.seg_idx), '') AS text FROM s LEFT JOIN b ON s.meeting_id = b.meeting_id AND b."start" < s."end" AND b."end" > s."start" GROUP BY 1, 2""")
+def map_asr_to_segments(spark, sf_dir):
+    return S.map_blocks(*_blocks(spark, sf_dir))
+
+
+@query(f"""WITH {SPOKEN}, s AS (SELECT * FROM spoken WHERE seg_idx % 2 = 0), b AS (SELECT * FROM spoken WHERE seg_idx % 2 = 1)
+ SELECT s.meeting_id, s.seg_idx, coalesce(string_agg(b.text, ' ' ORDER BY b.seg_idx), '') AS text FROM s LEFT JOIN b ON s.meeting_id = b.meeting_id AND b."start" >= s."start" AND b."end" <= s."end" GROUP BY 1, 2""")
+def map_words_to_segments(spark, sf_dir):
+    return S.map_blocks(*_blocks(spark, sf_dir), contained=True)
+
+
+@query(f"""WITH {SPOKEN} SELECT meeting_id, seg_idx, round(coalesce(sum(value) OVER (PARTITION BY meeting_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS "start" FROM spoken""")
+def cumulative_starts(spark, sf_dir):
+    rows = spoken(spark, sf_dir).select("meeting_id", "seg_idx", F.col("value").alias("duration"))
+    return S.cumulative_starts(rows, ["meeting_id"], ["seg_idx"]).select("meeting_id", "seg_idx", F.round("start", 4).alias("start"))
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {WORDS.format('text')} AS n FROM conversations), b AS (SELECT *, greatest(100.0 * n / greatest(sum(n) OVER (PARTITION BY conv_id), 1), 0.2) AS r FROM a)
+ SELECT conv_id AS file_id, turn AS utt_idx, round(r * 100.0 / sum(r) OVER (PARTITION BY conv_id), 6) AS duration FROM b""")
+def proportional_durations(spark, sf_dir):
+    rows = talk(spark, sf_dir).select(F.col("meeting_id").alias("file_id"), F.col("seg_idx").alias("utt_idx"), T.word_count(F.col("text")).alias("n_words"), F.lit(100.0).alias("total"))
+    return S.proportional_durations(rows).select("file_id", "utt_idx", r6(F.col("duration"), "duration"))
+
+
+@query(f"""WITH {SPOKEN}, a AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker_id ORDER BY "end" - "start" DESC, seg_idx) AS n FROM spoken) SELECT meeting_id, speaker_id, round("start", 3) AS "start", round(least("end", "start" + 10), 3) AS "end" FROM a WHERE n = 1""")
+def longest_segment(spark, sf_dir):
+    return S.longest_segment(spoken(spark, sf_dir)).select("meeting_id", "speaker_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query()
+def align_utterances(spark, sf_dir):
+    t = talk(spark, sf_dir)
+    return S.align_utterances(t.select("meeting_id", F.col("seg_idx").alias("utt_idx"), "speaker_id", "text"), t)
+
+
+# --- speakers --------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id AS meeting_id, turn AS seg_idx, CASE role WHEN 'user' THEN 'Guest' WHEN 'assistant' THEN 'Host' ELSE role END AS speaker_id, CASE WHEN role IN ('user', 'assistant') THEN role END AS original_speaker FROM conversations")
+def speaker_map_join(spark, sf_dir):
+    names = spark.createDataFrame([("user", "Guest"), ("assistant", "Host")], "label string, name string")
+    return S.rename_speakers(talk(spark, sf_dir), F.broadcast(names)).select("meeting_id", "seg_idx", "speaker_id", "original_speaker")
+
+
+@query("SELECT speaker_id, row_number() OVER (ORDER BY speaker_id) - 1 AS dense_id FROM (SELECT DISTINCT user_id AS speaker_id FROM events)")
+def dense_speaker_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("speaker_id")).where("speaker_id is not null").distinct()
+    return d.withColumn("dense_id", (F.row_number().over(S.Window.orderBy("speaker_id")) - 1).cast("long"))
+
+
+@query("SELECT ch, row_number() OVER (ORDER BY ch) AS id FROM (SELECT DISTINCT ch FROM (SELECT unnest(string_split(lower(text), '')) AS ch FROM conversations) WHERE ch BETWEEN 'a' AND 'z')")
+def char_vocab(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "")).alias("ch")).where("ch between 'a' and 'z'").distinct()
+    return d.withColumn("id", F.row_number().over(S.Window.orderBy("ch")).cast("long"))
+
+
+@query("SELECT quality AS ref, toxic AS pred, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2")
+def speaker_confusion(spark, sf_dir):
+    return E.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def speaker_accuracy(spark, sf_dir):
+    return E.accuracy(table(spark, sf_dir, "labels"), "quality", "toxic").withColumn("accuracy", F.round("accuracy", 6))
+
+
+# --- scores ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SPOKEN}, r AS (SELECT meeting_id, f AS frame, count(DISTINCT speaker_id) AS n FROM (SELECT meeting_id, speaker_id, unnest(generate_series(ceil(("start" + 0.25) * 1000 / 100)::BIGINT, ceil(("end" - 0.25) * 1000 / 100)::BIGINT - 1)) AS f FROM spoken WHERE seg_idx % 2 = 0) GROUP BY 1, 2),
+ h AS (SELECT meeting_id, f AS frame, count(DISTINCT speaker_id) AS n FROM (SELECT meeting_id, speaker_id, unnest(generate_series(ceil("start" * 1000 / 100)::BIGINT, ceil("end" * 1000 / 100)::BIGINT - 1)) AS f FROM spoken WHERE seg_idx % 2 = 1) GROUP BY 1, 2),
+ b AS (SELECT coalesce(r.meeting_id, h.meeting_id) AS meeting_id, coalesce(r.n, 0) AS r, coalesce(h.n, 0) AS h FROM r FULL JOIN h ON r.meeting_id = h.meeting_id AND r.frame = h.frame),
+ c AS (SELECT meeting_id, count(*) FILTER (r > 0 AND h = 0) * 0.1::DOUBLE AS m, count(*) FILTER (r = 0 AND h > 0) * 0.1::DOUBLE AS f, count(*) FILTER (r > 0 AND h > 0 AND r <> h) * 0.1::DOUBLE AS x FROM b GROUP BY 1),
+ t AS (SELECT meeting_id, sum("end" - "start") AS d FROM spoken WHERE seg_idx % 2 = 0 GROUP BY 1)
+ SELECT t.meeting_id, round(d, 3) AS total_duration, round(coalesce(m, 0), 3) AS missed_speech, round(coalesce(f, 0), 3) AS false_alarm, round(coalesce(x, 0), 3) AS speaker_confusion, round(least(1.0, (coalesce(m, 0) + coalesce(f, 0) + coalesce(x, 0)) / d), 6) AS der FROM t LEFT JOIN c USING (meeting_id)""")
+def der_grid(spark, sf_dir):
+    s = spoken(spark, sf_dir)
+    out = E.der_grid(s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1"), frame_ms=100)
+    return out.select("meeting_id", *[F.round(c, 3).alias(c) for c in ("total_duration", "missed_speech", "false_alarm", "speaker_confusion")], r6(F.col("der"), "der"))
+
+
+def _pairs(spark, sf_dir):
+    """Customers' names with their segments: short reference and hypothesis texts."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.concat_ws(" ", F.lower("o_orderpriority"), "o_orderstatus", F.date_format("o_orderdate", "yyyy MM dd")).alias("ref"), F.concat_ws(" ", F.lower("o_orderpriority"), F.date_format("o_orderdate", "yyyy dd MM")).alias("hyp"))
+
+
+_PAIRS = "p AS (SELECT o_orderkey, lower(o_orderpriority) || ' ' || o_orderstatus || ' ' || strftime(o_orderdate, '%Y %m %d') AS ref, lower(o_orderpriority) || ' ' || strftime(o_orderdate, '%Y %d %m') AS hyp FROM orders)"
+
+
+@query(f"WITH {_PAIRS} SELECT o_orderkey, round(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))::DOUBLE / length(replace(ref, ' ', '')), 6) AS cer FROM p")
+def simple_cer(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("o_orderkey", r6(E.simple_cer(F.col("ref"), F.col("hyp")), "cer"))
+
+
+@query()
+def word_edit_distance(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("o_orderkey", E.word_distance(F.split("ref", " "), F.split("hyp", " ")).alias("distance"))
+
+
+@query()
+def wer_counts(spark, sf_dir):
+    return E.wer(_pairs(spark, sf_dir)).drop("ref", "hyp")
+
+
+@query()
+def wer_micro_macro(spark, sf_dir):
+    return E.wer_totals(E.wer(_pairs(spark, sf_dir)))
+
+
+@query()
+def rouge_scores(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    a, b = F.split("ref", " "), F.split("hyp", " ")
+    return p.select("o_orderkey", r6(E.rouge_n(a, b, 1), "rouge1"), r6(E.rouge_n(a, b, 2), "rouge2"), r6(E.rouge_l("ref", "hyp"), "rougeL"))
+
+
+# --- text ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS h FROM documents")
+def normalize_wer_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_wer(F.col("text"))).alias("h"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS h FROM documents")
+def normalize_ascii(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_ascii(F.col("text"))).alias("h"))
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(trim(regexp_replace(html, '\\s+', ' ', 'g')), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g'))) AS h FROM pages")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean(F.col("html"))).alias("h"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 97) || '...' END AS t FROM documents")
+def truncate_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text")).alias("t"))
+
+
+@query()
+def sanitize_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.sanitize_prompt(F.col("text"))).alias("h"))
+
+
+@query()
+def postprocess_asr(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.postprocess_asr(F.col("html"))).alias("h"))
+
+
+@query()
+def split_sentences(spark, sf_dir):
+    return M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "sentence")
+
+
+@query(f"SELECT doc_id, {WORDS.format('text')}::BIGINT AS n FROM documents")
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n"))
+
+
+_KEYWORDS = """WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS ws FROM documents)),
+ c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM w WHERE word NOT IN ({0}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank FROM c) SELECT doc_id, rank, word, n FROM r WHERE rank <= {1}"""
+
+
+def _stop():
+    return ", ".join(f"'{w}'" for w in M.STOPWORDS)
+
+
+@query(_KEYWORDS.format(_stop(), 5))
+def topics(spark, sf_dir):
+    return M.keywords(table(spark, sf_dir, "documents"), "doc_id", 5, pattern="[a-z]{4,}").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_KEYWORDS.format(_stop(), 8))
+def keywords(spark, sf_dir):
+    return M.keywords(table(spark, sf_dir, "documents"), "doc_id", 8, pattern="[a-z]{4,}").withColumn("rank", F.col("rank").cast("long"))
+
+
+_LIKE = " OR ".join(f"contains(lower(text), '{w}')" for w in T.DECISION_WORDS)
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE {_LIKE} UNION ALL SELECT -doc_id - 1, 0 FROM documents WHERE {_LIKE}")
+def decision_sentences(spark, sf_dir):
+    c, d = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")
+    return c.where(T.is_decision(F.col("text"))).select("conv_id", "turn").unionByName(d.where(T.is_decision(F.col("text"))).select((-F.col("doc_id") - 1).alias("conv_id"), F.lit(0).cast("long").alias("turn")))
+
+
+@query()
+def action_sentences(spark, sf_dir):
+    return M.action_items(M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+@query()
+def meeting_decisions(spark, sf_dir):
+    return M.decisions(M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id"), "doc_id").withColumn("decisions", F.array_join("decisions", " | "))
+
+
+@query()
+def key_sentences(spark, sf_dir):
+    s = M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
+    s = s.withColumn("total", F.count(F.lit(1)).over(S.Window.partitionBy("doc_id")))
+    top = M.key_sentences(s, M.heuristic_score(F.col("sent_idx"), F.col("total"), F.col("sentence")), "doc_id", 7)
+    return M.overview(top, "doc_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'besok') THEN 'besok' WHEN contains(lower(text), 'segera') OR contains(lower(text), 'secepat') OR contains(lower(text), 'sekarang') THEN 'segera' WHEN contains(lower(text), 'minggu depan') THEN '1 minggu' WHEN regexp_matches(lower(text), '\\d+\\s*minggu') THEN regexp_extract(lower(text), '(\\d+)\\s*minggu', 1) || ' minggu' WHEN contains(lower(text), 'dua minggu') THEN '2 minggu' WHEN contains(lower(text), 'deadline') THEN coalesce(nullif(regexp_extract(lower(text), 'deadline\\s*[:\\-\\s]*([\\w\\-./]+)', 1), ''), 'TBD') ELSE '' END AS due FROM conversations")
+def due_dates(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.due(F.col("text")).alias("due"))
+
+
+@query()
+def owners(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.owner(F.col("text")).alias("owner"), F.array_join(T.persons(F.col("text")), "|").alias("persons"))
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL GROUP BY 2")
+def exact_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5("text").alias("h"))
+    return M.exact_dedup(d, F.col("h"), ["doc_id"])
+
+
+@query()
+def jaccard_dedup(spark, sf_dir):
+    c = talk(spark, sf_dir).groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]).alias("items"))
+    return c.select("meeting_id", F.size(T.keep_distinct(F.col("items"))).alias("kept"))
+
+
+@query()
+def collapse_repeats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse_repeats(F.col("text"))).alias("h"), T.is_repetitive(F.col("text")).alias("repetitive"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def file_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT event_id, (value::BIGINT * 0 + floor(value * 60)::BIGINT // 3600) AS h, CASE WHEN floor(value * 60)::BIGINT >= 3600 THEN (floor(value * 60)::BIGINT // 3600)::VARCHAR || ':' || lpad((floor(value * 60)::BIGINT % 3600 // 60)::VARCHAR, 2, '0') ELSE (floor(value * 60)::BIGINT // 60)::VARCHAR END || ':' || lpad((floor(value * 60)::BIGINT % 60)::VARCHAR, 2, '0') AS t FROM events")
+def format_duration(spark, sf_dir):
+    s = F.col("value") * 60
+    return table(spark, sf_dir, "events").select("event_id", F.expr("cast(floor(value * 60) as bigint) div 3600").alias("h"), N.format_duration(s).alias("t"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_join_manifest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_manifest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# --- tables by condition ---------------------------------------------------------------------
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """Orders as results: condition by priority, sample by status, metric by price."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("condition"), F.col("o_orderstatus").alias("sample"), (F.col("o_totalprice") / 1000).alias("metric"), F.year("o_orderdate").alias("epoch"))
+
+
+_RESULTS = "r AS (SELECT o_orderpriority AS condition, o_orderstatus AS sample, o_totalprice / 1000 AS metric, year(o_orderdate) AS epoch FROM orders)"
+_STATS = ("mean", "std", "min", "max")
+
+
+@query(f"WITH {_RESULTS} SELECT condition, count(metric) AS n, round(avg(metric), 4) AS mean, round(stddev_samp(metric), 4) AS std, round(min(metric), 4) AS min, round(max(metric), 4) AS max FROM r GROUP BY 1")
+def condition_summary(spark, sf_dir):
+    return E.condition_summary(results(spark, sf_dir), "metric").select("condition", "n", *[F.round(c, 4).alias(c) for c in _STATS])
+
+
+@query(f"WITH {_RESULTS} SELECT condition, count(metric) AS n, round(avg(metric), 4) AS mean, round(stddev_pop(metric), 4) AS std, round(min(metric), 4) AS min, round(max(metric), 4) AS max FROM r GROUP BY 1")
+def condition_components(spark, sf_dir):
+    return E.condition_summary(results(spark, sf_dir), "metric", population=True).select("condition", "n", *[F.round(c, 4).alias(c) for c in _STATS])
+
+
+@query(f"WITH {_RESULTS} SELECT coalesce(condition, 'ALL') AS condition, count(metric) AS n, round(avg(metric), 4) AS mean, round(min(metric), 4) AS min, round(max(metric), 4) AS max FROM r GROUP BY GROUPING SETS ((condition), ())")
+def overall_and_condition(spark, sf_dir):
+    return E.overall_and_condition(results(spark, sf_dir), "metric").select("condition", "n", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")])
+
+
+@query(f"WITH {_RESULTS}, m AS (SELECT condition, avg(metric) AS m FROM r GROUP BY 1) SELECT arg_min(condition, m) AS best, arg_max(condition, m) AS worst FROM m")
+def best_worst_condition(spark, sf_dir):
+    return E.best_and_worst(results(spark, sf_dir), "metric")
+
+
+@query(f"WITH {_RESULTS} SELECT condition, round(avg(CASE WHEN sample = 'F' THEN metric END), 4) AS f, round(avg(CASE WHEN sample = 'O' THEN metric END), 4) AS o, round(avg(CASE WHEN sample = 'P' THEN metric END), 4) AS p FROM r GROUP BY 1")
+def metric_pivot(spark, sf_dir):
+    return E.pivot_metric(results(spark, sf_dir), "metric", "condition", "sample", ["F", "O", "P"]).select("condition", *[F.round(c, 4).alias(c.lower()) for c in "FOP"])
+
+
+@query(f"WITH {_RESULTS} SELECT condition, round(min(metric), 4) AS min, round(quantile_cont(metric, 0.25), 4) AS q1, round(quantile_cont(metric, 0.5), 4) AS median, round(quantile_cont(metric, 0.75), 4) AS q3, round(max(metric), 4) AS max FROM r GROUP BY 1")
+def box_stats(spark, sf_dir):
+    return E.box_stats(results(spark, sf_dir), "metric").select("condition", *[F.round(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+
+
+@query(f"WITH {_RESULTS} SELECT epoch::VARCHAR AS epoch, round(avg(metric), 4) AS wer, round(avg(metric), 4) AS cer, count(*) AS count FROM r GROUP BY 1")
+def epoch_summary(spark, sf_dir):
+    r = results(spark, sf_dir).select("epoch", F.col("metric").alias("wer"), F.col("metric").alias("cer"))
+    return E.epoch_summary(r).select("epoch", F.round("wer", 4).alias("wer"), F.round("cer", 4).alias("cer"), "count")
+
+
+@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_shipmode = 'RAIL') DESC, contains(l_shipmode, 'AIR') DESC, l_shipmode, l_linenumber) AS n FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)) SELECT l_orderkey, l_shipmode FROM a WHERE n = 1".replace("'RAIL'", "'RF'").replace("'AIR'", "'O'"))
+def preferred_recording(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("l_shipmode"))
+    return E.preferred(rows, "l_orderkey", "l_shipmode", "RF", "O")
+
+
+@query("SELECT l_returnflag AS meeting, count(*) AS files, round(sum(l_quantity), 2) AS size FROM lineitem GROUP BY 1")
+def files_per_meeting(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("meeting")).agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("l_quantity"), 2).alias("size"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS files, count(*) FILTER (o_totalprice > 1000) AS ok, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def batch_totals(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("o_totalprice") > 1000).alias("ok"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT n_name, coalesce(round(sum(c_acctbal), 2), 0) AS total FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY 1")
+def ordered_dimension_join(spark, sf_dir):
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    sums = c.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("total"))
+    return n.join(sums, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", F.coalesce(F.round("total", 2), F.lit(0.0)).alias("total")).orderBy("n_name")
+
+
+# --- vectors ---------------------------------------------------------------------------------
+
+_CENTROIDS = """u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),
+ m AS (SELECT label, p, avg(x) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY p) AS c FROM m GROUP BY 1)"""
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+@query(f"WITH {_CENTROIDS} SELECT vec_id, e.label AS label, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS similarity FROM embeddings e JOIN c ON e.label = c.label")
+def cosine_to_centroid(spark, sf_dir):
+    return X.cosine_to_centroid(vectors(spark, sf_dir), "label", "vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {_CENTROIDS}, d AS (SELECT vec_id, c.label, round(1 - list_cosine_similarity(embedding::DOUBLE[], c), 9) AS d FROM embeddings, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS n FROM d) SELECT vec_id, label AS nearest, round(d, 6) AS distance FROM r WHERE n = 1")
+def nearest_centroid(spark, sf_dir):
+    return X.nearest_centroid(vectors(spark, sf_dir), "label", "vec_id").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_CENTROIDS} SELECT a.label AS label_a, b.label AS label_b, round(1 - list_cosine_similarity(a.c, b.c), 6) AS distance FROM c a JOIN c b ON a.label < b.label")
+def centroid_distances(spark, sf_dir):
+    return X.centroid_distances(vectors(spark, sf_dir), "label").withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))), 6) AS total FROM embeddings")
+def row_normalize(spark, sf_dir):
+    u = V.unit(F.col("embedding"))
+    return vectors(spark, sf_dir).select("vec_id", r6(F.aggregate(u, F.lit(0.0), lambda s, x: s + x), "total"))
+
+
+@query("WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings), s AS (SELECT p, avg(x) AS m, stddev_pop(x) AS d FROM u GROUP BY 1) SELECT vec_id, u.p AS pos, round((x - m) / CASE WHEN d > 0 THEN d ELSE 1 END, 5) AS z FROM u JOIN s ON u.p = s.p")
+def zscore(spark, sf_dir):
+    return X.standard_scores(vectors(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id").select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("z", 5).alias("z"))
+
+
+@query()
+def mmr_select(spark, sf_dir):
+    return X.mmr(vectors(spark, sf_dir), "label", "vec_id", k=10)
+
+
+@query()
+def cluster_embeddings(spark, sf_dir):
+    return X.cluster(vectors(spark, sf_dir).withColumn("meeting", (F.col("vec_id") / 500).cast("long")), "meeting", "vec_id")
+
+
+@query()
+def silhouette(spark, sf_dir):
+    """Mean silhouette by cosine distance of each label's vectors, from sums alone: linear in the rows."""
+    e = vectors(spark, sf_dir).select("vec_id", "label", V.unit(F.col("embedding")).alias("u"))
+    flat = e.select("label", F.posexplode("u").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
+    sums = flat.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("s"))
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    packed = sums.join(n, "label").agg(F.collect_list(F.struct("label", "s", "n")).alias("all"))
+    rows = e.join(F.broadcast(packed))  # one row of labels' sums
+    mean = lambda c, own: F.when(own, F.when(c["n"] > 1, (c["n"] - V.dot(F.col("u"), c["s"])) / (c["n"] - 1)).otherwise(0.0)).otherwise((c["n"] - V.dot(F.col("u"), c["s"])) / c["n"])
+    a = F.element_at(F.transform(F.filter("all", lambda c: c["label"] == F.col("label")), lambda c: mean(c, F.lit(True))), 1)
+    b = F.array_min(F.transform(F.filter("all", lambda c: c["label"] != F.col("label")), lambda c: mean(c, F.lit(False))))
+    return rows.select("label", a.alias("a"), b.alias("b")).select("label", ((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s")).groupBy("label").agg(F.round(F.avg("s"), 6).alias("silhouette"))
+
+
+@query()
+def collapse_test(spark, sf_dir):
+    return X.mean_pairwise_distance(vectors(spark, sf_dir), "vec_id").withColumn("mean_distance", F.round("mean_distance", 6))
+
+
+# --- signals ---------------------------------------------------------------------------------
+
+
+def signal(spark, sf_dir):
+    """Events' values as samples of a signal for each type."""
+    e = table(spark, sf_dir, "events")
+    w = S.Window.partitionBy("event_type").orderBy("event_id")
+    return e.select(F.col("event_type").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("value").alias("x"))
+
+
+_SIGNAL = "s AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, value AS x FROM events)"
+
+
+@query(f"WITH {_SIGNAL} SELECT key, pos, round(avg(x) OVER (PARTITION BY key, pos // 20), 6) AS y FROM s")
+def cst_block_average(spark, sf_dir):
+    return G.block_average(signal(spark, sf_dir), "key", 100, 5.0).select("key", "pos", r6(F.col("y"), "y"))
+
+
+@query(f"WITH {_SIGNAL}, r AS (SELECT key, x, row_number() OVER (PARTITION BY key ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY key) AS n, stddev_pop(x) OVER (PARTITION BY key) AS d FROM s) SELECT key, round(x + 0.5 * d, 6) AS threshold FROM r WHERE r = floor(n * 0.3)")
+def adaptive_threshold(spark, sf_dir):
+    return G.adaptive_threshold(signal(spark, sf_dir), "key", "x").select("key", r6(F.col("threshold"), "threshold"))
+
+
+@query(f"WITH {_SIGNAL} SELECT key, pos, round(sum(CASE WHEN x > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING) / 30.0, 6) AS smooth FROM s")
+def moving_average(spark, sf_dir):
+    out = G.moving_average(signal(spark, sf_dir), "key", F.when(F.col("x") > 50, 1).otherwise(0))
+    return out.select("key", "pos", r6(F.col("smooth"), "smooth"))
+
+
+@query(f"WITH {_SIGNAL} SELECT key, pos, round(x / max(abs(x)) OVER (PARTITION BY key), 6) AS y FROM s")
+def peak_normalize(spark, sf_dir):
+    return G.peak_normalize(signal(spark, sf_dir), "key").select("key", "pos", r6(F.col("y"), "y"))
+
+
+@query(f"WITH {_SIGNAL} SELECT key, round(avg(x * x), 4) AS power, round(max(abs(x)), 4) AS peak FROM s GROUP BY 1")
+def signal_power(spark, sf_dir):
+    return G.power(signal(spark, sf_dir), "key").select("key", F.round("power", 4).alias("power"), F.round("peak", 4).alias("peak"))
+
+
+@query(f"WITH {_SIGNAL}, f AS (SELECT key, unnest(generate_series(0, (SELECT max(pos) // 4 FROM s))) AS frame FROM (SELECT DISTINCT key FROM s)), j AS (SELECT f.key, frame, count(*) AS n, avg(x * x) AS a FROM f JOIN s ON s.key = f.key AND pos >= frame * 4 AND pos < frame * 4 + 10 GROUP BY 1, 2) SELECT key, frame, round(sqrt(a + 1e-10), 6) AS energy FROM j WHERE n = 10")
+def energy_frames(spark, sf_dir):
+    return G.energy_frames(signal(spark, sf_dir), "key", 10, 4).select("key", "frame", r6(F.col("energy"), "energy"))
+
+
+@query(f"WITH {_SIGNAL}, a AS (SELECT *, x > 20 AS f, lag(x > 20) OVER (PARTITION BY key ORDER BY pos) AS b FROM s), c AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> f THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY pos) AS g FROM a) SELECT key, round(min(pos) * 0.01, 4) AS \"start\", round((max(pos) + 1) * 0.01, 4) AS \"end\" FROM c WHERE f GROUP BY key, g")
+def speech_regions(spark, sf_dir):
+    frames = signal(spark, sf_dir).select("key", F.col("pos").alias("frame"), (F.col("x") > 20).alias("speech"))
+    return G.true_regions(frames, "key", "speech", 0.01).select("key", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+@query()
+def noisy_signal(spark, sf_dir):
+    return G.reverb(G.white_noise(signal(spark, sf_dir), "key", 20.0).select("key", "pos", F.col("y").alias("x")), "key", 100)
+
+
+# --- batch forms of the streaming queries ----------------------------------------------------
+
+
+@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS w_start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def tumbling_stream(spark, sf_dir):
+    out = W.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", "value", ["event_type"])
+    return out.select("event_type", F.date_format("w_start", "yyyy-MM-dd HH:mm:ss").alias("w_start"), "n", r6(F.col("mean"), "mean"))
+
+
+@query("WITH a AS (SELECT event_type, value, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS w FROM events) SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S') AS w_start, count(*) AS n, round(sum(value), 4) AS total FROM a GROUP BY 1, 2")
+def sliding_stream(spark, sf_dir):
+    out = W.sliding(table(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", "value", ["event_type"])
+    return out.select("event_type", F.date_format("w_start", "yyyy-MM-dd HH:mm:ss").alias("w_start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH a AS (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events), c AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b > INTERVAL '30 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS g FROM a)
+ SELECT event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS n FROM c GROUP BY event_type, g""")
+def session_stream(spark, sf_dir):
+    out = W.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["event_type"])
+    f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("event_type", f("first_ts"), f("last_ts"), "n")
