@@ -90,6 +90,11 @@ def estimate(codes, length, s, with_centre, q: np.ndarray, c: np.ndarray, p: np.
     return est, eps * length[None, :] * np.sqrt(code_error**2 + cut_error**2)
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, added in the order of the components, so equal vectors get equal scores."""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
 def search_block(ids, x, codes, length, s, with_centre, query_ids, q, c, p, k: int) -> tuple[list, list, list]:
     """Of every query its k best rows of the block, exactly scored."""
     out_q, out_v, out_s = [], [], []
@@ -100,13 +105,13 @@ def search_block(ids, x, codes, length, s, with_centre, query_ids, q, c, p, k: i
             own = ids == query_ids[a + i]
             est[i, own] = upper[i, own] = -np.inf
             few = np.argpartition(-est[i], k - 1)[:k] if len(ids) > k else np.arange(len(ids))
-            first = (x[few] * q[a + i]).sum(1)
+            first = products(x[few], q[a + i])
             first = first[~own[few]]
             least = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
             at = np.flatnonzero((upper[i] >= least) & ~own)
             if len(few) and len(first):
                 at = np.union1d(at, few[~own[few]])
-            exact = (x[at] * q[a + i]).sum(1)
+            exact = products(x[at], q[a + i])
             best = np.lexsort((ids[at], -exact))[:k]
             out_q += [query_ids[a + i]] * len(best)
             out_v += ids[at][best].tolist()

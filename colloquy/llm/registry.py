@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, quality, toxicity
+from . import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, oracles, quality, toxicity
 from .common import read
 
 
@@ -61,4 +61,8 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_langid": op10_langid,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_nearest": oracles.nearest(),
+    "op5_licenses": oracles.licenses(),
+    "op9_neardup": oracles.neardup(),
+}

@@ -16,7 +16,7 @@ documents without a shuffle, whole texts at a time.
 Defined cases: a null or empty text, or one without a word, has the features of
 no evidence and gets the curve's value there; null labels don't count; repeated
 rows get equal scores; an empty table gives an empty result; with labels of one
-class only every score is that class's rate; extra columns are ignored.
+class only every score is that class's rate, without labels every score is close to 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Toxici
     seen = docs.where(part == 0).select("y", "text").mapInArrow(rate, "y int, x array<double>").toArrow()
     x, y1 = np.array(seen["x"].to_pylist(), float).reshape(-1, TOP + 2), np.array(seen["y"].to_pylist(), float)
     if len(set(y1)) < 2:
-        p = (y1.sum() + 0.5) / (len(y1) + 1)
+        p = (y1.sum() + 0.5) / (len(y1) + 1) if len(y1) else 1e-6
         return ToxicityModel(ratio, np.array([0.0] * (TOP + 2) + [math.log(p / (1 - p))]))
     # scaled features make the ridge even; the scale is folded into the weights
     mean, std = x.mean(0), x.std(0) + 1e-9
