@@ -186,3 +186,30 @@ def preferred(rows: DataFrame, key: str, name: str, exact: str, part: str) -> Da
     """Of each key the row whose name is ``exact``, else holds ``part``, else comes first."""
     w = Window.partitionBy(key).orderBy((F.col(name) == exact).desc(), F.col(name).contains(part).desc(), F.col(name))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def der_sweep(ref: DataFrame, hyp: DataFrame, collar: float = 0.25, meeting: str = "meeting_id") -> DataFrame:
+    """As ``der_grid`` without a grid: exact times between the boundaries of both sides.
+
+    A speaker's own segments are united first, so the running sums count
+    speakers; rows are two for each segment, however long it is.
+    """
+    from .segments import merge_regions
+
+    def steps(d: DataFrame, shrink: float, r: int, h: int) -> DataFrame:
+        cut = d.select(meeting, "speaker_id", (F.col("start") + shrink).alias("start"), (F.col("end") - shrink).alias("end")).where("end > start")
+        one = merge_regions(cut, 0.0, [meeting, "speaker_id"])
+        step = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
+        return one.select(meeting, step.alias("s")).select(meeting, F.col("s.t").alias("t"), (F.col("s.d") * r).alias("r"), (F.col("s.d") * h).alias("h"))
+
+    w = Window.partitionBy(meeting).orderBy("t")
+    at = steps(ref, collar, 1, 0).unionByName(steps(hyp, 0.0, 0, 1)).groupBy(meeting, "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    spans = at.select(meeting, F.sum("r").over(w).alias("r"), F.sum("h").over(w).alias("h"), (F.lead("t").over(w) - F.col("t")).alias("d")).where("d is not null")
+    total_if = lambda c: F.sum(F.when(c, F.col("d")).otherwise(0.0))
+    errors = spans.groupBy(meeting).agg(
+        total_if((F.col("r") > 0) & (F.col("h") == 0)).alias("missed_speech"), total_if((F.col("r") == 0) & (F.col("h") > 0)).alias("false_alarm"),
+        total_if((F.col("r") > 0) & (F.col("h") > 0) & (F.col("r") != F.col("h"))).alias("speaker_confusion"),
+    )
+    total = ref.groupBy(meeting).agg(F.sum(F.col("end") - F.col("start")).alias("total_duration"))
+    wrong = F.col("missed_speech") + F.col("false_alarm") + F.col("speaker_confusion")
+    return total.join(errors, meeting, "left").na.fill(0.0).withColumn("der", F.when(F.col("total_duration") > 0, F.least(F.lit(1.0), wrong / F.col("total_duration"))).otherwise(0.0))

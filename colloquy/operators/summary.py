@@ -9,9 +9,10 @@ from ..functions import text as T
 
 # Words that are never a topic.
 STOPWORDS = [
-    "yang", "dan", "di", "ke", "dari", "ini", "itu", "untuk", "dengan", "pada", "adalah", "dalam", "tidak", "akan",
-    "ada", "juga", "saya", "kita", "kami", "mereka", "atau", "bisa", "sudah", "jadi", "kalau", "karena", "tapi",
-    "seperti", "lebih", "oleh", "sebagai", "bahwa", "dapat", "telah", "harus", "hanya", "anda",
+    "yang", "dan", "di", "ke", "dari", "ini", "itu", "dengan", "untuk", "pada", "adalah", "dalam", "tidak", "akan",
+    "sudah", "juga", "saya", "kita", "kami", "mereka", "ada", "bisa", "atau", "seperti", "jadi", "kalau", "karena",
+    "tapi", "ya", "apa", "bagaimana", "kenapa", "siapa", "kapan", "dimana", "nya", "kan", "dong", "sih", "kok", "deh",
+    "loh", "lah",
 ]
 
 
@@ -82,3 +83,36 @@ def exact_dedup(rows: DataFrame, norm: Column, order: list[str]) -> DataFrame:
     """The first row of each normal form."""
     w = Window.partitionBy("__norm").orderBy(*order)
     return rows.withColumn("__norm", norm).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__norm", "__n")
+
+
+def speaker_digests(segments: DataFrame, meeting: str = "meeting_id", k: int = 2) -> DataFrame:
+    """The first k sentences of all that each speaker said, in order."""
+    said = segments.groupBy(meeting, "speaker_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]), " ").alias("said"))
+    return said.select(meeting, "speaker_id", F.array_join(F.slice(T.sentences(F.col("said")), 1, k), ". ").alias("digest"))
+
+
+def narrative(topics: Column, points: Column, decided: Column, actions: Column) -> Column:
+    """A paragraph from arrays of topics, points, decisions and action structs (owner, task)."""
+    bare = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"\.+$", ""))
+    part = lambda head, body, tail: F.when(body != "", F.concat(F.lit(head), body, F.lit(tail)))
+    todo = F.array_join(F.transform(actions, lambda a: F.concat(a["owner"], F.lit(" akan "), F.regexp_replace(a["task"], r"\.+$", ""), F.lit("."))), " ")
+    return T.normalize_overview(F.concat_ws(
+        " ", part("Topik utama yang dibahas meliputi: ", F.array_join(topics, ", "), "."), part("Beberapa poin penting termasuk: ", F.array_join(bare(F.slice(points, 1, 4)), "; "), "."),
+        part("Keputusan utama yang dicapai termasuk: ", F.array_join(bare(decided), ", "), "."), part("Tindak lanjut yang disepakati di antaranya: ", todo, ""),
+    ))
+
+
+def regex_actions(sentences: DataFrame, key: str) -> DataFrame:
+    """Action candidates by patterns: a name before a verb, else the speaker for a pronoun, else the sentence itself."""
+    s = F.col("sentence")
+    name, task = (F.regexp_extract(s, T.NAME_ACTION, k) for k in (1, 3))
+    phrase = F.regexp_extract(s, T.COMMIT_PHRASE, 1)
+    trim = lambda c: F.regexp_replace(c, r"^[\s.,:;-]+|[\s.,:;-]+$", "")
+    own = s.rlike(T.PRONOUN)
+    whole = F.substring(F.trim(F.regexp_replace(s, r"(?i)^(oke|ya|nah|baik)\b[:,-]*", "")), 1, 300)
+    rows = sentences.where(s.rlike(T.ACTION_GATE) | s.rlike(T.ACTION_GATE_EN)).select(
+        key, "sent_idx", F.when(name != "", name).when(own | F.lit(True), F.col("speaker_id")).alias("owner"),
+        F.when(name != "", trim(task)).when(own & (phrase != ""), trim(phrase)).otherwise(whole).alias("task"),
+        F.when((name != "") | (own & (phrase != "")), 0.7).otherwise(0.5).alias("confidence"),
+    )
+    return rows.where(F.size(T.words(F.col("task"))) >= 3)

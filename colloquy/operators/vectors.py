@@ -130,3 +130,36 @@ def mean_pairwise_distance(rows: DataFrame, key: str, vec: str = "embedding", mo
     some = rows.select(key, F.col(vec).alias("v")).withColumn("i", F.row_number().over(w) - 1).where(F.col("i") % step == 0) if n <= 10_000 else rows.select(key, F.col(vec).alias("v"), F.col(key).alias("i")).where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
     a, b = some.select(F.col("i").alias("ia"), F.col("v").alias("va")), some.select(F.col("i").alias("ib"), F.col("v").alias("vb"))
     return a.join(b, F.col("ia") < F.col("ib")).agg(F.avg(V.cosine_distance(F.col("va"), F.col("vb"))).alias("mean_distance"), F.count(F.lit(1)).alias("pairs"))
+
+
+def _silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+    ids, n = np.unique(label, return_counts=True)
+    if len(ids) < 2:
+        return -1.0
+    sums = np.stack([u[label == i].sum(0) for i in ids])
+    d = n[None, :] - u @ sums.T  # summed distances to each cluster
+    own = np.searchsorted(ids, label)
+    rows = np.arange(len(x))
+    a = np.where(n[own] > 1, d[rows, own] / np.maximum(n[own] - 1, 1), 0.0)
+    other = d / n[None, :]
+    other[rows, own] = np.inf
+    b = other.min(1)
+    return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
+
+
+def auto_tune(rows: DataFrame, group: str, key: str, thresholds: tuple[float, ...] = (0.5, 0.6, 0.65, 0.7, 0.75, 0.8), target: int | None = None, vec: str = "embedding") -> DataFrame:
+    """The threshold of each meeting with the best silhouette - .1 |k - target| - .02 k; the first of equals.
+
+    Meetings and thresholds are dealt out as groups of their own.
+    """
+    def run(key_, g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g.sort_values(key)[vec].to_numpy()).astype(float)
+        label = _merge_average(x, float(key_[1]), None)
+        k = len(set(label))
+        return pd.DataFrame({group: [key_[0]], "threshold": [key_[1]], "clusters": [k], "score": [_silhouette(x, label) - (0.1 * abs(k - target) if target else 0.0) - 0.02 * k]})
+
+    grid = rows.select(group, key, vec, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    scored = grid.groupBy(group, "threshold").applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, threshold double, clusters int, score double")
+    w = Window.partitionBy(group).orderBy(F.desc("score"), "threshold")
+    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -15,6 +15,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import evaluation as E
+from ..operators import sampling as C
 from ..operators import segments as S
 from ..operators import signals as G
 from ..operators import summary as M
@@ -620,3 +621,72 @@ def session_stream(spark, sf_dir):
     out = W.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["event_type"])
     f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("event_type", f("first_ts"), f("last_ts"), "n")
+
+
+# --- compositions ----------------------------------------------------------------------------
+
+
+@query()
+def enumerated_decisions(spark, sf_dir):
+    s = M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
+    return s.select("doc_id", "sent_idx", F.explode(T.enumerated(F.col("sentence"))).alias("clause"))
+
+
+@query()
+def action_candidates(spark, sf_dir):
+    s = M.sentence_rows(table(spark, sf_dir, "documents").withColumn("text", F.col("text")), "doc_id").withColumn("speaker_id", F.lit("SPK"))
+    return M.regex_actions(s, "doc_id")
+
+
+@query()
+def speaker_digests(spark, sf_dir):
+    return M.speaker_digests(talk(spark, sf_dir))
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.length("chunk").alias("n"))
+
+
+@query()
+def diarize_events(spark, sf_dir):
+    """Vectors stand for windows of a recording: 500 windows to a meeting, half a hop apart."""
+    from . import meeting as P
+
+    e = vectors(spark, sf_dir)
+    at = (F.col("vec_id") % 500) * 0.75
+    w = e.select((F.col("vec_id") / 500).cast("long").alias("meeting_id"), F.col("vec_id").cast("long").alias("seg_idx"), at.alias("start"), (at + 1.5).alias("end"), "embedding")
+    return P.diarize(w)
+
+
+def _merged(side: str, where: str, shrink: str) -> str:
+    return f"""{side}0 AS (SELECT meeting_id, speaker_id, "start" + {shrink} AS s, "end" - {shrink} AS e FROM spoken WHERE {where} AND "end" - {shrink} > "start" + {shrink}),
+ {side}1 AS (SELECT *, max(e) OVER (PARTITION BY meeting_id, speaker_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {side}0),
+ {side}2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, speaker_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM {side}1),
+ {side} AS (SELECT meeting_id, min(s) AS s, max(e) AS e FROM {side}2 GROUP BY meeting_id, speaker_id, g)"""
+
+
+@query(f"""WITH {SPOKEN}, {_merged('r', 'seg_idx % 2 = 0', '0.25')}, {_merged('h', 'seg_idx % 2 = 1', '0.0')},
+ x AS (SELECT meeting_id, s AS t, 1 AS r, 0 AS h FROM r UNION ALL SELECT meeting_id, e, -1, 0 FROM r UNION ALL SELECT meeting_id, s, 0, 1 FROM h UNION ALL SELECT meeting_id, e, 0, -1 FROM h),
+ y AS (SELECT meeting_id, t, sum(r) AS r, sum(h) AS h FROM x GROUP BY 1, 2),
+ z AS (SELECT meeting_id, sum(r) OVER w AS r, sum(h) OVER w AS h, lead(t) OVER w - t AS d FROM y WINDOW w AS (PARTITION BY meeting_id ORDER BY t)),
+ c AS (SELECT meeting_id, sum(d) FILTER (r > 0 AND h = 0) AS m, sum(d) FILTER (r = 0 AND h > 0) AS f, sum(d) FILTER (r > 0 AND h > 0 AND r <> h) AS k FROM z GROUP BY 1),
+ t AS (SELECT meeting_id, sum("end" - "start") AS d FROM spoken WHERE seg_idx % 2 = 0 GROUP BY 1)
+ SELECT meeting_id, round(d, 2) AS total_duration, round(coalesce(m, 0), 2) AS missed_speech, round(coalesce(f, 0), 2) AS false_alarm, round(coalesce(k, 0), 2) AS speaker_confusion, round(least(1.0, (coalesce(m, 0) + coalesce(f, 0) + coalesce(k, 0)) / d), 5) AS der FROM t LEFT JOIN c USING (meeting_id)""")
+def der_sweep(spark, sf_dir):
+    s = spoken(spark, sf_dir)
+    out = E.der_sweep(s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1"))
+    return out.select("meeting_id", *[F.round(c, 2).alias(c) for c in ("total_duration", "missed_speech", "false_alarm", "speaker_confusion")], F.round("der", 5).alias("der"))
+
+
+@query()
+def auto_tune(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("meeting", (F.col("vec_id") / 250).cast("long"))
+    return X.auto_tune(rows, "meeting", "vec_id", target=5).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH a AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS b FROM events), c AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn FROM a)
+ SELECT user_id AS meeting_id, turn::BIGINT AS turn, event_type AS speaker_id, string_agg(event_type, ' ' ORDER BY ts) AS text FROM c GROUP BY 1, 2, 3""")
+def words_to_turns(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_type").alias("speaker_id"), F.col("event_type").alias("word"), F.col("ts").alias("start"), F.col("ts").alias("end"))
+    return C.words_to_turns(e).select("meeting_id", "turn", "speaker_id", "text")

@@ -1,0 +1,75 @@
+import io
+import zipfile
+
+from pyspark.sql import functions as F
+
+from colloquy import models
+from colloquy.functions import text as T
+from colloquy.operators import summary as M
+from colloquy.plans import meeting as P
+
+
+def test_a_meeting_end_to_end(spark):
+    a, b = [1.0, 0.1, 0.0], [0.0, 0.1, 1.0]
+    windows = spark.createDataFrame([("m", i, float(i) * 2, float(i) * 2 + 2, a if i < 4 else b) for i in range(8)], "meeting_id string, seg_idx long, start double, end double, embedding array<double>")
+    segments = P.diarize(windows)
+    assert sorted((r["start"], r["end"], r["is_overlap"]) for r in segments.collect()) == [(0.0, 8.0, False), (8.0, 16.0, False)]
+    blocks = spark.createDataFrame([("m", 0, 0.0, 4.0, "kita membahas anggaran tahun depan."), ("m", 1, 4.0, 8.0, "anggaran disetujui oleh semua peserta."), ("m", 2, 9.0, 15.0, "Budi akan siapkan laporan anggaran besok.")], "meeting_id string, block_idx int, start double, end double, text string")
+    text = P.transcribe(segments, blocks)
+    s = {k: v.collect() for k, v in P.summarize(text).items()}
+    assert s["decisions"][0]["decisions"] == ["Anggaran disetujui oleh semua peserta"]
+    assert [(r["owner"], r["due"]) for r in s["actions"]] == [("Budi", "besok")]
+    assert s["topics"][0]["word"] == "anggaran"
+    titles = spark.createDataFrame([("m", "Rapat")], "meeting_id string, title string")
+    with zipfile.ZipFile(io.BytesIO(P.document(text, titles).first()["content"])) as z:
+        assert "Rapat" in z.read("word/document.xml").decode()
+    ref = spark.createDataFrame([("m", "a b")], "meeting_id string, text string")
+    e = P.evaluate(ref, ref, segments, segments).first()
+    assert e["wer"] == 0.0 and 0 < e["der"] < 0.2
+
+
+def test_models(spark):
+    d = spark.createDataFrame([("halo dunia",), ("dunia halo",), (None,)], "t string")
+    v = [r[0] for r in d.select(models.get("sentence_embedding", "missing")(F.col("t"))).collect()]
+    assert v[0] == v[1] and abs(sum(x * x for x in v[0]) - 1) < 1e-9 and not any(v[2])
+    assert models.hash_vector("a") == models.hash_vector("a") != models.hash_vector("b")
+    s = spark.createDataFrame([([0.0, 1.0, 0.0, -1.0] * 8, 16)], "x array<double>, r int").select(models.signal_embedding("x", "r")).first()[0]
+    assert len(s) == models.DIMENSIONS
+    assert [r[0] for r in d.limit(1).select(models.detect_language(F.lit("the cat and the dog"))).collect()] == ["en"]
+
+
+def test_more_text(spark):
+    def one(value, f):
+        return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+
+    assert one("Pertama kita beli server, kedua tim pindah kantor.", T.enumerated) == ["kita beli server", "tim pindah kantor"]
+    assert one("WER: 12.5% DER: 3", T.metrics)["wer"] == 12.5 and one("x", T.metrics)["der"] is None
+    assert one("rapat selesai. Rapat selesai. lanjut besok", T.normalize_overview) == "Rapat selesai lanjut besok."
+    assert one("a" * 5 + ". " + "b" * 5, lambda c: T.chunks(c, 8)) == ["aaaaa", ". bbbbb"]
+    assert one('{"overview": "o", "key_points": ["p"]}', T.structured)["overview"] == "o"
+    assert one("overview: isi rapat\n- satu dua\n", T.structured)["key_points"] == ["satu dua"]
+    assert one("hasil -- rapat ... ok", T.clean_abstractive) == "hasil rapat . ok."
+    rows = spark.createDataFrame([("m", 0, "S1", "Budi akan kirim laporan akhir"), ("m", 1, "S2", "saya akan buat jadwal baru"), ("m", 2, "S1", "halo")], "m string, sent_idx int, speaker_id string, sentence string")
+    got = {r["sent_idx"]: (r["owner"], r["confidence"]) for r in M.regex_actions(rows, "m").collect()}
+    assert got[0] == ("Budi", 0.7) and set(got) == {0, 1}
+
+
+def test_sweep_and_grid_agree(spark):
+    from colloquy.operators import evaluation as E
+
+    rows = lambda x: spark.createDataFrame(x, "meeting_id string, speaker_id string, start double, end double")
+    ref, hyp = rows([("m", "A", 0.0, 5.0), ("m", "B", 4.0, 9.0), ("m", "A", 4.5, 6.0)]), rows([("m", "x", 0.5, 8.0), ("m", "y", 7.0, 12.0)])
+    a, b = E.der_sweep(ref, hyp).first(), E.der_grid(ref, hyp).first()
+    assert all(abs(a[c] - b[c]) < 0.05 for c in ("missed_speech", "false_alarm", "speaker_confusion", "der"))
+
+
+def test_samples(spark):
+    from colloquy.operators import sampling as C
+
+    d = spark.range(100).withColumnRenamed("id", "k")
+    a, b = ({r["k"] for r in C.fraction(d.repartition(n), "k", 0.1).collect()} for n in (1, 7))
+    assert a == b and len(a) == 10
+    assert {r["k"] for r in C.offset_sample(d, "k", 95, 10).collect()} == set(range(95, 100))
+    g = spark.createDataFrame([("m", "kirim laporan")], "m string, rep string")
+    t = spark.createDataFrame([("m", "kirim laporan akhir"), ("m", "beli kopi"), ("n", "kirim laporan")], "m string, task string")
+    assert [r["task"] for r in C.group_members(g, t, "m").collect()] == ["kirim laporan akhir"]
