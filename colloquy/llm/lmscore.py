@@ -45,6 +45,8 @@ WORD = re.compile(r"\w+")
 KAPPA, MU = 0.05, 30.0
 #: Words and pairs that may be sent to every task.
 MAX_ENTRIES = 12_000_000
+#: Entries that the driver fetches at once.
+FETCHED = 1_000_000
 #: Tokens that a task holds before it counts them.
 HELD_TOKENS = 2_000_000
 UNKNOWN = "\x00"
@@ -171,24 +173,41 @@ def count(marked: DataFrame, letters: float) -> DataFrame:
             at += len(k)
         often = n.sum(0) > 1
         once, every = n[:, ~often].sum(1), n.sum(1)
-        return pa.table({"kind": table["kind"][:1], "chunk": table["chunk"][:1], "entries": [int(often.sum())], "keys": pa.array([keys[often].tobytes()], pa.binary()), **{f"n{k}": pa.array([n[k, often].tobytes()], pa.binary()) for k in (0, 1)}, **{f"once{k}": [int(once[k])] for k in (0, 1)}, **{f"all{k}": [int(every[k])] for k in (0, 1)}})
+        return pa.table({"kind": table["kind"][:1], "chunk": table["chunk"][:1], "entries": [int(often.sum())], "keys": pa.array([keys[often].tobytes()], pa.binary()), **{f"n{k}": pa.array([np.minimum(n[k, often], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()) for k in (0, 1)}, **{f"once{k}": [int(once[k])] for k in (0, 1)}, **{f"all{k}": [int(every[k])] for k in (0, 1)}})
 
     counted = marked.where("of is not null").select("text", "of").mapInArrow(part, "kind int, chunk int, of int, keys binary, n binary")
     return counted.groupBy("kind", "chunk").applyInArrow(add, "kind int, chunk int, entries long, keys binary, n0 binary, n1 binary, once0 long, once1 long, all0 long, all1 long")
 
 
 def collect(counted: DataFrame) -> Counts:
-    """The counts as arrays; only after a check that the entries are few enough."""
-    table = counted.toArrow().combine_chunks()
-    got = sorted((r | {"at": k} for k, r in enumerate(table.drop_columns(["keys", "n0", "n1"]).to_pylist())), key=lambda r: (r["kind"], r["chunk"]))
-    # read in place: the packed columns aren't copied before they are joined up
-    packed = lambda c, r, kind: np.frombuffer(table[c][r["at"]].as_buffer(), kind)
+    """The counts as arrays; only after a check that the entries are few enough.
+
+    Ranges of keys are fetched a part at a time into arrays of the final size,
+    so the driver holds the entries once.
+    """
+    meta = sorted(counted.select("kind", "chunk", "entries", "once0", "once1", "all0", "all1").collect())
     out = []
     for kind in (0, 1):
-        own = [r for r in got if r["kind"] == kind]
-        n = [np.concatenate([packed(f"n{k}", r, np.int64).astype(np.uint32) for r in own]) if own else np.zeros(0, np.uint32) for k in (0, 1)]
-        out.append((np.concatenate([packed("keys", r, np.uint64) for r in own]) if own else np.zeros(0, np.uint64), np.stack(n)))
-    sums = [np.array([sum(r[f"{c}{k}"] for r in got if r["kind"] == 0) for k in (0, 1)], float) for c in ("once", "all")]
+        own = [r for r in meta if r["kind"] == kind]
+        keys, n = np.empty(sum(r["entries"] for r in own), np.uint64), np.empty((2, sum(r["entries"] for r in own)), np.uint32)
+        parts: list[list] = [[]]
+        for r in own:
+            if sum(x["entries"] for x in parts[-1]) >= FETCHED:
+                parts.append([])
+            parts[-1].append(r)
+        at = 0
+        for part in filter(None, parts):
+            got = counted.where((F.col("kind") == kind) & F.col("chunk").between(part[0]["chunk"], part[-1]["chunk"])).select("chunk", "keys", "n0", "n1").toArrow()
+            rows = {c: (b, i) for b in got.to_batches() for i, c in enumerate(b["chunk"].to_pylist())}
+            for r in part:
+                b, i = rows[r["chunk"]]
+                to = at + r["entries"]
+                keys[at:to] = np.frombuffer(b["keys"][i].as_buffer(), np.uint64)
+                for k in (0, 1):
+                    n[k, at:to] = np.frombuffer(b[f"n{k}"][i].as_buffer(), np.uint32)
+                at = to
+        out.append((keys, n))
+    sums = [np.array([sum(r[f"{c}{k}"] for r in meta if r["kind"] == 0) for k in (0, 1)], float) for c in ("once", "all")]
     return Counts(*out, *sums)
 
 
