@@ -8,6 +8,7 @@ rows with one id but different texts are kept apart.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -44,6 +45,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the checkpoint folder and read again.
+
+    Unlike a checkpoint the result has a measured size and no partitioning, so
+    a join on the key it was grouped by deals out both sides, and the adaptive
+    planner can broadcast it or split a hot key of the other side.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32(doc_id as text) mod 5; rows without an id count as held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

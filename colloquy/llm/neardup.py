@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, stored
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
@@ -180,7 +180,7 @@ def _confirm(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -
     pairs = materialize(pairs.select("a", "b"))
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     texts = _texts(documents, ids)
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     salts = sizes.select("a", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("a", "salt", F.col("a").alias("id"))
@@ -302,15 +302,16 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     t = materialize(sketch(documents, words))
     named = t.where("doc_id is not null and n_shingles > 0")
     members = named.select("doc_id", "d1", "d2", "n_shingles")
-    reps = members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # stored, so that the join of a large group of copies to its one row can be split
+    reps = stored(members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     # an id with several sets ties their classes together
     ids = members.join(reps, ["d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps"))
     ids = materialize(ids)
     tied = ids.where("rep <> last").select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a <> b")
-    alone = materialize(named.join(reps, ["d1", "d2"]).where("doc_id = rep").select("doc_id", "regs", "bands").dropDuplicates(["doc_id", "regs"]))
+    alone = materialize(named.join(reps.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"]).select("doc_id", "regs", "bands").dropDuplicates(["doc_id", "regs"]))
     keyed = alone.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a <> last")
-    shared = materialize(keyed.join(buckets.select("key", "a"), "key").select("key", "doc_id", "a"))
+    buckets = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a <> last").select("key", "a"))
+    shared = materialize(keyed.join(buckets, "key").select("key", "doc_id", "a"))
     # each document tries the leader with which it shares the most bands
     tried = (
         shared.where("doc_id <> a").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("n"))
@@ -323,8 +324,8 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     # what is left: buckets that hold several components
     rows = shared.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    left = materialize(rows.join(mixed.select("key", "n"), "key"))
+    mixed = stored(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n"))
+    left = materialize(rows.join(mixed, "key"))
     small = left.where(F.col("n") <= SMALL_BUCKET).select("key", "doc_id", "component")
     across = (
         small.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
