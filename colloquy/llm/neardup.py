@@ -51,7 +51,7 @@ SMALL_BUCKET, BLOCK = 48, 1024
 #: Ids sent to every scan at most; above it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members that one leader meets in a task.
-SALT_ROWS = 500
+SALT_ROWS = 128
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
