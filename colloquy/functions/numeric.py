@@ -34,3 +34,20 @@ def parse_timestamp(text: Column) -> Column:
 
 def words_per_minute(words: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, words / (seconds / 60)).otherwise(F.lit(0.0))
+
+
+def duration_words(seconds: Column) -> Column:
+    """"1 jam 2 menit 3 detik", without the hours where there are none; empty unless positive."""
+    h, m, s = _parts(seconds)
+    words = F.concat(F.when(h > 0, F.format_string("%d jam ", h)).otherwise(""), F.format_string("%d menit %d detik", m, s))
+    return F.when(seconds > 0, words).otherwise("")
+
+
+def percent_done(done: Column, total: Column) -> Column:
+    """0 to 100; 0 without a positive total."""
+    return F.when(total > 0, done / total * 100).otherwise(F.lit(0.0))
+
+
+def remaining(elapsed: Column, done: Column, total: Column) -> Column:
+    """Seconds left at the pace so far; null before anything is done."""
+    return F.when(done > 0, elapsed / done * (total - done))

@@ -392,6 +392,22 @@ def file_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
+@query("""SELECT event_id, CASE WHEN value > 0 THEN CASE WHEN floor(value * 60)::BIGINT >= 3600 THEN (floor(value * 60)::BIGINT // 3600)::VARCHAR || ' jam ' ELSE '' END
+ || (floor(value * 60)::BIGINT % 3600 // 60)::VARCHAR || ' menit ' || (floor(value * 60)::BIGINT % 60)::VARCHAR || ' detik' ELSE '' END AS t FROM events""")
+def duration_words(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", N.duration_words(F.col("value") * 60).alias("t"))
+
+
+@query("""WITH c AS (SELECT conv_id, max(turn) + 1 AS total FROM conversations GROUP BY 1)
+ SELECT conv_id, turn, round((turn + 1) / total::DOUBLE * 100, 6) AS percent, round((turn + 1.0)::DOUBLE / (turn + 1) * (total - turn - 1), 6) AS seconds_left FROM conversations JOIN c USING (conv_id)""")
+def progress(spark, sf_dir):
+    """Share of a conversation's turns done after each turn, and seconds left, a turn lasting one."""
+    c = table(spark, sf_dir, "conversations")
+    done = F.col("turn") + 1
+    rows = c.join(c.groupBy("conv_id").agg((F.max("turn") + 1).alias("total")), "conv_id")
+    return rows.select("conv_id", "turn", F.round(N.percent_done(done, F.col("total")), 6).alias("percent"), F.round(N.remaining(done.cast("double"), done, F.col("total")), 6).alias("seconds_left"))
+
+
 @query("SELECT event_id, (value::BIGINT * 0 + floor(value * 60)::BIGINT // 3600) AS h, CASE WHEN floor(value * 60)::BIGINT >= 3600 THEN (floor(value * 60)::BIGINT // 3600)::VARCHAR || ':' || lpad((floor(value * 60)::BIGINT % 3600 // 60)::VARCHAR, 2, '0') ELSE (floor(value * 60)::BIGINT // 60)::VARCHAR END || ':' || lpad((floor(value * 60)::BIGINT % 60)::VARCHAR, 2, '0') AS t FROM events")
 def format_duration(spark, sf_dir):
     s = F.col("value") * 60

@@ -105,3 +105,19 @@ def test_signals(spark):
 def test_actions(spark):
     s = spark.createDataFrame([(0, 0, "Budi akan kirim laporan besok"), (0, 1, "budi akan kirim laporan, besok"), (0, 2, "terima kasih akan semua"), (0, 3, "akan pergi")], "doc int, sent_idx int, sentence string")
     assert [(r["owner"], r["due"]) for r in M.action_items(s, "doc").collect()] == [("Budi", "besok")]
+
+
+def test_duration_words_and_progress(spark):
+    assert one(spark, 3723.9, N.duration_words, "double") == "1 jam 2 menit 3 detik"
+    assert one(spark, 59.0, N.duration_words, "double") == "0 menit 59 detik"
+    assert one(spark, 0.0, N.duration_words, "double") == "" and one(spark, None, N.duration_words, "double") == ""
+    assert one(spark, 4, lambda c: N.percent_done(F.lit(1), c), "int") == 25.0
+    assert one(spark, 0, lambda c: N.percent_done(F.lit(1), c), "int") == 0.0
+    assert one(spark, 1, lambda c: N.remaining(F.lit(10.0), c, F.lit(5)), "int") == 40.0
+    assert one(spark, 0, lambda c: N.remaining(F.lit(10.0), c, F.lit(5)), "int") is None
+
+
+def test_patched_metrics(spark):
+    got = one(spark, "WER: 12.5% CER: 3", lambda c: T.patched_metrics(c, F.lit('{"wer": 0.2, "der": "x"}')))
+    assert (got["wer"], got["cer"], got["der"]) == (0.2, 3.0, None)
+    assert one(spark, "WER: 12.5%", lambda c: T.patched_metrics(c, F.lit(None).cast("string")))["wer"] == 12.5
