@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, oracles, quality, toxicity
-from .common import read
+from .common import fold, read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,8 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
-    return langid.identify(documents, langid.fit(documents))
+    found = langid.identify(documents, langid.fit(documents))
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {

@@ -3,12 +3,13 @@
 import math
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, quality, toxicity
+from colloquy.llm import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, quality, registry, toxicity
 from colloquy.llm.components import components
 
 DATA = "/root/testdata/sf0.01"
@@ -131,6 +132,16 @@ def test_language_held_out(spark):
     assert abs(r.score.mean() - (r.lang_pred == r.lang).mean()) < 0.05
 
 
+def test_language_query_names_the_fold(spark, tmp_path):
+    rows = [(i, "das ist ein Satz" if i % 2 else "this is a sentence", "de" if i % 2 else "en") for i in range(60)] + [(None, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.op10_langid(spark, str(tmp_path))
+    assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    held = {r["doc_id"]: r["held_out"] for r in out.collect()}
+    assert held == {None: True} | {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60)}
+    assert 0 < sum(held.values()) < len(held)
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
