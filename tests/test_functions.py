@@ -25,6 +25,26 @@ def test_text(spark):
     assert one(spark, "x " * 200 + "end.", lambda c: F.size(T.sentences(c))) == 1
 
 
+def test_repeats_collapse_to_the_fixpoint(spark):
+    import random
+    import re
+
+    def plain(text):
+        before = None
+        while before != text:
+            before, text = text, re.sub(r"(\b(?:\w+\s+){0,5}\w+\b)(?:\s+\1){1,}", r"\1", text, flags=re.IGNORECASE)
+        return text
+
+    rng = random.Random(5)
+    texts = ["kata " * n for n in (2, 4, 13, 23, 100, 20_000)] + ["a b " * 30 + "c d c d " * 30, "", "Ya ya. YA", "sama\u00a0sama"]
+    texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(2, 200))) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "id int, x string")
+    out = d.select("id", T.collapse_repeats(F.col("x")).alias("y"), T.sentences(F.col("x")).alias("s")).collect()
+    assert {r["id"]: r["y"] for r in out} == {-1: None} | {i: plain(t) for i, t in enumerate(texts)}
+    got = {r["id"]: r["s"] for r in out}
+    assert all(got[i] == [plain(t.strip())] for i, t in enumerate(texts) if 6 <= len(t.strip()) <= 300 and "." not in t)
+
+
 def test_predicates(spark):
     assert one(spark, "ini menjadi bagian", T.is_decision) and not one(spark, "ini menjadi bagian", T.is_strict_decision)
     assert one(spark, "Budi siapkan laporan", T.is_actionable) and not one(spark, "halo semua", T.is_actionable)
