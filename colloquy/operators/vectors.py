@@ -90,6 +90,42 @@ def _merge_average(x: np.ndarray, threshold: float, k: int | None) -> np.ndarray
     return np.unique(label, return_inverse=True)[1]
 
 
+def _centroid_distances(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels in use, their sizes, and the cosine distances of their centroids (infinite to themselves)."""
+    ids, at, n = np.unique(label, return_inverse=True, return_counts=True)
+    c = np.zeros((len(ids), x.shape[1]))
+    np.add.at(c, at, x)
+    c /= n[:, None]
+    norm = np.linalg.norm(c, axis=1)
+    d = 1 - c @ c.T / (np.outer(norm, norm) + 1e-12)
+    np.fill_diagonal(d, np.inf)
+    return ids, n, d
+
+
+def _tidied(x: np.ndarray, label: np.ndarray, least: int, merge: float) -> np.ndarray:
+    """Clusters under ``least`` go to the nearest centroid, then the nearest centroids are merged while under ``merge``."""
+    label = label.copy()
+    while True:
+        ids, n, d = _centroid_distances(x, label)
+        small = np.flatnonzero(n < least)
+        if not len(small) or len(ids) < 2:
+            break
+        label[label == ids[small[0]]] = ids[d[small[0]].argmin()]
+    while True:
+        ids, _, d = _centroid_distances(x, label)
+        i, j = divmod(int(d.argmin()), len(ids))
+        if not d[i, j] < merge:
+            break
+        label[label == ids[max(i, j)]] = ids[min(i, j)]
+    return np.unique(label, return_inverse=True)[1]
+
+
+def _speakers(x: np.ndarray, threshold: float, k: int | None, least: int, merge: float) -> np.ndarray:
+    """Labels of a meeting's vectors; a given k is met as it is."""
+    label = np.zeros(len(x), int) if len(x) < 2 else _merge_average(x, threshold, k)
+    return label if k is not None else _tidied(x, label, least, merge)
+
+
 def cluster(rows: DataFrame, group: str, key: str, threshold: float = 0.7, k: int | None = None, least: int = 2, merge: float = 0.15, vec: str = "embedding") -> DataFrame:
     """Speakers of each meeting's vectors: average linkage, small clusters to the nearest centroid, near centroids merged.
 
@@ -97,25 +133,7 @@ def cluster(rows: DataFrame, group: str, key: str, threshold: float = 0.7, k: in
     """
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(key)
-        x = np.stack(g[vec].to_numpy()).astype(float)
-        label = np.zeros(len(x), int) if len(x) < 2 else _merge_average(x, threshold, k)
-        cos = lambda a, b: 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-12)
-        while k is None:
-            ids, n = np.unique(label, return_counts=True)
-            small = ids[n < least]
-            if not len(small) or len(ids) < 2:
-                break
-            c = {i: x[label == i].mean(0) for i in ids}
-            label[label == small[0]] = min((i for i in ids if i != small[0]), key=lambda i: (cos(c[small[0]], c[i]), i))
-        while k is None:
-            ids = np.unique(label)
-            c = [x[label == i].mean(0) for i in ids]
-            pairs = [(cos(c[a], c[b]), a, b) for a in range(len(ids)) for b in range(a + 1, len(ids))]
-            if not pairs or min(pairs)[0] >= merge:
-                break
-            _, a, b = min(pairs)
-            label[label == ids[b]] = ids[a]
-        _, label = np.unique(label, return_inverse=True)
+        label = _speakers(np.stack(g[vec].to_numpy()).astype(float), threshold, k, least, merge)
         return pd.DataFrame({group: g[group].iloc[0], key: g[key].to_numpy(), "speaker_id": [f"SPEAKER_{i:02d}" for i in label]})
 
     kinds = dict(rows.dtypes)
@@ -148,18 +166,26 @@ def _silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
 
 
-def auto_tune(rows: DataFrame, group: str, key: str, thresholds: tuple[float, ...] = (0.5, 0.6, 0.65, 0.7, 0.75, 0.8), target: int | None = None, vec: str = "embedding") -> DataFrame:
-    """The threshold of each meeting with the best silhouette - .1 |k - target| - .02 k; the first of equals.
+def auto_tune(
+    rows: DataFrame, group: str, key: str, thresholds: tuple[float, ...] = (0.95, 0.85, 0.7, 0.5, 0.3, 0.15), sizes: tuple[int, ...] = (1, 2, 3, 4),
+    target: int | None = None, merge: float = 0.15, vec: str = "embedding",
+) -> DataFrame:
+    """Threshold and minimum size of each meeting with the best silhouette - .1 |k - target| - .02 k; the first of equals.
 
-    Meetings and thresholds are dealt out as groups of their own.
+    Each cell goes through the whole of ``cluster``; one cluster has a silhouette of 0. Meetings and thresholds are
+    dealt out as groups of their own, whose sizes share the linkage.
     """
     def run(key_, g: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(g.sort_values(key)[vec].to_numpy()).astype(float)
-        label = _merge_average(x, float(key_[1]), None)
-        k = len(set(label))
-        return pd.DataFrame({group: [key_[0]], "threshold": [key_[1]], "clusters": [k], "score": [_silhouette(x, label) - (0.1 * abs(k - target) if target else 0.0) - 0.02 * k]})
+        linked, out = _speakers(x, float(key_[1]), None, 1, -np.inf), []
+        for size in sizes:
+            label = _tidied(x, linked, size, merge)
+            k = len(set(label))
+            out.append((key_[0], key_[1], size, k, (_silhouette(x, label) if k > 1 else 0.0) - (0.1 * abs(k - target) if target is not None else 0.0) - 0.02 * k))
+        return pd.DataFrame(out, columns=[group, "threshold", "min_size", "clusters", "score"])
 
     grid = rows.select(group, key, vec, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    scored = grid.groupBy(group, "threshold").applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, threshold double, clusters int, score double")
-    w = Window.partitionBy(group).orderBy(F.desc("score"), "threshold")
+    scored = grid.groupBy(group, "threshold").applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, threshold double, min_size int, clusters int, score double")
+    place = lambda c, values: F.array_position(F.array(*map(F.lit, values)), F.col(c))
+    w = Window.partitionBy(group).orderBy(F.desc("score"), place("threshold", thresholds), place("min_size", sizes))
     return scored.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

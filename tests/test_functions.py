@@ -74,6 +74,24 @@ def test_vectors(spark):
     assert len({r["speaker_id"] for r in out if r["id"] < 2}) == 1 and len({r["speaker_id"] for r in out}) == 2
 
 
+def test_tuning_searches_thresholds_and_sizes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    near = lambda c, n: np.array(c) + 0.01 * rng.standard_normal((n, 3))
+    # two groups 0.4 apart, told apart by a threshold under that; two groups and a stray that only a minimum size takes in
+    meetings = {0: [near([1, 0, 0], 8), near([0.6, 0.8, 0], 8)], 1: [near([1, 0, 0], 8), near([0, 1, 0], 8), np.array([[0.0, 0.0, 1.0]])]}
+    rows = [(m, i, v.tolist()) for m, parts in meetings.items() for i, v in enumerate(np.concatenate(parts))]
+    d = spark.createDataFrame(rows, "m int, id int, embedding array<double>")
+    got = {r["m"]: r for r in X.auto_tune(d, "m", "id", target=2).collect()}
+    assert (got[0]["threshold"], got[0]["min_size"], got[0]["clusters"]) == (0.3, 1, 2)
+    assert (got[1]["min_size"], got[1]["clusters"]) == (2, 2)
+    # the cell's numbers are those of cluster() at that cell
+    for m, r in got.items():
+        labels = X.cluster(d.where(F.col("m") == m), "m", "id", threshold=r["threshold"], least=r["min_size"]).collect()
+        assert len({x["speaker_id"] for x in labels}) == r["clusters"]
+
+
 def test_errors_match_a_plain_table(spark):
     import random
 
