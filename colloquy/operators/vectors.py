@@ -140,14 +140,17 @@ def cluster(rows: DataFrame, group: str, key: str, threshold: float = 0.7, k: in
     return rows.select(group, key, vec).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, speaker_id string")
 
 
-def mean_pairwise_distance(rows: DataFrame, key: str, vec: str = "embedding", most: int = 200) -> DataFrame:
-    """Mean cosine distance over at most ``most`` evenly spaced rows (the spread behind a collapse test)."""
-    n = rows.count()
-    step = max(1, -(-n // most))
-    w = Window.orderBy(key)
-    some = rows.select(key, F.col(vec).alias("v")).withColumn("i", F.row_number().over(w) - 1).where(F.col("i") % step == 0) if n <= 10_000 else rows.select(key, F.col(vec).alias("v"), F.col(key).alias("i")).where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
-    a, b = some.select(F.col("i").alias("ia"), F.col("v").alias("va")), some.select(F.col("i").alias("ib"), F.col("v").alias("vb"))
-    return a.join(b, F.col("ia") < F.col("ib")).agg(F.avg(V.cosine_distance(F.col("va"), F.col("vb"))).alias("mean_distance"), F.count(F.lit(1)).alias("pairs"))
+def mean_pairwise_distance(rows: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """Mean cosine distance over all pairs of rows (the spread behind a collapse test), from sums of unit vectors.
+
+    The similarities of all ordered pairs add up to |sum u|^2, those of rows with themselves to sum |u|^2; ``key``
+    names the rows, whose number alone counts. Fewer than two vectors have no mean.
+    """
+    u = rows.select(key, V.unit(F.col(vec)).alias("u")).where("u is not null")
+    own = u.agg(F.count(F.lit(1)).alias("n"), F.sum(V.dot(F.col("u"), F.col("u"))).alias("own"))
+    total = u.select(F.posexplode("u").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("total"))
+    pairs = F.col("n") * (F.col("n") - 1)
+    return own.join(F.broadcast(total)).select(F.when(pairs > 0, 1 - (F.col("total") - F.col("own")) / pairs).alias("mean_distance"), (pairs / 2).cast("long").alias("pairs"))
 
 
 def _silhouette(x: np.ndarray, label: np.ndarray) -> float:

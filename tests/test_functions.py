@@ -74,6 +74,19 @@ def test_vectors(spark):
     assert len({r["speaker_id"] for r in out if r["id"] < 2}) == 1 and len({r["speaker_id"] for r in out}) == 2
 
 
+def test_mean_distance_is_over_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        x = rng.standard_normal((n, 8)) + 0.5
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>")
+        r = X.mean_pairwise_distance(d, "id").first()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert r["pairs"] == n * (n - 1) // 2
+        assert r["mean_distance"] is None if n < 2 else abs(r["mean_distance"] - (1 - (u @ u.T)[np.triu_indices(n, 1)].mean())) < 1e-9
+
+
 def test_tuning_searches_thresholds_and_sizes(spark):
     import numpy as np
 
