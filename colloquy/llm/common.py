@@ -7,6 +7,9 @@ rows with one id but different texts are kept apart.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -16,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: whole texts may be long, so batches stay small.
-BATCH_ROWS = 500
+#: Rows and bytes in an Arrow batch: whole texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 #: Labelled rows with this remainder of crc32(id) are held out from learning.
 HELD_OUT_FOLD, FOLDS = 0, 5
 
@@ -27,18 +30,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of few rows, so that a batch of long texts fits in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of few rows and bytes, so that a batch of long texts fits in a worker; settings of the session that only get smaller."""
+    prefix = "spark.sql.execution.arrow.max"
+    if not 0 < int(spark.conf.get(f"{prefix}RecordsPerBatch")) <= rows:
+        spark.conf.set(f"{prefix}RecordsPerBatch", str(rows))
+    spark.conf.set(f"{prefix}BytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is set."""
+    """The checkpoint folder that the cluster names; one of our own only in local mode, where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        if not named:
+            named = tempfile.mkdtemp(prefix="colloquy-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which a lost executor doesn't take along."""
     shared_folder(df.sparkSession)
@@ -53,7 +78,7 @@ def stored(df: DataFrame) -> DataFrame:
     planner can broadcast it or split a hot key of the other side.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = scratch(spark, "stored")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

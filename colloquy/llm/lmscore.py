@@ -3,81 +3,77 @@
 Target: documents whose label is good and not toxic.  Background: as many
 letters' worth of the other documents, chosen by a hash of the id.  Both models
 are bigram models with Dirichlet smoothing over one vocabulary, the words of
-both corpora:
+both corpora (V of them, and one unknown word):
 
-    p(w) = (c(w) + kappa) / (N + kappa V)      p(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu)
+    p(w) = (c(w) + kappa) / (N + kappa (V + 1))      p(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu)
 
 The score of a document is its loss per token under the target less that under
 the background; low scores are like the target.  A document that is part of a
-corpus is scored without its own counts.
+corpus is scored without its own counts.  Every count of both corpora takes
+part, also of what was seen once; words are cut and hashed in one place
+(:mod:`colloquy.llm.words`).
 
-The vocabulary is the words seen at least twice in both corpora together; all
-others are one unknown word.  Pairs seen once in both together back off.
+One way for every size, in three shuffles of packed arrays:
 
-All counts come from the whole of both corpora: each task counts its texts'
-words and pairs, and the counts are added up by ranges of 64-bit keys, so what
-is gathered grows with the input.  The entries seen twice go to every scoring
-task as sorted arrays if they are at most ``MAX_ENTRIES``, a size that is
-checked; more are never collected, and the documents' pairs are joined to the
-counts by a shuffle instead (``score_by_join``), which has no such bound.
+1. Each task packs its texts into blocks of about ``BLOCK_TOKENS`` tokens
+   (distinct word hashes, and the tokens as places among them), written once.
+2. A block asks for each of its distinct words and pairs once, so the commonest
+   word costs one entry a block, and says how often either corpus has it there.
+   Asks meet by range of the 64-bit key; ranges grow in number with the input
+   and hold about ``CHUNK_KEYS`` asks.  A range adds up and answers its blocks.
+3. Answers go back to their block, which scores its documents.
+
+So what is gathered grows with the input, and nothing but three sums is sent to
+the driver or to every task.
 
 Defined cases: a null or empty text has no tokens, losses 0 and score 0; null
 labels don't make a target; without labels or targets both models are the
-uniform one; repeated rows get equal results; a null doc_id is never part of
-the background sample; an empty table gives an empty result; extra columns
-don't matter.
+uniform one; repeated rows get equal results (losses are rounded to 12 places);
+a null doc_id is never part of the background sample; an empty table gives an
+empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, strings
+from .common import small_batches, stored, strings
+from .words import grouped, word_hashes
 
-WORD = re.compile(r"\w+")
 KAPPA, MU = 0.05, 30.0
-#: Words and pairs that may be sent to every task.
-MAX_ENTRIES = 12_000_000
-#: Entries that the driver fetches at once.
-FETCHED = 1_000_000
-#: Tokens that a task holds before it counts them.
-HELD_TOKENS = 2_000_000
-UNKNOWN = "\x00"
+#: Tokens in a block, and asks in a range of keys, about.
+BLOCK_TOKENS, CHUNK_KEYS = 600_000, 1_500_000
 #: Ids of targets sent to every scan at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+WORDS, PAIRS, BLOCK = 0, 1, 2
 _C = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, remembered; forgets all when it grows large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return out
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = (first * _C[0]) ^ ((first * _C[0]) >> np.uint64(31))
+    x = (x + second) * _C[1]
+    return x ^ (x >> np.uint64(29))
 
 
-def hashed(text: str, hashes: Hashes) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes: the upper bytes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
-def pair_keys(h: np.ndarray) -> np.ndarray:
-    x = (h[:-1] * _C[0]) ^ ((h[:-1] * _C[0]) >> np.uint64(31))
-    x = (x + h[1:]) * _C[1]
-    return x ^ (x >> np.uint64(29))
+def unpack(z, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return np.ascontiguousarray(raw.reshape(k := np.dtype(kind).itemsize, len(raw) // k).T).view(kind).ravel()
 
 
-def corpora(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """doc_id, text, of (1 target, 0 background, else null) of every row, and the letters of both corpora."""
+def corpora(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, of (1 target, 0 background, else null) of every row."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
     few = good.count() <= BROADCAST_IDS
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -87,194 +83,152 @@ def corpora(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[in
     share = min(1.0, letters.get(True, 0.0) / letters[False]) if letters.get(False) else 0.0
     draw = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     of = F.when(F.col("target"), 1).when(F.col("doc_id").isNotNull() & (draw < share), 0)
-    return marked.select("doc_id", "text", of.alias("of")), {1: letters.get(True, 0.0), 0: letters.get(False, 0.0) * share}
-
-
-class Counts:
-    """keys (sorted) and n (2 rows: background, target) of words and of pairs; unknown and total tokens of both."""
-
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], unknown: np.ndarray, total: np.ndarray):
-        self.words, self.pairs, self.unknown, self.total = words, pairs, unknown, total
-        self.vocabulary = len(words[0]) + 1
-
-    @staticmethod
-    def places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """Of each asked key its place, or len(keys)."""
-        if not len(keys):
-            return np.zeros(len(asked), np.int64)
-        at = np.searchsorted(keys, asked)
-        at[at == len(keys)] = 0
-        at[keys[at] != asked] = len(keys)
-        return at
-
-    def losses(self, h: np.ndarray, own: int | None = None) -> tuple[float, float]:
-        """Mean loss under (background, target); ``own`` is the corpus that holds the document."""
-        if not len(h):
-            return 0.0, 0.0
-        iw, ip = self.places(self.words[0], h), self.places(self.pairs[0], pair_keys(h))
-        out = []
+    return marked.select("doc_id", "text", of.alias("of"))
+
+
+class Block:
+    """Tokens of several documents: distinct words and pairs (sorted keys), and the place of every token among them."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, of: np.ndarray):
+        self.sizes, self.of = sizes, of
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.words, self.word = words[order], rank[tokens]
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.ones(len(tokens), bool)
+        np.not_equal(self.doc[1:], self.doc[:-1], out=self.first[1:])
+        h, inner = words[tokens], np.flatnonzero(~self.first)
+        self.inner = inner
+        self.pairs, self.pair, self._order, self._starts = grouped(pair_keys(h[inner - 1], h[inner]))
+
+    def counts(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, keys, times in the background, times in the target) of this block's words and pairs."""
+        of = self.of[self.doc]
+        by_word = [np.bincount(self.word[of == k], minlength=len(self.words)) for k in (0, 1)]
+        of = of[self.inner][self._order]
+        by_pair = [np.add.reduceat((of == k).astype(np.int64), self._starts) if len(of) else np.zeros(0, np.int64) for k in (0, 1)]
+        return [(WORDS, self.words, *by_word), (PAIRS, self.pairs, *by_pair)]
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, vocabulary: int, total: np.ndarray) -> np.ndarray:
+        """Mean loss of each document under (background, target); counts as (2, keys)."""
+        own_word, own_pair = np.zeros(len(self.word)), np.zeros(len(self.pair))
+        for own, places, docs, n in ((own_word, self.word, self.doc, len(self.words)), (own_pair, self.pair, self.doc[self.inner], len(self.pairs))):
+            at = np.flatnonzero(self.of[docs] >= 0)
+            if len(at):
+                _, place, _, starts = grouped(docs[at] * n + places[at])
+                own[at] = np.diff(starts, append=len(at))[place]
+        out = np.zeros((2, len(self.sizes)))
+        if not len(self.word):
+            return out
         for of in (0, 1):
-            w = np.where(iw < len(self.words[0]), self.words[1][of][np.minimum(iw, max(0, len(self.words[0]) - 1))] if len(self.words[0]) else 0, self.unknown[of]).astype(float)
-            c = (np.where(ip < len(self.pairs[0]), self.pairs[1][of][np.minimum(ip, len(self.pairs[0]) - 1)], 0) if len(self.pairs[0]) else np.zeros(len(ip))).astype(float)
-            total = self.total[of]
-            if own == of:
-                for counts, places in ((w, iw), (c, ip)):
-                    _, place, n = np.unique(places, return_inverse=True, return_counts=True)
-                    np.maximum(counts - n[place], 0.0, out=counts)
-                total = max(0.0, total - len(h))
-            p = (w + KAPPA) / (total + KAPPA * self.vocabulary)
-            lead, c = np.concatenate([[0.0], w[:-1]]), np.concatenate([[0.0], c])
-            out.append(float(-np.log((c + MU * p) / (lead + MU)).mean()))
-        return out[0], out[1]
-
-
-def count(marked: DataFrame, letters: float) -> DataFrame:
-    """kind (0 words, 1 pairs), chunk, keys, n0, n1 (packed; seen twice), and once0, once1, all0, all1 of each range of keys."""
+            mine = self.of[self.doc] == of
+            w = words[of][self.word] - own_word * mine
+            c = np.zeros(len(w))
+            c[self.inner] = pairs[of][self.pair] - own_pair * mine[self.inner]
+            n = total[of] - self.sizes * (self.of == of)
+            p = (w + KAPPA) / (n + KAPPA * (vocabulary + 1))[self.doc]
+            lead = np.concatenate([[0.0], w[:-1]])
+            lead[self.first] = 0.0
+            out[of] = np.bincount(self.doc, -np.log((c + MU * p) / (lead + MU)), len(self.sizes)) / np.maximum(self.sizes, 1)
+        return out.round(12)
+
+
+def blocks(marked: DataFrame) -> DataFrame:
+    """block, n (tokens), and packed: ids, named (the id isn't null), sizes, of (-1: none), words (commonest first), tokens."""
     small_batches(marked.sparkSession)
-    # ranges of keys, so that one holds about half a million
-    bits = max(2, math.ceil(math.log2(max(1.0, letters / 6 / 500_000))))
 
-    def rows(kind: int, of: int, keys: list[np.ndarray]):
-        k, n = np.unique(np.concatenate(keys), return_counts=True)
-        cuts = np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for chunk in range(1 << bits):
-            a, b = cuts[chunk], cuts[chunk + 1]
-            if b > a:
-                yield {"kind": kind, "chunk": chunk, "of": of, "keys": k[a:b].tobytes(), "n": n[a:b].astype(np.int32).tobytes()}
-
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("of", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-
-    def part(batches):
-        hashes, held, size = Hashes(), {}, 0
+    def run(batches):
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            for (kind, of), keys in held.items():
-                for r in rows(kind, of, keys):
-                    yield pa.RecordBatch.from_pylist([r], schema=schema)
+            nonlocal number, held, size
+            hashes = np.concatenate([h for h, *_ in held])
+            keys, place, _, starts = grouped(hashes)
+            rank = np.argsort(-np.diff(starts, append=len(hashes)), kind="stable")
+            back = np.empty(len(rank), np.uint32)
+            back[rank] = np.arange(len(rank), dtype=np.uint32)
+            joined = [np.concatenate([r[k] for r in held]) for k in (1, 2, 3, 4)]
+            cols = [pa.array([(part << 32) + number], pa.int64()), pa.array([len(hashes)], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in (*joined, keys[rank], back[place]))]
+            number, held, size = number + 1, [], 0
+            return pa.RecordBatch.from_arrays(cols, names=["block", "n", "ids", "named", "sizes", "of", "words", "tokens"])
 
         for b in batches:
-            for text, of in zip(strings(b["text"]), b["of"].to_pylist()):
-                h = hashed(text, hashes)
-                if len(h):
-                    held.setdefault((0, of), []).append(h)
-                    held.setdefault((1, of), []).append(pair_keys(h))
-                    size += len(h)
-            if size >= HELD_TOKENS:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = [(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int32), of) for k, n, of in zip(*(table[c].to_pylist() for c in ("keys", "n", "of")))]
-        keys, place = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
-        n, at = np.zeros((2, len(keys)), np.int64), 0
-        for k, m, of in parts:
-            n[of, place[at : at + len(k)]] += m
-            at += len(k)
-        often = n.sum(0) > 1
-        once, every = n[:, ~often].sum(1), n.sum(1)
-        return pa.table({"kind": table["kind"][:1], "chunk": table["chunk"][:1], "entries": [int(often.sum())], "keys": pa.array([keys[often].tobytes()], pa.binary()), **{f"n{k}": pa.array([np.minimum(n[k, often], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()) for k in (0, 1)}, **{f"once{k}": [int(once[k])] for k in (0, 1)}, **{f"all{k}": [int(every[k])] for k in (0, 1)}})
-
-    counted = marked.where("of is not null").select("text", "of").mapInArrow(part, "kind int, chunk int, of int, keys binary, n binary")
-    return counted.groupBy("kind", "chunk").applyInArrow(add, "kind int, chunk int, entries long, keys binary, n0 binary, n1 binary, once0 long, once1 long, all0 long, all1 long")
-
-
-def collect(counted: DataFrame) -> Counts:
-    """The counts as arrays; only after a check that the entries are few enough.
-
-    Ranges of keys are fetched a part at a time into arrays of the final size,
-    so the driver holds the entries once.
-    """
-    meta = sorted(counted.select("kind", "chunk", "entries", "once0", "once1", "all0", "all1").collect())
-    out = []
-    for kind in (0, 1):
-        own = [r for r in meta if r["kind"] == kind]
-        keys, n = np.empty(sum(r["entries"] for r in own), np.uint64), np.empty((2, sum(r["entries"] for r in own)), np.uint32)
-        parts: list[list] = [[]]
-        for r in own:
-            if sum(x["entries"] for x in parts[-1]) >= FETCHED:
-                parts.append([])
-            parts[-1].append(r)
-        at = 0
-        for part in filter(None, parts):
-            got = counted.where((F.col("kind") == kind) & F.col("chunk").between(part[0]["chunk"], part[-1]["chunk"])).select("chunk", "keys", "n0", "n1").toArrow()
-            rows = {c: (b, i) for b in got.to_batches() for i, c in enumerate(b["chunk"].to_pylist())}
-            for r in part:
-                b, i = rows[r["chunk"]]
-                to = at + r["entries"]
-                keys[at:to] = np.frombuffer(b["keys"][i].as_buffer(), np.uint64)
-                for k in (0, 1):
-                    n[k, at:to] = np.frombuffer(b[f"n{k}"][i].as_buffer(), np.uint32)
-                at = to
-        out.append((keys, n))
-    sums = [np.array([sum(r[f"{c}{k}"] for r in meta if r["kind"] == 0) for k in (0, 1)], float) for c in ("once", "all")]
-    return Counts(*out, *sums)
-
-
-def score_by_table(marked: DataFrame, counts: Counts) -> DataFrame:
-    small_batches(marked.sparkSession)
-    shared = marked.sparkSession.sparkContext.broadcast(counts)
+            if b.num_rows:
+                h, sizes = word_hashes(strings(b["text"]))
+                ids = b["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
+                held.append((h, ids, b["doc_id"].is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), sizes, b["of"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int8)))
+                size += len(h)
+                if size >= BLOCK_TOKENS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return marked.mapInArrow(run, "block long, n long, ids binary, named binary, sizes binary, of binary, words binary, tokens binary")
+
+
+def _read(row: dict) -> Block:
+    return Block(unpack(row["words"], np.uint64), unpack(row["tokens"], np.uint32), unpack(row["sizes"], np.int64), unpack(row["of"], np.int8))
+
+
+def asks(packed: DataFrame, bits: int) -> DataFrame:
+    """kind, chunk (upper bits of the key), block, keys (as differences) and n0, n1: what each block asks and counts."""
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n0", pa.binary()), ("n1", pa.binary())])
 
     def run(batches):
-        hashes = Hashes()
         for b in batches:
-            rows = [(len(h), *shared.value.losses(h, of)) for h, of in ((hashed(t, hashes), of) for t, of in zip(strings(b["text"]), b["of"].to_pylist()))]
-            n, background, target = zip(*rows) if rows else [[]] * 3
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(target, pa.float64()), "background_loss": pa.array(background, pa.float64()), "score": pa.array(np.subtract(target, background), pa.float64())})
-
-    return marked.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0)
-    at = docs.select(*keep, words.alias("ws")).select(*keep, "ws", F.posexplode("ws").alias("p", "w"))
-    return at.select(*keep, "w", F.when(F.col("p") > 0, F.get("ws", F.col("p") - 1)).alias("v"))
-
-
-def score_by_join(marked: DataFrame) -> DataFrame:
-    """As ``score_by_table`` with no table in memory: pairs are combined, then joined."""
-    t = _tokens(marked.where("of is not null"), "of")
-    sums = lambda c: [F.sum(F.when(F.col("of") == k, F.lit(1)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1)]
-    every = t.groupBy("w").agg(*sums("n"))
-    often = F.col("n0") + F.col("n1") > 1
-    totals = every.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.when(~often, F.col("n0"))).alias("u0"), F.sum(F.when(~often, F.col("n1"))).alias("u1"), F.count_if(often).alias("v")).first()
-    vocabulary = totals["v"] + 1
-    known = every.where(often)
-    words = known.unionByName(marked.sparkSession.createDataFrame([(UNKNOWN, totals["u0"] or 0, totals["u1"] or 0)], "w string, n0 long, n1 long"))
-    pairs = t.where("v is not null").groupBy("v", "w").agg(*sums("c")).where("c0 + c1 > 1")
-    docs = marked.select("doc_id", "text", "of", F.xxhash64("doc_id", "text").alias("k"))
-    # a document's equal pairs travel once; repeated rows share their key, and are read once
-    raw = _tokens(docs.dropDuplicates(["k"]), "k", "of").groupBy("k", "of", "v", "w").agg(F.count(F.lit(1)).alias("m"))
-    for c in ("w", "v"):
-        seen = known.select(F.col("w").alias(c), F.lit(True).alias("seen"))
-        raw = raw.join(seen, c, "left").withColumn(c, F.when(F.col("seen") | F.col(c).isNull(), F.col(c)).otherwise(UNKNOWN)).drop("seen")
-    own = raw.groupBy("k", "of", "v", "w").agg(F.sum("m").alias("m"))
-    said = own.groupBy("k", "w").agg(F.sum("m").alias("o"))
-    size = own.groupBy("k").agg(F.sum("m").alias("size"))
-    lead = words.select(F.col("w").alias("v"), F.col("n0").alias("l0"), F.col("n1").alias("l1"))
-    full = (
-        own.join(said, ["k", "w"]).join(said.select("k", F.col("w").alias("v"), F.col("o").alias("lo")), ["k", "v"], "left").join(size, "k")
-        .join(words, "w", "left").join(lead, "v", "left").join(pairs, ["v", "w"], "left")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-
-    def loss(k: int) -> Column:
-        less = lambda c, own: F.greatest(zero(c) - F.when(F.col("of") == k, zero(own)).otherwise(0), F.lit(0))
-        n = F.greatest(F.lit(float(totals[f"n{k}"] or 0)) - F.when(F.col("of") == k, F.col("size")).otherwise(0), F.lit(0.0))
-        p = (less(f"n{k}", "o") + KAPPA) / (n + KAPPA * vocabulary)
-        first = F.col("v").isNull()
-        c, l = (F.when(first, F.lit(0)).otherwise(x) for x in (less(f"c{k}", "m"), less(f"l{k}", "lo")))
-        return F.sum(-F.log((c + MU * p) / (l + MU)) * F.col("m")) / F.sum("m")
-
-    by = full.groupBy("k").agg(loss(0).alias("b"), loss(1).alias("t"))
-    tokens = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0)).cast("long")
-    out = docs.select("doc_id", "k", tokens.alias("n_tokens")).join(by, "k", "left")
-    return out.select("doc_id", "n_tokens", zero("t").cast("double").alias("target_loss"), zero("b").cast("double").alias("background_loss"), (zero("t") - zero("b")).cast("double").alias("score"))
-
-
-def score(documents: DataFrame, labels: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+            for row in b.to_pylist():
+                for kind, keys, n0, n1 in _read(row).counts():
+                    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                    rows = [(kind, k, row["block"], *(pack(x) for x in (np.diff(keys[i:j], prepend=np.uint64(0)), n0[i:j].astype(np.uint32), n1[i:j].astype(np.uint32)))) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return packed.select("block", "words", "tokens", "sizes", "of").mapInArrow(run, "kind int, chunk int, block long, keys binary, n0 binary, n1 binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """kind, chunk, block, n0, n1 (packed, in the order of the asked keys); and under block -1 the number of known keys and the sums of both corpora."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["block", "keys", "n0", "n1"]).to_pylist()
+        keys = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        _, place, order, starts = grouped(np.concatenate(keys))
+        n = [np.add.reduceat(np.concatenate([unpack(r[c], np.uint32) for r in rows])[order].astype(np.uint64), starts) for c in ("n0", "n1")]
+        cuts = np.cumsum([0, *map(len, keys)])
+        packed = [[pack(x[place[i:j]]) for i, j in zip(cuts[:-1], cuts[1:])] for x in n]
+        more = len(rows) + 1
+        return pa.table({
+            "kind": pa.array([rows and table["kind"][0].as_py()] * more, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * more, pa.int32()),
+            "block": pa.array([*(r["block"] for r in rows), -1], pa.int64()), "n0": pa.array([*packed[0], None], pa.binary()), "n1": pa.array([*packed[1], None], pa.binary()),
+            "known": pa.array([*[0] * len(rows), int((n[0] + n[1] > 0).sum())], pa.int64()), "all0": pa.array([*[0] * len(rows), int(n[0].sum())], pa.int64()), "all1": pa.array([*[0] * len(rows), int(n[1].sum())], pa.int64()),
+        })
+
+    return asked.groupBy("kind", "chunk").applyInArrow(run, "kind int, chunk int, block long, n0 binary, n1 binary, known long, all0 long, all1 long")
+
+
+def score(documents: DataFrame, labels: DataFrame, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every row."""
-    marked, letters = corpora(documents, labels)
-    counted = materialize(count(marked, sum(letters.values())))
-    entries = counted.agg(F.sum("entries")).first()[0] or 0
-    return score_by_table(marked, collect(counted)) if entries <= max_entries else score_by_join(marked)
+    packed = stored(blocks(corpora(documents, labels)))
+    tokens = packed.agg(F.sum("n")).first()[0] or 0
+    answered = stored(answers(asks(packed, max(1, math.ceil(math.log2(max(1.0, 0.8 * tokens / chunk_keys)))))))
+    got = answered.where((F.col("block") == -1) & (F.col("kind") == WORDS)).agg(F.sum("known"), F.sum("all0"), F.sum("all1")).first()
+    vocabulary, total = got[0] or 0, np.array([got[1] or 0, got[2] or 0], float)
+    own = packed.drop("n").withColumns({"kind": F.lit(BLOCK), "chunk": F.lit(0)})
+    both = own.unionByName(answered.where("block <> -1").drop("known", "all0", "all1"), allowMissingColumns=True)
+
+    def run(batches):
+        held: list[list] = [[], []]
+        for b in batches:
+            for row in b.to_pylist():
+                if row["kind"] != BLOCK:
+                    held[row["kind"]].append([unpack(row[c], np.uint64) for c in ("n0", "n1")])
+                    continue
+                block = _read(row)
+                n = [np.array([np.concatenate([x[k] for x in part]) if part else np.zeros(0) for k in (0, 1)], float) for part in held]
+                held = [[], []]
+                background, target = block.losses(n[WORDS], n[PAIRS], vocabulary, total)
+                ids, named = unpack(row["ids"], np.int64), unpack(row["named"], np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=named == 0), pa.array(block.sizes), pa.array(target), pa.array(background), pa.array((target - background).round(12))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    # a block's answers, by kind and range, come before the block itself
+    return both.repartition("block").sortWithinPartitions("block", "kind", "chunk").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -198,44 +198,49 @@ def test_license_places_and_merged_diagonals(spark):
 # --- language models ---------------------------------------------------------------------------
 
 
-def test_table_and_join_agree_with_plain_counts(spark):
-    rng = random.Random(6)
-    rows = [(i, " ".join(words(rng, rng.randrange(0, 60), 80)) + (" mark mark tone" if i % 3 == 0 else "")) for i in range(90)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    la = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
-    marked, letters = lmscore.corpora(d, la)
-    a, b = ({r["doc_id"]: r for r in x.collect()} for x in (lmscore.score_by_table(marked, lmscore.collect(lmscore.count(marked, sum(letters.values())))), lmscore.score_by_join(marked)))
-    for i in a:
-        for c in ("target_loss", "background_loss", "score"):
-            assert math.isclose(a[i][c], b[i][c], abs_tol=1e-9)
-    # plain Python
+def plain_words(text):
+    import regex
+
+    return regex.findall(r"[\p{L}\p{M}\p{N}_]+", (text or "").lower())
+
+
+def plain_losses(docs):
+    """id -> (target, background) loss of (id, words, corpus) rows, by dictionaries."""
     from collections import Counter
 
-    docs = [(r["doc_id"], r["text"].split(), r["of"]) for r in marked.collect()]
     uni, bi = ({of: Counter(x for _, ws, o in docs if o == of for x in f(ws)) for of in (0, 1)} for f in (lambda ws: ws, lambda ws: zip(ws, ws[1:])))
-    vocabulary = {w for w in uni[0] | uni[1] if uni[0][w] + uni[1][w] > 1}
-    kept = {p for p in bi[0] | bi[1] if bi[0][p] + bi[1][p] > 1}
-    name = lambda w: w if w in vocabulary else None
-    known = {of: Counter() for of in (0, 1)}
-    for of in (0, 1):
-        for w, n in uni[of].items():
-            known[of][name(w)] += n
+    vocabulary, out = len(uni[0] | uni[1]), {}
     for i, ws, own in docs:
-        if not ws:
-            continue
-        for of, c in ((1, "target_loss"), (0, "background_loss")):
-            less_w, less_p = (Counter(map(name, ws)), Counter(zip(ws, ws[1:]))) if own == of else (Counter(), Counter())
-            n = sum(known[of].values()) - (len(ws) if own == of else 0)
-            loss = 0.0
+        losses = []
+        for of in (1, 0):
+            less_w, less_p = (Counter(ws), Counter(zip(ws, ws[1:]))) if own == of else (Counter(), Counter())
+            n, loss = sum(uni[of].values()) - sum(less_w.values()), 0.0
             for k, w in enumerate(ws):
-                p = (max(0, known[of][name(w)] - less_w[name(w)]) + lmscore.KAPPA) / (n + lmscore.KAPPA * (len(vocabulary) + 1))
-                before = ws[k - 1] if k else None
-                lead = max(0, known[of][name(before)] - less_w[name(before)]) if k else 0
-                c2 = max(0, bi[of][before, w] - less_p[before, w]) if k and (before, w) in kept else 0
-                loss -= math.log((c2 + lmscore.MU * p) / (lead + lmscore.MU))
-            assert math.isclose(a[i][c], loss / len(ws), rel_tol=1e-9)
-    target = [a[i]["score"] for i, ws, _ in docs if i % 3 == 0 and ws]
-    other = [a[i]["score"] for i, ws, _ in docs if i % 3 and ws]
+                p = (uni[of][w] - less_w[w] + lmscore.KAPPA) / (n + lmscore.KAPPA * (vocabulary + 1))
+                lead, both = (uni[of][ws[k - 1]] - less_w[ws[k - 1]], bi[of][ws[k - 1], w] - less_p[ws[k - 1], w]) if k else (0, 0)
+                loss -= math.log((both + lmscore.MU * p) / (lead + lmscore.MU))
+            losses.append(loss / len(ws) if ws else 0.0)
+        out[i] = tuple(losses)
+    return out
+
+
+@pytest.mark.parametrize("tokens,chunk", [(600_000, 1_500_000), (50, 40)])
+def test_losses_equal_plain_counts(spark, monkeypatch, tokens, chunk):
+    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", tokens)
+    rng = random.Random(6)
+    odd = ["e\u0301a", "हिन्दी", "x²", "İz", "½", "a_b", "\x00q", "don't", "ß"]
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 60), 80) + rng.sample(odd, 3)) + (" mark mark tone" if i % 3 == 0 else "")) for i in range(90)]
+    rows += [(200, None), (201, "... !"), (202, "w1 " * 3000 + "z" * 200_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    la = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in lmscore.score(d, la, chunk).collect()}
+    docs = [(r["doc_id"], plain_words(r["text"]), r["of"]) for r in lmscore.corpora(d, la).collect()]
+    want = plain_losses(docs)
+    assert got.keys() == want.keys()
+    for i, ws, _ in docs:
+        assert got[i]["n_tokens"] == len(ws)
+        assert math.isclose(got[i]["target_loss"], want[i][0], abs_tol=1e-9) and math.isclose(got[i]["background_loss"], want[i][1], abs_tol=1e-9)
+    target, other = ([got[i]["score"] for i, ws, _ in docs if i < 90 and (i % 3 == 0) == wanted] for wanted in (True, False))
     assert np.mean(target) < np.mean(other)
 
 
