@@ -1,47 +1,58 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector o is centred (mean c of all vectors), its residual scaled to length 1
-and rotated by a random orthogonal matrix; its code is the signs, one packed bit
-for each dimension, kept with the residual's length, its product with c and the
-correction scalar <code, residual>.  A query's rotated residual is cut to
-``QUERY_BITS`` bits, so the product of code and query is a few ANDs and bit
-counts over packed words, and
-
-    <o, q> = |o - c| * est + <o, c> + <q - c, c>,   est = <code, q'> / <code, o'>
-
-with an error of |o - c| |q - c| * eps * sqrt((1 - s^2) / s^2 / (D - 1)), s the
-correction scalar, plus the rounding of the query.  Within a block the twenty
-best estimates are scored exactly; every vector whose upper bound reaches the
-twentieth exact score is reranked.
-
-Codes are made in one pass.  The stated queries meet all rows in blocks: a pair
-of blocks (at most ``ROW_BLOCK`` rows, ``QUERY_BLOCK`` queries) is a task, which
-returns its best ``k`` of each query, exactly scored; these are merged by query.
-So no task and not the driver holds an unbounded set, and rows returned grow
-with queries times blocks.
+Rows are dealt to cells, the nearest of a few centres; a centre c is fitted on a
+bounded sample, every row is indexed.  A row's residual o - c is scaled to
+length 1 and rotated by a random orthogonal matrix; its code is the signs, one
+packed bit for each dimension, kept with the residual's length, its product with
+c and the correction scalar s = <code, residual>.  Of a query q, with q' the
+rotated q - c,
+
+    <o, q> = |o - c| * est + <o, c> + <q - c, c>,   est = <code, q'> / s
+
+with an error of at most |o - c| |q - c| * EPS * sqrt((1 - s^2) / s^2 / (D - 1)),
+but for one pair in about a thousand.  A cell is passed over where even a row
+of its largest residual in the query's direction couldn't reach the query's k-th
+product so far; within a cell every vector whose upper bound reaches it is
+reranked: products in single precision choose, products in double precision,
+of the original vectors, decide.  A cell's equal vectors are one vector with
+several ids.
+
+The index is one pass and one shuffle of the rows, by ranges of (cell, id), so a
+crowded cell is split.  Queries are sent to the rows, not rows to the queries:
+a pass sends at most ``PASS_QUERIES`` queries and ``PASS_BYTES`` to every task,
+which keeps the best k of each for its rows; these are merged by query.  So
+shuffles grow with the rows and with queries times tasks, and neither a task nor
+the driver holds an unbounded set.  The pairs compared by code grow with queries
+times rows of the cells that bounds can't exclude.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite
 component take no part, nor do rows without an id; vectors meet those of the
 same length only; rows with the query's own id aren't candidates; equal scores
-go by the smaller id; repeated candidate rows count once; with fewer than k
-candidates all are returned; an empty table gives an empty result.
+go by the smaller id; rows of one id and score count once, other rows of
+one id are candidates each; an id with several vectors asks with the
+first of them in the order of arrays; with fewer than k candidates all are
+returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import stored
 
-ROW_BLOCK, QUERY_BLOCK = 32_768, 4_096
-QUERY_BITS = 4
+#: Rows that are fitted for the centres at most, and rows of a cell that are searched at once.
+SAMPLE_ROWS, ROW_BLOCK = 16_384, 8_192
+#: Queries (and bytes of them) sent to every task at once, and queries compared at once.
+PASS_QUERIES, PASS_BYTES, QUERY_BLOCK = 65_536, 64 << 20, 256
+MAX_CELLS = 4_096
 #: Standard deviations of the error bound.
-EPS = 3.0
+EPS = 3.2
 SEED = 20_240
 
 
@@ -50,44 +61,35 @@ def rotation(d: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def pack(bits: np.ndarray) -> np.ndarray:
-    """Rows of booleans as rows of 64-bit words."""
-    n, d = bits.shape
-    out = np.zeros((n, -(-d // 64) * 64), np.uint8)
-    out[:, :d] = bits
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
-
-
 def encode(x: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Packed codes; residual lengths; correction scalars; products with the centre."""
+    """Packed codes (rows of bytes); residual lengths; correction scalars; products with the centre."""
     r = x - c
     length = np.sqrt((r * r).sum(1))
     u = (r / np.where(length > 0, length, 1.0)[:, None]) @ p
     s = np.abs(u).sum(1) / math.sqrt(x.shape[1])
-    return pack(u >= 0), length, np.where(length > 0, s, 1.0), x @ c
+    return np.packbits(u >= 0, axis=1), length, np.where(length > 0, s, 1.0), (x * c).sum(1)
+
+
+def signs(codes: np.ndarray, d: int) -> np.ndarray:
+    """Packed codes as entries of +-1 / sqrt(d)."""
+    return (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(d))
 
 
-def estimate(codes, length, s, with_centre, q: np.ndarray, c: np.ndarray, p: np.ndarray, eps: float = EPS, bits: int = QUERY_BITS) -> tuple[np.ndarray, np.ndarray]:
+def estimate(codes, length, s, with_centre, q: np.ndarray, c: np.ndarray, p: np.ndarray, eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
     """Of queries by rows: the estimated inner products and their error bounds."""
     d = q.shape[1]
     r = q - c
+    est = ((r @ p).astype(np.float32) @ signs(codes, d).T) * (length / s).astype(np.float32)
+    est += with_centre.astype(np.float32)
+    est += (r @ c).astype(np.float32)[:, None]
+    spread = eps * length * np.sqrt(np.maximum(1 - s * s, 0) / (s * s) / max(d - 1, 1))
     norm = np.sqrt((r * r).sum(1))
-    u = r @ p
-    lo, hi = u.min(1, keepdims=True), u.max(1, keepdims=True)
-    step = np.where(hi > lo, (hi - lo) / (2**bits - 1), 1.0)
-    level = np.rint((u - lo) / step).astype(np.int64)
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    dot = np.zeros((len(q), len(codes)), np.int32)
-    for b in range(bits):
-        plane = pack((level >> b) & 1 == 1)
-        for w in range(codes.shape[1]):
-            dot += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << b
-    # the code's entries are +-1 / sqrt(d)
-    signed = (2.0 * (step * dot + lo * ones[None, :]) - (step * level.sum(1, keepdims=True) + lo * d)) / math.sqrt(d)
-    est = length[None, :] * signed / s[None, :] + with_centre[None, :] + (r @ c)[:, None]
-    code_error = norm[:, None] * np.sqrt(np.maximum(1 - s * s, 0) / (s * s) / max(d - 1, 1))[None, :]
-    cut_error = (step / math.sqrt(12)) / s[None, :]
-    return est, eps * length[None, :] * np.sqrt(code_error**2 + cut_error**2)
+    return est, np.outer(norm, spread + single(d) * length).astype(np.float32)
+
+
+def single(d: int) -> float:
+    """Relative error allowed to products in single precision."""
+    return 4e-6 + 1.2e-7 * d
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -95,67 +97,187 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def search_block(ids, x, codes, length, s, with_centre, query_ids, q, c, p, k: int) -> tuple[list, list, list]:
-    """Of every query its k best rows of the block, exactly scored."""
-    out_q, out_v, out_s = [], [], []
-    for a in range(0, len(q), 256):
-        est, bound = estimate(codes, length, s, with_centre, q[a : a + 256], c, p)
-        upper = est + bound
-        for i in range(len(est)):
-            own = ids == query_ids[a + i]
-            est[i, own] = upper[i, own] = -np.inf
-            few = np.argpartition(-est[i], k - 1)[:k] if len(ids) > k else np.arange(len(ids))
-            first = products(x[few], q[a + i])
-            first = first[~own[few]]
-            least = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
-            at = np.flatnonzero((upper[i] >= least) & ~own)
-            if len(few) and len(first):
-                at = np.union1d(at, few[~own[few]])
-            exact = products(x[at], q[a + i])
-            best = np.lexsort((ids[at], -exact))[:k]
-            out_q += [query_ids[a + i]] * len(best)
-            out_v += ids[at][best].tolist()
-            out_s += exact[best].tolist()
-    return out_q, out_v, out_s
-
-
-def _matrix(column: pa.ChunkedArray, d: int, kind=np.float64) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
+def distinct(x: np.ndarray, ids: np.ndarray, most: int, *columns: np.ndarray) -> tuple:
+    """The distinct vectors, their ``columns``, and of each its smallest ``most`` ids."""
+    x = np.ascontiguousarray(x)
+    mixed = (x.view(np.uint64) * np.random.default_rng(SEED).integers(1, 2**63, x.shape[1], np.int64).astype(np.uint64)).sum(1)
+    order = np.lexsort((ids, mixed))
+    x, ids = x[order], ids[order]
+    fresh = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
+    starts = np.append(np.flatnonzero(fresh), len(x))
+    return x[fresh], *(c[order][fresh] for c in columns), [np.unique(ids[a:b])[:most] for a, b in zip(starts[:-1], starts[1:])]
+
+
+class Best:
+    """The best k of each query so far: scores and ids, best first."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.score, self.found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.filled = np.zeros(len(ids), np.int64)
+
+    def least(self, some: np.ndarray) -> np.ndarray:
+        return np.where(self.filled[some] >= self.k, self.score[some, -1], -np.inf)
+
+    def add(self, some: np.ndarray, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """New candidates of the queries ``some``: of is a place in ``some``."""
+        old = np.flatnonzero(self.filled[some] > 0)
+        n = self.filled[some][old]
+        rows = np.repeat(old, n)
+        place = np.concatenate([np.arange(m) for m in n]) if len(n) else np.zeros(0, np.int64)
+        of, ids, scores = np.concatenate([rows, of]), np.concatenate([self.found[some[rows], place], ids]), np.concatenate([self.score[some[rows], place], scores])
+        order = np.lexsort((ids, -scores, of))
+        of, ids, scores = of[order], ids[order], scores[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+        of, ids, scores = of[new], ids[new], scores[new]
+        starts = np.searchsorted(of, np.arange(len(some)))
+        rank = np.arange(len(of)) - starts[of]
+        keep = rank < self.k
+        self.score[some[of[keep]], rank[keep]], self.found[some[of[keep]], rank[keep]] = scores[keep], ids[keep]
+        self.filled[some] = np.bincount(of[keep], minlength=len(some))
+
+
+def search_cell(best: Best, x: np.ndarray, ids: np.ndarray, codes, length, s, with_centre, c: np.ndarray, p: np.ndarray) -> None:
+    """Let the rows of (a part of) a cell into the best of every query."""
+    k, d = best.k, x.shape[1]
+    x, codes, length, s, with_centre, owners = distinct(x, ids, k + 1, codes, length, s, with_centre)
+    several = np.array([len(o) for o in owners])
+    flat, offsets = np.concatenate(owners), np.concatenate([[0], np.cumsum(several)])
+    scale, error = max(float(np.abs(x).max()), 1e-300), single(d)
+    small = (x / scale).astype(np.float32)
+    most = np.sqrt(((x / scale) ** 2).sum(1)).max()
+    norm = np.sqrt((best.q * best.q).sum(1))
+    # <o, q> = <c, q> + <o - c, q> with |<o - c, q>| <= |o - c| |q|
+    reach = best.q @ c + norm * length.max()
+    every = np.arange(len(best.ids))
+    asked = every[~(reach + error * scale * most * norm < best.least(every))]
+    # an own id is taken out of the best, in each of its vectors
+    few = min(k + int(np.unique(flat, return_counts=True)[1].max()), len(x))
+    for a in range(0, len(asked), QUERY_BLOCK):
+        some = asked[a : a + QUERY_BLOCK]
+        q = best.q[some]
+        est, bound = estimate(codes, length, s, with_centre, q, c, p)
+        q_scale = np.maximum(np.abs(q).max(1), 1e-300)
+        q_small = (q / q_scale[:, None]).astype(np.float32)
+        unit = scale * q_scale
+        slack = error * most * np.sqrt(((q / q_scale[:, None]) ** 2).sum(1))
+        least = best.least(some)
+        if not np.isfinite(least).all() and len(x) > few:
+            # the products of the best estimates are a first bound of the k-th (one more, for the query itself)
+            top = np.argpartition(-est, few - 1, axis=1)[:, :few]
+            least = np.maximum(least, (np.einsum("qkd,qd->qk", small[top], q_small).min(1) - slack) * unit)
+        est += bound
+        of, at = np.nonzero(~(est < (least - 4 * slack * unit)[:, None].astype(np.float32)) if len(x) > few else np.ones(est.shape, bool))
+        if not len(of):
+            continue
+        near = np.einsum("ij,ij->i", small[at], q_small[of])
+        starts = np.searchsorted(of, np.arange(len(some)))
+        sizes = np.diff(starts, append=len(of))
+        # the few largest of each query, and what can't be told from them
+        order = np.lexsort((-near, of))
+        nth = order[np.minimum(starts + np.minimum(sizes, few) - 1, len(of) - 1)]
+        floor = np.where(sizes > few, near[nth] - 2 * slack, -np.inf)
+        keep = near >= floor[of]
+        of, at = of[keep], at[keep]
+        scores = products(x[at], q[of])
+        n = several[at]
+        of, scores = np.repeat(of, n), np.repeat(scores, n)
+        got = flat[np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(of))]
+        other = got != best.ids[some][of]
+        best.add(some, of[other], got[other], scores[other])
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """id, v, d of the rows that take part, each once."""
+    """id, v, d of the rows that take part."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite).where(F.exists("v", lambda x: x != 0)).select("id", "v", F.size("v").alias("d"))
 
 
-def centres(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Mean vector by length: sums are combined by place, so the driver gets one number for each dimension."""
-    got = rows.select("d", F.posexplode("v").alias("p", "x")).groupBy("d", "p").agg(F.avg("x").alias("x")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in got:
-        out.setdefault(r["d"], np.zeros(r["d"]))[r["p"]] = r["x"]
+def centres(rows: DataFrame, n: int, rounds: int = 6) -> dict[int, np.ndarray]:
+    """Centres by length, from the rows of smallest hash, at most SAMPLE_ROWS: about sqrt(n) / 16 of them."""
+    got = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE_ROWS).select("d", "v").toArrow().combine_chunks()
+    out, ds = {}, got["d"].to_numpy()
+    for d in np.unique(ds):
+        x = np.array(got.filter(pa.array(ds == d))["v"].to_pylist(), float)
+        k = int(min(MAX_CELLS, max(1, math.ceil(math.sqrt(n) / 16)), len(x)))
+        c = x[np.random.default_rng(SEED).choice(len(x), k, False)] if k > 1 else x.mean(0, keepdims=True)
+        for _ in range(rounds if k > 1 else 0):
+            own = nearest_centre(x, c)
+            sums = np.zeros_like(c)
+            np.add.at(sums, own, x)
+            size = np.bincount(own, minlength=k)
+            c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
+        out[int(d)] = c
     return out
 
 
+def nearest_centre(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([((c * c).sum(1)[None, :] - 2 * x[a : a + 4096] @ c.T).argmin(1) for a in range(0, len(x), 4096)])
+
+
 def encode_table(rows: DataFrame, c: dict[int, np.ndarray]) -> DataFrame:
-    """id, d, v, code, length, s, with_centre: the index."""
+    """id, d, cell, v, code, length, s, with_centre: the index.  A length that the sample lacks has one cell around 0."""
     shared = rows.sparkSession.sparkContext.broadcast(c)
 
     def run(batches):
         turned: dict[int, np.ndarray] = {}
         for b in batches:
             ds = b["d"].to_numpy()
-            for d in np.unique(ds):
+            for d in map(int, np.unique(ds)):
                 part = b.filter(pa.array(ds == d))
-                p = turned.setdefault(int(d), rotation(int(d)))
-                codes, length, s, w = encode(_matrix(pa.chunked_array([part["v"]]), int(d)), shared.value[int(d)], p)
-                yield pa.RecordBatch.from_arrays([part["id"], part["d"], part["v"], pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(length), pa.array(s), pa.array(w)], names=["id", "d", "v", "code", "length", "s", "with_centre"])
+                p, c = turned.setdefault(d, rotation(d)), shared.value.get(d, np.zeros((1, d)))
+                x = _matrix(part["v"], d)
+                cell = nearest_centre(x, c)
+                codes, length, s, w = encode(x, c[cell], p)
+                yield pa.RecordBatch.from_arrays([part["id"], part["d"], pa.array(cell, pa.int32()), part["v"], pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(length), pa.array(s), pa.array(w)], names=["id", "d", "cell", "v", "code", "length", "s", "with_centre"])
+
+    return rows.mapInArrow(run, "id long, d int, cell int, v array<double>, code binary, length double, s double, with_centre double")
+
+
+def _search(index: DataFrame, c: dict[int, np.ndarray], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """query_id, vec_id, score: of each partition the best k of each query."""
+    spark = index.sparkSession
+    shared = spark.sparkContext.broadcast((c, asked))
 
-    return rows.mapInArrow(run, "id long, d int, v array<double>, code binary, length double, s double, with_centre double")
+    def cells(batches) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
+        """Runs of rows of one cell, a block at a time."""
+        at, held, size = None, [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b["d"].to_numpy().astype(np.int64) << 32 | b["cell"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if held and (key[i] != at or size >= ROW_BLOCK):
+                    yield at >> 32, at & 0xFFFFFFFF, held
+                    held, size = [], 0
+                at = int(key[i])
+                held.append(b.slice(i, j - i))
+                size += j - i
+        if held:
+            yield at >> 32, at & 0xFFFFFFFF, held
+
+    def run(batches):
+        c, asked = shared.value
+        best, turned = {d: Best(ids, q, k) for d, (ids, q) in asked.items()}, {}
+        for d, cell, held in cells(batches):
+            if d not in best:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            col = lambda name: t[name].to_numpy()
+            codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            search_cell(best[d], _matrix(t["v"].combine_chunks(), d), col("id"), codes, col("length"), col("s"), col("with_centre"), c.get(d, np.zeros((1, d)))[cell], turned.setdefault(d, rotation(d)))
+        for b in best.values():
+            full = np.arange(k)[None, :] < b.filled[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.ids, b.filled)), pa.array(b.found[full]), pa.array(b.score[full])], names=["query_id", "vec_id", "score"])
+
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 20, every: int = 20) -> DataFrame:
@@ -165,36 +287,26 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 20
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings)
-    asked = rows.where(F.col("id") % every == 0) if queries is None else usable(queries)
-    n, nq = rows.count(), asked.count()
-    c = centres(rows) if n else {}
-    index = encode_table(rows, c)
-    qs = max(1, math.ceil(nq / QUERY_BLOCK))
-    rs = max(math.ceil(n / ROW_BLOCK), math.ceil(2 * spark.sparkContext.defaultParallelism / qs), 1)
-    null = lambda kind: F.lit(None).cast(kind)
-    left = index.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rs)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1)))).withColumn("asked", F.lit(False))
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(qs)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rs - 1))))
-    right = right.select("id", "d", "v", null("binary").alias("code"), null("double").alias("length"), null("double").alias("s"), null("double").alias("with_centre"), "rb", "qb", F.lit(True).alias("asked"))
-    shared = spark.sparkContext.broadcast(c)
-
-    def run(table: pa.Table) -> pa.Table:
-        d = table["d"][0].as_py()
-        mine = table.filter(table["asked"])
-        base = table.filter(pa.compute.invert(table["asked"]))
-        got = ([], [], [])
-        if mine.num_rows and base.num_rows:
-            ids, first = np.unique(base["id"].to_numpy(), return_index=True)
-            codes = np.frombuffer(b"".join(base["code"].to_pylist()), np.uint64).reshape(base.num_rows, -1)
-            qi, qf = np.unique(mine["id"].to_numpy(), return_index=True)
-            x = _matrix(base["v"], d)
-            # rows that share an id but not a vector are candidates each
-            if len(ids) < base.num_rows:
-                whole = np.ascontiguousarray(np.column_stack([base["id"].to_numpy().astype(np.float64), x]))
-                first = np.sort(np.unique(whole, axis=0, return_index=True)[1])
-            col = lambda name: base[name].to_numpy()[first]
-            got = search_block(col("id"), x[first], codes[first], col("length"), col("s"), col("with_centre"), qi, _matrix(mine["v"], d)[qf], shared.value[d], rotation(d), k)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
-
-    found = left.unionByName(right).groupBy("d", "rb", "qb").applyInArrow(run, "query_id long, vec_id long, score double")
+    asked = (rows.where(F.col("id") % every == 0) if queries is None else usable(queries)).groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+    n = rows.count()
+    nq, longest = asked.agg(F.count(F.lit(1)), F.max("d")).first()
+    c = centres(rows, n) if n else {}
+    size = max(1, min(PASS_QUERIES, PASS_BYTES // (8 * (longest or 1))))
+    passes = max(1, math.ceil(nq / size))
+    parts = max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / 65_536))
+    index = encode_table(rows, c).repartitionByRange(parts, "d", "cell", "id").sortWithinPartitions("d", "cell", "id")
+    if passes > 1:
+        index, asked = stored(index), stored(asked)
+    out = None
+    for turn in range(passes):
+        mine = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == turn)
+        # one pass of queries: bounded by PASS_QUERIES and PASS_BYTES
+        got = mine.toArrow()
+        ds, ids = got["d"].to_numpy(), got["id"].to_numpy()
+        sent = {int(d): (ids[ds == d], np.array(got.filter(pa.array(ds == d))["v"].to_pylist(), float)) for d in np.unique(ds)}
+        found = _search(index, c, sent, k)
+        out = found if out is None else out.unionByName(found)
+    # rows of one id and score, which two cells may hold, share a rank
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = out.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+    return best.dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
