@@ -11,16 +11,18 @@ are passed over, and within the others WAND, which skips by the terms' maxima
 in the block, returns all items above it.  A hit counts
 when the item's question (all but its last sentence; the first two thirds of a
 single sentence) and its answer (the rest) both have at least ``overlap`` of
-their word trigrams in the text.
+their word trigrams in the passage or the half passages beside it.
 
-The index is sent to every task, so its size is bounded: at most ``max_items``
-items go into one index, more are dealt to several, each of which reads the
-documents once; statistics are those of an index.
+Statistics (number of items, document frequencies, mean and largest length) are
+those of all items, counted in Spark.  The index is sent to every task, so its
+size is bounded: items with more than about ``max_postings`` postings in all are
+dealt to several indexes, each of which reads the documents once; since the
+statistics are shared, results don't depend on it.
 
 Defined cases: null or empty texts and items match nothing; repeated items each
-match; repeated rows each get their rows; a null doc_id is a value like others;
-with no items nothing matches; an empty table gives an empty result; extra
-columns don't matter.
+match; an item without an id matches under a null id; repeated rows each get
+their rows; a null doc_id is a value like others; with no items nothing matches;
+an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,17 +31,20 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings
+from .common import small_batches, stored, strings
 
 K1, B = 1.2, 0.75
 #: Items in a block, unless the table of block maxima (terms by blocks) would pass MAX_CELLS.
 BLOCK, MAX_CELLS = 4, 8_000_000
+#: Postings of an index, which is sent to every task.
+MAX_POSTINGS = 2_000_000
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -58,20 +63,30 @@ def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
 
 
+class Statistics:
+    """Of all items that have words: their number, their mean and largest length, and in how many each word occurs."""
+
+    def __init__(self, items: int, mean: float, longest: int, df: dict[str, int]):
+        self.items, self.mean, self.longest, self.df = items, mean, longest, df
+
+
 class ItemIndex:
-    """Inverted index of the items, with block maxima and scores relative to an item's own."""
+    """Inverted index of items, with block maxima and scores relative to an item's own.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        split = [(i, *split_item(t or "")) for i, t in items]
-        split = [x for x in sorted(split, key=lambda x: x[0]) if x[1] or x[2]]
+    ``statistics`` covers more items where this index holds a part of them; by default it is that of the items given.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
+        split = [(i, *split_item(t or "")) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
+        split = [x for x in split if x[1] or x[2]]
         self.ids = [x[0] for x in split]
         self.parts = [(grams(q), grams(a)) for _, q, a in split]
         tf = [Counter(q + a) for _, q, a in split]
         size = [sum(c.values()) for c in tf]
-        mean = sum(size) / len(size) if size else 1.0
-        df = Counter(w for c in tf for w in c)
-        idf = {w: math.log(1 + (len(tf) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        raw = [{w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * s / mean)) for w, n in c.items()} for c, s in zip(tf, size)]
+        if statistics is None:
+            statistics = Statistics(len(tf), sum(size) / max(1, len(size)), max(size, default=0), Counter(w for c in tf for w in c))
+        idf = {w: math.log(1 + (statistics.items - n + 0.5) / (n + 0.5)) for w, n in statistics.df.items()}
+        raw = [{w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * s / statistics.mean)) for w, n in c.items()} for c, s in zip(tf, size)]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, scores in enumerate(raw):
             own = sum(scores.values())
@@ -87,7 +102,7 @@ class ItemIndex:
                 # rounded up, so that the sum stays a bound
                 self.maxima[k, i // self.size] = max(self.maxima[k, i // self.size], np.nextafter(np.float32(x), np.float32(np.inf)))
         self.most = np.append(self.maxima[:-1].max(1), np.float32(0)) if len(split) else np.zeros(1, np.float32)
-        self.stride = max([32, *size])
+        self.stride = max(32, statistics.longest)
 
     def wand(self, terms: list[int], threshold: float, block: int) -> list[tuple[int, float]]:
         """All items of the block whose score for the distinct terms is at least the threshold."""
@@ -149,48 +164,48 @@ class ItemIndex:
         ids = np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
         if not len(ids) or not none:
             return []
-        best: dict[int, float] = {}
+        out: dict[int, tuple[float, float, float]] = {}
         for a, b, blocks in self.passages(ids, threshold):
             terms = [int(t) for t in np.unique(ids[a:b]) if t != none]
-            for block in blocks:
-                for i, x in self.wand(terms, threshold, int(block)):
-                    best[i] = max(best.get(i, 0.0), x)
-        if not best:
-            return []
-        have = grams(words)
-        out = []
-        for i, s in sorted(best.items()):
-            shares = []
-            for part in self.parts[i]:
-                if part:
-                    long = [g for g in part if len(g) == 3]
-                    short = [g for g in part if len(g) < 3]
-                    n = sum(g in have for g in long) + sum(any(tuple(words[k : k + len(g)]) == g for k in range(len(words) - len(g) + 1)) for g in short)
-                    shares.append(n / len(part))
-                else:
-                    shares.append(1.0)
-            if min(shares) >= overlap:
-                out.append((self.ids[i], s, *shares))
-        return out
-
-
-def indexes(benchmark: DataFrame, max_items: int = 2_000) -> list[ItemIndex]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    n = rows.count()
-    parts = max(1, math.ceil(n / max_items))
-    out = []
-    for k in range(parts):
-        got = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).toArrow()
-        out.append(ItemIndex(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist()))))
-    return out
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_items: int = 2_000) -> DataFrame:
+            found = [(i, x) for block in blocks for i, x in self.wand(terms, threshold, int(block))]
+            if not found:
+                continue
+            near = words[max(0, a - self.stride) : b + self.stride]
+            have = {n: {tuple(near[i : i + n]) for i in range(len(near) - n + 1)} for n in (1, 2, 3)}
+            for i, x in found:
+                shares = [sum(g in have[len(g)] for g in part) / len(part) if part else 1.0 for part in self.parts[i]]
+                if min(shares) >= overlap:
+                    out[i] = max(out.get(i, (0.0, 0.0, 0.0)), (x, *shares))
+        return [(self.ids[i], *out[i]) for i in sorted(out)]
+
+
+def indexes(benchmark: DataFrame, max_postings: int = MAX_POSTINGS) -> Iterator[ItemIndex]:
+    """Indexes of about ``max_postings`` postings at most, built one at a time, over the statistics of all items."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+
+    def cut(batches):
+        for b in batches:
+            said = [[w for part in split_item(t) for w in part] for t in strings(b["text"])]
+            yield pa.RecordBatch.from_arrays([b["item_id"], b["text"], pa.array([len(x) for x in said], pa.int64()), pa.array([sorted(set(x)) for x in said], pa.list_(pa.string()))], names=["item_id", "text", "n", "terms"])
+
+    items = stored(rows.mapInArrow(cut, "item_id long, text string, n long, terms array<string>").where("n > 0"))
+    count, mean, longest, postings = items.agg(F.count(F.lit(1)), F.avg("n"), F.max("n"), F.sum(F.size("terms"))).first()
+    parts = max(1, math.ceil((postings or 0) / max_postings))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    df = items.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    for k in range(parts if count else 0):
+        mine = items.where(part == k)
+        own = df if parts == 1 else df.join(mine.select(F.explode("terms").alias("w")).distinct(), "w", "left_semi")
+        got, known = mine.select("item_id", "text").toArrow(), own.toArrow()
+        yield ItemIndex(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())), Statistics(count, mean, longest, dict(zip(known["w"].to_pylist(), known["df"].to_pylist()))))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_postings: int = MAX_POSTINGS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: every verified pair."""
     spark = documents.sparkSession
     small_batches(spark)
-    out = None
-    for index in indexes(benchmark, max_items):
+    out = spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    for index in indexes(benchmark, max_postings):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -200,16 +215,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
     return out
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_items: int = 2_000) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_postings: int = MAX_POSTINGS) -> DataFrame:
     """The rows, all columns, that match no item; one pass for each index, without a shuffle."""
     spark = documents.sparkSession
     small_batches(spark)
     out = documents
-    for index in indexes(benchmark, max_items):
+    for index in indexes(benchmark, max_postings):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
