@@ -5,11 +5,15 @@ Tokens are summed by source, language and topic.  Weights a(source) * b(language
 A source's row holds its tokens by (language, topic), so fitting a(source) is
 local to a row and an iteration is one aggregation over source rows that
 returns languages x topics sums; sources may be any number.  Then every
-document is kept with probability ``scale * weight``; the scale is the largest
-for which no probability passes 1 (or less, for a token budget), so the kept
-tokens meet the targets in expectation.
-
-Languages and topics are bounded: more than ``max_levels`` of either raise.
+document is kept with probability min(1, scale * weight).  The scale is the
+largest for which cells that ask for more than 1 hold at most ``slack`` of the
+target mass (or less, for a token budget): these rare cells are kept whole, so a
+tiny source can't dictate how much of all others is kept, and the kept tokens
+meet the targets in expectation but for that share.  With a slack of 0 no
+probability passes 1.
+
+Of languages and of topics the MAX_LEVELS - 1 with the most tokens (ties by
+name) have factors of their own; all others share the level ``other``.
 Target shares default to the observed shares to the power ``alpha``, scaled to
 sum 1; given targets are dicts of shares (languages, topics) or a DataFrame
 (source, share).
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MAX_LEVELS = 400
+OTHER = "other"
+#: Target mass in cells that may be kept whole though they ask for more; steps of a factor of 2 for finding them.
+SLACK, STEPS = 0.01, 256
 #: Sources whose factors are sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
 _ROOM = float(2**52)
@@ -66,73 +73,89 @@ def _shares(observed: dict[str, float], target: dict[str, float] | None, alpha:
 
 
 class Calibration:
-    """Factors of languages and topics (lists over levels), of sources (a DataFrame: __s, __a), and the scale."""
+    """Factors by language and by topic (dicts), of sources (a DataFrame: __s, __a), and the scale."""
+
+    def __init__(self, langs, topics, sources, n_sources, scale, iterations, gap):
+        self.langs, self.topics, self.sources, self.n_sources, self.scale, self.iterations, self.gap = langs, topics, sources, n_sources, scale, iterations, gap
+
+
+def _levels(cells: DataFrame, of: str) -> dict[str, float]:
+    """Tokens by level: the largest by name, the rest together as OTHER; MAX_LEVELS of them at most."""
+    rows = cells.groupBy(of).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), of).limit(MAX_LEVELS + 1).collect()
+    if len(rows) <= MAX_LEVELS:
+        return {r[0]: r[1] for r in sorted(rows)}
+    named = {r[0]: r[1] for r in rows[: MAX_LEVELS - 1]}
+    rest = cells.where(~F.col(of).isin(list(named))).agg(F.sum("n")).first()[0]
+    named[OTHER] = named.get(OTHER, 0.0) + rest
+    return dict(sorted(named.items()))
 
-    def __init__(self, langs, topics, factors, sources, n_sources, scale, iterations, gap):
-        self.langs, self.topics, self.factors, self.sources, self.n_sources, self.scale, self.iterations, self.gap = langs, topics, factors, sources, n_sources, scale, iterations, gap
 
+def _level(of: str, levels: dict) -> Column:
+    """The level of a value: its own, or OTHER."""
+    return F.when(F.col(of).isin(list(levels)), F.col(of)).otherwise(OTHER) if OTHER in levels else F.col(of)
 
-def _index(levels: list[str], of: str) -> Column:
-    return F.element_at(F.create_map(*[x for k, v in enumerate(levels) for x in (F.lit(v), F.lit(k))]), F.col(of))
 
+def _place(of: str, levels: dict) -> Column:
+    return F.array_position(F.array(*map(F.lit, levels)), _level(of, levels)).cast("int") - 1
 
-def rake(documents: DataFrame, alpha: float = 0.7, langs: dict | None = None, topics: dict | None = None, sources: DataFrame | None = None, topic: Column | None = None, budget_tokens: float | None = None, tolerance: float = 1e-7, max_iterations: int = 60) -> Calibration:
+
+def rake(documents: DataFrame, alpha: float = 0.7, langs: dict | None = None, topics: dict | None = None, sources: DataFrame | None = None, topic: Column | None = None, budget_tokens: float | None = None, tolerance: float = 1e-7, max_iterations: int = 60, slack: float = SLACK) -> Calibration:
     cells = materialize(_prepared(documents, topic).groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").cast("double").alias("n")))
-    levels = []
-    for c in ("__lang", "__topic"):
-        rows = cells.groupBy(c).agg(F.sum("n").alias("n")).orderBy(c).limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} levels of {c[2:]}")
-        levels.append({r[0]: r[1] for r in rows})
-    nl, nt = len(levels[0]), len(levels[1])
+    levels = [_levels(cells, c) for c in ("__lang", "__topic")]
     names = [list(x) for x in levels]
     total = sum(levels[0].values())
-    if not nl:
-        return Calibration([], [], [], None, 0, 1.0, 0, 0.0)
+    if not names[0]:
+        return Calibration({}, {}, None, 0, 1.0, 0, 0.0)
     goal_l, goal_t = ([s * total for s in _shares(x, t, alpha)] for x, t in zip(levels, (langs, topics)))
-    # a row for each source: its tokens by place = language * topics + topic
-    placed = cells.select("__source", "n", (_index(names[0], "__lang") * nt + _index(names[1], "__topic")).alias("p"))
-    rows = placed.groupBy("__source").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("m"), F.sum("n").alias("t"))
-    rows = rows.select("__source", "t", F.transform(F.sequence(F.lit(0), F.lit(nl * nt - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0.0))).alias("v"))
+    # a row for each source: its tokens by (language, topic), only those that it has
+    placed = cells.select("__source", _place("__lang", levels[0]).alias("l"), _place("__topic", levels[1]).alias("t"), "n").groupBy("__source", "l", "t").agg(F.sum("n").alias("n"))
+    rows = placed.groupBy("__source").agg(F.collect_list(F.struct("l", "t", "n")).alias("v"), F.sum("n").alias("t"))
     if sources is None:
         rows = rows.withColumn("g", F.when(F.col("t") > 0, F.pow("t", F.lit(alpha))).otherwise(0.0))
     else:
-        rows = rows.join(sources.select(F.col("source").alias("__source"), F.col("share").cast("double").alias("share")), "__source", "left").select("__source", "t", "v", F.when(F.col("t") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0).alias("g"))
-    rows = materialize(rows)
+        given = sources.select(F.col("source").alias("__source"), F.col("share").cast("double").alias("share"))
+        rows = rows.join(given, "__source", "left").withColumn("g", F.when(F.col("t") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)).drop("share")
+    rows = materialize(rows.select("__source", "g", F.array_sort("v").alias("v")))
     whole, n_sources = rows.agg(F.sum("g"), F.count(F.lit(1))).first()
-    f = [1.0] * (nl * nt)
+    b, c = [1.0] * len(names[0]), [1.0] * len(names[1])
+
+    def cell_factor(x: Column) -> Column:
+        return F.get(F.array(*map(F.lit, b)), x["l"]) * F.get(F.array(*map(F.lit, c)), x["t"])
 
-    def factor(f: list[float]) -> Column:
-        own = F.aggregate(F.zip_with("v", F.array(*map(F.lit, f)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    def factor() -> Column:
+        own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["n"] * cell_factor(x))
         return F.when(own > 0, F.col("g") / F.lit(whole or 1.0) * F.lit(total) / own).otherwise(F.lit(1.0))
 
     done, gap = 0, 0.0
     for done in range(1, max_iterations + 1):
-        sums = [0.0] * (nl * nt)
-        for r in rows.select(factor(f).alias("a"), F.posexplode("v").alias("p", "n")).where("n > 0").groupBy("p").agg(F.sum(F.col("a") * F.col("n")).alias("n")).collect():
-            sums[r["p"]] = r["n"] * f[r["p"]]
+        # languages x topics sums at most
+        got = rows.select(factor().alias("a"), F.explode("v").alias("x")).groupBy("x.l", "x.t").agg(F.sum(F.col("a") * F.col("x.n")).alias("n")).collect()
+        sums = {(r["l"], r["t"]): r["n"] * b[r["l"]] * c[r["t"]] for r in got}
         gap = 0.0
-        for k in range(nl):
-            s = sum(sums[k * nt : (k + 1) * nt])
-            x = goal_l[k] / s if s > 0 else 1.0
-            gap = max(gap, abs(x - 1) if goal_l[k] > 0 else 0.0)
-            for p in range(k * nt, (k + 1) * nt):
-                f[p] *= x
-                sums[p] *= x
-        for k in range(nt):
-            s = sum(sums[k::nt])
-            x = goal_t[k] / s if s > 0 else 1.0
-            gap = max(gap, abs(x - 1) if goal_t[k] > 0 else 0.0)
-            for p in range(k, nl * nt, nt):
-                f[p] *= x
+        for k, (factors, goals) in enumerate(((b, goal_l), (c, goal_t))):
+            seen = [0.0] * len(goals)
+            for place, n in sums.items():
+                seen[place[k]] += n
+            by = [g / s if s > 0 else 1.0 for g, s in zip(goals, seen)]
+            gap = max([gap, *(abs(x - 1) for x, g in zip(by, goals) if g > 0)])
+            for i, x in enumerate(by):
+                factors[i] *= x
+            sums = {place: n * by[place[k]] for place, n in sums.items()}
         if gap < tolerance:
             break
-    fitted = materialize(rows.select(F.col("__source").alias("__s"), factor(f).alias("__a"), "v"))
-    most = fitted.select((F.col("__a") * F.array_max(F.zip_with("v", F.array(*map(F.lit, f)), lambda n, x: F.when(n > 0, x).otherwise(0.0)))).alias("w")).agg(F.max("w")).first()[0]
+    fitted = materialize(rows.select(F.col("__source").alias("__s"), factor().alias("__a"), "v"))
+    weights = fitted.select("__a", F.explode("v").alias("x")).select((F.col("__a") * cell_factor(F.col("x"))).alias("w"), F.col("x.n").alias("n")).where("n > 0 and w > 0")
+    # mass by steps of the weight's logarithm, from the largest down: a bounded number of rows
+    steps = weights.groupBy(F.floor(F.log2("w") * STEPS).alias("k")).agg(F.sum(F.col("w") * F.col("n")).alias("mass"), F.max("w").alias("w")).orderBy(F.desc("k")).collect()
+    most, mass = steps[0]["w"] if steps else 0.0, 0.0
+    for r in steps:
+        most, mass = r["w"], mass + r["mass"]
+        if mass > slack * total:
+            break
     scale = 1.0 / most if most else 1.0
     if budget_tokens is not None and total:
         scale = min(scale, budget_tokens / total)
-    return Calibration(names[0], names[1], f, fitted.drop("v"), n_sources, scale, done, gap)
+    return Calibration(dict(zip(names[0], b)), dict(zip(names[1], c)), fitted.drop("v"), n_sources, scale, done, gap)
 
 
 def weigh(documents: DataFrame, c: Calibration, topic: Column | None = None, seed: int = 17) -> DataFrame:
@@ -141,9 +164,9 @@ def weigh(documents: DataFrame, c: Calibration, topic: Column | None = None, see
     if c.sources is None:
         return docs.withColumns({"__weight": F.lit(1.0), "__p": F.lit(1.0), "__kept": F.lit(True)})
     small = F.broadcast(c.sources) if c.n_sources <= BROADCAST_SOURCES else c.sources
-    place = _index(c.langs, "__lang") * len(c.topics) + _index(c.topics, "__topic")
+    own = [F.get(F.array(*map(F.lit, x.values())), _place(of, x)) for of, x in (("__lang", c.langs), ("__topic", c.topics))]
     joined = docs.join(small, F.col("__source") == F.col("__s"))
-    joined = joined.withColumn("__weight", F.col("__a") * F.get(F.array(*map(F.lit, c.factors)), place)).drop("__s", "__a")
+    joined = joined.withColumn("__weight", F.col("__a") * own[0] * own[1]).drop("__s", "__a")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(2**52)) / F.lit(_ROOM)
     joined = joined.withColumn("__p", F.least(F.lit(1.0), F.col("__weight") * F.lit(c.scale)))
     return joined.withColumn("__kept", draw < F.col("__p"))
