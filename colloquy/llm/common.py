@@ -98,6 +98,12 @@ def bounded_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
 
 
+def one_text(df: DataFrame, *others: str) -> DataFrame:
+    """Of rows (id, text, others) one for each id: that of the least text, so a bounded set of ids has a bounded set of rows."""
+    best = F.min(F.struct("text", *others))
+    return df.groupBy("id").agg(best.alias("r")).select("id", "r.text", *[f"r.{c}" for c in others])
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

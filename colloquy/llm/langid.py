@@ -123,9 +123,10 @@ def fit(documents: DataFrame, max_rows: int = 3000, epochs: int = 3) -> Language
             x = [ngrams(t) for t in strings(b["text"])]
             yield pa.RecordBatch.from_pydict({"id": b["id"], "lang": b["lang"], "at": pa.array([a for a, _ in x], pa.list_(pa.int32())), "n": pa.array([n for _, n in x], pa.list_(pa.int64()))})
 
-    chosen = bounded_sample(docs.select("id", F.xxhash64("text").alias("h")), "id", max_rows)
-    seen = docs.join(F.broadcast(chosen), (docs.id == chosen.id) & (F.xxhash64(docs.text) == chosen.h), "left_semi")
-    got = seen.mapInArrow(featurise, "id long, lang string, at array<int>, n array<long>").toArrow()
+    chosen = bounded_sample(docs.select("id", F.xxhash64("text", "lang").alias("h")).distinct(), "id", max_rows)
+    seen = docs.join(F.broadcast(chosen), (docs.id == chosen.id) & (F.xxhash64(docs.text, docs.lang) == chosen.h), "left_semi")
+    # repetitions are learnt once, so at most max_rows rows are fetched
+    got = seen.dropDuplicates(["id", "text", "lang"]).mapInArrow(featurise, "id long, lang string, at array<int>, n array<long>").toArrow()
     if not got.num_rows:
         return LanguageModel([], idf, np.zeros((1 << BITS, 0), np.float32), 1.0)
     order = np.argsort(got["id"].to_numpy(), kind="stable")

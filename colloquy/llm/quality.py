@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import TokenIds, bounded_sample, fold, sigmoid, small_batches, strings
+from .common import TokenIds, bounded_sample, fold, one_text, sigmoid, small_batches, strings
 
 BITS = 17
 _UPPER, _LOWER, _DIGIT, _OTHER = re.compile(r"[^\W\d_a-z]+"), re.compile(r"[a-z]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1*")
@@ -120,7 +120,7 @@ def fit_ordinal(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: l
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> GradeModel:
     small_batches(documents.sparkSession)
     graded = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null").where(fold("id") != 0).groupBy("id").agg(F.max("y").alias("y"))
-    docs = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(bounded_sample(graded, "id", max_rows)), "id")
+    docs = one_text(documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(bounded_sample(graded, "id", max_rows)), "id"), "y").select("id", "y", "text")
 
     def featurise(batches):
         buckets = Buckets()

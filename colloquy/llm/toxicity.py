@@ -23,14 +23,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, logistic_fit, sigmoid, small_batches, strings
+from .common import bounded_sample, fold, logistic_fit, one_text, sigmoid, small_batches, strings
 
 ORDER, SHARED_ORDER = 6, 3
 TOP = 3
@@ -135,14 +135,20 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Toxici
     spark = documents.sparkSession
     y = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(fold("id") != 0).groupBy("id").agg(F.max("y").alias("y"))
     rows = bounded_sample(y.where("y = 1"), "id", max_rows).unionByName(bounded_sample(y.where("y = 0"), "id", max_rows))
-    # the sample is bounded by max_rows, so it may be sent to every scan
-    docs = documents.select(F.col("doc_id").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(rows), "id")
+    # the sample is bounded by max_rows, so it may be sent to every scan; of an id with several texts one is learnt
+    small_batches(spark)
+    docs = one_text(documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "id"), "y")
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(4))
-    counted = (
-        docs.where(part != 0)
-        .select("y", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), 0)).alias("w"))
-        .groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
-    )
+
+    def tally(batches):
+        for b in batches:
+            by = (Counter(), Counter())
+            for text, y in zip(strings(b["text"]), b["y"].to_pylist()):
+                by[y].update(WORD.findall(text.lower()))
+            words = list(by[0] | by[1])
+            yield pa.RecordBatch.from_pydict({"w": pa.array(words, pa.string()), "n0": pa.array([by[0][w] for w in words], pa.int64()), "n1": pa.array([by[1][w] for w in words], pa.int64())})
+
+    counted = docs.where(part != 0).mapInArrow(tally, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     table = counted.toArrow()
     counts = {w: (a, b) for w, a, b in zip(*(table[c].to_pylist() for c in ("w", "n0", "n1")))}
     ratio = KneserNeyRatio(counts)
