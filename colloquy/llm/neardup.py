@@ -259,13 +259,16 @@ def _block_links(rows: DataFrame, sketches: DataFrame, documents: DataFrame, wor
                 c = root[c]
             return c
 
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        tags = _mix(regs.view(np.uint64) + np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64) * _ODD[0]).view(np.int64)
+        # the band is that of the key; of an id with several texts only the registers that lie in the bucket count
+        inside = tags == table["key"][0].as_py()
+        here = inside.any(1)
+        table, regs = table.filter(pa.array(here)), np.ascontiguousarray(regs[here])
+        mine = int(inside[here].argmax(1).min()) if here.any() else 0
         ids, z = (table[c].to_pylist() for c in ("doc_id", "z"))
         comp = table["component"].to_numpy()
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         packed = regs.view(np.uint64)
-        key = table["key"][0].as_py()
-        tags = _mix(packed[0] + np.arange(1, packed.shape[1] + 1, dtype=np.uint64) * _ODD[0]).view(np.int64)
-        mine = next((k for k in range(packed.shape[1]) if tags[k] == key), packed.shape[1])
         asked = []
         for i in range(len(ids) - 1):
             at = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
