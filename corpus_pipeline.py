@@ -2,17 +2,20 @@
 
 Each stage works on all that the one before kept, written as Parquet and read
 again, and returns the columns of documents.  The models are fitted on the
-labelled rows of the stage's own input.
+labelled rows of the stage's own input.  A stage's table goes as soon as the
+next one is written, the last one with the application.
+
+Null texts are ordinary empty texts; rows without an id go through every stage
+(near-duplicates keep them all); repeated rows are copies, one of which stays;
+an empty table stays empty; further columns of documents are carried along.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontaminate, mixing, neardup, quality, toxicity
-from colloquy.llm.common import read, shared_folder
+from colloquy.llm.common import read, remove, scratch
 
 
 def toxic_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ STAGES = [
     ("decontamination", leaks_gone),
     ("mixing", mixed),
 ]
-#: Models and sketches aren't SQL: the stages are tested against brute-force versions instead.
+#: Models and sketches aren't SQL: each stage is tested against a plain version of its operator instead (tests/llm).
 ORACLE_SQL = None
 
 
@@ -50,10 +53,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     import colloquy
 
     colloquy.ship(spark)
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
