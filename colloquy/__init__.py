@@ -9,8 +9,14 @@ import tempfile
 import zipfile
 
 
+def settle(spark) -> None:
+    """Unions keep no partitioning of their parts: Spark 4.1 plans some that can't run ("unequal numbers of partitions")."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship(spark) -> None:
-    """Send this package to the executors, once for each context, for their Python workers."""
+    """Send this package to the executors, once for each context, for their Python workers; see ``settle``."""
+    settle(spark)
     sc = spark.sparkContext
     if getattr(sc, "_colloquy_shipped", False):
         return

@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .functions.text import persons
+
 _REGISTRY: dict[tuple[str, str], Callable[..., Column]] = {}
 #: Fixed value: the size of a speaker vector.
 DIMENSIONS = 192
@@ -42,6 +44,28 @@ def hashed_bag(text: Column, size: int = 64) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def bag_embedding(text: pd.Series) -> pd.Series:
+    """As ``hashed_bag``, whole batches at a time, with hashes of its own: words hashed into 64 places with signs, length 1."""
+    import regex
+    import xxhash
+
+    known: dict[str, tuple[int, float]] = {}
+
+    def one(t: str | None) -> list[float]:
+        v = np.zeros(64)
+        for w in regex.findall(r"[\p{L}\p{M}\p{N}_]+", (t or "").lower()):
+            if w not in known:
+                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
+                known[w] = (h & 63, 1.0 if h >> 63 else -1.0)
+            place, sign = known[w]
+            v[place] += sign
+        n = np.linalg.norm(v)
+        return (v / n if n > 0 else v).tolist()
+
+    return text.map(one, na_action=None)
+
+
 def signal_vector(samples: np.ndarray, rate: int, size: int = DIMENSIONS) -> np.ndarray:
     """Mean, standard deviation and spectral centre of a window, padded, scaled to length 1."""
     out = np.zeros(size)
@@ -68,6 +92,81 @@ def hash_vector(key: str, size: int = DIMENSIONS) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
+def load_once(load: Callable[[], object]) -> Callable[[], object]:
+    """A loader that a worker calls once, however many batches it reads."""
+    held: list = []
+
+    def get_it():
+        if not held:
+            held.append(load())
+        return held[0]
+
+    return get_it
+
+
+def mel_coefficients(samples: np.ndarray, rate: int, count: int = 20, window: float = 0.025, hop: float = 0.01, bands: int = 26) -> np.ndarray:
+    """Cepstral coefficients by frame: windowed power spectrum, triangular mel bands, logarithm, cosine transform."""
+    size, step = max(2, int(window * rate)), max(1, int(hop * rate))
+    x = np.pad(np.asarray(samples, float), (0, max(0, size - len(samples))))
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::step] * np.hamming(size)
+    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 / size
+    mel = np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), bands + 2)
+    at = np.floor((size + 1) * 700 * (10 ** (mel / 2595) - 1) / rate)
+    k = np.arange(power.shape[1])
+    up, down = ((k - at[:-2, None]) / np.maximum(at[1:-1] - at[:-2], 1)[:, None], (at[2:, None] - k) / np.maximum(at[2:] - at[1:-1], 1)[:, None])
+    bank = np.log(power @ np.maximum(0, np.minimum(up, down)).T + 1e-10)
+    return bank @ np.cos(np.pi / bands * np.outer(np.arange(bands) + 0.5, np.arange(count)))
+
+
+def mel_vector(samples: np.ndarray, rate: int, size: int = DIMENSIONS) -> np.ndarray:
+    """Means and deviations of the cepstral coefficients and of their changes, padded, scaled to length 1."""
+    out = np.zeros(size)
+    if len(samples):
+        c = mel_coefficients(samples, rate)
+        change = np.diff(c, axis=0) if len(c) > 1 else np.zeros_like(c)
+        parts = np.concatenate([c.mean(0), c.std(0), change.mean(0), change.std(0)])[:size]
+        out[: len(parts)] = parts
+    return out / (np.linalg.norm(out) + 1e-12)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def mel_embedding(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    return pd.Series([mel_vector(np.asarray(x, float), int(r)).tolist() for x, r in zip(samples, rate)])
+
+
+def greedy_tokens(best: Column, blank: int = 0) -> Column:
+    """Connectionist decoding of the best token of each frame: repeats collapse, then blanks go."""
+    kept = F.filter(F.transform(best, lambda t, i: F.struct(t.alias("t"), ((i == 0) | (F.get(best, i - 1) != t)).alias("new"))), lambda r: r["new"] & (r["t"] != blank))
+    return F.transform(kept, lambda r: r["t"])
+
+
+def transcribe_segments(segments, text: str = "text", model: str = "default", least: float = 0.3):
+    """Segments (start, end) of ``least`` seconds or more with the text that the registered model gives them."""
+    long = segments.where(F.col("end") - F.col("start") >= least)
+    return long.withColumn(text, get("transcription", model)(F.col("start"), F.col("end")))
+
+
+def embed_windows(windows, model: str = "mel", vec: str = "embedding"):
+    """Windows (samples, sample_rate) with a vector each; a fixed vector by ``key`` stands in where there are no samples."""
+    given = get("signal_embedding", model)(F.col("samples"), F.col("sample_rate"))
+    return windows.withColumn(vec, F.when(F.size("samples") > 0, given).otherwise(_stand_in(F.col("key"))))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _stand_in(key: pd.Series) -> pd.Series:
+    return key.map(lambda k: hash_vector(str(k)))
+
+
+def refine(overview: Column, model: str = "default") -> Column:
+    """A registered abstractive model's wording; the default leaves the text as it is."""
+    return get("abstractive", model)(overview)
+
+
+def named_persons(text: Column, model: str = "default") -> Column:
+    """Persons by a registered recogniser; by capitalised words by default."""
+    return get("persons", model)(text)
+
+
 def detect_language(text: Column) -> Column:
     """A vote of common words: id or en."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -75,7 +174,11 @@ def detect_language(text: Column) -> Column:
     return F.when(count(["the", "and", "is", "of", "to"]) > count(["yang", "dan", "di", "ini", "itu"]), "en").otherwise("id")
 
 
-register("sentence_embedding", "default", hashed_bag)
+register("sentence_embedding", "default", bag_embedding)
+register("sentence_embedding", "columns", hashed_bag)
 register("signal_embedding", "default", signal_embedding)
 register("transcription", "default", placeholder_transcript)
+register("signal_embedding", "mel", mel_embedding)
+register("abstractive", "default", lambda text: text)
+register("persons", "default", persons)
 register("language", "default", detect_language)

@@ -88,34 +88,132 @@ def simple_cer(ref: Column, hyp: Column) -> Column:
     return F.when(F.length(a) == 0, F.when(F.length(b) > 0, 1.0).otherwise(0.0)).otherwise(F.levenshtein(a, b) / F.length(a))
 
 
+def simple_wer(ref: Column, hyp: Column) -> Column:
+    """Words of lower-cased texts: edit distance over the reference's length; without reference words 1 against words, else 0."""
+    a, b = (T.words(F.lower(x)) for x in (ref, hyp))
+    return F.when(F.size(a) == 0, F.when(F.size(b) > 0, 1.0).otherwise(0.0)).otherwise(word_distance(a, b) / F.size(a))
+
+
+def zipped(refs: DataFrame, hyps: DataFrame, order: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Pairs by ordinal: order, ref, hyp; raises where one side has a row that the other lacks."""
+    both = refs.select(order, ref, F.lit(True).alias("__a")).join(hyps.select(order, hyp, F.lit(True).alias("__b")), order, "full")
+    whole = F.assert_true(F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.lit("references and hypotheses must have the same length"))
+    return both.where(whole.isNull()).drop("__a", "__b")
+
+
+def wide_results(results: DataFrame) -> DataFrame:
+    """condition, sample and the fields of the structs wer_result, der_result (either may be null) as columns."""
+    fields = lambda c: [f.name for f in results.schema[c].dataType.fields]
+    w, d = fields("wer_result"), fields("der_result")
+    return results.select(*[c for c in results.columns if c not in ("wer_result", "der_result")], *[F.col(f"wer_result.{c}").alias(c) for c in w], *[F.col(f"der_result.{c}").alias(c if c not in w else f"der_{c}") for c in d])
+
+
+def component_means(results: DataFrame, by: str = "condition") -> DataFrame:
+    """Mean diarization components and summed word errors of each condition."""
+    return results.groupBy(by).agg(*[F.avg(c).alias(f"avg_{c}") for c in ("missed_speech", "false_alarm", "speaker_confusion")], *[F.sum(c).alias(f"total_{c}") for c in ("substitutions", "deletions", "insertions")])
+
+
+def run_totals(runs: DataFrame, ok: Column, seconds: str) -> DataFrame:
+    """Files, successes, their share in percent, total and mean time of a batch."""
+    n = F.count(F.lit(1))
+    return runs.agg(n.alias("files"), F.count_if(ok).alias("ok"), F.when(n > 0, F.count_if(ok) * 100.0 / n).otherwise(0.0).alias("success_rate"), F.sum(seconds).alias("total_time"), F.avg(seconds).alias("avg_time"))
+
+
+def files_per_group(files: DataFrame, by: str, size: str) -> DataFrame:
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("size"))
+
+
+def epoch_speakers(predictions: DataFrame) -> DataFrame:
+    """Of each epoch: share of rows whose predicted speaker is right (over all rows), mean WER and CER, four places."""
+    right = F.coalesce((F.col("speaker") == F.col("pred_spk")).cast("double"), F.lit(0.0))
+    return predictions.groupBy(F.coalesce(F.col("epoch").cast("string"), F.lit("all")).alias("epoch")).agg(F.round(F.avg(right), 4).alias("speaker_accuracy"), F.round(F.avg("wer"), 4).alias("wer"), F.round(F.avg("cer"), 4).alias("cer"))
+
+
+def metric_means(rows: DataFrame, metrics: str, names: list[str]) -> DataFrame:
+    """Mean of each named entry of a map of metrics; a missing one counts as 0."""
+    return rows.agg(*[F.avg(F.coalesce(F.try_element_at(metrics, F.lit(n)), F.lit(0.0))).alias(n) for n in names])
+
+
+def nested_counts(pairs: DataFrame, ref: str, pred: str) -> DataFrame:
+    """ref and a map of pred to its count."""
+    return confusion(pairs, ref, pred).groupBy("ref").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pred", "n")))).alias("counts"))
+
+
+def metadata_lines(metadata: Column) -> Column:
+    """``key: value`` lines of a map of strings, sorted by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "\n")
+
+
 def wer_totals(scored: DataFrame) -> DataFrame:
     """Micro (all errors over all words) and macro (mean of the pairs) word error rate."""
     wrong, n = F.sum(F.col("substitutions") + F.col("deletions") + F.col("insertions")), F.sum("reference_length")
-    return scored.agg(F.when(n > 0, wrong / n).otherwise(0.0).alias("micro_wer"), F.avg("wer").alias("macro_wer"), F.stddev_pop("wer").alias("std_wer"), F.min("wer").alias("min_wer"), F.max("wer").alias("max_wer"), F.count(F.lit(1)).alias("pairs"))
+    return scored.agg(F.when(n > 0, wrong / n).otherwise(0.0).alias("micro_wer"), F.avg("wer").alias("macro_wer"), F.stddev_pop("wer").alias("std_wer"), F.min("wer").alias("min_wer"), F.max("wer").alias("max_wer"), F.count(F.lit(1)).alias("pairs"), *[F.sum(c).alias(f"total_{c}") for c in ("substitutions", "deletions", "insertions", "hits")])
 
 
-def der_grid(ref: DataFrame, hyp: DataFrame, collar: float = 0.25, frame_ms: int = 10, meeting: str = "meeting_id") -> DataFrame:
-    """Diarization error on a grid of frames: missed, false alarm and confusion seconds, by speaker counts.
+def _micros(c: Column) -> Column:
+    return F.round(c * 1_000_000).cast("long")
+
+
+def _spans(ref: DataFrame, hyp: DataFrame, collar: float, meeting: str) -> DataFrame:
+    """meeting, t, until (microseconds), r, h: how many speakers of either side are active between neighbouring boundaries.
 
-    Each segment becomes the frames that it covers, counted by frame before the
-    two sides meet, so the join is on (meeting, frame) and no range is scanned.
-    References shrink by the collar at both ends.
+    References shrink by the collar at both ends.  A speaker's own segments are united first, so the running sums
+    count speakers; rows are two for each segment, however long it is.
     """
-    def frames(d: DataFrame, shrink: float, name: str) -> DataFrame:
-        first, last = F.ceil((F.col("start") + shrink) * 1000 / frame_ms), F.ceil((F.col("end") - shrink) * 1000 / frame_ms) - 1
-        spread = d.select(meeting, "speaker_id", first.alias("a"), last.alias("b")).where("b >= a").select(meeting, "speaker_id", F.explode(F.sequence("a", "b")).alias("frame"))
-        return spread.groupBy(meeting, "frame").agg(F.countDistinct("speaker_id").alias(name))
-
-    both = frames(ref, collar, "r").join(frames(hyp, 0.0, "h"), [meeting, "frame"], "full").na.fill(0, ["r", "h"])
-    s = frame_ms / 1000
-    errors = both.groupBy(meeting).agg(
-        (F.sum(F.when((F.col("r") > 0) & (F.col("h") == 0), 1).otherwise(0)) * s).alias("missed_speech"),
-        (F.sum(F.when((F.col("r") == 0) & (F.col("h") > 0), 1).otherwise(0)) * s).alias("false_alarm"),
-        (F.sum(F.when((F.col("r") > 0) & (F.col("h") > 0) & (F.col("r") != F.col("h")), 1).otherwise(0)) * s).alias("speaker_confusion"),
+    from .segments import merge_regions
+
+    def steps(d: DataFrame, shrink: float, r: int, h: int) -> DataFrame:
+        cut = d.select(meeting, "speaker_id", _micros(F.col("start") + shrink).alias("start"), _micros(F.col("end") - shrink).alias("end")).where("end > start")
+        one = merge_regions(cut, 0, [meeting, "speaker_id"])
+        step = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
+        return one.select(meeting, step.alias("s")).select(meeting, F.col("s.t").alias("t"), (F.col("s.d") * r).alias("r"), (F.col("s.d") * h).alias("h"))
+
+    w = Window.partitionBy(meeting).orderBy("t")
+    at = steps(ref, collar, 1, 0).unionByName(steps(hyp, 0.0, 0, 1)).groupBy(meeting, "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    return at.select(meeting, "t", F.lead("t").over(w).alias("until"), F.sum("r").over(w).alias("r"), F.sum("h").over(w).alias("h")).where("until is not null")
+
+
+def _der(ref: DataFrame, hyp: DataFrame, spans: DataFrame, seconds: Column, meeting: str) -> DataFrame:
+    """Errors of ``seconds`` for each span, over the reference's duration; confusion weighs the share of surplus speakers."""
+    r, h = F.col("r"), F.col("h")
+    part = lambda c, weight=F.lit(1.0): F.sum(F.when(c, seconds * weight).otherwise(0.0))
+    errors = spans.groupBy(meeting).agg(
+        part((r > 0) & (h == 0)).alias("m"), part((r == 0) & (h > 0)).alias("f"), part((r > 0) & (h > 0) & (r != h), F.abs(r - h) / F.greatest(r, h)).alias("x"),
     )
-    total = ref.groupBy(meeting).agg(F.sum(F.col("end") - F.col("start")).alias("total_duration"))
-    wrong = F.col("missed_speech") + F.col("false_alarm") + F.col("speaker_confusion")
-    return total.join(errors, meeting, "left").na.fill(0.0).withColumn("der", F.when(F.col("total_duration") > 0, F.least(F.lit(1.0), wrong / F.col("total_duration"))).otherwise(0.0))
+    total = ref.groupBy(meeting).agg(F.sum(F.col("end") - F.col("start")).alias("d"), F.countDistinct("speaker_id").alias("nr"))
+    heard = hyp.groupBy(meeting).agg(F.countDistinct("speaker_id").alias("nh"))
+    every = total.join(heard, meeting, "full").join(errors, meeting, "left")
+    d = F.coalesce("d", F.lit(0.0))
+    share = lambda c: F.when(d > 0, F.coalesce(c, F.lit(0.0)) / d).otherwise(0.0)
+    return every.select(
+        meeting, d.alias("total_duration"), share(F.col("m")).alias("missed_speech"), share(F.col("f")).alias("false_alarm"), share(F.col("x")).alias("speaker_confusion"),
+        F.least(F.lit(1.0), share(F.coalesce("m", F.lit(0.0)) + F.coalesce("f", F.lit(0.0)) + F.coalesce("x", F.lit(0.0)))).alias("der"),
+        F.coalesce("nr", F.lit(0)).alias("num_speakers_ref"), F.coalesce("nh", F.lit(0)).alias("num_speakers_hyp"),
+    )
+
+
+def der_grid(ref: DataFrame, hyp: DataFrame, collar: float = 0.25, frame_ms: int = 10, meeting: str = "meeting_id") -> DataFrame:
+    """Diarization error by frames whose middles lie within segments; components are shares of the reference's duration.
+
+    Frames begin at a meeting's first start.  They aren't made: of each span between boundaries the middles are
+    counted, so the cost is that of the segments, not of their length.  A meeting without a reference scores 0.
+    """
+    begins = ref.select(meeting, "start").unionByName(hyp.select(meeting, "start")).groupBy(meeting).agg(_micros(F.min("start")).alias("t0"))
+    frame = frame_ms * 1000
+    # middles before x: those k >= 0 with t0 + frame k + frame / 2 < x
+    before = lambda x: F.greatest(F.ceil((F.col(x) - F.col("t0") - frame / 2) / frame), F.lit(0))
+    spans = _spans(ref, hyp, collar, meeting).join(begins, meeting)
+    return _der(ref, hyp, spans, (before("until") - before("t")) * (frame_ms / 1000), meeting)
+
+
+def der_sweep(ref: DataFrame, hyp: DataFrame, collar: float = 0.25, meeting: str = "meeting_id") -> DataFrame:
+    """As ``der_grid`` with exact times in place of frames."""
+    return _der(ref, hyp, _spans(ref, hyp, collar, meeting), (F.col("until") - F.col("t")) / 1_000_000, meeting)
+
+
+def der_totals(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean error and mean components, by condition or over all."""
+    return scored.groupBy(*(by or [])).agg(*[F.avg(c).alias(f"avg_{c}") for c in ("der", "missed_speech", "false_alarm", "speaker_confusion")], F.count(F.lit(1)).alias("n"))
 
 
 def rouge_n(ref: Column, hyp: Column, n: int) -> Column:
@@ -159,7 +257,7 @@ def condition_summary(results: DataFrame, metric: str, by: str = "condition", po
 
 def overall_and_condition(results: DataFrame, metric: str, by: str = "condition") -> DataFrame:
     """One pass for the lines by condition and the overall line."""
-    return results.groupingSets([[F.col(by)], []], F.col(by)).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.min(metric).alias("min"), F.max(metric).alias("max")).withColumn(by, F.coalesce(by, F.lit("ALL")))
+    return results.groupingSets([[F.col(by)], []], F.col(by)).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max")).withColumn(by, F.coalesce(by, F.lit("ALL")))
 
 
 def best_and_worst(results: DataFrame, metric: str, by: str = "condition") -> DataFrame:
@@ -167,9 +265,10 @@ def best_and_worst(results: DataFrame, metric: str, by: str = "condition") -> Da
     return means.agg(F.min_by(by, F.struct("m", by)).alias("best"), F.max_by(by, F.struct("m", by)).alias("worst"))
 
 
-def pivot_metric(results: DataFrame, metric: str, rows: str, columns: str, values: list) -> DataFrame:
-    """The mean of the metric by row and column; the columns are given, so no pass looks for them."""
-    return results.groupBy(rows).pivot(columns, values).agg(F.avg(metric))
+def pivot_metric(results: DataFrame, metric: str, rows: str, columns: str, values: list, order: str | None = None) -> DataFrame:
+    """The first metric (by ``order``, else the least) by row and column, without rows that have none; the columns are given, so no pass looks for them."""
+    got = results.where(F.col(metric).isNotNull()).groupBy(rows).pivot(columns, values).agg(F.min_by(metric, order or metric))
+    return got.where(F.coalesce(*[F.col(f"`{v}`") for v in values]).isNotNull())
 
 
 def box_stats(results: DataFrame, metric: str, by: str = "condition") -> DataFrame:
@@ -186,30 +285,3 @@ def preferred(rows: DataFrame, key: str, name: str, exact: str, part: str) -> Da
     """Of each key the row whose name is ``exact``, else holds ``part``, else comes first."""
     w = Window.partitionBy(key).orderBy((F.col(name) == exact).desc(), F.col(name).contains(part).desc(), F.col(name))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
-def der_sweep(ref: DataFrame, hyp: DataFrame, collar: float = 0.25, meeting: str = "meeting_id") -> DataFrame:
-    """As ``der_grid`` without a grid: exact times between the boundaries of both sides.
-
-    A speaker's own segments are united first, so the running sums count
-    speakers; rows are two for each segment, however long it is.
-    """
-    from .segments import merge_regions
-
-    def steps(d: DataFrame, shrink: float, r: int, h: int) -> DataFrame:
-        cut = d.select(meeting, "speaker_id", (F.col("start") + shrink).alias("start"), (F.col("end") - shrink).alias("end")).where("end > start")
-        one = merge_regions(cut, 0.0, [meeting, "speaker_id"])
-        step = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
-        return one.select(meeting, step.alias("s")).select(meeting, F.col("s.t").alias("t"), (F.col("s.d") * r).alias("r"), (F.col("s.d") * h).alias("h"))
-
-    w = Window.partitionBy(meeting).orderBy("t")
-    at = steps(ref, collar, 1, 0).unionByName(steps(hyp, 0.0, 0, 1)).groupBy(meeting, "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    spans = at.select(meeting, F.sum("r").over(w).alias("r"), F.sum("h").over(w).alias("h"), (F.lead("t").over(w) - F.col("t")).alias("d")).where("d is not null")
-    total_if = lambda c: F.sum(F.when(c, F.col("d")).otherwise(0.0))
-    errors = spans.groupBy(meeting).agg(
-        total_if((F.col("r") > 0) & (F.col("h") == 0)).alias("missed_speech"), total_if((F.col("r") == 0) & (F.col("h") > 0)).alias("false_alarm"),
-        total_if((F.col("r") > 0) & (F.col("h") > 0) & (F.col("r") != F.col("h"))).alias("speaker_confusion"),
-    )
-    total = ref.groupBy(meeting).agg(F.sum(F.col("end") - F.col("start")).alias("total_duration"))
-    wrong = F.col("missed_speech") + F.col("false_alarm") + F.col("speaker_confusion")
-    return total.join(errors, meeting, "left").na.fill(0.0).withColumn("der", F.when(F.col("total_duration") > 0, F.least(F.lit(1.0), wrong / F.col("total_duration"))).otherwise(0.0))

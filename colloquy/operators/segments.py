@@ -47,9 +47,8 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], starts: Column)
 
 
 def speaker_turns(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:
-    """Runs of one speaker: cleaned non-empty texts joined, with the last end and the rows' ordinals."""
-    t = F.regexp_replace(F.col("text"), r"(?i)\[(OVERLAP|NOISE)\]|<.*?>", "")
-    t = T.squeeze(F.regexp_replace(t, r"(?i)^\s*(eh|em|um|uh|ah|hmm|eee|anu)\b[\s,.]*", ""))
+    """Runs of one speaker: cleaned non-empty texts (marks and one leading filler go) joined, with the last end and the rows' ordinals."""
+    t = T.squeeze(F.regexp_replace(F.regexp_replace(F.col("text"), T.MARKS, ""), T.LEADING_FILLER, ""))
     rows = segments.withColumn("text", t).where("text <> ''")
     w = Window.partitionBy(meeting).orderBy("seg_idx")
     rows = rows.withColumn("before", F.lag("speaker_id").over(w))
@@ -84,20 +83,19 @@ def merge_regions(regions: DataFrame, gap: float, keys: list[str]) -> DataFrame:
 def smooth_segments(segments: DataFrame, shortest: float = 1.0, meeting: str = "meeting_id") -> DataFrame:
     """A short row between two rows of one speaker takes that speaker, left to right, earlier changes counting.
 
-    The fold keeps the last speaker only, over each meeting's ordered rows.
+    Each row depends on the change before it, so a meeting is a group and one pass over its rows.
     """
-    spec = Window.partitionBy(meeting).orderBy("start", "seg_idx")
-    rows = segments.withColumn("after", F.lead("speaker_id").over(spec))
-    packed = rows.groupBy(meeting).agg(F.array_sort(F.collect_list(F.struct("start", "seg_idx", "end", "speaker_id", "after"))).alias("rows"))
-    empty = F.expr("cast(array() as array<struct<start:double,seg_idx:bigint,end:double,speaker_id:string>>)")
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["start", "seg_idx"])
+        who, short = g["speaker_id"].to_list(), (g["end"] - g["start"] < shortest).to_list()
+        for i in range(1, len(who) - 1):
+            if short[i] and who[i - 1] is not None and who[i - 1] == who[i + 1]:
+                who[i] = who[i - 1]
+        return g.assign(speaker_id=who)
 
-    def step(done: Column, r: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))["speaker_id"]
-        takes = (r["end"] - r["start"] < shortest) & (last == r["after"])
-        who = F.when(F.coalesce(takes, F.lit(False)), last).otherwise(r["speaker_id"])
-        return F.concat(done, F.array(F.struct(r["start"].cast("double").alias("start"), r["seg_idx"].cast("long").alias("seg_idx"), r["end"].cast("double").alias("end"), who.alias("speaker_id"))))
-
-    return packed.select(meeting, F.inline(F.aggregate("rows", empty, step)))
+    kind = dict(segments.dtypes)[meeting]
+    rows = segments.select(meeting, F.col("start").cast("double").alias("start"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("end").cast("double").alias("end"), "speaker_id")
+    return rows.groupBy(meeting).applyInPandas(run, f"{meeting} {kind}, start double, seg_idx long, end double, speaker_id string")
 
 
 def analysis_windows(regions: DataFrame, length: float = 1.5, hop: float = 0.75, least: float = 0.3) -> DataFrame:
@@ -122,23 +120,89 @@ def chunks(audio: DataFrame, length: float, overlap: float = 0.0) -> DataFrame:
 def detect_overlaps(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:
     """Marks segments that another speaker's segment of the meeting overlaps; touching ends don't count.
 
-    A semi-join with the meeting as equi key, so no cross join; the flag is
-    whether any partner exists, so pairs aren't kept.
+    Linear in the segments: a sweep over the boundaries counts active speakers (a
+    speaker's own segments united), numbers the spans with two or more, and a
+    segment is marked if such a span begins between its start and its end.
+    """
+    timed = segments.select(meeting, "speaker_id", "start", "end").where(F.col("end") > F.col("start"))
+    one = merge_regions(timed, 0.0, [meeting, "speaker_id"])
+    step = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
+    asked = timed.select(meeting, F.explode(F.array("start", "end")).alias("t")).select(meeting, "t", F.lit(0).alias("d"))
+    at = one.select(meeting, step.alias("s")).select(meeting, "s.t", "s.d").unionByName(asked).groupBy(meeting, "t").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(meeting).orderBy("t")
+    at = at.withColumn("crowded", (F.sum("d").over(w) > 1).cast("int"))
+    # how many crowded spans begin before each boundary
+    at = at.select(F.col(meeting).alias("__m"), F.col("t").alias("__t"), (F.sum("crowded").over(w) - F.col("crowded")).alias("__c")).repartition("__m", "__t")
+    first, last = (at.select(F.col("__m").alias(f"__m{k}"), F.col("__t").alias(f"__t{k}"), F.col("__c").alias(f"__c{k}")) for k in (0, 1))
+    out = segments.join(first, (F.col(meeting) == F.col("__m0")) & (F.col("start") == F.col("__t0")), "left").join(last, (F.col(meeting) == F.col("__m1")) & (F.col("end") == F.col("__t1")), "left")
+    marked = F.coalesce((F.col("end") > F.col("start")) & (F.col("__c1") > F.col("__c0")), F.lit(False))
+    return out.withColumn("is_overlap", marked).drop("__m0", "__t0", "__c0", "__m1", "__t1", "__c1")
+
+
+def map_blocks(segments: DataFrame, blocks: DataFrame, contained: bool = False, meeting: str = "meeting_id", bucket: float | None = None) -> DataFrame:
+    """Texts of the blocks that overlap (or lie within) each segment, joined in block order.
+
+    Both sides are laid on buckets of time, so the join has (meeting, bucket) as its keys; a pair is taken in the
+    bucket where the later of the two begins, hence once.  ``bucket`` is the mean length of both sides by default.
     """
-    other = segments.select(F.col(meeting).alias("__m"), F.col("speaker_id").alias("__s"), F.col("start").alias("__a"), F.col("end").alias("__b"))
-    on = (F.col(meeting) == F.col("__m")) & (F.col("speaker_id") != F.col("__s")) & (F.greatest("start", "__a") < F.least("end", "__b"))
-    hit = segments.join(other, on, "left_semi").select(F.col(meeting).alias("__m"), F.col("seg_idx").alias("__i"))
-    marked = segments.join(hit, (F.col(meeting) == F.col("__m")) & (F.col("seg_idx") == F.col("__i")), "left")
-    return marked.withColumn("is_overlap", F.col("__i").isNotNull()).drop("__m", "__i")
-
-
-def map_blocks(segments: DataFrame, blocks: DataFrame, contained: bool = False, meeting: str = "meeting_id") -> DataFrame:
-    """Texts of the blocks that overlap (or lie within) each segment, joined in block order."""
     b = blocks.select(F.col(meeting).alias("__m"), F.col("block_idx").alias("__i"), F.col("start").alias("__a"), F.col("end").alias("__b"), F.trim("text").alias("__t")).where("__a is not null and __b is not null")
+    s = segments.select(meeting, "seg_idx", "start", "end")
+    if bucket is None:
+        length = lambda d, x, y: d.select((F.col(y) - F.col(x)).alias("d"))
+        bucket = length(s, "start", "end").unionByName(length(b, "__a", "__b")).where("d > 0").agg(F.avg("d")).first()[0] or 1.0
+    cell = lambda x: F.floor(F.col(x) / bucket)
+    spread = lambda d, x, y, name: d.where(F.col(x) <= F.col(y)).withColumn(name, F.explode(F.sequence(cell(x), cell(y))))
+    laid, placed = spread(s, "start", "end", "__k"), spread(b, "__a", "__b", "__j")
     when = (F.col("__a") >= F.col("start")) & (F.col("__b") <= F.col("end")) if contained else (F.col("__a") < F.col("end")) & (F.col("__b") > F.col("start"))
-    joined = segments.select(meeting, "seg_idx", "start", "end").join(b, (F.col(meeting) == F.col("__m")) & when, "left")
+    once = F.col("__k") == F.greatest(cell("start"), cell("__a"))
+    pairs = laid.join(placed, (F.col(meeting) == F.col("__m")) & (F.col("__k") == F.col("__j")) & when & once).select(meeting, "seg_idx", "__i", "__t")
+    every = pairs.unionByName(s.select(meeting, "seg_idx", F.lit(None).cast(dict(b.dtypes)["__i"]).alias("__i"), F.lit(None).cast("string").alias("__t")))
     packed = F.array_sort(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__t"))))
-    return joined.groupBy(meeting, "seg_idx").agg(packed.alias("p")).select(meeting, "seg_idx", F.array_join(F.transform("p", lambda x: x["__t"]), " ").alias("text"))
+    return every.groupBy(meeting, "seg_idx").agg(packed.alias("p")).select(meeting, "seg_idx", F.array_join(F.transform("p", lambda x: x["__t"]), " ").alias("text"))
+
+
+def block_source(rows: DataFrame) -> Column:
+    """The first array of chunks, segments and words that is there and not empty."""
+    given = [F.when(F.size(c) > 0, F.col(c)) for c in ("chunks", "segments", "words") if c in rows.columns]
+    return F.coalesce(*given)
+
+
+def padded_range(start: Column, end: Column, total: Column, pad: float = 0.5) -> tuple[Column, Column]:
+    """Start and end with ``pad`` seconds around, within 0 and the total."""
+    return F.greatest(F.lit(0.0), start - pad), F.least(total, end + pad)
+
+
+def uncovered(tasks: DataFrame, mapped: DataFrame, meeting: str = "meeting_id") -> DataFrame:
+    """Tasks (meeting, start, end) that the mapped ones don't have."""
+    return tasks.join(mapped.select(meeting, "start", "end"), [meeting, "start", "end"], "left_anti")
+
+
+def within_duration(audio: DataFrame, minutes: float = 60.0, duration: str = "duration") -> DataFrame:
+    """Raises on a recording that is longer than allowed."""
+    return audio.withColumn(duration, F.when(F.col(duration) > minutes * 60, F.raise_error(F.format_string("recording of %.1f minutes; at most %.1f are allowed", F.col(duration) / 60, F.lit(minutes)))).otherwise(F.col(duration)))
+
+
+def participants(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:
+    return segments.groupBy(meeting).agg(F.array_sort(F.collect_set("speaker_id")).alias("participants"))
+
+
+def plain_words(words: DataFrame, meeting: str = "meeting_id") -> DataFrame:
+    """The words of each meeting in order of time, as one text."""
+    packed = F.array_sort(F.collect_list(F.struct("start", "word")))
+    return words.groupBy(meeting).agg(packed.alias("p")).select(meeting, F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("text"))
+
+
+def dense_ids(values: DataFrame, column: str, name: str = "dense_id", first: int = 0) -> DataFrame:
+    """column and its rank among the distinct values.
+
+    Ranges of values are numbered side by side, each from the number of values in the ranges before it; only one
+    count for each range meets in one task.
+    """
+    d = values.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("__p", F.spark_partition_id())
+    within = d.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(column)))
+    sizes = within.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"))
+    return within.join(F.broadcast(before), "__p").select(column, (F.col("__before") + F.col("__n") - 1 + first).cast("long").alias(name))
 
 
 def context(rows: DataFrame, reach: int = 1, meeting: str = "meeting_id") -> DataFrame:

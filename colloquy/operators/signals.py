@@ -78,5 +78,79 @@ def reverb(rows: DataFrame, key: str, rate: int, decay: float = 0.3, delays: tup
     return rows.withColumn("y", y)
 
 
+def mono(rows: DataFrame, key: str, channel: str = "channel") -> DataFrame:
+    """The mean of the channels of each sample."""
+    return rows.groupBy(key, "pos").agg(F.avg("x").alias("x"))
+
+
+def time_slice(rows: DataFrame, key: str, rate: int, start: float = 0.0, end: float | None = None) -> DataFrame:
+    """Samples from start to end in seconds, counted from 0 again; times beyond the signal are cut to it."""
+    a = max(0, int(start * rate))
+    inside = rows.where(F.col("pos") >= a) if end is None else rows.where((F.col("pos") >= a) & (F.col("pos") < max(a, int(end * rate))))
+    return inside.withColumn("pos", F.col("pos") - a)
+
+
+def duration(rows: DataFrame, key: str, rate: int) -> DataFrame:
+    return rows.groupBy(key).agg(((F.max("pos") + 1) / rate).alias("duration"))
+
+
+def resample(rows: DataFrame, key: str, rate: int, to: int) -> DataFrame:
+    """Linear interpolation: each sample makes the new ones up to the next sample, so no join is needed."""
+    if rate == to:
+        return rows.select(key, "pos", "x")
+    ahead = F.lead("x").over(Window.partitionBy(key).orderBy("pos"))
+    first, last = F.ceil(F.col("pos") * to / rate), F.ceil((F.col("pos") + 1) * to / rate) - 1
+    made = rows.select(key, "pos", "x", F.coalesce(ahead, F.col("x")).alias("__y"), first.cast("long").alias("__a"), last.cast("long").alias("__b")).where("__b >= __a")
+    made = made.withColumn("__j", F.explode(F.sequence("__a", "__b")))
+    share = F.col("__j") * F.lit(float(rate)) / to - F.col("pos")
+    return made.select(key, F.col("__j").alias("pos"), (F.col("x") + share * (F.col("__y") - F.col("x"))).alias("x"))
+
+
+def prepare(rows: DataFrame, key: str, rate: int, to: int = 16_000, start: float = 0.0, end: float | None = None, silence_db: float | None = None, most: float | None = None) -> DataFrame:
+    """A recording as the models take it: range, one channel, rate, peak 1, silence trimmed where asked, cut to ``most`` seconds."""
+    x = mono(rows, key) if "channel" in rows.columns else rows.select(key, "pos", "x")
+    x = resample(time_slice(x, key, rate, start, end), key, rate, to)
+    x = peak_normalize(x, key).select(key, "pos", F.col("y").alias("x"))
+    if silence_db is not None:
+        x = trim_silence(x, key, silence_db)
+        x = x.withColumn("pos", F.col("pos") - F.min("pos").over(Window.partitionBy(key)))
+    return x if most is None else x.where(F.col("pos") < int(most * to))
+
+
+def uniform_noise(rows: DataFrame, key: str, level: float, seed: int = 0) -> DataFrame:
+    """Noise between -level and level; the draw is by key and place."""
+    u = F.pmod(F.xxhash64(F.lit(seed), key, "pos"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return rows.withColumn("y", F.col("x") + (u * 2 - 1) * level)
+
+
+def gaussian_noise(rows: DataFrame, key: str, level: float, seed: int = 0) -> DataFrame:
+    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed + s), key, "pos"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    return rows.withColumn("y", F.col("x") + F.sqrt(-2.0 * F.log(u(0))) * F.cos(2 * F.pi() * u(1)) * level)
+
+
+def ambient_noise(rows: DataFrame, key: str, noise: DataFrame, snr_db: float) -> DataFrame:
+    """A noise signal (pos, x), repeated to the signal's length, at a signal-to-noise ratio; a silent noise adds nothing."""
+    n, strength = noise.agg(F.max("pos") + 1, F.avg(F.col("x") * F.col("x"))).first()
+    if not n or not strength:
+        return rows.withColumn("y", F.col("x"))
+    tiled = rows.join(noise.select(F.col("pos").alias("__p"), F.col("x").alias("__n")), F.pmod("pos", F.lit(n)) == F.col("__p"), "left")
+    level = F.sqrt(F.avg(F.col("x") * F.col("x")).over(Window.partitionBy(key)) / strength / 10 ** (snr_db / 10))
+    return tiled.withColumn("y", F.col("x") + F.coalesce("__n", F.lit(0.0)) * level).drop("__p", "__n")
+
+
+def augment(rows: DataFrame, key: str, rate: int, kind: str = "white_noise", snr_db: float = 20.0, noise: DataFrame | None = None) -> DataFrame:
+    """key, pos, x after white_noise, ambient_noise (where a noise is given), reverb or combined; any other kind changes nothing."""
+    as_x = lambda d: d.select(key, "pos", F.col("y").alias("x"))
+    if kind == "white_noise":
+        return as_x(white_noise(rows, key, snr_db))
+    if kind == "ambient_noise" and noise is not None:
+        return as_x(ambient_noise(rows, key, noise, snr_db))
+    if kind == "reverb":
+        return as_x(reverb(rows, key, rate))
+    if kind == "combined":
+        return as_x(reverb(as_x(white_noise(rows, key, snr_db + 5)), key, rate, 0.3))
+    return rows.select(key, "pos", "x")
+
+
 def tone(spark, seconds: float, rate: int = 16_000, hz: float = 440.0, level: float = 0.05) -> DataFrame:
     return spark.range(int(seconds * rate)).select(F.lit("tone").alias("audio_id"), F.col("id").alias("pos"), (F.sin(2 * F.pi() * hz * F.col("id") / rate) * level).alias("x"))

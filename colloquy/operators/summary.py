@@ -29,22 +29,89 @@ def keywords(docs: DataFrame, key: str, k: int = 5, stopwords: list[str] | None
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
 
 
+def meeting_sentences(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:
+    """meeting, sent_idx, sentence, speaker_id, start: the sentences of each meeting's turns in order."""
+    from .segments import speaker_turns
+
+    turns = speaker_turns(segments, meeting)
+    rows = turns.select(meeting, "turn_idx", "speaker_id", "start", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return rows.withColumn("sent_idx", (F.row_number().over(Window.partitionBy(meeting).orderBy("turn_idx", "pos")) - 1).cast("int")).drop("turn_idx", "pos")
+
+
 def decisions(sentences: DataFrame, key: str, k: int = 7) -> DataFrame:
-    """Decision sentences of each meeting in order, near-repeats dropped, at most k."""
-    clean = T.squeeze(F.col("sentence"))
-    rows = sentences.where(T.is_decision(F.col("sentence"))).select(key, F.struct("sent_idx", clean.alias("s")).alias("r"))
+    """Sentences with a decision's word, then the clauses behind ordinals and numbers, near-repeats dropped, at most k."""
+    s = F.col("sentence")
+    made = lambda phase, pos, text: F.struct(F.lit(phase).alias("phase"), F.col("sent_idx"), pos.cast("int").alias("pos"), text.alias("s"))
+    own = F.when(T.contains_any(s, T.DECISION_WORDS), F.array(made(0, F.lit(0), T.squeeze(s))))
+    clauses = F.transform(T.enumerated(F.trim(s)), lambda c, i: made(1, i, c))
+    rows = sentences.select(key, F.explode(F.when(own.isNull(), clauses).otherwise(F.concat(own, clauses))).alias("r"))
     packed = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["s"]).alias("all"))
     return packed.select(key, F.slice(T.keep_distinct(F.array_distinct("all")), 1, k).alias("decisions"))
 
 
+def context_decisions(sentences: DataFrame, key: str, most_words: int = 35) -> DataFrame:
+    """Decision sentences (by word, or by an ordinal at the start) with a sentence on either side, without marks, at most 35 words; like ones once."""
+    w = Window.partitionBy(key).orderBy("sent_idx")
+    around = F.array_join(F.collect_list("sentence").over(w.rowsBetween(-1, 1)), " ")
+    text = T.squeeze(F.regexp_replace(around, r"\[.*?\]", ""))
+    cut = F.regexp_replace(F.array_join(F.slice(T.words(text), 1, most_words), " "), r"[ ,.;:]+$", "")
+    rows = sentences.withColumn("text", cut).where(T.is_decision(T.squeeze(F.col("sentence"))) & (F.size(T.words(F.col("text"))) >= 3))
+    packed = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "text"))), lambda r: r["text"]).alias("all"))
+    return packed.select(key, T.distinct_by_words(F.array_distinct("all")).alias("decisions"))
+
+
+def key_points(keys: DataFrame, key: str) -> DataFrame:
+    """The chosen sentences in order, each as ``sentence (oleh speaker)``, repeats collapsed."""
+    point = F.concat(T.squeeze(T.collapse_repeats(F.col("sentence"))), F.lit(" (oleh "), F.col("speaker_id"), F.lit(")"))
+    packed = keys.withColumn("point", point).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent_idx", "point"))).alias("p"))
+    return packed.select(key, F.transform("p", lambda r: r["point"]).alias("key_points"))
+
+
+def _kept_actions(rows: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
+    """The first of each task's first 120 letters; no chatter, actionable, three words or more, no lone filler; distinct by normal form; at most k."""
+    task = F.col("task")
+    first = lambda by: Window.partitionBy(key, by).orderBy(*order)
+    rows = rows.withColumn("seen", F.substring(F.lower(task), 1, 120)).withColumn("n", F.row_number().over(first("seen"))).where("n = 1")
+    rows = rows.where(~T.is_chatter(task) & T.is_actionable(task) & (F.size(T.words(task)) >= 3) & ~F.lower(task).isin(T.SINGLE_FILLERS))
+    rows = rows.withColumn("norm", F.substring(T.normalize_dedup(task), 1, 200)).withColumn("n", F.row_number().over(first("norm"))).where("n = 1")
+    return rows.withColumn("item", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("item") <= k)
+
+
 def action_items(sentences: DataFrame, key: str, k: int = 15) -> DataFrame:
-    """Actionable sentences: not chatter, three words or more, distinct by normal form; owner and due."""
+    """Actionable sentences: owner by name (else TBD), task and due."""
     s = F.col("sentence")
-    rows = sentences.where(T.is_actionable(s) & ~T.is_chatter(s) & (F.size(T.words(s)) >= 3)).withColumn("norm", F.substring(T.normalize_dedup(s), 1, 200))
-    first = Window.partitionBy(key, "norm").orderBy("sent_idx")
-    order = Window.partitionBy(key).orderBy("sent_idx")
-    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("item", F.row_number().over(order)).where(F.col("item") <= k)
-    return rows.select(key, "item", F.coalesce(T.owner(s), F.lit("TBD")).alias("owner"), T.squeeze(s).alias("task"), T.due(s).alias("due"))
+    rows = sentences.where(T.is_actionable(s)).select(key, "sent_idx", F.coalesce(T.owner(s), F.lit("TBD")).alias("owner"), T.squeeze(s).alias("task"))
+    return _kept_actions(rows, key, ["sent_idx"], k).select(key, "item", "owner", "task", T.due(F.col("task")).alias("due"))
+
+
+def segment_actions(segments: DataFrame, meeting: str = "meeting_id", k: int = 15) -> DataFrame:
+    """meeting, item, owner, task, timestamp, due: candidates by patterns from sentences first, then commitments and actionable segments."""
+    sentences = meeting_sentences(segments, meeting)
+    found = regex_actions(sentences, meeting).join(sentences.select(meeting, "sent_idx", "start"), [meeting, "sent_idx"])
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), T.MARKS, ""))
+    said = segments.withColumn("text", text).where("text <> ''")
+    c = F.col("text")
+    committed = F.lower(c).rlike(T.COMMITTED)
+    clause = F.regexp_replace(F.regexp_replace(c, T.BEFORE_SEGMENT_CLAUSE, ""), r"^[ .,:;-]+|[ .,:;-]+$", "")
+    kept = said.where(committed | T.contains_any(c, T.ACTION_WORDS) & T.is_actionable(c))
+    who = F.coalesce(T.owner(c), F.col("speaker_id"))
+    own = kept.select(meeting, F.lit(1).alias("phase"), F.col("seg_idx").cast("long").alias("place"), who.alias("owner"), F.when(committed & (clause != ""), clause).otherwise(c).alias("task"), "start")
+    every = found.select(meeting, F.lit(0).alias("phase"), F.col("sent_idx").cast("long").alias("place"), F.coalesce("owner", F.lit("TBD")).alias("owner"), F.trim("task").alias("task"), "start").unionByName(own)
+    out = _kept_actions(every, meeting, ["phase", "place"], k)
+    return out.select(meeting, "item", "owner", "task", F.format_string("%.1fs", F.col("start").cast("double")).alias("timestamp"), T.due(F.col("task")).alias("due"))
+
+
+def sentence_actions(sentences: DataFrame, key: str, k: int = 15) -> DataFrame:
+    """key, item, owner, task, timestamp: clauses of committed sentences, whole actionable ones; the speaker owns them."""
+    s = F.trim(F.regexp_replace(F.col("sentence"), T.MARKS, ""))
+    committed = s.rlike(T.COMMITTED)
+    whole = T.squeeze(F.regexp_replace(s, T.LEADING_PRONOUN, ""))
+    rows = sentences.where((s != "") & (committed | T.contains_any(s, T.ACTION_WORDS) & T.is_actionable(s)))
+    rows = rows.withColumn("task", F.when(committed, T.action_clause(s)).otherwise(F.regexp_replace(whole, r"^[ .,:;-]+|[ .,:;-]+$", "")))
+    rows = rows.where((F.size(T.words(F.col("task"))) >= 3) & ~F.lower("task").isin(T.SINGLE_FILLERS))
+    first = Window.partitionBy(key, F.substring(F.lower("task"), 1, 120)).orderBy("sent_idx")
+    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("item", F.row_number().over(Window.partitionBy(key).orderBy("sent_idx"))).where(F.col("item") <= k)
+    return rows.select(key, "item", F.coalesce("speaker_id", F.lit("TBD")).alias("owner"), "task", F.format_string("%.1fs", F.col("start").cast("double")).alias("timestamp"))
 
 
 def merge_actions(items: DataFrame, key: str) -> DataFrame:
@@ -58,8 +125,8 @@ def merge_actions(items: DataFrame, key: str) -> DataFrame:
 
 
 def key_sentences(sentences: DataFrame, score: Column, key: str, k: int) -> DataFrame:
-    """The k best sentences of each document in their own order."""
-    w = Window.partitionBy(key).orderBy(score.desc(), "sent_idx")
+    """The k best sentences of each document (rank); with k or fewer all are kept."""
+    w = Window.partitionBy(key).orderBy(score.desc_nulls_last(), "sent_idx")
     return sentences.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -73,10 +140,22 @@ def heuristic_score(position: Column, total: Column, sentence: Column, similarit
     return 0.75 * (F.lit(0.0) if similarity is None else similarity) + 0.15 * place + 0.10 * length + F.least(marks, F.lit(0.3))
 
 
-def overview(keys: DataFrame, key: str, k: int = 3, empty: str = "Tidak ada ringkasan.") -> DataFrame:
+def overview(keys: DataFrame, key: str, k: int = 3, empty: str = "Tidak ada ringkasan yang dapat dibuat.") -> DataFrame:
+    """The first k chosen sentences in the order of the document, as one text."""
     packed = keys.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))), lambda r: T.squeeze(r["sentence"])).alias("s"))
-    text = F.array_join(F.slice("s", 1, k), ". ")
-    return packed.select(key, F.when(text == "", empty).otherwise(F.concat(text, F.lit("."))).alias("overview"))
+    text = T.squeeze(F.array_join(F.slice("s", 1, k), " "))
+    return packed.select(key, F.when(text == "", empty).otherwise(text).alias("overview"))
+
+
+def document_similarity(sentences: DataFrame, key: str, model: str = "default") -> DataFrame:
+    """Adds ``similarity``: the cosine of each sentence's vector with the mean vector of its document."""
+    from ..functions import vector as V
+    from ..models import get
+
+    v = sentences.withColumn("__v", get("sentence_embedding", model)(F.col("sentence")))
+    mean = v.select(key, F.posexplode("__v").alias("p", "x")).groupBy(key, "p").agg(F.avg("x").alias("x")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c"))
+    joined = v.join(mean.select(F.col(key).alias("__k"), F.transform("c", lambda r: r["x"]).alias("__c")), F.col(key) == F.col("__k"))
+    return joined.withColumn("similarity", V.cosine(F.col("__v"), F.col("__c"))).drop("__v", "__c", "__k")
 
 
 def exact_dedup(rows: DataFrame, norm: Column, order: list[str]) -> DataFrame:
@@ -85,6 +164,42 @@ def exact_dedup(rows: DataFrame, norm: Column, order: list[str]) -> DataFrame:
     return rows.withColumn("__norm", norm).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__norm", "__n")
 
 
+def semantic_distinct(items: DataFrame, key: str, order: str, text: str, cosine: float = 0.75, overlap: float = 0.45, model: str | None = "default") -> DataFrame:
+    """The first of each group of like items, by the cosine of a model's vectors; by words where that merges nothing, or without a model.
+
+    What is kept depends on what was kept before, so a meeting's items are a group; vectors are made before, side by side.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..models import get
+
+    rows = items.select(key, order, text, (F.lit(None).cast("array<double>") if model is None else get("sentence_embedding", model)(F.col(text))).alias("__v"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        import regex
+
+        g = g.sort_values(order)
+        said = [set(regex.findall(r"[\p{L}\p{M}\p{N}_]+", (t or "").lower())) for t in g[text]]
+        kept = list(range(len(g)))
+        if model is not None and len(g):
+            x = np.stack(g["__v"].to_numpy()).astype(float)
+            near = x @ x.T / (np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) + 1e-12)
+            kept = []
+            for i in range(len(g)):
+                if not any(near[i, j] >= cosine for j in kept):
+                    kept.append(i)
+        if len(kept) == len(g):
+            kept = []
+            for i, own in enumerate(said):
+                if not any(own and said[j] and len(own & said[j]) >= overlap * len(own | said[j]) for j in kept):
+                    kept.append(i)
+        return g.iloc[kept][[key, order, text]]
+
+    kinds = dict(items.dtypes)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string")
+
+
 def speaker_digests(segments: DataFrame, meeting: str = "meeting_id", k: int = 2) -> DataFrame:
     """The first k sentences of all that each speaker said, in order."""
     said = segments.groupBy(meeting, "speaker_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]), " ").alias("said"))

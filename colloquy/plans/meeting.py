@@ -33,12 +33,11 @@ def transcribe(segments: DataFrame, blocks: DataFrame, meeting: str = "meeting_i
 def summarize(transcript: DataFrame, meeting: str = "meeting_id", sentences: int = 5) -> dict[str, DataFrame]:
     """overview, decisions, actions and topics of each meeting."""
     turns = S.speaker_turns(transcript, meeting).withColumn("seg_idx", F.col("turn_idx").cast("long"))
-    w = S.Window.partitionBy(meeting).orderBy("seg_idx", "pos")
-    rows = turns.select(meeting, "seg_idx", "speaker_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("sent_idx", (F.row_number().over(w) - 1).cast("int"))
+    rows = M.document_similarity(M.meeting_sentences(transcript, meeting), meeting)
     rows = rows.withColumn("total", F.count(F.lit(1)).over(S.Window.partitionBy(meeting)))
-    top = M.key_sentences(rows, M.heuristic_score(F.col("sent_idx"), F.col("total"), F.col("sentence")), meeting, sentences)
+    top = M.key_sentences(rows, M.heuristic_score(F.col("sent_idx"), F.col("total"), F.col("sentence"), F.col("similarity")), meeting, sentences)
     whole = turns.groupBy(meeting).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]), " ").alias("text"))
-    return {"overview": M.overview(top, meeting), "decisions": M.decisions(rows, meeting), "actions": M.action_items(rows, meeting), "topics": M.keywords(whole, meeting, 5)}
+    return {"overview": M.overview(top, meeting), "decisions": M.decisions(rows, meeting), "actions": M.segment_actions(transcript, meeting), "points": M.key_points(top, meeting), "topics": M.keywords(whole, meeting, 5)}
 
 
 def document(transcript: DataFrame, titles: DataFrame, meeting: str = "meeting_id") -> DataFrame:

@@ -200,14 +200,41 @@ def speaker_map_join(spark, sf_dir):
 
 @query("SELECT speaker_id, row_number() OVER (ORDER BY speaker_id) - 1 AS dense_id FROM (SELECT DISTINCT user_id AS speaker_id FROM events)")
 def dense_speaker_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("speaker_id")).where("speaker_id is not null").distinct()
-    return d.withColumn("dense_id", (F.row_number().over(S.Window.orderBy("speaker_id")) - 1).cast("long"))
+    return S.dense_ids(table(spark, sf_dir, "events").select(F.col("user_id").alias("speaker_id")), "speaker_id")
 
 
-@query("SELECT ch, row_number() OVER (ORDER BY ch) AS id FROM (SELECT DISTINCT ch FROM (SELECT unnest(string_split(lower(text), '')) AS ch FROM conversations) WHERE ch BETWEEN 'a' AND 'z')")
+@query("SELECT ch, row_number() OVER (ORDER BY ch) AS id FROM (SELECT DISTINCT ch FROM (SELECT unnest(string_split(lower(text), '')) AS ch FROM conversations) WHERE ch <> '')")
 def char_vocab(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "")).alias("ch")).where("ch between 'a' and 'z'").distinct()
-    return d.withColumn("id", F.row_number().over(S.Window.orderBy("ch")).cast("long"))
+    letters = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "")).alias("ch")).where("ch <> ''")
+    return S.dense_ids(letters, "ch", "id", 1)
+
+
+@query("SELECT conv_id AS meeting_id, string_agg(DISTINCT role, ',' ORDER BY role) AS participants FROM conversations GROUP BY 1")
+def participants(spark, sf_dir):
+    return S.participants(talk(spark, sf_dir)).withColumn("participants", F.array_join("participants", ","))
+
+
+@query("SELECT conv_id AS meeting_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def plain_transcript(spark, sf_dir):
+    return S.plain_words(talk(spark, sf_dir).withColumn("word", F.col("text")))
+
+
+@query(f"""WITH {SPOKEN} SELECT seg_idx, round(greatest(0.0, "start" - 0.5), 3) AS a, round(least(86400.0, "end" + 0.5), 3) AS b FROM spoken""")
+def padded_segments(spark, sf_dir):
+    a, b = S.padded_range(F.col("start"), F.col("end"), F.lit(86400.0))
+    return spoken(spark, sf_dir).select("seg_idx", F.round(a, 3).alias("a"), F.round(b, 3).alias("b"))
+
+
+@query(f"""WITH {SPOKEN} SELECT s.meeting_id, s.seg_idx FROM spoken s WHERE NOT EXISTS (SELECT 1 FROM spoken m WHERE m.seg_idx % 2 = 0 AND m.meeting_id = s.meeting_id AND m."start" = s."start" AND m."end" = s."end")""")
+def uncovered_segments(spark, sf_dir):
+    s = spoken(spark, sf_dir)
+    return S.uncovered(s, s.where("seg_idx % 2 = 0")).select("meeting_id", "seg_idx")
+
+
+@query("SELECT quality AS ref, list(toxic || ':' || n ORDER BY toxic) AS counts FROM (SELECT quality, toxic, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2) GROUP BY 1".replace("list(", "string_agg(").replace(" ORDER BY", ", ',' ORDER BY"))
+def nested_confusion(spark, sf_dir):
+    out = E.nested_counts(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return out.select("ref", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("counts"))
 
 
 @query("SELECT quality AS ref, toxic AS pred, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2")
@@ -223,20 +250,8 @@ def speaker_accuracy(spark, sf_dir):
 # --- scores ----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SPOKEN}, r AS (SELECT meeting_id, f AS frame, count(DISTINCT speaker_id) AS n FROM (SELECT meeting_id, speaker_id, unnest(generate_series(ceil(("start" + 0.25) * 1000 / 100)::BIGINT, ceil(("end" - 0.25) * 1000 / 100)::BIGINT - 1)) AS f FROM spoken WHERE seg_idx % 2 = 0) GROUP BY 1, 2),
- h AS (SELECT meeting_id, f AS frame, count(DISTINCT speaker_id) AS n FROM (SELECT meeting_id, speaker_id, unnest(generate_series(ceil("start" * 1000 / 100)::BIGINT, ceil("end" * 1000 / 100)::BIGINT - 1)) AS f FROM spoken WHERE seg_idx % 2 = 1) GROUP BY 1, 2),
- b AS (SELECT coalesce(r.meeting_id, h.meeting_id) AS meeting_id, coalesce(r.n, 0) AS r, coalesce(h.n, 0) AS h FROM r FULL JOIN h ON r.meeting_id = h.meeting_id AND r.frame = h.frame),
- c AS (SELECT meeting_id, count(*) FILTER (r > 0 AND h = 0) * 0.1::DOUBLE AS m, count(*) FILTER (r = 0 AND h > 0) * 0.1::DOUBLE AS f, count(*) FILTER (r > 0 AND h > 0 AND r <> h) * 0.1::DOUBLE AS x FROM b GROUP BY 1),
- t AS (SELECT meeting_id, sum("end" - "start") AS d FROM spoken WHERE seg_idx % 2 = 0 GROUP BY 1)
- SELECT t.meeting_id, round(d, 3) AS total_duration, round(coalesce(m, 0), 3) AS missed_speech, round(coalesce(f, 0), 3) AS false_alarm, round(coalesce(x, 0), 3) AS speaker_confusion, round(least(1.0, (coalesce(m, 0) + coalesce(f, 0) + coalesce(x, 0)) / d), 6) AS der FROM t LEFT JOIN c USING (meeting_id)""")
-def der_grid(spark, sf_dir):
-    s = spoken(spark, sf_dir)
-    out = E.der_grid(s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1"), frame_ms=100)
-    return out.select("meeting_id", *[F.round(c, 3).alias(c) for c in ("total_duration", "missed_speech", "false_alarm", "speaker_confusion")], r6(F.col("der"), "der"))
-
-
 def _pairs(spark, sf_dir):
-    """Customers' names with their segments: short reference and hypothesis texts."""
+    """Orders' priority, status and date in two orders: short reference and hypothesis texts."""
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.concat_ws(" ", F.lower("o_orderpriority"), "o_orderstatus", F.date_format("o_orderdate", "yyyy MM dd")).alias("ref"), F.concat_ws(" ", F.lower("o_orderpriority"), F.date_format("o_orderdate", "yyyy dd MM")).alias("hyp"))
 
@@ -249,27 +264,60 @@ def simple_cer(spark, sf_dir):
     return _pairs(spark, sf_dir).select("o_orderkey", r6(E.simple_cer(F.col("ref"), F.col("hyp")), "cer"))
 
 
-@query()
+# words as letters: each distinct word of a pair has its own, so a distance of letters is one of words
+_LETTERED = f"""{_PAIRS}, w AS (SELECT o_orderkey, string_split(ref, ' ') AS a, string_split(hyp, ' ') AS b FROM p), u AS (SELECT *, list_concat(a, b) AS every FROM w),
+ d AS (SELECT o_orderkey, len(a) AS n, levenshtein(list_aggregate(list_transform(a, lambda x: chr((64 + list_position(every, x))::INT)), 'string_agg', ''), list_aggregate(list_transform(b, lambda x: chr((64 + list_position(every, x))::INT)), 'string_agg', '')) AS distance FROM u)"""
+
+
+@query(f"WITH {_LETTERED} SELECT o_orderkey, distance::INTEGER AS distance FROM d")
 def word_edit_distance(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return p.select("o_orderkey", E.word_distance(F.split("ref", " "), F.split("hyp", " ")).alias("distance"))
 
 
+@query(f"WITH {_LETTERED.replace('ref, hyp FROM p', 'ref, hyp FROM p')} SELECT o_orderkey, round(distance::DOUBLE / n, 6) AS wer FROM d".replace("string_split(ref, ' ')", "string_split(lower(ref), ' ')").replace("string_split(hyp, ' ')", "string_split(lower(hyp), ' ')"))
+def simple_wer(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("o_orderkey", r6(E.simple_wer(F.col("ref"), F.col("hyp")), "wer"))
+
+
 @query()
 def wer_counts(spark, sf_dir):
     return E.wer(_pairs(spark, sf_dir)).drop("ref", "hyp")
 
 
-@query()
+@query(f"WITH {_LETTERED} SELECT round(sum(distance)::DOUBLE / sum(n), 6) AS micro_wer, round(avg(distance::DOUBLE / n), 6) AS macro_wer, round(stddev_pop(distance::DOUBLE / n), 6) AS std_wer, round(min(distance::DOUBLE / n), 6) AS min_wer, round(max(distance::DOUBLE / n), 6) AS max_wer, count(*) AS pairs FROM d".replace("string_split(ref, ' ')", "string_split(replace(lower(ref), '-', ' '), ' ')").replace("string_split(hyp, ' ')", "string_split(replace(lower(hyp), '-', ' '), ' ')").replace("FROM p), u", "FROM (SELECT o_orderkey, trim(regexp_replace(ref, '\\s+', ' ', 'g')) AS ref, trim(regexp_replace(hyp, '\\s+', ' ', 'g')) AS hyp FROM (SELECT o_orderkey, replace(ref, '-', ' ') AS ref, replace(hyp, '-', ' ') AS hyp FROM p))), u"))
 def wer_micro_macro(spark, sf_dir):
-    return E.wer_totals(E.wer(_pairs(spark, sf_dir)))
+    out = E.wer_totals(E.wer(_pairs(spark, sf_dir)))
+    return out.select(*[r6(F.col(c), c) for c in ("micro_wer", "macro_wer", "std_wer", "min_wer", "max_wer")], "pairs")
 
 
 @query()
+def wer_benchmark(spark, sf_dir):
+    """Each benchmark item against the next one: whole texts of several sentences."""
+    b = table(spark, sf_dir, "benchmark")
+    refs, hyps = b.select(F.col("item_id").alias("n"), F.col("text").alias("ref")), b.select((F.col("item_id") - 1).alias("n"), F.col("text").alias("hyp"))
+    return E.wer(refs.join(hyps, "n")).drop("ref", "hyp")
+
+
+@query("SELECT item_id, text AS ref, concat(text, '!') AS hyp FROM benchmark")
+def zipped_pairs(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return E.zipped(b.select("item_id", F.col("text").alias("ref")), b.select("item_id", F.concat("text", F.lit("!")).alias("hyp")), "item_id")
+
+
+@query(f"""WITH {_PAIRS}, w AS (SELECT o_orderkey, string_split(ref, ' ') AS a, string_split(hyp, ' ') AS b FROM p),
+ g AS (SELECT o_orderkey, a, b, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) AS a2, list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]) AS b2 FROM w)
+ SELECT o_orderkey, round(2.0 * list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x)))))::DOUBLE / (len(a) + len(b)), 6) AS rouge1,
+ round(2.0 * list_sum(list_transform(list_distinct(a2), lambda x: least(len(list_filter(a2, lambda y: y = x)), len(list_filter(b2, lambda y: y = x)))))::DOUBLE / (len(a2) + len(b2)), 6) AS rouge2 FROM g""")
 def rouge_scores(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     a, b = F.split("ref", " "), F.split("hyp", " ")
-    return p.select("o_orderkey", r6(E.rouge_n(a, b, 1), "rouge1"), r6(E.rouge_n(a, b, 2), "rouge2"), r6(E.rouge_l("ref", "hyp"), "rougeL"))
+    return p.select("o_orderkey", r6(E.rouge_n(a, b, 1), "rouge1"), r6(E.rouge_n(a, b, 2), "rouge2"))
+
+
+@query()
+def rouge_longest(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("o_orderkey", r6(E.rouge_l("ref", "hyp"), "rougeL"))
 
 
 # --- text ------------------------------------------------------------------------------------
@@ -280,6 +328,11 @@ def normalize_wer_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_wer(F.col("text"))).alias("h"))
 
 
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'))::BIGINT AS n FROM documents")
+def word_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("n"))
+
+
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS h FROM documents")
 def normalize_ascii(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_ascii(F.col("text"))).alias("h"))
@@ -333,41 +386,96 @@ def keywords(spark, sf_dir):
     return M.keywords(table(spark, sf_dir, "documents"), "doc_id", 8, pattern="[a-z]{4,}").withColumn("rank", F.col("rank").cast("long"))
 
 
-_LIKE = " OR ".join(f"contains(lower(text), '{w}')" for w in T.DECISION_WORDS)
+#: Fixed by turn: sentences of a meeting around words of the conversation, so that every rule of decisions and actions is met.
+_WORD = "trim(regexp_replace(substr(text, 1, 24), '[^a-zA-Z ]', ''{g}))"
+_NAME = "CASE (turn + conv_id) % 4 WHEN 0 THEN 'Budi' WHEN 1 THEN 'Siti' WHEN 2 THEN 'Andi' ELSE 'Rina' END"
+_MINUTES = """CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN concat('Oke, pertama kita sepakat memakai ', w, ' sebagai dasar. Kedua anggaran rapat ', turn, ' disetujui penuh.')
+ WHEN 1 THEN concat(who, ' akan menyiapkan laporan ', w, ' minggu depan.') WHEN 2 THEN concat('Saya akan membuat daftar ', w, ' besok. Terima kasih semua.')
+ WHEN 3 THEN concat('Deadline: 12/0', turn % 9 + 1, ' untuk ', w, ' dan kita harus selesaikan segera.') WHEN 4 THEN concat('Kesimpulan rapat: ', w, ' dipilih. 1. Tim menulis dokumen ', w, ' 2. Tim menguji hasil rapat itu.')
+ WHEN 5 THEN text WHEN 6 THEN concat('Pertama itu yang mau kita bahas, ', w, '.') ELSE concat('[NOISE] Nah, dua minggu lagi kita perlu evaluasi ', w, ' bersama, lalu ', who, ' siapkan data.') END"""
+MINUTES = f"minutes AS (SELECT conv_id, turn, role, {_MINUTES} AS text FROM (SELECT *, {_WORD.format(g=", 'g'")} AS w, {_NAME} AS who FROM conversations))"
+
+
+def minutes(spark, sf_dir) -> DataFrame:
+    """Conversations as meetings in which decisions are taken and tasks are given."""
+    c = table(spark, sf_dir, "conversations").withColumns({"w": F.expr(_WORD.format(g="")), "who": F.expr(_NAME)})
+    c = c.withColumn("text", F.expr(_MINUTES))
+    return c.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seg_idx"), F.col("role").alias("speaker_id"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
 
 
-@query(f"SELECT conv_id, turn FROM conversations WHERE {_LIKE} UNION ALL SELECT -doc_id - 1, 0 FROM documents WHERE {_LIKE}")
+_LIKE = " OR ".join(f"contains(lower(text), '{w}')" for w in T.DECISION_WORDS) + f" OR regexp_matches(lower(text), '{T.ORDINAL_START}')"
+
+
+@query(f"WITH {MINUTES} SELECT conv_id, turn FROM minutes WHERE {_LIKE}")
 def decision_sentences(spark, sf_dir):
-    c, d = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")
-    return c.where(T.is_decision(F.col("text"))).select("conv_id", "turn").unionByName(d.where(T.is_decision(F.col("text"))).select((-F.col("doc_id") - 1).alias("conv_id"), F.lit(0).cast("long").alias("turn")))
+    return minutes(spark, sf_dir).where(T.is_decision(F.col("text"))).select(F.col("meeting_id").alias("conv_id"), F.col("seg_idx").alias("turn"))
+
+
+_NAMED = T.NAMED_COMMITMENT.replace(r"(?=", "(?:")
+_OWNED = r"\b([A-Z][a-z]{2,})(?:\s+akan|\s+siapkan|\s+tolong|\s+bisa|\s+bertanggung)"
+
+
+@query(f"""WITH {MINUTES} SELECT conv_id, turn, regexp_matches(lower(text), '{T.COMMITMENT}') OR regexp_matches(text, '{_NAMED}') OR {' OR '.join(f"contains(lower(text), '{w}')" for w in T.DUE_MARKS)} AS actionable,
+ regexp_matches(lower(text), '{'|'.join(T.CHATTER)}') AS chatter, regexp_matches(lower(text), '{T.STRICT_DECISION.replace("(?iu)", "")}') AS decided FROM minutes""")
+def sentence_flags(spark, sf_dir):
+    t = F.col("text")
+    return minutes(spark, sf_dir).select(F.col("meeting_id").alias("conv_id"), F.col("seg_idx").alias("turn"), T.is_actionable(t).alias("actionable"), T.is_chatter(t).alias("chatter"), T.is_strict_decision(t).alias("decided"))
 
 
 @query()
 def action_sentences(spark, sf_dir):
-    return M.action_items(M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return M.action_items(M.meeting_sentences(minutes(spark, sf_dir)), "meeting_id")
+
+
+@query()
+def meeting_actions(spark, sf_dir):
+    return M.segment_actions(minutes(spark, sf_dir))
+
+
+@query()
+def committed_actions(spark, sf_dir):
+    return M.sentence_actions(M.meeting_sentences(minutes(spark, sf_dir)), "meeting_id")
 
 
 @query()
 def meeting_decisions(spark, sf_dir):
-    return M.decisions(M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id"), "doc_id").withColumn("decisions", F.array_join("decisions", " | "))
+    return M.decisions(M.meeting_sentences(minutes(spark, sf_dir)), "meeting_id").withColumn("decisions", F.array_join("decisions", " | "))
+
+
+@query()
+def context_decisions(spark, sf_dir):
+    return M.context_decisions(M.meeting_sentences(minutes(spark, sf_dir)), "meeting_id").withColumn("decisions", F.array_join("decisions", " | "))
+
+
+def _keyed(spark, sf_dir):
+    s = M.document_similarity(M.meeting_sentences(minutes(spark, sf_dir)), "meeting_id")
+    s = s.withColumn("total", F.count(F.lit(1)).over(S.Window.partitionBy("meeting_id")))
+    return M.key_sentences(s, M.heuristic_score(F.col("sent_idx"), F.col("total"), F.col("sentence"), F.round("similarity", 9)), "meeting_id", 7)
 
 
 @query()
 def key_sentences(spark, sf_dir):
-    s = M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
-    s = s.withColumn("total", F.count(F.lit(1)).over(S.Window.partitionBy("doc_id")))
-    top = M.key_sentences(s, M.heuristic_score(F.col("sent_idx"), F.col("total"), F.col("sentence")), "doc_id", 7)
-    return M.overview(top, "doc_id")
+    return M.overview(_keyed(spark, sf_dir), "meeting_id")
+
+
+@query()
+def key_points(spark, sf_dir):
+    return M.key_points(_keyed(spark, sf_dir), "meeting_id").withColumn("key_points", F.array_join("key_points", " | "))
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'besok') THEN 'besok' WHEN contains(lower(text), 'segera') OR contains(lower(text), 'secepat') OR contains(lower(text), 'sekarang') THEN 'segera' WHEN contains(lower(text), 'minggu depan') THEN '1 minggu' WHEN regexp_matches(lower(text), '\\d+\\s*minggu') THEN regexp_extract(lower(text), '(\\d+)\\s*minggu', 1) || ' minggu' WHEN contains(lower(text), 'dua minggu') THEN '2 minggu' WHEN contains(lower(text), 'deadline') THEN coalesce(nullif(regexp_extract(lower(text), 'deadline\\s*[:\\-\\s]*([\\w\\-./]+)', 1), ''), 'TBD') ELSE '' END AS due FROM conversations")
+@query(f"WITH {MINUTES} SELECT conv_id, turn, CASE WHEN contains(lower(text), 'besok') THEN 'besok' WHEN contains(lower(text), 'segera') OR contains(lower(text), 'secepat') OR contains(lower(text), 'sekarang') THEN 'segera' WHEN contains(lower(text), 'minggu depan') THEN '1 minggu' WHEN regexp_matches(lower(text), '\\d+\\s*minggu') THEN regexp_extract(lower(text), '(\\d+)\\s*minggu', 1) || ' minggu' WHEN contains(lower(text), 'dua minggu') THEN '2 minggu' WHEN contains(lower(text), 'deadline') THEN coalesce(nullif(regexp_extract(lower(text), 'deadline\\s*[:\\-\\s]*([\\w\\-./]+)', 1), ''), 'TBD') ELSE '' END AS due FROM minutes")
 def due_dates(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.due(F.col("text")).alias("due"))
+    return minutes(spark, sf_dir).select(F.col("meeting_id").alias("conv_id"), F.col("seg_idx").alias("turn"), T.due(F.col("text")).alias("due"))
 
 
-@query()
+@query(f"WITH {MINUTES} SELECT conv_id, turn, nullif(regexp_extract(text, '{_OWNED}', 1), '') AS owner FROM minutes")
 def owners(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.owner(F.col("text")).alias("owner"), F.array_join(T.persons(F.col("text")), "|").alias("persons"))
+    return minutes(spark, sf_dir).select(F.col("meeting_id").alias("conv_id"), F.col("seg_idx").alias("turn"), T.owner(F.col("text")).alias("owner"))
+
+
+@query()
+def persons(spark, sf_dir):
+    return minutes(spark, sf_dir).select(F.col("meeting_id").alias("conv_id"), F.col("seg_idx").alias("turn"), F.array_join(T.persons(F.col("text")), "|").alias("persons"))
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL GROUP BY 2")
@@ -429,26 +537,26 @@ def anti_join_manifest(spark, sf_dir):
 
 def results(spark, sf_dir) -> DataFrame:
     """Orders as results: condition by priority, sample by status, metric by price."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("condition"), F.col("o_orderstatus").alias("sample"), (F.col("o_totalprice") / 1000).alias("metric"), F.year("o_orderdate").alias("epoch"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("condition"), F.col("o_orderstatus").alias("sample"), (F.col("o_totalprice") / 1000).alias("metric"), F.year("o_orderdate").alias("epoch"), "o_orderkey", (F.col("o_custkey") % 97 / 97.0).alias("cer"))
 
 
-_RESULTS = "r AS (SELECT o_orderpriority AS condition, o_orderstatus AS sample, o_totalprice / 1000 AS metric, year(o_orderdate) AS epoch FROM orders)"
+_RESULTS = "r AS (SELECT o_orderpriority AS condition, o_orderstatus AS sample, o_totalprice / 1000 AS metric, year(o_orderdate) AS epoch, o_orderkey, o_custkey % 97 / 97.0 AS cer FROM orders)"
 _STATS = ("mean", "std", "min", "max")
 
 
-@query(f"WITH {_RESULTS} SELECT condition, count(metric) AS n, round(avg(metric), 4) AS mean, round(stddev_samp(metric), 4) AS std, round(min(metric), 4) AS min, round(max(metric), 4) AS max FROM r GROUP BY 1")
+@query(f"WITH {_RESULTS} SELECT condition, count(metric) AS n, round(avg(metric), 5) AS mean, round(stddev_samp(metric), 5) AS std, round(min(metric), 5) AS min, round(max(metric), 5) AS max FROM r GROUP BY 1")
 def condition_summary(spark, sf_dir):
-    return E.condition_summary(results(spark, sf_dir), "metric").select("condition", "n", *[F.round(c, 4).alias(c) for c in _STATS])
+    return E.condition_summary(results(spark, sf_dir), "metric").select("condition", "n", *[F.round(c, 5).alias(c) for c in _STATS])
 
 
-@query(f"WITH {_RESULTS} SELECT condition, count(metric) AS n, round(avg(metric), 4) AS mean, round(stddev_pop(metric), 4) AS std, round(min(metric), 4) AS min, round(max(metric), 4) AS max FROM r GROUP BY 1")
+@query(f"WITH {_RESULTS} SELECT condition, count(metric) AS n, round(avg(metric), 5) AS mean, round(stddev_pop(metric), 5) AS std, round(min(metric), 5) AS min, round(max(metric), 5) AS max FROM r GROUP BY 1")
 def condition_components(spark, sf_dir):
-    return E.condition_summary(results(spark, sf_dir), "metric", population=True).select("condition", "n", *[F.round(c, 4).alias(c) for c in _STATS])
+    return E.condition_summary(results(spark, sf_dir), "metric", population=True).select("condition", "n", *[F.round(c, 5).alias(c) for c in _STATS])
 
 
-@query(f"WITH {_RESULTS} SELECT coalesce(condition, 'ALL') AS condition, count(metric) AS n, round(avg(metric), 4) AS mean, round(min(metric), 4) AS min, round(max(metric), 4) AS max FROM r GROUP BY GROUPING SETS ((condition), ())")
+@query(f"WITH {_RESULTS} SELECT coalesce(condition, 'ALL') AS condition, count(metric) AS n, round(avg(metric), 5) AS mean, round(stddev_samp(metric), 5) AS std, round(min(metric), 5) AS min, round(max(metric), 5) AS max FROM r GROUP BY GROUPING SETS ((condition), ())")
 def overall_and_condition(spark, sf_dir):
-    return E.overall_and_condition(results(spark, sf_dir), "metric").select("condition", "n", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")])
+    return E.overall_and_condition(results(spark, sf_dir), "metric").select("condition", "n", *[F.round(c, 5).alias(c) for c in _STATS])
 
 
 @query(f"WITH {_RESULTS}, m AS (SELECT condition, avg(metric) AS m FROM r GROUP BY 1) SELECT arg_min(condition, m) AS best, arg_max(condition, m) AS worst FROM m")
@@ -456,19 +564,19 @@ def best_worst_condition(spark, sf_dir):
     return E.best_and_worst(results(spark, sf_dir), "metric")
 
 
-@query(f"WITH {_RESULTS} SELECT condition, round(avg(CASE WHEN sample = 'F' THEN metric END), 4) AS f, round(avg(CASE WHEN sample = 'O' THEN metric END), 4) AS o, round(avg(CASE WHEN sample = 'P' THEN metric END), 4) AS p FROM r GROUP BY 1")
+@query(f"WITH {_RESULTS} SELECT condition, round(arg_min(metric, o_orderkey) FILTER (sample = 'F'), 5) AS f, round(arg_min(metric, o_orderkey) FILTER (sample = 'O'), 5) AS o, round(arg_min(metric, o_orderkey) FILTER (sample = 'P'), 5) AS p FROM r GROUP BY 1")
 def metric_pivot(spark, sf_dir):
-    return E.pivot_metric(results(spark, sf_dir), "metric", "condition", "sample", ["F", "O", "P"]).select("condition", *[F.round(c, 4).alias(c.lower()) for c in "FOP"])
+    return E.pivot_metric(results(spark, sf_dir), "metric", "condition", "sample", ["F", "O", "P"], "o_orderkey").select("condition", *[F.round(c, 5).alias(c.lower()) for c in "FOP"])
 
 
-@query(f"WITH {_RESULTS} SELECT condition, round(min(metric), 4) AS min, round(quantile_cont(metric, 0.25), 4) AS q1, round(quantile_cont(metric, 0.5), 4) AS median, round(quantile_cont(metric, 0.75), 4) AS q3, round(max(metric), 4) AS max FROM r GROUP BY 1")
+@query(f"WITH {_RESULTS} SELECT condition, round(min(metric), 5) AS min, round(quantile_cont(metric, 0.25), 5) AS q1, round(quantile_cont(metric, 0.5), 5) AS median, round(quantile_cont(metric, 0.75), 5) AS q3, round(max(metric), 5) AS max FROM r GROUP BY 1")
 def box_stats(spark, sf_dir):
-    return E.box_stats(results(spark, sf_dir), "metric").select("condition", *[F.round(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+    return E.box_stats(results(spark, sf_dir), "metric").select("condition", *[F.round(c, 5).alias(c) for c in ("min", "q1", "median", "q3", "max")])
 
 
-@query(f"WITH {_RESULTS} SELECT epoch::VARCHAR AS epoch, round(avg(metric), 4) AS wer, round(avg(metric), 4) AS cer, count(*) AS count FROM r GROUP BY 1")
+@query(f"WITH {_RESULTS} SELECT epoch::VARCHAR AS epoch, round(avg(metric), 4) AS wer, round(avg(cer), 4) AS cer, count(*) AS count FROM r GROUP BY 1")
 def epoch_summary(spark, sf_dir):
-    r = results(spark, sf_dir).select("epoch", F.col("metric").alias("wer"), F.col("metric").alias("cer"))
+    r = results(spark, sf_dir).select("epoch", F.col("metric").alias("wer"), "cer")
     return E.epoch_summary(r).select("epoch", F.round("wer", 4).alias("wer"), F.round("cer", 4).alias("cer"), "count")
 
 
@@ -480,10 +588,53 @@ def preferred_recording(spark, sf_dir):
 
 @query("SELECT l_returnflag AS meeting, count(*) AS files, round(sum(l_quantity), 2) AS size FROM lineitem GROUP BY 1")
 def files_per_meeting(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("meeting")).agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("l_quantity"), 2).alias("size"))
+    return E.files_per_group(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "meeting"), "meeting", "l_quantity").withColumn("size", F.round("size", 2))
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (o_orderstatus <> 'F') AS ok, round(count(*) FILTER (o_orderstatus <> 'F') * 100.0 / count(*), 6) AS success_rate, round(sum(o_totalprice), 2) AS total_time, round(avg(o_totalprice), 4) AS avg_time FROM orders")
+def run_totals(spark, sf_dir):
+    out = E.run_totals(table(spark, sf_dir, "orders"), F.col("o_orderstatus") != "F", "o_totalprice")
+    return out.select("files", "ok", r6(F.col("success_rate"), "success_rate"), F.round("total_time", 2).alias("total_time"), F.round("avg_time", 4).alias("avg_time"))
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    """Line items as evaluations: a sample a line, condition by flag."""
+    item = table(spark, sf_dir, "lineitem")
+    return item.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("sample"), F.col("l_returnflag").alias("condition"), F.col("l_discount").alias("wer"), F.col("l_tax").alias("der"),
+        F.col("l_linenumber").alias("substitutions"), F.col("l_quantity").cast("long").alias("deletions"), F.lit(0).alias("insertions"), (F.col("l_discount") / 2).alias("missed_speech"), (F.col("l_tax") / 2).alias("false_alarm"), F.lit(0.25).alias("speaker_confusion"),
+    )
+
+
+_EVALUATED = "v AS (SELECT l_orderkey || '-' || l_linenumber AS sample, l_returnflag AS condition, l_discount AS wer, l_tax AS der, l_linenumber AS substitutions, trunc(l_quantity)::BIGINT AS deletions, 0 AS insertions, l_discount / 2 AS missed_speech, l_tax / 2 AS false_alarm, 0.25 AS speaker_confusion FROM lineitem)"
+
+
+@query(f"WITH {_EVALUATED} SELECT condition, round(avg(missed_speech), 6) AS avg_missed_speech, round(avg(false_alarm), 6) AS avg_false_alarm, round(avg(speaker_confusion), 6)::DOUBLE AS avg_speaker_confusion, sum(substitutions)::BIGINT AS total_substitutions, sum(deletions)::BIGINT AS total_deletions, sum(insertions)::BIGINT AS total_insertions FROM v GROUP BY 1")
+def component_means(spark, sf_dir):
+    out = E.component_means(_evaluated(spark, sf_dir))
+    return out.select("condition", *[r6(F.col(c).cast("double"), c) for c in ("avg_missed_speech", "avg_false_alarm", "avg_speaker_confusion")], "total_substitutions", "total_deletions", "total_insertions")
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS files, count(*) FILTER (o_totalprice > 1000) AS ok, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+@query(f"WITH {_EVALUATED} SELECT round(avg(der), 6) AS avg_der, round(avg(missed_speech), 6) AS avg_missed_speech, round(avg(false_alarm), 6) AS avg_false_alarm, round(avg(speaker_confusion), 6)::DOUBLE AS avg_speaker_confusion, count(*) AS n FROM v")
+def der_totals(spark, sf_dir):
+    return E.der_totals(_evaluated(spark, sf_dir)).select(*[r6(F.col(f"avg_{c}"), f"avg_{c}") for c in ("der", "missed_speech", "false_alarm", "speaker_confusion")], "n")
+
+
+@query(f"WITH {_EVALUATED} SELECT sample AS \"Sample\", condition AS \"Condition\", printf('%.4f', wer::DOUBLE) AS \"WER\", printf('%.4f', der::DOUBLE) AS \"DER\", substitutions::VARCHAR AS \"Substitutions\", deletions::VARCHAR AS \"Deletions\", '' AS \"MER\", '' AS \"ROUGE1_F\" FROM v")
+def evaluation_rows(spark, sf_dir):
+    from ..sources import sinks as K
+
+    return K.evaluation_table(_evaluated(spark, sf_dir)).select("Sample", "Condition", "WER", "DER", "Substitutions", "Deletions", "MER", "ROUGE1_F")
+
+
+@query(f"""WITH {SPOKEN} SELECT meeting_id, 'SPEAKER ' || meeting_id || ' 1 ' || printf('%.3f', "start") || ' ' || printf('%.3f', "end" - "start") || ' <NA> <NA> ' || speaker_id || ' <NA> <NA>' AS value FROM spoken""")
+def rttm_lines(spark, sf_dir):
+    from ..sources import sinks as K
+
+    return K.rttm_lines(spoken(spark, sf_dir)).select("meeting_id", "value")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS files, count(*) FILTER (o_totalprice > 1000) AS ok, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 5) AS mean FROM orders GROUP BY 1")
 def batch_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("o_totalprice") > 1000).alias("ok"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
@@ -541,26 +692,35 @@ def cluster_embeddings(spark, sf_dir):
     return X.cluster(vectors(spark, sf_dir).withColumn("meeting", (F.col("vec_id") / 500).cast("long")), "meeting", "vec_id")
 
 
-@query()
+_UNIT = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM e),
+ x AS (SELECT vec_id, label, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM u)"""
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+def label_sizes(spark, sf_dir):
+    return X.label_sizes(vectors(spark, sf_dir), "label")
+
+
+@query(f"""WITH {_UNIT}, s AS (SELECT label, list(t ORDER BY p) AS s, any_value(n) AS n FROM (SELECT label, p, sum(x) AS t, count(*) AS n FROM x GROUP BY 1, 2) GROUP BY 1),
+ d AS (SELECT vec_id, u.label AS own, s.label AS other, n, n - list_dot_product(u, s) AS d FROM u, s),
+ a AS (SELECT vec_id, own, CASE WHEN n > 1 THEN d / (n - 1) ELSE 0 END AS a FROM d WHERE own = other), b AS (SELECT vec_id, own, min(d / n) AS b FROM d WHERE own <> other GROUP BY 1, 2)
+ SELECT a.own AS label, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM a JOIN b USING (vec_id) GROUP BY 1""")
 def silhouette(spark, sf_dir):
     """Mean silhouette by cosine distance of each label's vectors, from sums alone: linear in the rows."""
-    e = vectors(spark, sf_dir).select("vec_id", "label", V.unit(F.col("embedding")).alias("u"))
-    flat = e.select("label", F.posexplode("u").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
-    sums = flat.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("s"))
-    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    packed = sums.join(n, "label").agg(F.collect_list(F.struct("label", "s", "n")).alias("all"))
-    rows = e.join(F.broadcast(packed))  # one row of labels' sums
-    mean = lambda c, own: F.when(own, F.when(c["n"] > 1, (c["n"] - V.dot(F.col("u"), c["s"])) / (c["n"] - 1)).otherwise(0.0)).otherwise((c["n"] - V.dot(F.col("u"), c["s"])) / c["n"])
-    a = F.element_at(F.transform(F.filter("all", lambda c: c["label"] == F.col("label")), lambda c: mean(c, F.lit(True))), 1)
-    b = F.array_min(F.transform(F.filter("all", lambda c: c["label"] != F.col("label")), lambda c: mean(c, F.lit(False))))
-    return rows.select("label", a.alias("a"), b.alias("b")).select("label", ((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s")).groupBy("label").agg(F.round(F.avg("s"), 6).alias("silhouette"))
+    return X.label_silhouette(vectors(spark, sf_dir), "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query()
+@query(f"WITH {_UNIT}, n AS (SELECT count(*) AS n, sum(list_dot_product(u, u)) AS own FROM u), t AS (SELECT sum(s * s) AS total FROM (SELECT p, sum(x) AS s FROM x GROUP BY 1)) SELECT round(1 - (total - own) / (n * (n - 1)), 6) AS mean_distance, (n * (n - 1) // 2)::BIGINT AS pairs FROM n, t")
 def collapse_test(spark, sf_dir):
     return X.mean_pairwise_distance(vectors(spark, sf_dir), "vec_id").withColumn("mean_distance", F.round("mean_distance", 6))
 
 
+@query()
+def method_comparison(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("meeting", (F.col("vec_id") / 250).cast("long"))
+    return X.compare_methods(rows, "meeting", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
+
+
 # --- signals ---------------------------------------------------------------------------------
 
 
@@ -611,6 +771,35 @@ def speech_regions(spark, sf_dir):
     return G.true_regions(frames, "key", "speech", 0.01).select("key", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
+@query(f"WITH {_SIGNAL} SELECT key, pos // 2 AS pos, round(avg(x), 6) AS y FROM s GROUP BY 1, 2")
+def mono_signal(spark, sf_dir):
+    two = signal(spark, sf_dir).select("key", F.expr("pos div 2").alias("pos"), (F.col("pos") % 2).alias("channel"), "x")
+    return G.mono(two, "key").select("key", "pos", r6(F.col("x"), "y"))
+
+
+@query(f"WITH {_SIGNAL} SELECT key, pos - 100 AS pos, round(x, 6) AS y FROM s WHERE pos >= 100 AND pos < 250")
+def sliced_signal(spark, sf_dir):
+    return G.time_slice(signal(spark, sf_dir), "key", 100, 1.0, 2.5).select("key", "pos", r6(F.col("x"), "y"))
+
+
+@query(f"WITH {_SIGNAL} SELECT key, round((max(pos) + 1) / 100.0, 4)::DOUBLE AS duration FROM s GROUP BY 1")
+def signal_duration(spark, sf_dir):
+    return G.duration(signal(spark, sf_dir), "key", 100).select("key", F.round("duration", 4).alias("duration"))
+
+
+@query(f"WITH {_SIGNAL}, a AS (SELECT key, pos, x, coalesce(lead(x) OVER (PARTITION BY key ORDER BY pos), x) AS y FROM s), j AS (SELECT key, x, y, pos, unnest(generate_series(ceil(pos * 160 / 100.0)::BIGINT, ceil((pos + 1) * 160 / 100.0)::BIGINT - 1)) AS j FROM a) SELECT key, j AS pos, round(x + (j * 100.0::DOUBLE / 160 - pos) * (y - x), 5) AS y FROM j")
+def resampled_signal(spark, sf_dir):
+    return G.resample(signal(spark, sf_dir), "key", 100, 160).select("key", "pos", F.round("x", 5).alias("y"))
+
+
+@query(f"WITH {_SIGNAL}, n AS (SELECT pos, x FROM s WHERE key = (SELECT min(key) FROM s) AND pos < 50), c AS (SELECT avg(x * x) AS p FROM n), l AS (SELECT key, sqrt(avg(x * x) / any_value(p) / 10) AS l FROM s, c GROUP BY 1) SELECT s.key, s.pos, round(s.x + n.x * l, 5) AS y FROM s JOIN n ON s.pos % 50 = n.pos JOIN l ON l.key = s.key")
+def ambient_signal(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    first = s.agg(F.min("key")).first()[0]
+    noise = s.where((F.col("key") == first) & (F.col("pos") < 50)).select("pos", "x")
+    return G.ambient_noise(s, "key", noise, 10.0).select("key", "pos", F.round("y", 5).alias("y"))
+
+
 @query()
 def noisy_signal(spark, sf_dir):
     return G.reverb(G.white_noise(signal(spark, sf_dir), "key", 20.0).select("key", "pos", F.col("y").alias("x")), "key", 100)
@@ -644,14 +833,19 @@ def session_stream(spark, sf_dir):
 
 @query()
 def enumerated_decisions(spark, sf_dir):
-    s = M.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
-    return s.select("doc_id", "sent_idx", F.explode(T.enumerated(F.col("sentence"))).alias("clause"))
+    s = M.meeting_sentences(minutes(spark, sf_dir))
+    return s.select("meeting_id", "sent_idx", F.explode(T.enumerated(F.col("sentence"))).alias("clause"))
 
 
 @query()
 def action_candidates(spark, sf_dir):
-    s = M.sentence_rows(table(spark, sf_dir, "documents").withColumn("text", F.col("text")), "doc_id").withColumn("speaker_id", F.lit("SPK"))
-    return M.regex_actions(s, "doc_id")
+    return M.regex_actions(M.meeting_sentences(minutes(spark, sf_dir)), "meeting_id")
+
+
+@query()
+def semantic_dedup(spark, sf_dir):
+    """Turns of each conversation, like ones once: by vectors of words, and by words where that merges nothing."""
+    return M.semantic_distinct(minutes(spark, sf_dir), "meeting_id", "seg_idx", "text")
 
 
 @query()
@@ -676,23 +870,42 @@ def diarize_events(spark, sf_dir):
 
 
 def _merged(side: str, where: str, shrink: str) -> str:
-    return f"""{side}0 AS (SELECT meeting_id, speaker_id, "start" + {shrink} AS s, "end" - {shrink} AS e FROM spoken WHERE {where} AND "end" - {shrink} > "start" + {shrink}),
- {side}1 AS (SELECT *, max(e) OVER (PARTITION BY meeting_id, speaker_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {side}0),
- {side}2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, speaker_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM {side}1),
+    return f"""{side}0 AS (SELECT meeting_id, speaker_id, round(("start" + {shrink}) * 1000000)::BIGINT AS s, round(("end" - {shrink}) * 1000000)::BIGINT AS e FROM spoken WHERE {where}),
+ {side}1 AS (SELECT *, max(e) OVER (PARTITION BY meeting_id, speaker_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {side}0 WHERE e > s),
+ {side}2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, speaker_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM {side}1),
  {side} AS (SELECT meeting_id, min(s) AS s, max(e) AS e FROM {side}2 GROUP BY meeting_id, speaker_id, g)"""
 
 
-@query(f"""WITH {SPOKEN}, {_merged('r', 'seg_idx % 2 = 0', '0.25')}, {_merged('h', 'seg_idx % 2 = 1', '0.0')},
+def _der_sql(seconds: str) -> str:
+    return f"""WITH {SPOKEN}, {_merged('r', 'seg_idx % 2 = 0', '0.25')}, {_merged('h', 'seg_idx % 2 = 1', '0.0')},
  x AS (SELECT meeting_id, s AS t, 1 AS r, 0 AS h FROM r UNION ALL SELECT meeting_id, e, -1, 0 FROM r UNION ALL SELECT meeting_id, s, 0, 1 FROM h UNION ALL SELECT meeting_id, e, 0, -1 FROM h),
  y AS (SELECT meeting_id, t, sum(r) AS r, sum(h) AS h FROM x GROUP BY 1, 2),
- z AS (SELECT meeting_id, sum(r) OVER w AS r, sum(h) OVER w AS h, lead(t) OVER w - t AS d FROM y WINDOW w AS (PARTITION BY meeting_id ORDER BY t)),
- c AS (SELECT meeting_id, sum(d) FILTER (r > 0 AND h = 0) AS m, sum(d) FILTER (r = 0 AND h > 0) AS f, sum(d) FILTER (r > 0 AND h > 0 AND r <> h) AS k FROM z GROUP BY 1),
- t AS (SELECT meeting_id, sum("end" - "start") AS d FROM spoken WHERE seg_idx % 2 = 0 GROUP BY 1)
- SELECT meeting_id, round(d, 2) AS total_duration, round(coalesce(m, 0), 2) AS missed_speech, round(coalesce(f, 0), 2) AS false_alarm, round(coalesce(k, 0), 2) AS speaker_confusion, round(least(1.0, (coalesce(m, 0) + coalesce(f, 0) + coalesce(k, 0)) / d), 5) AS der FROM t LEFT JOIN c USING (meeting_id)""")
+ z0 AS (SELECT meeting_id, t, sum(r) OVER w AS r, sum(h) OVER w AS h, lead(t) OVER w AS u FROM y WINDOW w AS (PARTITION BY meeting_id ORDER BY t)),
+ b AS (SELECT meeting_id, round(min("start") * 1000000)::BIGINT AS t0 FROM spoken GROUP BY 1),
+ z AS (SELECT meeting_id, r, h, {seconds} AS d FROM z0 JOIN b USING (meeting_id) WHERE u IS NOT NULL),
+ c AS (SELECT meeting_id, sum(d) FILTER (r > 0 AND h = 0) AS m, sum(d) FILTER (r = 0 AND h > 0) AS f, sum(d * abs(r - h) / greatest(r, h)) FILTER (r > 0 AND h > 0 AND r <> h) AS k FROM z GROUP BY 1),
+ t AS (SELECT meeting_id, sum("end" - "start") AS d, count(DISTINCT speaker_id) AS n FROM spoken WHERE seg_idx % 2 = 0 GROUP BY 1),
+ v AS (SELECT meeting_id, count(DISTINCT speaker_id) AS n FROM spoken WHERE seg_idx % 2 = 1 GROUP BY 1),
+ e AS (SELECT coalesce(t.meeting_id, v.meeting_id) AS meeting_id, coalesce(d, 0)::DOUBLE AS d, coalesce(t.n, 0) AS nr, coalesce(v.n, 0) AS nh FROM t FULL JOIN v ON t.meeting_id = v.meeting_id)
+ SELECT meeting_id, round(d, 3) AS total_duration, CASE WHEN d > 0 THEN round(coalesce(m, 0) / d, 6) ELSE 0 END AS missed_speech, CASE WHEN d > 0 THEN round(coalesce(f, 0) / d, 6) ELSE 0 END AS false_alarm,
+ CASE WHEN d > 0 THEN round(coalesce(k, 0) / d, 6) ELSE 0 END AS speaker_confusion, CASE WHEN d > 0 THEN round(least(1.0, (coalesce(m, 0) + coalesce(f, 0) + coalesce(k, 0)) / d), 6) ELSE 0 END AS der,
+ nr::BIGINT AS num_speakers_ref, nh::BIGINT AS num_speakers_hyp FROM e LEFT JOIN c USING (meeting_id)"""
+
+
+def _der_columns(out: DataFrame) -> DataFrame:
+    return out.select("meeting_id", F.round("total_duration", 3).alias("total_duration"), *[r6(F.col(c), c) for c in ("missed_speech", "false_alarm", "speaker_confusion", "der")], *[F.col(c).cast("long").alias(c) for c in ("num_speakers_ref", "num_speakers_hyp")])
+
+
+@query(_der_sql("(greatest(ceil((u - t0 - 5000) / 10000.0), 0) - greatest(ceil((t - t0 - 5000) / 10000.0), 0)) * 0.01::DOUBLE"))
+def der_grid(spark, sf_dir):
+    s = spoken(spark, sf_dir)
+    return _der_columns(E.der_grid(s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1")))
+
+
+@query(_der_sql("(u - t) / 1000000.0::DOUBLE"))
 def der_sweep(spark, sf_dir):
     s = spoken(spark, sf_dir)
-    out = E.der_sweep(s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1"))
-    return out.select("meeting_id", *[F.round(c, 2).alias(c) for c in ("total_duration", "missed_speech", "false_alarm", "speaker_confusion")], F.round("der", 5).alias("der"))
+    return _der_columns(E.der_sweep(s.where("seg_idx % 2 = 0"), s.where("seg_idx % 2 = 1")))
 
 
 @query()

@@ -7,6 +7,7 @@ import json
 import wave
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,3 +193,100 @@ def audio_samples(spark: SparkSession, folder: str, chunk: int = 16_000) -> Data
                         k += 1
 
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, "audio_id string, sample_rate int, chunk_idx long, samples array<float>")
+
+
+def settings(text: str) -> dict:
+    """Nested settings of a JSON object, or of ``key: value`` lines nested by indentation; comments go, numbers and truth values are read."""
+    try:
+        got = json.loads(text)
+        if isinstance(got, dict):
+            return got
+    except ValueError:
+        pass
+    out: dict = {}
+    levels: list[tuple[int, dict]] = [(-1, out)]
+    for raw in text.splitlines():
+        line = raw.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#") or ":" not in line:
+            continue
+        depth = len(line) - len(line.lstrip())
+        name, _, value = line.strip().partition(":")
+        while levels[-1][0] >= depth:
+            levels.pop()
+        if value.strip():
+            levels[-1][1][name] = _scalar(value.strip())
+        else:
+            levels[-1][1][name] = {}
+            levels.append((depth, levels[-1][1][name]))
+    return out
+
+
+def _scalar(text: str):
+    plain = {"true": True, "false": False, "null": None, "~": None}
+    if text.lower() in plain:
+        return plain[text.lower()]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            continue
+    return text.strip("'\"")
+
+
+def archived(spark: SparkSession, path: str, wanted: str = ".*") -> DataFrame:
+    """archive, name (letters that file names can't have become low lines), content of the members of zip files whose name matches."""
+    import re
+    import zipfile
+
+    def run(batches):
+        for b in batches:
+            for archive, content in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.infolist():
+                        if not member.is_dir() and re.search(wanted, member.filename):
+                            yield pd.DataFrame({"archive": [archive], "name": ["/".join(re.sub(r'[<>:"\\|?*]', "_", part) for part in member.filename.split("/") if part not in ("", ".", ".."))], "content": [z.read(member)]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+
+
+def results_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def cached_results(spark: SparkSession, path: str) -> DataFrame:
+    """path, seg_idx and the fields of each transcript segment of stored result objects."""
+    return spark.read.json(path, multiLine=True).select(path_column().alias("path"), F.posexplode("transcript").alias("seg_idx", "s")).select("path", "seg_idx", "s.*")
+
+
+def cached_vectors(spark: SparkSession, path: str, windows: DataFrame, make) -> DataFrame:
+    """Vectors stored at ``path`` if there is one for each window, else ``make(windows)``, stored for the next time."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:
+        found = None
+    if found is None or found.count() != windows.count():
+        make(windows).write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path)
+    return found
+
+
+def recordings(listing: DataFrame, meetings: list[str] | None = None) -> DataFrame:
+    """meeting and array of names like ``MEET.Array1-01``, of the wanted meetings, each file once, by meeting and array."""
+    rows = listing.withColumns({"meeting": F.split_part("stem", F.lit("."), F.lit(1)), "array": F.when(F.col("stem").contains("."), F.regexp_extract("stem", r"\.(.*)$", 1)).otherwise("")})
+    rows = rows if meetings is None else rows.where(F.col("meeting").isin(meetings))
+    return rows.dropDuplicates(["path"]).orderBy("meeting", "array")
+
+
+def first_recording(conversations: DataFrame, listing: DataFrame, key: str = "conv_id", prefix: int = 4) -> DataFrame:
+    """Each conversation with the first listed file (by path) whose stem begins with its id; the join's key is a prefix of both."""
+    c = conversations.withColumn("__k", F.substring(F.col(key).cast("string"), 1, prefix))
+    f = listing.select(F.col("stem").alias("__s"), F.col("path").alias("__p"))
+    by_length = f.withColumn("__k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(prefix)), lambda n: F.substring("__s", F.lit(1), n)))))
+    hit = c.join(by_length, "__k").where(F.startswith("__s", F.col(key).cast("string"))).groupBy(key).agg(F.min("__p").alias("wav"))
+    return conversations.join(hit, key, "left")
+
+
+def with_annotation(rows: DataFrame, listing: DataFrame, suffix: str = "_vibevoice", given: str = "rttm") -> DataFrame:
+    """The annotation given, else the listed one named ``<stem><suffix>``."""
+    found = listing.select(F.regexp_replace("stem", f"{suffix}$", "").alias("stem"), F.col("path").alias("__r")).where(F.col("__r").contains(suffix))
+    return rows.join(found, "stem", "left").withColumn(given, F.coalesce(given, "__r")).drop("__r")

@@ -19,5 +19,8 @@ def spark():
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="colloquy-test-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    import colloquy
+
+    colloquy.settle(s)
     yield s
     s.stop()

@@ -55,7 +55,7 @@ def test_chunks_stop_and_refuse_full_overlap(spark):
 
 
 def test_turns_drop_marks_and_join(spark):
-    d = make(spark, [("m", 0, "A", 0.0, 1.0, "eh, hello [NOISE]"), ("m", 1, "A", 1.0, 2.0, "there"), ("m", 2, "B", 2.0, 3.0, "[OVERLAP]"), ("m", 3, "A", 3.0, 4.0, "again")])
+    d = make(spark, [("m", 0, "A", 0.0, 1.0, "nah, hello [NOISE]"), ("m", 1, "A", 1.0, 2.0, "there"), ("m", 2, "B", 2.0, 3.0, "[OVERLAP]"), ("m", 3, "A", 3.0, 4.0, "again")])
     out = S.speaker_turns(d).collect()
     assert [(r["speaker_id"], r["text"], r["indices"]) for r in out] == [("A", "hello there again", [0, 1, 3])]
 
