@@ -49,6 +49,26 @@ def test_raking_meets_all_marginals(spark):
     assert np.allclose((t / cell).sort_index(), out.groupby(["source", "lang", "topic"]).weight.first().sort_index(), rtol=1e-4)
     assert out.probability.max() <= 1 + 1e-12 and abs(out.probability.max() - 1) < 1e-9
     assert abs(out.kept.mean() - out.probability.mean()) < 0.08
+    # at most a hundredth of the target mass lies in cells that are kept whole but ask for more
+    over = out[out.weight > out[out.probability >= 1].weight.min() * (1 + 1e-12)]
+    assert over.w.sum() <= 0.01 * total + 1e-6
+    none = mixing.mix(d, slack=0.0).toPandas()
+    assert np.allclose(none.probability, none.weight / none.weight.max())
+
+
+def test_a_tiny_source_does_not_set_the_rate(spark):
+    rows = [(i, " ".join(["w"] * 50), "en", f"s{i % 8}") for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    more = d.unionByName(spark.createDataFrame([(10**6, "w " * 20, "en", "tiny")], d.schema))
+    a, b = (mixing.weigh(x, mixing.rake(x)).where("source <> 'tiny'").agg(F.avg("__p")).first()[0] for x in (d, more))
+    assert a > 0.95 and b > 0.9
+
+
+def test_more_levels_than_have_factors(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_LEVELS", 4)
+    d = spark.createDataFrame([(i, "w " * (10 + i % 9), f"l{i % 9}", "s") for i in range(180)], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(d).toPandas()
+    assert len(out) == 180 and out.lang.nunique() == 9 and out[out.lang.isin(["l0", "l1", "l2"])].weight.nunique() == 1
 
 
 # --- nearest ---------------------------------------------------------------------------------
@@ -115,6 +135,71 @@ def test_unseen_letters_have_no_say():
     assert m.word("table") < 0.5 and abs(m.word("zzzz")) < 1.5
 
 
+def plain_kneser_ney(counts, word, y, order, shared):
+    """log P(word | class), by the definition, recursively over contexts."""
+    from functools import lru_cache
+
+    level = {k: {} for k in range(1, order + 1)}
+    for w, by in counts.items():
+        s = f"\x02{w}\x03"
+        for i in range(1, len(s)):
+            g = s[max(0, i - order + 1) : i + 1]
+            c = level[len(g)].setdefault(g, [0, 0])
+            c[0], c[1] = c[0] + by[0], c[1] + by[1]
+    for k in range(order, 1, -1):
+        for g, by in level[k].items():
+            c = level[k - 1].setdefault(g[1:], [0, 0])
+            c[0], c[1] = c[0] + (by[0] > 0), c[1] + (by[1] > 0)
+
+    def count(g):
+        c = level[len(g)].get(g, [0, 0])
+        return sum(c) if len(g) <= shared else c[y]
+
+    @lru_cache(None)
+    def discount(k):
+        n = [count(g) for g in level[k]]
+        return max(0.1, min(0.95, n.count(1) / (n.count(1) + 2 * n.count(2)))) if n.count(1) else 0.75
+
+    def p(g):
+        if not g:
+            return 1 / (len(level[1]) + 1)
+        below = p(g[1:])
+        after = [n for h, n in ((h, count(h)) for h in level[len(g)] if h[:-1] == g[:-1]) if n > 0]
+        d = discount(len(g))
+        return (max(count(g) - d, 0) + d * len(after) * below) / sum(after) if after else below
+
+    s = f"\x02{word}\x03"
+    return sum(math.log(p(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s)))
+
+
+def test_ratios_equal_a_plain_model():
+    rng = random.Random(8)
+    counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))): (rng.randrange(4), rng.randrange(4)) for _ in range(40)}
+    counts = {w: c for w, c in counts.items() if sum(c)}
+    m = toxicity.KneserNeyRatio(counts, order=4, shared=2)
+    # the models differ above the shared orders only, so letters with shorter contexts have a ratio of 1
+    for word in [*list(counts)[:12], "abcabc", "ccc", "a"]:
+        want = plain_kneser_ney(counts, word, 1, 4, 2) - plain_kneser_ney(counts, word, 0, 4, 2)
+        assert math.isclose(m.word(word), want, abs_tol=1e-9), word
+
+
+def test_combining_marks_and_words_are_cut_alike(spark):
+    rows = [(i, "e\u0301a हिन्दी ok" if i % 2 else "plain words", i % 2) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(d, d.select("doc_id", "toxic"))
+    x = toxicity.features("e\u0301a हिन्दी ok", toxicity.Ratios(m.ratio))
+    assert m.score(np.array([x]))[0] > 0.5 > m.score(np.array([toxicity.features("plain words", toxicity.Ratios(m.ratio))]))[0]
+
+
+def test_many_repeats_of_a_labelled_row_are_learnt_once(spark):
+    d = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("ein Satz hier").alias("text"), F.lit("de").alias("lang"))
+    d = d.unionByName(spark.createDataFrame([(i, f"some sentence {i}", "en") for i in range(2, 30)], d.schema))
+    m = langid.fit(d, max_rows=20)
+    assert set(m.names) <= {"de", "en"}
+    la = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert quality.fit(d, la, max_rows=20).grades and toxicity.fit(d, la, max_rows=20)
+
+
 @needs_data
 def test_toxicity_held_out(spark):
     d, la = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
@@ -137,6 +222,22 @@ def test_ordinal_thresholds(spark):
     assert ((out["tail"] >= 0) & (out["tail"] <= 1)).all()
 
 
+def test_thresholds_equal_a_plain_fit():
+    """One feature and three grades: gradient steps reach what a search over the same loss finds."""
+    rng = np.random.default_rng(2)
+    v = rng.uniform(-2, 2, 400)
+    y = np.digitize(1.5 * v + rng.logistic(size=400), [-0.5, 1.0])
+    m = quality.fit_ordinal([(np.array([7]), np.array([a])) for a in v], y, [0, 1, 2], bits=4, epochs=60, l2=0.0)
+
+    def loss(w, t):
+        p = np.concatenate([np.ones((400, 1)), 1 / (1 + np.exp(-(w * v[:, None] - np.array(t)[None, :]))), np.zeros((400, 1))], axis=1)
+        return -np.log(np.maximum(p[np.arange(400), y] - p[np.arange(400), y + 1], 1e-12)).mean()
+
+    best = min(((loss(w, (a, b)), w, a, b) for w in np.arange(0.9, 2.2, 0.05) for a in np.arange(-1.2, 0.4, 0.1) for b in np.arange(0.4, 1.9, 0.1)))
+    assert loss(m.weights[7], m.thresholds) < best[0] + 0.01
+    assert abs(m.weights[7] - best[1]) < 0.3 and np.abs(m.thresholds - best[2:]).max() < 0.35
+
+
 @needs_data
 def test_quality_held_out(spark):
     d, la = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
@@ -144,6 +245,25 @@ def test_quality_held_out(spark):
     assert (r.kept == (r.quality == 1)).mean() > 0.9
 
 
+def test_leader_equals_a_dense_one():
+    """The sparse steps against the definition over whole matrices."""
+    rng = np.random.default_rng(6)
+    n, k, a, b, l1, l2 = 12, 3, 0.5, 1.0, 0.02, 0.1
+    model = langid.FtrlSoftmax(n, k, a, b, l1, l2)
+    z, s = np.zeros((n, k)), np.zeros((n, k))
+    for _ in range(200):
+        x = rng.random(n) * (rng.random(n) < 0.4)
+        y = int(rng.integers(k))
+        w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((b + np.sqrt(s)) / a + l2))
+        g = np.outer(x, langid.softmax(x @ w) - np.eye(k)[y])
+        z += g - (np.sqrt(s + g * g) - np.sqrt(s)) / a * w
+        s += g * g
+        at = np.flatnonzero(x)
+        model.learn(at, x[at], y)
+    assert np.allclose(model.z, z) and np.allclose(model.n, s)
+    assert np.allclose(model.weights(slice(None)), np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((b + np.sqrt(s)) / a + l2)))
+
+
 @needs_data
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -487,6 +607,31 @@ def test_components_of_chains_and_stars(spark):
 # --- pipeline ----------------------------------------------------------------------------------
 
 
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Nulls, repeats, clashing columns and no rows go through all stages; each stage does what its operator says."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = [" ".join(words(rng, 60, 900)) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t), 1.0) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1, 1.0), (100, texts[5], "en", "s", 1, 1.0), (None, texts[6], None, None, None, None), (101, None, None, None, None, None), (102, "", "en", "s", 0, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity double"
+    benchmark = spark.createDataFrame([(1, f"{' '.join(texts[9].split()[:15])}. {' '.join(texts[9].split()[15:22])}.")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for name, part in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(part, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        kept = [tuple(r) for r in out.collect()]
+        assert set(kept) <= set(rows) and (name == "some") == bool(kept)
+        ids = [r[0] for r in kept if r[0] is not None]
+        # no copy, no repeat and no leaked item is left
+        assert len(ids) == len(set(ids)) and 9 not in ids and 100 not in ids
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
