@@ -51,3 +51,8 @@ def percent_done(done: Column, total: Column) -> Column:
 def remaining(elapsed: Column, done: Column, total: Column) -> Column:
     """Seconds left at the pace so far; null before anything is done."""
     return F.when(done > 0, elapsed / done * (total - done))
+
+
+def stamps(ts: Column) -> Column:
+    """A moment as date (01 January 2026), time (09:30) and part of a file's name (20260101_093000)."""
+    return F.struct(F.date_format(ts, "dd MMMM yyyy").alias("date"), F.date_format(ts, "HH:mm").alias("time"), F.date_format(ts, "yyyyMMdd_HHmmss").alias("name"))

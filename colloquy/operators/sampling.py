@@ -6,10 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def least_by_hash(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """The k rows of least hash of the key, ties by key, whatever the partitions.
+
+    Rows are counted by the upper 16 bits of the hash (65,536 counts at most reach the driver); all below the range
+    that holds the k-th are taken where they are, and only that range is ordered.
+    """
+    h = F.xxhash64(F.lit(seed), key)
+    upper = F.shiftright(h, 48)
+    counts, taken, cut = rows.groupBy(upper.alias("u")).count().orderBy("u").collect(), 0, None
+    for r in counts:
+        if taken + r["count"] >= k:
+            cut = r["u"]
+            break
+        taken += r["count"]
+    if cut is None:
+        return rows
+    return rows.where(upper < cut).unionByName(rows.where(upper == cut).orderBy(h, key).limit(k - taken))
+
+
 def fraction(rows: DataFrame, key: str, share: float, cap: int | None = None, seed: int = 42) -> DataFrame:
-    """max(1, int(n * share)) rows, at most ``cap``: those of least hash, whatever the partitions."""
+    """max(1, int(n * share)) rows, at most ``cap``: those of least hash."""
     k = max(1, int(rows.count() * share))
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k if cap is None else min(k, cap))
+    return least_by_hash(rows, key, k if cap is None else min(k, cap), seed)
 
 
 def offset_sample(rows: DataFrame, key: str, skip: int, k: int, seed: int = 42) -> DataFrame:

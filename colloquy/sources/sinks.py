@@ -162,7 +162,7 @@ def evaluation_report(results: DataFrame, condition: str = "-", stamp: str = "")
         *[F.avg(c).alias(f"mean_{c}") for c in ("missed_speech", "false_alarm", "speaker_confusion")], *[F.sum(c).alias(f"sum_{c}") for c in ("substitutions", "deletions", "insertions", "hits")],
         *[F.avg(F.coalesce(c, F.lit(0.0))).alias(f"mean_{c}") for c in ("rouge1_f", "rouge2_f", "rougel_f", "bertscore_f1")], F.count("rouge1_f").alias("n_summary"),
     ).first()
-    both = lambda v: f"{v:.4f} ({v * 100:.2f}%)"
+    both = lambda v: "-" if v is None else f"{v:.4f} ({v * 100:.2f}%)"
     head = ["=" * 70, "LAPORAN EVALUASI SISTEM NOTULENSI RAPAT OTOMATIS", f"Kondisi: {condition}", f"Timestamp: {stamp}", "=" * 70, "", "1. EVALUASI ASR (Word Error Rate)", "-" * 50]
     asr = [
         f"   Jumlah sampel      : {t['n_wer']}", f"   WER rata-rata      : {both(t['mean_wer'])}", f"   Standar deviasi    : {t['std_wer']:.4f}", f"   WER minimum        : {both(t['min_wer'])}",
@@ -245,8 +245,13 @@ def summary_text(summary: DataFrame, meeting: str = "meeting_id") -> DataFrame:
 
 def summary_yaml(summary: DataFrame, meeting: str = "meeting_id") -> DataFrame:
     """meeting, value: the fields by name, lists of texts or of flat objects as items; texts are quoted as in JSON, which is YAML too."""
-    quote = lambda c: F.to_json(F.array(c.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(c.cast("string")))) - 2)
+    quote = lambda c: F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", ""))
     out = []
+
+    def flat(names: list[str]):
+        lines = lambda x: [F.concat(F.lit(f"{'- ' if n == 0 else '  '}{name}: "), F.coalesce(quote(x[name]), F.lit("null"))) for n, name in enumerate(names)]
+        return lambda x: F.array_join(F.array(*lines(x)), "\n")
+
     for f in sorted((f for f in summary.schema.fields if f.name != meeting), key=lambda f: f.name):
         inner = getattr(f.dataType, "elementType", None)
         c = F.col(f.name)
@@ -254,7 +259,7 @@ def summary_yaml(summary: DataFrame, meeting: str = "meeting_id") -> DataFrame:
             out.append(F.concat(F.lit(f"{f.name}: "), F.coalesce(quote(c), F.lit("null"))))
             continue
         names = [g.name for g in getattr(inner, "fields", [])]
-        item = (lambda x, names=names: F.concat(*[p for n, name in enumerate(names) for p in (F.lit(f"{'- ' if n == 0 else '  '}{name}: "), F.coalesce(quote(x[name]), F.lit("null")), F.lit("\n" if n < len(names) - 1 else ""))])) if names else (lambda x: F.concat(F.lit("- "), quote(x)))
+        item = flat(names) if names else lambda x: F.concat(F.lit("- "), quote(x))
         out.append(F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.concat(F.lit(f"{f.name}:\n"), F.array_join(F.transform(c, item), "\n"))).otherwise(F.lit(f"{f.name}: []")))
     return summary.select(meeting, F.concat_ws("\n", *out).alias("value"))
 
@@ -324,3 +329,24 @@ def small_manifests(manifest: DataFrame, train: str, valid: str) -> None:
     rows = manifest.orderBy("wav", "start").limit(2).collect()
     for row, path in zip([rows[0], rows[-1]] if rows else [], (train, valid)):
         manifest.sparkSession.createDataFrame([row], manifest.schema).write.mode("overwrite").json(path)
+
+
+def as_objects(rows: DataFrame, left_out: tuple[str, ...] = ("embedding", "metadata", "language")) -> DataFrame:
+    """Rows as JSON objects, without what isn't written."""
+    return rows.select(F.to_json(F.struct(*[c for c in rows.columns if c not in left_out])).alias("value"))
+
+
+def batch_rows(results: DataFrame) -> DataFrame:
+    """file, status (success, or the error), processing_time and duration (two places) of a batch's runs."""
+    return results.select("file", F.when(F.col("error").isNull(), "success").otherwise(F.concat(F.lit("error: "), F.col("error"))).alias("status"), F.round("processing_time", 2).alias("processing_time"), F.round("duration", 2).alias("duration"))
+
+
+def run_metadata(segments: DataFrame, settings: dict, meeting: str = "meeting_id") -> DataFrame:
+    """meeting and a map of texts: counts of the run, and its settings by name (nested names joined by a stop)."""
+    def flat(d: dict, head: str = "") -> list[tuple[str, str]]:
+        return [x for k, v in d.items() for x in (flat(v, f"{head}{k}.") if isinstance(v, dict) else [(f"{head}{k}", str(v))])]
+
+    given = [F.lit(x) for pair in flat(settings) for x in pair]
+    counts = segments.groupBy(meeting).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("speaker_id").alias("s"), F.sum(F.col("end") - F.col("start")).alias("d"))
+    own = [F.lit("segments"), F.col("n").cast("string"), F.lit("speakers"), F.col("s").cast("string"), F.lit("speech"), F.format_string("%.2f", F.col("d"))]
+    return counts.select(meeting, F.create_map(*own, *given).alias("metadata"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def _marked(rows: DataFrame, ts: str, late: str) -> DataFrame:
@@ -36,3 +37,22 @@ def running_stats(rows: DataFrame, key: str, value: str) -> DataFrame:
 def start(rows: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Write a stream as Parquet; the checkpoint lets it go on after a lost driver."""
     return rows.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``report(name, batch, rows)`` after every batch of a stream."""
+
+    def __init__(self, report):
+        self.report = report
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.report(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

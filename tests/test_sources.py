@@ -99,3 +99,78 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, W.tumbling(rows, "ts", "10 minutes", "value").collect()))
     assert sorted(map(tuple, spark.table("tumbled").collect())) == want
+
+
+def test_settings_and_archives(spark, tmp_path):
+    import zipfile
+
+    text = "asr:\n  model: small  # which\n  rate: 16000\n  deep:\n    on: true\nname: 'x'\n# no\n"
+    assert R.settings(text) == {"asr": {"model": "small", "rate": 16000, "deep": {"on": True}}, "name": "x"}
+    assert R.settings('{"a": {"b": 1.5}}') == {"a": {"b": 1.5}}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("../words/M:1.xml", "<w/>")
+        z.writestr("notes.txt", "n")
+    got = R.archived(spark, str(tmp_path / "a.zip"), r"\.xml$").collect()
+    assert [(r["name"], bytes(r["content"])) for r in got] == [("words/M_1.xml", b"<w/>")]
+
+
+def test_listings(spark):
+    d = spark.createDataFrame([("/a/ES1.Array1-02.wav", "ES1.Array1-02"), ("/a/ES1.Array1-01.wav", "ES1.Array1-01"), ("/a/ES2.Mix.wav", "ES2.Mix"), ("/a/x_vibevoice.rttm", "x_vibevoice")], "path string, stem string")
+    assert [(r["meeting"], r["array"]) for r in R.recordings(d, ["ES1"]).collect()] == [("ES1", "Array1-01"), ("ES1", "Array1-02")]
+    c = spark.createDataFrame([("ES1",), ("ES1.Array1-02",), ("Q",)], "conv_id string")
+    assert {r["conv_id"]: r["wav"] for r in R.first_recording(c, d).collect()} == {"ES1": "/a/ES1.Array1-01.wav", "ES1.Array1-02": "/a/ES1.Array1-02.wav", "Q": None}
+    a = spark.createDataFrame([("x", None), ("y", "given")], "stem string, rttm string")
+    assert {r["stem"]: r["rttm"] for r in R.with_annotation(a, d).collect()} == {"x": "/a/x_vibevoice.rttm", "y": "given"}
+
+
+def test_stored_vectors(spark, tmp_path):
+    w, calls = spark.range(3), []
+
+    def make(d):
+        calls.append(1)
+        return d.withColumn("v", F.array(F.lit(1.0)))
+
+    path = str(tmp_path / "v")
+    assert R.cached_vectors(spark, path, w, make).count() == R.cached_vectors(spark, path, w, make).count() == 3 and len(calls) == 1
+    assert R.cached_vectors(spark, path, spark.range(4), make).count() == 4 and len(calls) == 2
+
+
+def test_reports_and_tables(spark):
+    d = spark.createDataFrame([("s1", "bersih", 0.1, 0.2, 1, 2, 3, 4), ("s2", "noisy", 0.3, None, 1, 0, 0, 9)], "sample string, condition string, wer double, der double, substitutions int, deletions int, insertions int, hits int")
+    t = K.evaluation_table(d).orderBy("Sample").collect()
+    assert len(t[0]) == 23 and (t[0]["WER"], t[0]["DER"], t[1]["DER"], t[0]["Hits"], t[0]["ROUGEL_F"]) == ("0.1000", "0.2000", "", "4", "")
+    lines = [r["value"] for r in K.evaluation_report(d, "uji").orderBy("n", "value").collect()]
+    assert "   WER rata-rata      : 0.2000 (20.00%)" in lines and "   - s2: WER = 0.3000 (30.00%)" in lines and "   - s1: DER = 0.2000 (20.00%)" in lines
+    assert "   Tidak ada data ringkasan untuk dievaluasi." in lines and lines.index("   - Substitutions    : 2") < lines.index("2. EVALUASI DIARIZATION (Diarization Error Rate)")
+    e = spark.createDataFrame([("bersih", "x", 0.15, 0.15)], "condition string, description string, expected_wer double, expected_der double")
+    lines = [r["value"] for r in K.condition_report(d, e).orderBy("n").collect()]
+    assert "[BERSIH]" in lines and "    Status: ✓ MEETS EXPECTATION" in lines and "    Status: ✗ ABOVE EXPECTATION" in lines
+    assert K.PALETTE[0] == "0066CC" and K.PALETTE[-1] == "99004C"
+
+
+def test_summaries_written(spark):
+    d = spark.createDataFrame([("m", "isi", ["satu", "dua"], ["putus"], [("Budi", "kirim \"x\"", "besok"), (None, "rapat", "")], ["a", "b"])], "meeting_id string, overview string, key_points array<string>, decisions array<string>, action_items array<struct<owner:string,task:string,due:string>>, topics array<string>")
+    text = K.summary_text(d).first()["value"]
+    assert "  2. dua" in text and '  1. [Budi] kirim "x" (Due: besok)' in text and "  2. [TBD] rapat" in text and text.endswith("Topik:\na, b")
+    yaml = K.summary_yaml(d).first()["value"]
+    assert 'overview: "isi"' in yaml and '- owner: "Budi"\n  task: "kirim \\"x\\""\n  due: "besok"' in yaml and "- owner: null" in yaml
+    assert K.summary_json(d).first()["value"].startswith('{"overview":"isi"')
+    o = K.result_objects(spark.createDataFrame([("m", 0, 0.0, [1.0])], "meeting_id string, seg_idx int, start double, embedding array<double>"), spark.createDataFrame([("m", 0, "t")], "meeting_id string, seg_idx int, text string"), d).first()
+    assert o["metadata"]["diarization_segments"] == 1 and o["transcript"][0]["text"] == "t" and "embedding" not in o["diarization"][0]
+
+
+def test_annotations_made(spark):
+    u = spark.createDataFrame([("/g/rapat_gt.txt", 0, "A b", "satu dua tiga"), ("/g/rapat_gt.txt", 1, "C", "empat")], "path string, utt_idx int, speaker_id string, text string")
+    texts, lines = K.converted_annotations(u, spark.createDataFrame([("/g/rapat_gt.txt", 8.0)], "path string, duration double"))
+    assert tuple(texts.first()) == ("rapat", "satu dua tiga\nempat")
+    assert [r["value"] for r in lines.orderBy("start").collect()] == ["SPEAKER rapat 1 0.000 6.000 <NA> <NA> A_b <NA> <NA>", "SPEAKER rapat 1 6.000 2.000 <NA> <NA> C <NA> <NA>"]
+    # without a duration: four words at 3.5 a second
+    _, lines = K.converted_annotations(u)
+    assert lines.orderBy("start").collect()[0]["value"].startswith("SPEAKER rapat 1 0.000 0.857")
+    w = spark.createDataFrame([("m", "A", "x", 0.0, 1.0), ("m", "A", "y", 1.0, 2.0), ("m", "B", "z", 2.0, 3.0)], "meeting_id string, speaker_id string, word string, start double, end double")
+    b = {k: v.collect() for k, v in K.annotation_bundle(w).items()}
+    assert b["transcript"][0]["text"] == "x y z" and b["speakers"][0]["value"] == "A: x y\nB: z" and len(b["rttm"]) == 2 and b["metadata"][0]["speakers"] == 2
+    a = spark.createDataFrame([("s", "/a/s.wav", 65.5)], "stem string, path string, duration double")
+    files = {r["name"]: r["value"] for r in K.annotation_templates(a).collect()}
+    assert set(files) == {"s.txt", "s.rttm", "s_info.json"} and "1:05 (65.50 detik)" in files["s.txt"] and "SPEAKER s 1 0.00 0.00" in files["s.rttm"]
+    assert '"output_dir":"o"' in K.batch_configuration(a, ["stem", "path"], "o").first()["value"]
