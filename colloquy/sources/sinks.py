@@ -162,6 +162,7 @@ def evaluation_report(results: DataFrame, condition: str = "-", stamp: str = "")
         *[F.avg(c).alias(f"mean_{c}") for c in ("missed_speech", "false_alarm", "speaker_confusion")], *[F.sum(c).alias(f"sum_{c}") for c in ("substitutions", "deletions", "insertions", "hits")],
         *[F.avg(F.coalesce(c, F.lit(0.0))).alias(f"mean_{c}") for c in ("rouge1_f", "rouge2_f", "rougel_f", "bertscore_f1")], F.count("rouge1_f").alias("n_summary"),
     ).first()
+    # The report's lines
     both = lambda v: "-" if v is None else f"{v:.4f} ({v * 100:.2f}%)"
     head = ["=" * 70, "LAPORAN EVALUASI SISTEM NOTULENSI RAPAT OTOMATIS", f"Kondisi: {condition}", f"Timestamp: {stamp}", "=" * 70, "", "1. EVALUASI ASR (Word Error Rate)", "-" * 50]
     asr = [
@@ -199,6 +200,7 @@ def condition_report(results: DataFrame, expected: DataFrame, stamp: str = "") -
     """n, value: totals, then each condition (description, expected_wer, expected_der given) with means and whether they meet what is expected."""
     stat = lambda c: [F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.count(c).alias(f"n_{c}")]
     t = results.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("condition")).alias("conditions"), *stat("wer"), *stat("der")).first()
+    # The report's lines
     lines = ["=" * 80, "LAPORAN EVALUASI SISTEM NOTULENSI RAPAT OTOMATIS", "=" * 80, "", f"Timestamp: {stamp}", f"Total samples evaluated: {t['n']}", f"Conditions tested: {', '.join(t['conditions'])}", "", "-" * 80, "RINGKASAN KESELURUHAN", "-" * 80]
     for m in ("wer", "der"):
         if t[f"n_{m}"]:
