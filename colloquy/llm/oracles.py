@@ -43,3 +43,39 @@ def neardup(words: int = 3, percent: int = 85) -> str:
  r(id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a),
  m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id"""
+
+
+def variants(odd: int = 97, length: int = 5, count: int = 3, ratio: int = 2) -> str:
+    crc = "list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    utf8 = "flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))"
+    return f"""WITH RECURSIVE t AS (SELECT list({crc} ORDER BY i) AS t FROM range(256) r(i)),
+ r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+ d AS (SELECT w, coalesce(doc_id::VARCHAR, '') || ':' || w AS s, count(*) AS n FROM r GROUP BY 1, 2),
+ h AS (SELECT w, n, xor(list_reduce([4294967295::BIGINT] || {utf8}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS h FROM d, t),
+ f AS (SELECT CASE WHEN h % {odd} = 0 THEN substr(w, 1, (h % len(w))::BIGINT) || substr(w, (h % len(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+ v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM f GROUP BY 1 HAVING len(word) >= {length} AND sum(n) >= {count}),
+ x AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS p FROM v)),
+ y AS (SELECT DISTINCT a.word AS word, b.word AS o, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+ z AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, o) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM y),
+ g AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= {ratio} * v.n THEN o END AS form, CASE WHEN m >= {ratio} * v.n THEN m END AS form_n FROM v LEFT JOIN z ON z.word = v.word AND k = 1),
+ l(word, root, form) AS (SELECT word, word, form FROM g UNION ALL SELECT l.word, g.word, g.form FROM l JOIN g ON l.form = g.word)
+ SELECT g.word, g.form, l.root, g.n, g.n_near, g.form_n FROM g JOIN l ON l.word = g.word AND l.form IS NULL"""
+
+
+def clusters(k: int = 8, dims: int = 64, rounds: int = 10, scale: int = 1024, seed: int = 3) -> str:
+    near = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2])::HUGEINT * (z[1] - z[2])))"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT id, vec_id, any_value(e.v) AS v, min({near} * {k} + c.c) AS m FROM e, c{n} c GROUP BY id, vec_id)")
+        if n < rounds:
+            steps.append(
+                f"s{n} AS (SELECT m % {k} AS c, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT m, unnest(v) AS x, unnest(range({dims})) AS p FROM a{n}) GROUP BY 1, 2),"
+                f" c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(q.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS v FROM s{n} GROUP BY 1) q ON q.c = c.c)"
+            )
+    good = f"len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {good}),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM e QUALIFY c < {k}),
+ {', '.join(steps)}
+ SELECT vec_id, (m % {k})::INTEGER AS cluster, (m // {k})::BIGINT AS distance, (sum(m // {k}) OVER (PARTITION BY m % {k}))::BIGINT AS cluster_inertia, (sum(m // {k}) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = m % {k}"""

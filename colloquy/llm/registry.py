@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, lmscore, mixing, nearest, neardup, oracles, quality, toxicity
+from . import decontaminate, html, langid, licenses, lloyd, lmscore, mixing, nearest, neardup, oracles, quality, simhash, toxicity, variants
 from .common import fold, read
 
 
@@ -51,6 +51,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.groups(read(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings")).drop("cluster_size")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_nearest": op2_nearest,
@@ -62,9 +74,14 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_neardup": op9_neardup,
     "op10_langid": op10_langid,
+    "op11_simhash": op11_simhash,
+    "op12_variants": op12_variants,
+    "op13_clusters": op13_clusters,
 }
 ORACLE_SQL = {
     "op2_nearest": oracles.nearest(),
     "op5_licenses": oracles.licenses(),
     "op9_neardup": oracles.neardup(),
+    "op12_variants": oracles.variants(),
+    "op13_clusters": oracles.clusters(),
 }
