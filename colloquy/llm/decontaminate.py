@@ -2,10 +2,11 @@
 
 Test items are indexed once: postings by term in item order, cut at the same
 items for every term into blocks that carry their largest score.  An item's scores are divided by the score the item
-gets for its own words, so one threshold fits all items.  Every training text
-is cut into passages of twice the longest item, half of each shared with the
+gets for its own words, so one threshold fits all items.  Items are classed by
+length: up to 64 words, 128, 256 and so on.  For each class every training text
+is cut into passages of twice the class's length, half of each shared with the
 next, so any item's worth of words lies whole in a passage; every passage is a
-query.  The block maxima of a passage's terms, added up by block for all passages
+query.  How far apart an item's words may lie depends on its own length alone.  The block maxima of a passage's terms, added up by block for all passages
 of a text at once, bound every score in the block; blocks under the threshold
 are passed over, and within the others WAND, which skips by the terms' maxima
 in the block, returns all items above it.  A hit counts
@@ -13,7 +14,7 @@ when the item's question (all but its last sentence; the first two thirds of a
 single sentence) and its answer (the rest) both have at least ``overlap`` of
 their word trigrams in the passage or the half passages beside it.
 
-Statistics (number of items, document frequencies, mean and largest length) are
+Statistics (number of items, document frequencies, mean length) are
 those of all items, counted in Spark.  The index is sent to every task, so its
 size is bounded: items with more than about ``max_postings`` postings in all are
 dealt to several indexes, each of which reads the documents once; since the
@@ -43,6 +44,8 @@ from .common import small_batches, stored, strings
 K1, B = 1.2, 0.75
 #: Items in a block, unless the table of block maxima (terms by blocks) would pass MAX_CELLS.
 BLOCK, MAX_CELLS = 4, 8_000_000
+#: Words of the items of the first class; every further class holds items of up to twice as many.
+FIRST_CLASS = 64
 #: Postings of an index, which is sent to every task.
 MAX_POSTINGS = 2_000_000
 WORD = re.compile(r"\w+")
@@ -63,17 +66,23 @@ def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
 
 
+def stride_of(words: int) -> int:
+    """Half a passage for an item of so many words: the length of its class."""
+    return max(FIRST_CLASS, 1 << (words - 1).bit_length())
+
+
 class Statistics:
-    """Of all items that have words: their number, their mean and largest length, and in how many each word occurs."""
+    """Of all items that have words: their number, their mean length, and in how many each word occurs."""
 
-    def __init__(self, items: int, mean: float, longest: int, df: dict[str, int]):
-        self.items, self.mean, self.longest, self.df = items, mean, longest, df
+    def __init__(self, items: int, mean: float, df: dict[str, int]):
+        self.items, self.mean, self.df = items, mean, df
 
 
 class ItemIndex:
-    """Inverted index of items, with block maxima and scores relative to an item's own.
+    """Inverted index of items of one class, with block maxima and scores relative to an item's own.
 
     ``statistics`` covers more items where this index holds a part of them; by default it is that of the items given.
+    A passage is as long as the longest of the items needs.
     """
 
     def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
@@ -84,7 +93,7 @@ class ItemIndex:
         tf = [Counter(q + a) for _, q, a in split]
         size = [sum(c.values()) for c in tf]
         if statistics is None:
-            statistics = Statistics(len(tf), sum(size) / max(1, len(size)), max(size, default=0), Counter(w for c in tf for w in c))
+            statistics = Statistics(len(tf), sum(size) / max(1, len(size)), Counter(w for c in tf for w in c))
         idf = {w: math.log(1 + (statistics.items - n + 0.5) / (n + 0.5)) for w, n in statistics.df.items()}
         raw = [{w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * s / statistics.mean)) for w, n in c.items()} for c, s in zip(tf, size)]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -102,7 +111,7 @@ class ItemIndex:
                 # rounded up, so that the sum stays a bound
                 self.maxima[k, i // self.size] = max(self.maxima[k, i // self.size], np.nextafter(np.float32(x), np.float32(np.inf)))
         self.most = np.append(self.maxima[:-1].max(1), np.float32(0)) if len(split) else np.zeros(1, np.float32)
-        self.stride = max(32, statistics.longest)
+        self.stride = stride_of(max(size, default=0))
 
     def wand(self, terms: list[int], threshold: float, block: int) -> list[tuple[int, float]]:
         """All items of the block whose score for the distinct terms is at least the threshold."""
@@ -159,7 +168,9 @@ class ItemIndex:
 
     def search(self, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, overlap of question, of answer): the verified items, each with its best passage."""
-        words = WORD.findall(text.lower())
+        return self.search_words(WORD.findall(text.lower()), threshold, overlap)
+
+    def search_words(self, words: list[str], threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         none = len(self.terms)
         ids = np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
         if not len(ids) or not none:
@@ -179,8 +190,14 @@ class ItemIndex:
         return [(self.ids[i], *out[i]) for i in sorted(out)]
 
 
-def indexes(benchmark: DataFrame, max_postings: int = MAX_POSTINGS) -> Iterator[ItemIndex]:
-    """Indexes of about ``max_postings`` postings at most, built one at a time, over the statistics of all items."""
+def search(indexes: list[ItemIndex], text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
+    """What the indexes of all classes find in a text."""
+    words = WORD.findall(text.lower())
+    return [x for index in indexes for x in index.search_words(words, threshold, overlap)]
+
+
+def indexes(benchmark: DataFrame, max_postings: int = MAX_POSTINGS) -> Iterator[list[ItemIndex]]:
+    """An index for each class, with about ``max_postings`` postings together at most, built one lot at a time, over the statistics of all items."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
     def cut(batches):
@@ -189,15 +206,18 @@ def indexes(benchmark: DataFrame, max_postings: int = MAX_POSTINGS) -> Iterator[
             yield pa.RecordBatch.from_arrays([b["item_id"], b["text"], pa.array([len(x) for x in said], pa.int64()), pa.array([sorted(set(x)) for x in said], pa.list_(pa.string()))], names=["item_id", "text", "n", "terms"])
 
     items = stored(rows.mapInArrow(cut, "item_id long, text string, n long, terms array<string>").where("n > 0"))
-    count, mean, longest, postings = items.agg(F.count(F.lit(1)), F.avg("n"), F.max("n"), F.sum(F.size("terms"))).first()
+    count, mean, postings = items.agg(F.count(F.lit(1)), F.avg("n"), F.sum(F.size("terms"))).first()
     parts = max(1, math.ceil((postings or 0) / max_postings))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     df = items.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     for k in range(parts if count else 0):
         mine = items.where(part == k)
         own = df if parts == 1 else df.join(mine.select(F.explode("terms").alias("w")).distinct(), "w", "left_semi")
-        got, known = mine.select("item_id", "text").toArrow(), own.toArrow()
-        yield ItemIndex(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())), Statistics(count, mean, longest, dict(zip(known["w"].to_pylist(), known["df"].to_pylist()))))
+        got, known = mine.select("item_id", "text", "n").toArrow(), own.toArrow()
+        statistics, classes = Statistics(count, mean, dict(zip(known["w"].to_pylist(), known["df"].to_pylist()))), defaultdict(list)
+        for i, t, n in zip(*(got[c].to_pylist() for c in ("item_id", "text", "n"))):
+            classes[stride_of(n)].append((i, t))
+        yield [ItemIndex(classes[stride], statistics) for stride in sorted(classes)]
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_postings: int = MAX_POSTINGS) -> DataFrame:
@@ -205,12 +225,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
     spark = documents.sparkSession
     small_batches(spark)
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-    for index in indexes(benchmark, max_postings):
-        shared = spark.sparkContext.broadcast(index)
+    for lot in indexes(benchmark, max_postings):
+        shared = spark.sparkContext.broadcast(lot)
 
         def run(batches, shared=shared):
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"].to_pylist(), strings(b["text"])) for x in shared.value.search(t, threshold, overlap)]
+                rows = [(d, *x) for d, t in zip(b["doc_id"].to_pylist(), strings(b["text"])) for x in search(shared.value, t, threshold, overlap)]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -224,12 +244,12 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
     spark = documents.sparkSession
     small_batches(spark)
     out = documents
-    for index in indexes(benchmark, max_postings):
-        shared = spark.sparkContext.broadcast(index)
+    for lot in indexes(benchmark, max_postings):
+        shared = spark.sparkContext.broadcast(lot)
 
         def run(batches, shared=shared):
             for b in batches:
-                yield b.filter(pa.array([not shared.value.search(t, threshold, overlap) for t in strings(b["text"])], pa.bool_()))
+                yield b.filter(pa.array([not search(shared.value, t, threshold, overlap) for t in strings(b["text"])], pa.bool_()))
 
         out = out.mapInArrow(run, documents.schema)
     return out

@@ -334,6 +334,7 @@ def test_scores_are_those_of_all_items(spark):
     # plain BM25 over every passage
     index = decontaminate.ItemIndex(items)
     split = {i: index.parts[n] for n, i in enumerate(index.ids)}
+    assert index.stride == 64 and [decontaminate.stride_of(n) for n in (0, 1, 64, 65, 128, 4000)] == [64, 64, 64, 128, 128, 4096]
     want = []
     for k, text in docs:
         ws = text.replace(".", "").split()
@@ -352,6 +353,21 @@ def test_scores_are_those_of_all_items(spark):
     assert np.allclose([r[2:] for r in one], [r[2:] for r in sorted(want, key=str)])
 
 
+def test_a_long_item_changes_no_other_items_passages(spark):
+    """A question, filler and its answer are no hit, whatever other items there are; a long item is found in a long text."""
+    rng = random.Random(17)
+    question, answer = words(rng, 20, 10**6), words(rng, 6, 10**6)
+    items = [(1, f"{' '.join(question)}. {' '.join(answer)}."), (2, f"{' '.join(words(rng, 30, 10**6))}. {' '.join(words(rng, 9, 10**6))}.")]
+    long = [words(rng, 20, 10**6) for _ in range(200)]
+    docs = [
+        (1, " ".join(question + words(rng, 3000, 10**6) + answer)), (2, " ".join(words(rng, 500, 10**6) + question + words(rng, 10, 10**6) + answer)),
+        (3, " ".join(words(rng, 900, 10**6) + [w for s in long for w in s] + words(rng, 50, 10**6))), (4, " ".join(w for s in long[:60] for w in s)),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    few, more = (sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, spark.createDataFrame(b, "item_id long, text string")).collect()) for b in (items, [*items, (3, ". ".join(" ".join(s) for s in long))]))
+    assert few == [(2, 1)] and more == [(2, 1), (3, 3)]
+
+
 # --- licenses ----------------------------------------------------------------------------------
 
 
