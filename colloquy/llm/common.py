@@ -48,6 +48,9 @@ def shared_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="colloquy-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+        # Spark makes a folder of its own for this application in it, which goes with the application
+        own = spark._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return sc.getCheckpointDir()
 
 
@@ -93,6 +96,27 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def packed(documents: DataFrame, **more: Column) -> DataFrame:
+    """A column ``row`` with all columns of the table, and ``more``: no name of the table can clash with those of an operator."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
+def kept_rows(documents: DataFrame, keep) -> DataFrame:
+    """The rows, all columns, for whose texts ``keep`` (list of texts -> list of booleans, made once in each task) says so."""
+    small_batches(documents.sparkSession)
+
+    def run(batches):
+        judge = keep()
+        for b in batches:
+            yield b.filter(pa.array(judge(strings(b["text"])), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """The n rows of smallest hash: a sample that depends on neither order nor partitions."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)

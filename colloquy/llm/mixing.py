@@ -12,8 +12,9 @@ tiny source can't dictate how much of all others is kept, and the kept tokens
 meet the targets in expectation but for that share.  With a slack of 0 no
 probability passes 1.
 
-Of languages and of topics the MAX_LEVELS - 1 with the most tokens (ties by
-name) have factors of their own; all others share the level ``other``.
+Every language, topic and source has a factor of its own, however many there
+are; the factors are tables that cells and documents are joined with.  The driver
+holds the languages, the topics and the tokens of the pairs of them that occur.
 Target shares default to the observed shares to the power ``alpha``, scaled to
 sum 1; given targets are dicts of shares (languages, topics) or a DataFrame
 (source, share).
@@ -30,14 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed, unpacked
 
-MAX_LEVELS = 400
-OTHER = "other"
 #: Target mass in cells that may be kept whole though they ask for more; steps of a factor of 2 for finding them.
 SLACK, STEPS = 0.01, 256
-#: Sources whose factors are sent to every task; beyond it they are joined by a shuffle.
-BROADCAST_SOURCES = 200_000
+#: Levels (sources, languages, topics) whose factors are sent to every task; beyond it they are joined by a shuffle.
+BROADCAST_LEVELS = 200_000
 _ROOM = float(2**52)
 
 
@@ -56,12 +55,13 @@ def genre(text: Column, tokens: Column) -> Column:
     )
 
 
-def _prepared(documents: DataFrame, topic: Column | None) -> DataFrame:
+def _prepared(documents: DataFrame, topic: Column | None) -> dict[str, Column]:
+    """Tokens, source, language and topic of a document."""
     n = tokens_of(F.col("text"))
-    return documents.withColumns({
-        "__tokens": n, "__source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("und")),
-        "__topic": F.coalesce((genre(F.col("text"), n) if topic is None else topic).cast("string"), F.lit("none")),
-    })
+    return {
+        "tokens": n, "source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("und")),
+        "topic": F.coalesce((genre(F.col("text"), n) if topic is None else topic).cast("string"), F.lit("none")),
+    }
 
 
 def _shares(observed: dict[str, float], target: dict[str, float] | None, alpha: float) -> list[float]:
@@ -73,63 +73,60 @@ def _shares(observed: dict[str, float], target: dict[str, float] | None, alpha:
 
 
 class Calibration:
-    """Factors by language and by topic (dicts), of sources (a DataFrame: __s, __a), and the scale."""
+    """Factors of sources, languages and topics (DataFrames: level, factor), how many there are of each, and the scale."""
 
-    def __init__(self, langs, topics, sources, n_sources, scale, iterations, gap):
-        self.langs, self.topics, self.sources, self.n_sources, self.scale, self.iterations, self.gap = langs, topics, sources, n_sources, scale, iterations, gap
+    def __init__(self, factors: dict[str, DataFrame], sizes: dict[str, int], scale: float, iterations: int, gap: float):
+        self.factors, self.sizes, self.scale, self.iterations, self.gap = factors, sizes, scale, iterations, gap
 
 
 def _levels(cells: DataFrame, of: str) -> dict[str, float]:
-    """Tokens by level: the largest by name, the rest together as OTHER; MAX_LEVELS of them at most."""
-    rows = cells.groupBy(of).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), of).limit(MAX_LEVELS + 1).collect()
-    if len(rows) <= MAX_LEVELS:
-        return {r[0]: r[1] for r in sorted(rows)}
-    named = {r[0]: r[1] for r in rows[: MAX_LEVELS - 1]}
-    rest = cells.where(~F.col(of).isin(list(named))).agg(F.sum("n")).first()[0]
-    named[OTHER] = named.get(OTHER, 0.0) + rest
-    return dict(sorted(named.items()))
+    """Tokens by level, in the order of names."""
+    return {r[0]: r[1] for r in cells.groupBy(of).agg(F.sum("n").alias("n")).orderBy(of).collect()}
 
 
-def _level(of: str, levels: dict) -> Column:
-    """The level of a value: its own, or OTHER."""
-    return F.when(F.col(of).isin(list(levels)), F.col(of)).otherwise(OTHER) if OTHER in levels else F.col(of)
-
-
-def _place(of: str, levels: dict) -> Column:
-    return F.array_position(F.array(*map(F.lit, levels)), _level(of, levels)).cast("int") - 1
+def _known(df: DataFrame, table: DataFrame, size: int, of: str, name: str) -> DataFrame:
+    """``df`` with what ``table`` (level, value) says about the level in its column ``of``, as ``name``."""
+    table = table.toDF(of, name)
+    return df.join(F.broadcast(table) if size <= BROADCAST_LEVELS else table, of)
 
 
 def rake(documents: DataFrame, alpha: float = 0.7, langs: dict | None = None, topics: dict | None = None, sources: DataFrame | None = None, topic: Column | None = None, budget_tokens: float | None = None, tolerance: float = 1e-7, max_iterations: int = 60, slack: float = SLACK) -> Calibration:
-    cells = materialize(_prepared(documents, topic).groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").cast("double").alias("n")))
-    levels = [_levels(cells, c) for c in ("__lang", "__topic")]
+    spark = documents.sparkSession
+    cells = documents.select(*[c.alias(n) for n, c in _prepared(documents, topic).items()]).groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("n"))
+    cells = materialize(cells)
+    levels = [_levels(cells, c) for c in ("lang", "topic")]
     names = [list(x) for x in levels]
     total = sum(levels[0].values())
     if not names[0]:
-        return Calibration({}, {}, None, 0, 1.0, 0, 0.0)
+        return Calibration({}, {}, 1.0, 0, 0.0)
     goal_l, goal_t = ([s * total for s in _shares(x, t, alpha)] for x, t in zip(levels, (langs, topics)))
     # a row for each source: its tokens by (language, topic), only those that it has
-    placed = cells.select("__source", _place("__lang", levels[0]).alias("l"), _place("__topic", levels[1]).alias("t"), "n").groupBy("__source", "l", "t").agg(F.sum("n").alias("n"))
-    rows = placed.groupBy("__source").agg(F.collect_list(F.struct("l", "t", "n")).alias("v"), F.sum("n").alias("t"))
+    numbers = [spark.createDataFrame(list(zip(x, range(len(x)))), "level string, at int") for x in names]
+    placed = _known(_known(cells, numbers[0], len(names[0]), "lang", "l"), numbers[1], len(names[1]), "topic", "t")
+    rows = placed.groupBy("source").agg(F.collect_list(F.struct("l", "t", "n")).alias("v"), F.sum("n").alias("t"))
     if sources is None:
         rows = rows.withColumn("g", F.when(F.col("t") > 0, F.pow("t", F.lit(alpha))).otherwise(0.0))
     else:
-        given = sources.select(F.col("source").alias("__source"), F.col("share").cast("double").alias("share"))
-        rows = rows.join(given, "__source", "left").withColumn("g", F.when(F.col("t") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)).drop("share")
-    rows = materialize(rows.select("__source", "g", F.array_sort("v").alias("v")))
+        given = sources.select(F.col("source"), F.col("share").cast("double").alias("share"))
+        rows = rows.join(given, "source", "left").withColumn("g", F.when(F.col("t") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)).drop("share")
+    rows = materialize(rows.select("source", "g", F.array_sort("v").alias("v")))
     whole, n_sources = rows.agg(F.sum("g"), F.count(F.lit(1))).first()
     b, c = [1.0] * len(names[0]), [1.0] * len(names[1])
 
+    def with_factors(df: DataFrame) -> DataFrame:
+        """The factors of languages and topics as two arrays: one packed row goes to every task."""
+        return df.crossJoin(F.broadcast(spark.createDataFrame([(b, c)], "b array<double>, c array<double>")))
+
     def cell_factor(x: Column) -> Column:
-        return F.get(F.array(*map(F.lit, b)), x["l"]) * F.get(F.array(*map(F.lit, c)), x["t"])
+        return F.get(F.col("b"), x["l"]) * F.get(F.col("c"), x["t"])
 
-    def factor() -> Column:
-        own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["n"] * cell_factor(x))
-        return F.when(own > 0, F.col("g") / F.lit(whole or 1.0) * F.lit(total) / own).otherwise(F.lit(1.0))
+    own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["n"] * cell_factor(x))
+    factor = F.when(own > 0, F.col("g") / F.lit(whole or 1.0) * F.lit(total) / own).otherwise(F.lit(1.0))
 
     done, gap = 0, 0.0
     for done in range(1, max_iterations + 1):
-        # languages x topics sums at most
-        got = rows.select(factor().alias("a"), F.explode("v").alias("x")).groupBy("x.l", "x.t").agg(F.sum(F.col("a") * F.col("x.n")).alias("n")).collect()
+        # a sum for each pair of a language and a topic that occurs
+        got = with_factors(rows).select(factor.alias("a"), F.explode("v").alias("x")).groupBy("x.l", "x.t").agg(F.sum(F.col("a") * F.col("x.n")).alias("n")).collect()
         sums = {(r["l"], r["t"]): r["n"] * b[r["l"]] * c[r["t"]] for r in got}
         gap = 0.0
         for k, (factors, goals) in enumerate(((b, goal_l), (c, goal_t))):
@@ -143,8 +140,8 @@ def rake(documents: DataFrame, alpha: float = 0.7, langs: dict | None = None, to
             sums = {place: n * by[place[k]] for place, n in sums.items()}
         if gap < tolerance:
             break
-    fitted = materialize(rows.select(F.col("__source").alias("__s"), factor().alias("__a"), "v"))
-    weights = fitted.select("__a", F.explode("v").alias("x")).select((F.col("__a") * cell_factor(F.col("x"))).alias("w"), F.col("x.n").alias("n")).where("n > 0 and w > 0")
+    fitted = materialize(with_factors(rows).select("source", factor.alias("factor"), F.transform("v", lambda x: F.struct(x["n"].alias("n"), cell_factor(x).alias("w"))).alias("v")))
+    weights = fitted.select("factor", F.explode("v").alias("x")).select((F.col("factor") * F.col("x.w")).alias("w"), F.col("x.n").alias("n")).where("n > 0 and w > 0")
     # mass by steps of the weight's logarithm, from the largest down: a bounded number of rows
     steps = weights.groupBy(F.floor(F.log2("w") * STEPS).alias("k")).agg(F.sum(F.col("w") * F.col("n")).alias("mass"), F.max("w").alias("w")).orderBy(F.desc("k")).collect()
     most, mass = steps[0]["w"] if steps else 0.0, 0.0
@@ -155,29 +152,29 @@ def rake(documents: DataFrame, alpha: float = 0.7, langs: dict | None = None, to
     scale = 1.0 / most if most else 1.0
     if budget_tokens is not None and total:
         scale = min(scale, budget_tokens / total)
-    return Calibration(dict(zip(names[0], b)), dict(zip(names[1], c)), fitted.drop("v"), n_sources, scale, done, gap)
+    factors = {k: spark.createDataFrame(list(zip(x, f)), "level string, factor double") for k, x, f in (("lang", names[0], b), ("topic", names[1], c))}
+    return Calibration({"source": fitted.select("source", "factor"), **factors}, {"source": n_sources, "lang": len(names[0]), "topic": len(names[1])}, scale, done, gap)
 
 
 def weigh(documents: DataFrame, c: Calibration, topic: Column | None = None, seed: int = 17) -> DataFrame:
-    """All columns, and __tokens, __source, __lang, __topic, __weight, __p and __kept."""
-    docs = _prepared(documents, topic)
-    if c.sources is None:
-        return docs.withColumns({"__weight": F.lit(1.0), "__p": F.lit(1.0), "__kept": F.lit(True)})
-    small = F.broadcast(c.sources) if c.n_sources <= BROADCAST_SOURCES else c.sources
-    own = [F.get(F.array(*map(F.lit, x.values())), _place(of, x)) for of, x in (("__lang", c.langs), ("__topic", c.topics))]
-    joined = docs.join(small, F.col("__source") == F.col("__s"))
-    joined = joined.withColumn("__weight", F.col("__a") * own[0] * own[1]).drop("__s", "__a")
+    """row (all columns of the table), tokens, source, lang, topic, weight, probability and kept."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(2**52)) / F.lit(_ROOM)
-    joined = joined.withColumn("__p", F.least(F.lit(1.0), F.col("__weight") * F.lit(c.scale)))
-    return joined.withColumn("__kept", draw < F.col("__p"))
+    docs = packed(documents, **_prepared(documents, topic), draw=draw)
+    if not c.factors:
+        return docs.withColumns({"weight": F.lit(1.0), "probability": F.lit(1.0), "kept": F.lit(True)}).drop("draw")
+    for of, table in c.factors.items():
+        docs = _known(docs, table, c.sizes[of], of, f"of_{of}")
+    docs = docs.withColumn("weight", F.col("of_source") * F.col("of_lang") * F.col("of_topic"))
+    docs = docs.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(c.scale)))
+    return docs.select("row", "tokens", "source", "lang", "topic", "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and kept of every row."""
     w = weigh(documents, rake(documents, **how), how.get("topic"))
-    return w.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__p").alias("probability"), F.col("__kept").alias("kept"))
+    return w.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "weight", "probability", "kept")
 
 
 def sample(documents: DataFrame, **how) -> DataFrame:
     """The kept rows, all columns."""
-    return weigh(documents, rake(documents, **how), how.get("topic")).where("__kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+    return unpacked(weigh(documents, rake(documents, **how), how.get("topic")).where("kept"))

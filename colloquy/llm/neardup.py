@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, stored
+from .common import materialize, packed, small_batches, stored, unpacked
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
@@ -350,15 +350,15 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows, all columns, of each group's smallest id; of rows that share that id the one of least hash stays."""
     c = materialize(classes(documents, words, percent))
-    gone = materialize(c.where("not kept").select(F.col("doc_id").alias("__id")).distinct())
+    docs = packed(documents, id=F.col("doc_id").cast("long"))
+    gone = materialize(c.where("not kept").select(F.col("doc_id").alias("id")).distinct())
     few = gone.count() <= BROADCAST_IDS
-    kept = documents.join(F.broadcast(gone) if few else gone, documents["doc_id"].cast("long") == F.col("__id"), "left_anti")
-    again = materialize(c.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    kept = docs.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+    again = materialize(c.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")))
     if not again.head(1):
-        return kept
+        return unpacked(kept)
     few = again.count() <= BROADCAST_IDS
     again = F.broadcast(again) if few else again
-    same = kept["doc_id"].cast("long") == F.col("__id")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns))
-    one = kept.join(again, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return kept.join(again, same, "left_anti").unionByName(one)
+    order = Window.partitionBy("id").orderBy(F.xxhash64(*[F.col(f"row.`{x}`") for x in documents.columns]))
+    one = kept.join(again, "id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1").select("id", "row")
+    return unpacked(kept.join(again, "id", "left_anti").select("id", "row").unionByName(one))

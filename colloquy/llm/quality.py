@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import TokenIds, bounded_sample, fold, one_text, sigmoid, small_batches, strings
+from .common import TokenIds, bounded_sample, fold, kept_rows, one_text, sigmoid, small_batches, strings
 
 BITS = 17
 _UPPER, _LOWER, _DIGIT, _OTHER = re.compile(r"[^\W\d_a-z]+"), re.compile(r"[a-z]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1*")
@@ -138,28 +138,32 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> GradeM
     return fit_ordinal(x, y, grades)
 
 
-def judge(documents: DataFrame, model: GradeModel, good: int | None = None) -> DataFrame:
-    """All columns, ``__grade`` (expected) and ``__tail`` (probability of at least ``good``), in one pass."""
+def grade(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 4000) -> DataFrame:
+    """doc_id, expected_grade, tail (probability of the best grade) and kept of every row, in one pass."""
     small_batches(documents.sparkSession)
-    schema, shared = documents.schema, documents.sparkSession.sparkContext.broadcast(model)
-    names = [*schema.fieldNames(), "__grade", "__tail"]
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_rows))
 
     def rate(batches):
-        buckets, m = Buckets(), shared.value
+        buckets = Buckets()
         for b in batches:
-            s = np.array([v @ m.weights[at] for at, v in (features(t, buckets) for t in strings(b["text"]))], float)
-            expected, tail = m.judge(s, good)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=names)
+            expected, tail = judge(strings(b["text"]), shared.value, buckets)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=["doc_id", "expected_grade", "tail"])
 
-    return documents.mapInArrow(rate, StructType([*schema.fields, StructField("__grade", DoubleType()), StructField("__tail", DoubleType())]))
+    out = documents.select("doc_id", "text").mapInArrow(rate, StructType([documents.schema["doc_id"], StructField("expected_grade", DoubleType()), StructField("tail", DoubleType())]))
+    return out.withColumn("kept", F.col("tail") >= threshold)
 
 
-def grade(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 4000) -> DataFrame:
-    """doc_id, expected_grade, tail and kept of every row."""
-    out = judge(documents.select("doc_id", "text"), fit(documents, labels, max_rows))
-    return out.select("doc_id", F.col("__grade").alias("expected_grade"), F.col("__tail").alias("tail"), (F.col("__tail") >= threshold).alias("kept"))
+def judge(texts: list[str], model: GradeModel, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade, and probability of the best grade, of each text."""
+    return model.judge(np.array([v @ model.weights[at] for at, v in (features(t, buckets) for t in texts)], float), None)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 4000) -> DataFrame:
     """The rows, all columns, whose tail probability is at least ``threshold``."""
-    return judge(documents, fit(documents, labels, max_rows)).where(F.col("__tail") >= threshold).drop("__grade", "__tail")
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_rows))
+
+    def good():
+        buckets = Buckets()
+        return lambda texts: (judge(texts, shared.value, buckets)[1] >= threshold).tolist()
+
+    return kept_rows(documents, good)

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, fold, logistic_fit, one_text, sigmoid, small_batches, strings
+from .common import bounded_sample, fold, kept_rows, logistic_fit, one_text, sigmoid, small_batches, strings
 
 ORDER, SHARED_ORDER = 6, 3
 TOP = 3
@@ -171,6 +172,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Toxici
     return ToxicityModel(ratio, np.append(w[:-1] / std, w[-1] - (w[:-1] * mean / std).sum()))
 
 
+def _scores(texts: list[str], model: ToxicityModel, ratios: Ratios) -> np.ndarray:
+    return model.score(np.array([features(t, ratios) for t in texts], float).reshape(-1, TOP + 2))
+
+
 def score(documents: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """All columns of ``documents`` and ``toxicity`` (double, 0 to 1), in one pass."""
     spark = documents.sparkSession
@@ -184,10 +189,7 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
     def rate(batches):
         ratios = Ratios(shared.value.ratio)
         for b in batches:
-            x = np.array([features(t, ratios) for t in strings(b[text])], float).reshape(-1, TOP + 2)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], names=out)
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_scores(strings(b[text]), shared.value, ratios), pa.float64())], names=out)
 
     return documents.mapInArrow(rate, StructType([*schema.fields, StructField("toxicity", DoubleType())]))
 
@@ -201,7 +203,10 @@ def classify(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> D
 
 def keep_ordinary(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 4000) -> DataFrame:
     """The rows of ``documents``, all columns, whose score is under ``threshold``."""
-    model = fit(documents, labels, max_rows)
-    bare = documents.withColumnRenamed("toxicity", "__toxicity") if "toxicity" in documents.columns else documents
-    kept = score(bare, model).where(F.col("toxicity") < threshold).drop("toxicity")
-    return kept.withColumnRenamed("__toxicity", "toxicity") if "toxicity" in documents.columns else kept
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_rows))
+
+    def ordinary():
+        ratios = Ratios(shared.value.ratio)
+        return lambda texts: (_scores(texts, shared.value, ratios) < threshold).tolist()
+
+    return kept_rows(documents, ordinary)

@@ -78,6 +78,31 @@ def test_stages_keep_columns(spark, name):
     assert e.columns == d.columns and e.collect() == []
 
 
+CLASHES = "row struct<row:int>, id string, tokens int, source_ string, topic string, weight double, probability double, kept boolean, draw int, place int, toxicity double, tail int, __source string, __tokens int, __lang string, __topic string, __weight double, __p double, __kept boolean, __id string, __grade double, __tail double, __toxicity double, of_lang double, level string, factor double, b int, c int"
+
+
+@pytest.mark.parametrize("name", [*STAGES, "pipeline"])
+def test_stages_carry_clashing_columns(spark, name):
+    """Columns with the names that an operator could want for itself come out as they went in."""
+    import corpus_pipeline
+
+    d = documents(spark).drop("id", "kept")
+    own = spark.createDataFrame([], CLASHES).schema
+    for f in own:
+        value = F.struct(F.lit(5).alias("row")) if f.name == "row" else F.lit(f.name) if f.dataType.simpleString() == "string" else F.lit(1)
+        d = d.withColumn(f.name, value.cast(f.dataType))
+    if name == "pipeline":
+        out = d
+        for run in (STAGES[n] for n in ("toxicity", "quality", "neardup", "decontaminate", "mixing")):
+            out = run(out, labels(spark), benchmark(spark))
+        assert len(corpus_pipeline.STAGES) == 5
+    else:
+        out = STAGES[name](d, labels(spark), benchmark(spark))
+    assert out.columns == d.columns and out.dtypes == d.dtypes
+    rows, all_rows = (sorted(map(str, x.collect())) for x in (out, d))
+    assert rows and set(rows) <= set(all_rows)
+
+
 def test_defined_results(spark):
     d = documents(spark)
     lic = {(r["doc_id"], r["n_words"], r["base_labels"], r["first_word"]) for r in licenses.scan(d).collect()}

@@ -60,15 +60,24 @@ def test_a_tiny_source_does_not_set_the_rate(spark):
     rows = [(i, " ".join(["w"] * 50), "en", f"s{i % 8}") for i in range(800)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     more = d.unionByName(spark.createDataFrame([(10**6, "w " * 20, "en", "tiny")], d.schema))
-    a, b = (mixing.weigh(x, mixing.rake(x)).where("source <> 'tiny'").agg(F.avg("__p")).first()[0] for x in (d, more))
+    a, b = (mixing.mix(x).where("source <> 'tiny'").agg(F.avg("probability")).first()[0] for x in (d, more))
     assert a > 0.95 and b > 0.9
 
 
-def test_more_levels_than_have_factors(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_LEVELS", 4)
-    d = spark.createDataFrame([(i, "w " * (10 + i % 9), f"l{i % 9}", "s") for i in range(180)], "doc_id long, text string, lang string, source string")
-    out = mixing.mix(d).toPandas()
-    assert len(out) == 180 and out.lang.nunique() == 9 and out[out.lang.isin(["l0", "l1", "l2"])].weight.nunique() == 1
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_LEVELS, 3])
+def test_every_level_meets_its_target(spark, monkeypatch, broadcast):
+    """450 languages, one of them named other: half of all tokens for the smallest; with factors sent or joined."""
+    monkeypatch.setattr(mixing, "BROADCAST_LEVELS", broadcast)
+    rows = [(i, "w " * (20 + i % 7 if i % 450 else 3), "other" if i % 450 == 7 else f"l{i % 450}", f"s{i // 450 % 4}") for i in range(450 * 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langs = {"l0": 0.5, "other": 0.1} | {f"l{k}": 0.4 / 448 for k in range(1, 450) if k != 7}
+    out = mixing.mix(d, langs=langs, topic=F.floor(F.col("doc_id") / 1800)).toPandas()
+    out["w"] = out.n_tokens * out.weight
+    got = out.groupby("lang").w.sum() / out.n_tokens.sum()
+    assert len(out) == 5400 and len(got) == 450 and max(abs(got[k] - langs[k]) for k in langs) < 1e-5
+    for of in ("source", "topic"):
+        seen, now = out.groupby(of).n_tokens.sum() / out.n_tokens.sum(), out.groupby(of).w.sum() / out.n_tokens.sum()
+        assert np.allclose(now, seen**0.7 / (seen**0.7).sum(), atol=1e-5)
 
 
 # --- nearest ---------------------------------------------------------------------------------
