@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
+from .scans import percentiles
 
 # types as objects: workers import this module, and only a driver can parse their names
 ERRORS = StructType([StructField(n, IntegerType()) for n in ("substitutions", "deletions", "insertions", "hits", "reference_length", "hypothesis_length")])
@@ -272,8 +273,11 @@ def pivot_metric(results: DataFrame, metric: str, rows: str, columns: str, value
 
 
 def box_stats(results: DataFrame, metric: str, by: str = "condition") -> DataFrame:
-    q = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return results.groupBy(by).agg(F.min(metric).alias("min"), q.alias("q"), F.max(metric).alias("max")).select(by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    """Least, quartiles and largest by condition; no buffer grows with a condition's rows."""
+    ends = results.groupBy(F.col(by).alias("__by")).agg(F.min(metric).alias("min"), F.max(metric).alias("max"))
+    q = percentiles(results, [by], metric, [0.25, 0.5, 0.75]).select(F.col(by).alias("__of"), "q")
+    out = ends.join(q, F.col("__by").eqNullSafe(F.col("__of")), "left")
+    return out.select(F.col("__by").alias(by), "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 
 def epoch_summary(predictions: DataFrame) -> DataFrame:

@@ -7,12 +7,20 @@ work spreads over meetings; an interval join keeps the meeting as its equi key.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import Counter, deque
+from collections.abc import Iterator
+from heapq import merge
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import format_timestamp, words_per_minute
+from .scans import BLOCK, parted, running, scan
 
 
 def speaker_stats(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:
@@ -72,12 +80,15 @@ def merge_segments(segments: DataFrame, gap: float = 0.5, meeting: str = "meetin
     return rows.groupBy(meeting, "run", "island", "speaker_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("merged")).drop("run", "island")
 
 
-def merge_regions(regions: DataFrame, gap: float, keys: list[str]) -> DataFrame:
-    """Regions of any speaker that start within ``gap`` of the end so far become one."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    rows = regions.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = islands(rows, keys, ["start", "end"], F.col("start") - F.col("reach") > gap)
-    return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def merge_regions(regions: DataFrame, gap: float, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Regions of any speaker that start within ``gap`` of the end so far become one; a long key is scanned in parts."""
+    order = ["start", "end"]
+    rows = scan(parted(regions.select(*keys, *order), keys, "start", block), keys, order, maxima={"reach": F.col("end")})
+    fresh = F.coalesce(F.col("start") - F.col("reach") > gap, F.lit(True)).cast("long")
+    rows = rows.withColumn("fresh", fresh)
+    # the island's number: fresh rows before, and this one
+    rows = scan(rows, keys, order, {"earlier": F.col("fresh")})
+    return rows.groupBy(*keys, (F.col("earlier") + F.col("fresh")).alias("island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def smooth_segments(segments: DataFrame, shortest: float = 1.0, meeting: str = "meeting_id") -> DataFrame:
@@ -226,9 +237,9 @@ def rename_speakers(segments: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumns({"original_speaker": F.when(changed, F.col("speaker_id")), "speaker_id": F.coalesce("__n", "speaker_id")}).drop("__l", "__n")
 
 
-def cumulative_starts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum("duration").over(w), F.lit(0.0)))
+def cumulative_starts(rows: DataFrame, keys: list[str], order: list[str], block: int = BLOCK) -> DataFrame:
+    """``start``: the durations of all rows before, in the order given; a long key is scanned in parts."""
+    return running(rows, keys, order, {"start": F.col("duration")}, block=block)
 
 
 def proportional_durations(utterances: DataFrame, total: str = "total", floor: float = 0.2, keys: list[str] | None = None) -> DataFrame:
@@ -245,36 +256,88 @@ def longest_segment(segments: DataFrame, cap: float = 10.0, keys: list[str] | No
     return segments.groupBy(*keys).agg(best.alias("s")).select(*keys, "s.start", F.least(F.col("s.end"), F.col("s.start") + cap).alias("end"))
 
 
+_WORDS, _OTHER = re.compile(r"\w+"), re.compile(r"[^0-9A-Za-z_\-]")
+
+
+def align_rows(utterances: list[tuple], segments: list[tuple], least: float, sure: float) -> Iterator[tuple]:
+    """(utt_idx, speaker, start, end, score) of ordered utterances (utt_idx, speaker, text) and segments (start, end, text).
+
+    A window's score is the share of the utterance's words that it covers; the best one wins, of equals the
+    first start, then the first end, but a start goes no further than its first window that is ``sure`` (above 0).
+    Segments without a wanted word never change a score, so only those that a posting names are visited.
+    """
+    postings: dict[str, list[int]] = {}
+    for k, (_, _, text) in enumerate(segments):
+        for w in {w.lower() for w in _WORDS.findall(text or "")}:
+            postings.setdefault(w, []).append(k)
+    at = 0
+    for n, who, text in utterances:
+        wanted = {w.lower() for w in _WORDS.findall(text or "")}
+        best = _best_window({w: p for w in wanted if (p := postings.get(w)) and p[-1] >= at}, at, len(wanted), sure)
+        if best is not None and best[0] >= least:
+            yield n, _OTHER.sub("_", who), float(segments[best[1]][0]), float(segments[best[2]][1]), best[0]
+            at = best[2] + 1
+
+
+def _best_window(places: dict[str, list[int]], at: int, size: int, sure: float) -> tuple[float, int, int] | None:
+    """(score, first, last) of the best window from ``at`` on, by two pointers over the places of wanted words.
+
+    A start's goal is the least number of words with which it is sure.  The end that reaches it never moves back as
+    starts move on.  A start with fewer words ahead takes all of them, and no later one can cover more; nor
+    can any beat a window with all words.
+    """
+    goal = next((c for c in range(1, size + 1) if c / size >= sure), size)
+    lasts = sorted(p[-1] for p in places.values())
+
+    def occurrences(w: str, p: list[int]):
+        return ((p[k], w) for k in range(bisect_left(p, at), len(p)))
+
+    hits = ((k, [w for _, w in g]) for k, g in groupby(merge(*(occurrences(w, p) for w, p in places.items())), key=lambda x: x[0]))
+    window: deque[tuple[int, list[str]]] = deque()
+    counts: Counter[str] = Counter()
+    best, first, covered = None, at, 0
+
+    def take() -> bool:
+        nonlocal covered
+        hit = next(hits, None)
+        if hit is not None:
+            window.append(hit)
+            for w in hit[1]:
+                counts[w] += 1
+                covered += counts[w] == 1
+        return hit is not None
+
+    def lose(words: list[str]) -> None:
+        nonlocal covered
+        for w in words:
+            counts[w] -= 1
+            covered -= not counts[w]
+
+    while window or take():
+        ahead = len(lasts) - bisect_left(lasts, window[0][0])
+        while covered < min(goal, ahead):
+            take()
+        while ahead < goal and len(window) > 1 and covered - sum(counts[w] == 1 for w in window[-1][1]) >= ahead:
+            lose(window.pop()[1])
+        if best is None or covered / size > best[0]:
+            best = (covered / size, first, window[-1][0])
+        if covered == size or ahead < goal:
+            break
+        first = window[0][0] + 1
+        lose(window.popleft()[1])
+    return best
+
+
 def align_utterances(utterances: DataFrame, segments: DataFrame, least: float = 0.2, sure: float = 0.75, meeting: str = "meeting_id") -> DataFrame:
     """Each utterance takes the window of segments, behind the one taken before, that covers most of its words.
 
     The cursor makes this sequential within a meeting, so a meeting is a group;
     meetings run side by side.
     """
-    import re
-
-    def words(x):
-        return {w.lower() for w in re.findall(r"\w+", x or "")}
-
     def run(key, u: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        u, s = u.sort_values("utt_idx"), s.sort_values(["start", "seg_idx"]).reset_index(drop=True)
-        said, at, out = [words(t) for t in s["text"]], 0, []
-        for i, who, text in zip(u["utt_idx"], u["speaker_id"], u["text"]):
-            wanted = words(text)
-            best = (0.0, None, None)
-            for first in range(at, len(s) if wanted else at):
-                have: set[str] = set()
-                for last in range(first, len(s)):
-                    have |= wanted & said[last]
-                    score = len(have) / len(wanted)
-                    if score > best[0]:
-                        best = (score, first, last)
-                    if score >= sure:
-                        break
-            if best[1] is not None and best[0] >= least:
-                out.append((key[0], i, re.sub(r"[^0-9A-Za-z_\-]", "_", who), float(s["start"][best[1]]), float(s["end"][best[2]]), best[0]))
-                at = best[2] + 1
-        return pd.DataFrame(out, columns=[meeting, "utt_idx", "speaker_id", "start", "end", "score"])
+        u, s = u.sort_values("utt_idx"), s.sort_values(["start", "seg_idx"])
+        found = align_rows(list(zip(u["utt_idx"], u["speaker_id"], u["text"])), list(zip(s["start"], s["end"], s["text"])), least, sure)
+        return pd.DataFrame([(key[0], *r) for r in found], columns=[meeting, "utt_idx", "speaker_id", "start", "end", "score"])
 
     kind = dict(segments.dtypes)[meeting]
     return utterances.groupBy(meeting).cogroup(segments.groupBy(meeting)).applyInPandas(run, f"{meeting} {kind}, utt_idx long, speaker_id string, start double, end double, score double")

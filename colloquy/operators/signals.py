@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import BLOCK, moving_sum, order_statistics
 from .segments import islands
 
 
@@ -26,17 +27,15 @@ def energy_frames(rows: DataFrame, key: str, window: int, hop: int) -> DataFrame
 
 def adaptive_threshold(values: DataFrame, key: str, value: str, share: float = 0.3, factor: float = 0.5) -> DataFrame:
     """The value at ``int(share n)`` of the sorted ones plus ``factor`` population standard deviations."""
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = values.select(key, F.col(value).alias("v")).withColumn("r", F.row_number().over(w.partitionBy(key).orderBy("v")) - 1)
-    whole = Window.partitionBy(key)
-    ranked = ranked.withColumns({"n": F.count(F.lit(1)).over(whole), "sd": F.stddev_pop("v").over(whole)})
-    return ranked.where(F.col("r") == F.floor(F.col("n") * share)).select(key, (F.col("v") + factor * F.col("sd")).alias("threshold"))
+    at = order_statistics(values, [key], value, [share], lambda n, s: [F.least(F.floor(n * F.lit(s)), n - 1)])
+    spread = values.groupBy(F.col(key).alias("__key")).agg(F.stddev_pop(value).alias("sd"))
+    return at.join(spread, F.col(key).eqNullSafe(F.col("__key"))).select(key, (F.col("at")[0] + factor * F.col("sd")).alias("threshold"))
 
 
-def moving_average(rows: DataFrame, key: str, value: Column, width: int = 30, order: str = "pos") -> DataFrame:
+def moving_average(rows: DataFrame, key: str, value: Column, width: int = 30, order: str = "pos", block: int = BLOCK) -> DataFrame:
     """A box of ``width`` with zeros outside: half before, the rest from the row on."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(width // 2), width - width // 2 - 1)
-    return rows.withColumn("smooth", F.sum(value).over(w) / width)
+    out = moving_sum(rows, key, order, value, width // 2, width - width // 2 - 1, "smooth", block)
+    return out.withColumn("smooth", F.col("smooth") / width)
 
 
 def true_regions(frames: DataFrame, key: str, flag: str, hop: float, least: float = 0.0) -> DataFrame:

@@ -20,6 +20,7 @@ from ..operators import segments as S
 from ..operators import signals as G
 from ..operators import summary as M
 from ..operators import vectors as X
+from ..operators.scans import numbered
 from ..streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,19 +387,19 @@ def keywords(spark, sf_dir):
     return M.keywords(table(spark, sf_dir, "documents"), "doc_id", 8, pattern="[a-z]{4,}").withColumn("rank", F.col("rank").cast("long"))
 
 
-#: Fixed by turn: sentences of a meeting around words of the conversation, so that every rule of decisions and actions is met.
-_WORD = "trim(regexp_replace(substr(text, 1, 24), '[^a-zA-Z ]', ''{g}))"
+#: Fixed by turn: a sentence of a meeting before the whole text of the turn, so that every rule of decisions and actions is met.
+_WORD = "regexp_extract(text, '[a-zA-Z]+', 0)"
 _NAME = "CASE (turn + conv_id) % 4 WHEN 0 THEN 'Budi' WHEN 1 THEN 'Siti' WHEN 2 THEN 'Andi' ELSE 'Rina' END"
-_MINUTES = """CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN concat('Oke, pertama kita sepakat memakai ', w, ' sebagai dasar. Kedua anggaran rapat ', turn, ' disetujui penuh.')
- WHEN 1 THEN concat(who, ' akan menyiapkan laporan ', w, ' minggu depan.') WHEN 2 THEN concat('Saya akan membuat daftar ', w, ' besok. Terima kasih semua.')
- WHEN 3 THEN concat('Deadline: 12/0', turn % 9 + 1, ' untuk ', w, ' dan kita harus selesaikan segera.') WHEN 4 THEN concat('Kesimpulan rapat: ', w, ' dipilih. 1. Tim menulis dokumen ', w, ' 2. Tim menguji hasil rapat itu.')
- WHEN 5 THEN text WHEN 6 THEN concat('Pertama itu yang mau kita bahas, ', w, '.') ELSE concat('[NOISE] Nah, dua minggu lagi kita perlu evaluasi ', w, ' bersama, lalu ', who, ' siapkan data.') END"""
-MINUTES = f"minutes AS (SELECT conv_id, turn, role, {_MINUTES} AS text FROM (SELECT *, {_WORD.format(g=", 'g'")} AS w, {_NAME} AS who FROM conversations))"
+_MINUTES = """concat(CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN concat('Oke, pertama kita sepakat memakai ', w, ' sebagai dasar. Kedua anggaran rapat ', turn, ' disetujui penuh. ')
+ WHEN 1 THEN concat(who, ' akan menyiapkan laporan ', w, ' minggu depan. ') WHEN 2 THEN concat('Saya akan membuat daftar ', w, ' besok. Terima kasih semua. ')
+ WHEN 3 THEN concat('Deadline: 12/0', turn % 9 + 1, ' untuk ', w, ' dan kita harus selesaikan segera. ') WHEN 4 THEN concat('Kesimpulan rapat: ', w, ' dipilih. 1. Tim menulis dokumen ', w, ' 2. Tim menguji hasil rapat itu. ')
+ WHEN 5 THEN '' WHEN 6 THEN concat('Pertama itu yang mau kita bahas, ', w, '. ') ELSE concat('[NOISE] Nah, dua minggu lagi kita perlu evaluasi ', w, ' bersama, lalu ', who, ' siapkan data. ') END, text)"""
+MINUTES = f"minutes AS (SELECT conv_id, turn, role, {_MINUTES} AS text FROM (SELECT *, {_WORD} AS w, {_NAME} AS who FROM conversations))"
 
 
 def minutes(spark, sf_dir) -> DataFrame:
     """Conversations as meetings in which decisions are taken and tasks are given."""
-    c = table(spark, sf_dir, "conversations").withColumns({"w": F.expr(_WORD.format(g="")), "who": F.expr(_NAME)})
+    c = table(spark, sf_dir, "conversations").withColumns({"w": F.expr(_WORD), "who": F.expr(_NAME)})
     c = c.withColumn("text", F.expr(_MINUTES))
     return c.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seg_idx"), F.col("role").alias("speaker_id"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
 
@@ -727,8 +728,8 @@ def method_comparison(spark, sf_dir):
 def signal(spark, sf_dir):
     """Events' values as samples of a signal for each type."""
     e = table(spark, sf_dir, "events")
-    w = S.Window.partitionBy("event_type").orderBy("event_id")
-    return e.select(F.col("event_type").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("value").alias("x"))
+    rows = e.select(F.col("event_type").alias("key"), "event_id", F.col("value").alias("x"))
+    return numbered(rows, ["key"], ["event_id"], "pos").select("key", "pos", "x")
 
 
 _SIGNAL = "s AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, value AS x FROM events)"

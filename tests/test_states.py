@@ -1,0 +1,131 @@
+"""Stateful streams equal the batch operators: over micro-batches, after a restart, with late rows dropped; alignment against the plain loops."""
+
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.operators import segments as S
+from colloquy.streaming import states
+
+DAY = "2024-01-01 00:00:00"
+
+
+def plain_alignment(utterances, segments, least=0.2, sure=0.75):
+    """Every window behind the cursor, as the definition says."""
+    words = lambda x: {w.lower() for w in re.findall(r"\w+", x or "")}
+    said, at, out = [words(t) for *_, t in segments], 0, []
+    for n, who, text in utterances:
+        wanted, best = words(text), (0.0, None, None)
+        for first in range(at, len(segments) if wanted else at):
+            have = set()
+            for last in range(first, len(segments)):
+                have |= wanted & said[last]
+                score = len(have) / len(wanted)
+                if score > best[0]:
+                    best = (score, first, last)
+                if score >= sure:
+                    break
+        if best[1] is not None and best[0] >= least:
+            out.append((n, who, float(segments[best[1]][0]), float(segments[best[2]][1]), best[0]))
+            at = best[2] + 1
+    return out
+
+
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """A partition of states, as each batch starts a worker for every one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("sure, least", [(0.75, 0.2), (0.5, 0.0), (1.0, 0.2), (1.5, 0.6), (0.05, 0.0)])
+def test_alignment_equals_all_windows(sure, least):
+    rng = random.Random(int(100 * sure))
+    for _ in range(400):
+        text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(n)))
+        utterances = [(k, "S", rng.choice([text(7), text(3), None, ""])) for k in range(rng.randrange(6))]
+        segments = [(k, k + 0.5, rng.choice([text(4), text(2), None])) for k in range(rng.randrange(14))]
+        assert list(S.align_rows(utterances, segments, least, sure)) == plain_alignment(utterances, segments, least, sure)
+
+
+def test_a_long_meeting_is_aligned_in_seconds():
+    rng = random.Random(1)
+    vocabulary = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(20_000)]
+    said = [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(5000)]
+    began = time.perf_counter()
+    got = list(S.align_rows([(k, "A", t) for k, t in enumerate(said)], [(k, k + 1, t) for k, t in enumerate(said)], 0.2, 0.75))
+    assert len(got) > 3000 and time.perf_counter() - began < 20
+
+
+def run_batches(stream_of, spark, folder, files, schema, stop_after=None):
+    """Writes files one by one into a folder; a micro-batch for each, the stream being started anew for every part."""
+    def part(some):
+        for f in some:
+            f.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+            q = stream_of(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            q.awaitTermination(180)
+            assert q.exception() is None
+
+    part(files)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_smoothing_stream(spark, tmp_path):
+    rng = random.Random(3)
+    rows, t = [], {m: 0.0 for m in "xyz"}
+    for k in range(150):
+        m = rng.choice("xyz")
+        t[m] += rng.choice([0.5, 2.0, 4.0])
+        rows.append((m, t[m], k, t[m] + rng.choice([0.4, 0.8, 3.0]), rng.choice("AABC")))
+    d = spark.createDataFrame(rows, "meeting_id string, start double, seg_idx long, end double, speaker_id string").withColumn("ts", F.timestamp_millis((F.unix_millis(F.lit(DAY).cast("timestamp")) + F.col("start") * 1000).cast("long"))).cache()
+    want = sorted(tuple(r) for r in S.smooth_segments(d).select("meeting_id", "start", "seg_idx", "end", "speaker_id").collect())
+    # files overlap in time: each takes two thirds of its span and the rest of the one before
+    top = max(t.values())
+    place = F.floor((F.col("start") + F.when(F.xxhash64("seg_idx") % 3 == 0, 20).otherwise(0)) / (top / 2 + 1))
+    files = [d.where(place == k) for k in range(4)]
+    files = [f for f in files if f.head(1)]
+    late = spark.createDataFrame([("x", 0.1, 9000, 0.2, "LATE")], "meeting_id string, start double, seg_idx long, end double, speaker_id string").withColumn("ts", F.lit(DAY).cast("timestamp"))
+    end = late.select(F.lit("end").alias("meeting_id"), F.lit(99999.0).alias("start"), F.lit(9001).cast("long").alias("seg_idx"), F.lit(99999.1).alias("end"), F.lit("Z").alias("speaker_id"), (F.lit(DAY).cast("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    out = run_batches(lambda s: states.smoothed(s, "ts", quiet=3600, late="60 seconds"), spark, tmp_path, [*files, late, end, late], d.schema)
+    got = sorted(tuple(r) for r in out.where("meeting_id <> 'end'").collect())
+    assert len(files) >= 3 and got == want and any(r[4] != s[4] for r, s in zip(want, sorted(rows)))
+
+
+def test_alignment_stream(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for m in ("p", "q"):
+        for k in range(12):
+            text = " ".join(rng.choice("abcdefghij") for _ in range(4))
+            rows.append((m, "segment", k, float(k), k + 0.9, "S1", text))
+            rows.append((m, "utterance", k, float(k), k + 0.9, "A b", text if rng.random() < 0.7 else "z"))
+    d = spark.createDataFrame(rows, "meeting_id string, kind string, n long, start double, end double, speaker_id string, text string").withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.lit(DAY).cast("timestamp")) + F.col("start").cast("long"))).cache()
+    u = d.where("kind = 'utterance'").withColumnRenamed("n", "utt_idx").drop("start", "end")
+    want = sorted(tuple(r) for r in S.align_utterances(u, d.where("kind = 'segment'").withColumnRenamed("n", "seg_idx")).select("meeting_id", "utt_idx", "speaker_id", "start", "end", "score").collect())
+    end = d.limit(1).withColumns({"meeting_id": F.lit("end"), "ts": F.col("ts") + F.expr("INTERVAL 2 DAYS")})
+    files = [d.where("start < 5"), d.where("start >= 5"), end]
+    got = sorted(tuple(r) for r in run_batches(lambda s: states.aligned(s, "ts", quiet=60), spark, tmp_path, files, d.schema).collect())
+    assert got == want and len(want) > 10
+
+
+def test_totals_go_on_and_end(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "k string, x double")
+    for keep, want in ((3600.0, {"a": (4, 6.0, 1.0, 2.0), "b": (2, 0.0, None, None)}), (0.001, {"a": (2, 3.0, 1.0, 2.0), "b": (1, 0.0, None, None)})):
+        got = []
+        for _ in range(2):
+            d.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{keep}")
+            s = states.totals(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in{keep}"), "k", "x", keep)
+            seen = len(got)
+            # processing time always has another batch, so the stream is stopped
+            q = s.writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend([x] if (x := {r["key"]: tuple(r)[1:] for r in b.collect()}) else [])).option("checkpointLocation", f"{tmp_path}/state{keep}").start()
+            until = time.time() + 40
+            while len(got) == seen and q.isActive and time.time() < until:
+                time.sleep(0.2)
+            q.stop()
+        assert {k: v for b in got for k, v in b.items()} == want
