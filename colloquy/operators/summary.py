@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import materialize
 
 # Words that are never a topic.
 STOPWORDS = [
@@ -164,6 +165,47 @@ def exact_dedup(rows: DataFrame, norm: Column, order: list[str]) -> DataFrame:
     return rows.withColumn("__norm", norm).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__norm", "__n")
 
 
+def greedy_distinct(items: DataFrame, key: str, order: str, text: str, threshold: float = 0.5, norm=T.normalize_dedup) -> DataFrame:
+    """The rows that a pass in order keeps: an item goes if its words' Jaccard with a kept one of its key reaches ``threshold``, or if it has no words.
+
+    No group holds all items of a key.  Equal word sets are one item, as only the first of them can stay.  Like
+    sets are found by a prefix filter: sorted by how rare their words are, two sets that reach the threshold share
+    one of their first ``size - ceil(threshold * size) + 1`` words, so only these are joined on; sizes are compared
+    before words.  The pass itself is the lexicographically first independent set: in each round the items
+    without an undecided like item before them stay, and what is like them goes; at least the first undecided item of
+    a key is settled in a round, usually almost all.
+    """
+    rows = items.withColumn("__w", F.array_sort(F.array_distinct(T.words(norm(F.col(text)))))).where(F.size("__w") > 0)
+    sets = materialize(rows.groupBy(F.col(key).alias("k"), F.col("__w").alias("w")).agg(F.min(order).alias("o")))
+    said = sets.select("k", "o", F.explode("w").alias("x"))
+    rarity = said.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = said.join(rarity, "x").groupBy("k", "o").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+    size = F.size("r")
+    first = F.slice("r", F.lit(1), (size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1).cast("int"))
+    keyed = ranked.select("k", "o", F.transform("r", lambda r: r["x"]).alias("w"), F.explode(first).alias("p")).select("k", "o", "w", F.col("p.x").alias("x"))
+    a, b = (keyed.select("k", "x", F.col("o").alias(f"o{n}"), F.col("w").alias(f"w{n}")) for n in "ab")
+    sizes = F.least(F.size("wa"), F.size("wb")) >= F.lit(threshold) * F.greatest(F.size("wa"), F.size("wb")) - F.lit(1e-9)
+    like = a.join(b, ["k", "x"]).where((F.col("oa") < F.col("ob")) & sizes).where(T.jaccard(F.col("wa"), F.col("wb")) >= threshold)
+    links = materialize(like.select("k", "oa", "ob").distinct())
+    kept, left = [], sets.select("k", "o")
+    while True:
+        blocked = links.select("k", F.col("ob").alias("o")).distinct()
+        stay = materialize(left.join(blocked, ["k", "o"], "left_anti"))
+        kept.append(stay)
+        if not links.head(1):
+            break
+        gone = materialize(links.join(stay.withColumnRenamed("o", "oa"), ["k", "oa"], "left_semi").select("k", F.col("ob").alias("o")).distinct())
+        settled = stay.unionByName(gone)
+        left = materialize(left.join(settled, ["k", "o"], "left_anti"))
+        for end in ("oa", "ob"):
+            links = links.join(settled.withColumnRenamed("o", end), ["k", end], "left_anti")
+        links = materialize(links)
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return items.join(out.select(F.col("k").alias("__k"), F.col("o").alias("__o")), (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__o")), "left_semi")
+
+
 def semantic_distinct(items: DataFrame, key: str, order: str, text: str, cosine: float = 0.75, overlap: float = 0.45, model: str | None = "default") -> DataFrame:
     """The first of each group of like items, by the cosine of a model's vectors; by words where that merges nothing, or without a model.
 
@@ -218,7 +260,7 @@ def narrative(topics: Column, points: Column, decided: Column, actions: Column)
 
 
 def regex_actions(sentences: DataFrame, key: str) -> DataFrame:
-    """Action candidates by patterns: a name before a verb, else the speaker for a pronoun, else the sentence itself."""
+    """Action candidates by patterns: owned by the name before a verb, else by the speaker; the task is what follows, else the sentence itself."""
     s = F.col("sentence")
     name, task = (F.regexp_extract(s, T.NAME_ACTION, k) for k in (1, 3))
     phrase = F.regexp_extract(s, T.COMMIT_PHRASE, 1)
@@ -226,7 +268,7 @@ def regex_actions(sentences: DataFrame, key: str) -> DataFrame:
     own = s.rlike(T.PRONOUN)
     whole = F.substring(F.trim(F.regexp_replace(s, r"(?i)^(oke|ya|nah|baik)\b[:,-]*", "")), 1, 300)
     rows = sentences.where(s.rlike(T.ACTION_GATE) | s.rlike(T.ACTION_GATE_EN)).select(
-        key, "sent_idx", F.when(name != "", name).when(own | F.lit(True), F.col("speaker_id")).alias("owner"),
+        key, "sent_idx", F.when(name != "", name).otherwise(F.col("speaker_id")).alias("owner"),
         F.when(name != "", trim(task)).when(own & (phrase != ""), trim(phrase)).otherwise(whole).alias("task"),
         F.when((name != "") | (own & (phrase != "")), 0.7).otherwise(0.5).alias("confidence"),
     )

@@ -485,10 +485,14 @@ def exact_dedup(spark, sf_dir):
     return M.exact_dedup(d, F.col("h"), ["doc_id"])
 
 
-@query()
+_BARE = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]+', '', 'g'), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_BARE} AS w FROM conversations), b AS (SELECT conv_id, list([w] ORDER BY turn) AS items FROM a GROUP BY 1),
+ c AS (SELECT conv_id, list_reduce(items, lambda kept, x: CASE WHEN len(x[1]) = 0 OR len(list_filter(kept, lambda k: len(list_intersect(k, x[1])) >= 0.5 * len(list_distinct(list_concat(k, x[1]))))) > 0 THEN kept ELSE list_concat(kept, x) END, []::VARCHAR[][]) AS kept FROM b)
+ SELECT conv_id AS meeting_id, len(kept)::BIGINT AS kept FROM c WHERE len(kept) > 0""")
 def jaccard_dedup(spark, sf_dir):
-    c = talk(spark, sf_dir).groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]).alias("items"))
-    return c.select("meeting_id", F.size(T.keep_distinct(F.col("items"))).alias("kept"))
+    return M.greedy_distinct(talk(spark, sf_dir), "meeting_id", "seg_idx", "text").groupBy("meeting_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import wave
 
 import pandas as pd
@@ -258,16 +259,36 @@ def cached_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(path_column().alias("path"), F.posexplode("transcript").alias("seg_idx", "s")).select("path", "seg_idx", "s.*")
 
 
-def cached_vectors(spark: SparkSession, path: str, windows: DataFrame, make) -> DataFrame:
-    """Vectors stored at ``path`` if there is one for each window, else ``make(windows)``, stored for the next time."""
+def cached_vectors(spark: SparkSession, path: str, windows: DataFrame, make, keys: list[str] | None = None) -> DataFrame:
+    """All columns of ``windows`` and what ``make`` adds to them, made only for windows that no run has stored at ``path`` yet.
+
+    A window is known by the hash of its ``keys`` (by default all its columns: audio, start, end, content), never by its
+    place or by how many there are.  What a run makes appears in one rename, so a run that fails leaves nothing behind;
+    if two runs make the same window, one of the results counts.
+    """
+    keys = keys or windows.columns
+    asked = windows.withColumn("window_hash", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256))
+    found = _stored_vectors(spark, path)
+    missing = asked if found is None else asked.join(found.select("window_hash"), "window_hash", "left_anti")
+    missing = missing.dropDuplicates(["window_hash"])
+    if not missing.isEmpty():
+        new, done = f"{path}/_new-{uuid.uuid4().hex}", f"{path}/added-{uuid.uuid4().hex}"
+        make(missing).write.parquet(new)
+        name = spark._jvm.org.apache.hadoop.fs.Path
+        if not name(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(name(new), name(done)):
+            raise OSError(f"{new} could not be renamed to {done}")
+        found = _stored_vectors(spark, path)
+    if found is None:
+        return make(missing).drop("window_hash")
+    more = found.select("window_hash", *[c for c in found.columns if c not in asked.columns]).dropDuplicates(["window_hash"])
+    return asked.join(more, "window_hash").drop("window_hash")
+
+
+def _stored_vectors(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        found = spark.read.parquet(path)
+        return spark.read.parquet(f"{path}/added-*")
     except AnalysisException:
-        found = None
-    if found is None or found.count() != windows.count():
-        make(windows).write.mode("overwrite").parquet(path)
-        found = spark.read.parquet(path)
-    return found
+        return None
 
 
 def recordings(listing: DataFrame, meetings: list[str] | None = None) -> DataFrame:

@@ -171,3 +171,31 @@ def test_patched_metrics(spark):
     got = one(spark, "WER: 12.5% CER: 3", lambda c: T.patched_metrics(c, F.lit('{"wer": 0.2, "der": "x"}')))
     assert (got["wer"], got["cer"], got["der"]) == (0.2, 3.0, None)
     assert one(spark, "WER: 12.5%", lambda c: T.patched_metrics(c, F.lit(None).cast("string")))["wer"] == 12.5
+
+
+def test_greedy_distinct_equals_the_loop(spark):
+    """1,000 items with ties, copies and chains, in one key; and nulls, blanks and keys of their own."""
+    import random
+
+    from colloquy.operators import summary as M
+
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 9))] for _ in range(120)]
+    rows = []
+    for i in range(1000):
+        ws = list(rng.choice(bases))
+        for _ in range(rng.randrange(3)):
+            ws[rng.randrange(len(ws))] = f"w{rng.randrange(60)}"
+        rows.append(("m", i, rng.choice(["", "!", ", "]).join(["", " ".join(ws)]).upper()))
+    rows += [("n", 0, None), ("n", 1, " ?! "), ("n", 2, "a b"), ("n", 3, "b, A"), ("n", 4, "a b c d"), ("n", 5, "c d e f")]
+    d = spark.createDataFrame(rows, "k string, o long, t string").repartition(5)
+    for threshold in (0.5, 0.8):
+        want = []
+        for k in ("m", "n"):
+            kept = []
+            for _, o, t in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+                own = set("".join(c for c in (t or "").lower() if c.isalnum() or c == " ").split())
+                if own and not any(len(own & x) >= threshold * len(own | x) for _, x in kept):
+                    kept.append((o, own))
+            want += [(k, o) for o, _ in kept]
+        assert sorted((r["k"], r["o"]) for r in M.greedy_distinct(d, "k", "o", "t", threshold).collect()) == want

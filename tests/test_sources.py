@@ -135,6 +135,25 @@ def test_stored_vectors(spark, tmp_path):
     assert R.cached_vectors(spark, path, spark.range(4), make).count() == 4 and len(calls) == 2
 
 
+def test_vectors_are_known_by_their_windows(spark, tmp_path):
+    """As many other windows are other windows; known ones are never made again; a failed run stores nothing."""
+    path, made = str(tmp_path / "v"), []
+
+    def make(d):
+        made.append(sorted(r["audio_id"] for r in d.collect()))
+        return d.withColumn("v", F.concat("audio_id", F.lit("!")))
+
+    ask = lambda *ids: sorted((r["audio_id"], r["w_start"], r["v"]) for r in R.cached_vectors(spark, path, spark.createDataFrame([(i, s) for i, s in ids], "audio_id string, w_start double"), make).collect())
+    assert ask(("a", 0.0), ("b", 0.0)) == [("a", 0.0, "a!"), ("b", 0.0, "b!")]
+    assert ask(("x", 0.0), ("y", 0.0)) == [("x", 0.0, "x!"), ("y", 0.0, "y!")]
+    assert ask(("a", 0.0), ("a", 1.0), ("y", 0.0), ("y", 0.0)) == [("a", 0.0, "a!"), ("a", 1.0, "a!"), ("y", 0.0, "y!"), ("y", 0.0, "y!")]
+    assert ask(("a", 0.0), ("x", 0.0)) == [("a", 0.0, "a!"), ("x", 0.0, "x!")]
+    assert made == [["a", "b"], ["x", "y"], ["a"]]
+    with pytest.raises(Exception):
+        R.cached_vectors(spark, path, spark.createDataFrame([("z", 0.0)], "audio_id string, w_start double"), lambda d: d.withColumn("v", F.raise_error(F.lit("broken"))))
+    assert ask(("z", 0.0)) == [("z", 0.0, "z!")] and made[-1] == ["z"]
+
+
 def test_reports_and_tables(spark):
     d = spark.createDataFrame([("s1", "bersih", 0.1, 0.2, 1, 2, 3, 4), ("s2", "noisy", 0.3, None, 1, 0, 0, 9)], "sample string, condition string, wer double, der double, substitutions int, deletions int, insertions int, hits int")
     t = K.evaluation_table(d).orderBy("Sample").collect()
