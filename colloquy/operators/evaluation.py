@@ -32,39 +32,78 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(hyp) == 0, F.size(ref)).otherwise(folded)
 
 
-def _errors(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int, int, int]:
-    n, m = len(ref), len(hyp)
-    if not n:
-        return 0, 0, 0, 0, 0, m
-    if not m:
-        return 0, n, 0, 0, n, 0
-    ids: dict[str, int] = {}
-    a, b = (np.array([ids.setdefault(w, len(ids)) for w in x]) for x in (ref, hyp))
-    table = np.zeros((n + 1, m + 1), np.int32)
-    table[0], table[:, 0] = np.arange(m + 1), np.arange(n + 1)
-    offsets = np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.minimum(table[i - 1, :-1] + (b != a[i - 1]), table[i - 1, 1:] + 1)
-        # a run of insertions: the least of all cells to the left plus their distance
-        table[i] = np.minimum.accumulate(np.concatenate([[i], best]) - offsets) + offsets
-    i, j, s, d, k, h = n, m, 0, 0, 0, 0
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1] and table[i, j] == table[i - 1, j - 1]:
-            i, j, h = i - 1, j - 1, h + 1
-        elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
-            i, j, s = i - 1, j - 1, s + 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i, d = i - 1, d + 1
-        else:
-            j, k = j - 1, k + 1
-    return s, d, k, h, n, m
+#: Cells (words by words) of pairs that are worked side by side; a larger pair is worked by itself, row by row.
+SMALL_CELLS = 4096
+# a cell in one long, highest bits first: cost, preference among equals, substitutions, deletions, insertions
+_COST, _SECOND, _SUB, _DEL, _INS = 1 << 50, 1 << 48, 1 << 32, 1 << 16, 1
+_PLAIN = (1 << 63) - 1 - 3 * _SECOND
+
+
+def _side_by_side(refs: list[list[int]], hyps: list[list[int]]) -> np.ndarray:
+    """S, D, I of pairs of word numbers: each cell of the tables is one step for all pairs.
+
+    Cells carry their counts, so no table is kept and nothing traced back; of equal costs a hit or
+    substitution comes before a deletion, and that before an insertion.
+    """
+    n, m = (np.array([len(x) for x in side]) for side in (refs, hyps))
+    a, b = (np.full((size.max(initial=0), len(refs)), fill, np.int64) for size, fill in ((n, -1), (m, -2)))
+    for k, (x, y) in enumerate(zip(refs, hyps)):
+        a[: len(x), k], b[: len(y), k] = x, y
+    row = np.repeat(np.arange(len(b) + 1, dtype=np.int64)[:, None] * (_COST + _INS), len(refs), axis=1)
+    last = np.where(n == 0, row[m, np.arange(len(refs))], 0)
+    for i in range(len(a)):
+        new = np.empty_like(row)
+        new[0] = row[0] + (_COST + _DEL)
+        diagonal = row[:-1] + np.where(b == a[i], 0, _COST + _SUB)
+        above = np.minimum(diagonal, row[1:] + (_COST + _DEL + _SECOND))
+        for j in range(len(b)):
+            new[j + 1] = np.minimum(above[j], new[j] + (_COST + _INS + 2 * _SECOND)) & _PLAIN
+        row = new
+        done = np.flatnonzero(n == i + 1)
+        last[done] = row[m[done], done]
+    return np.stack([last >> 32 & 0xFFFF, last >> 16 & 0xFFFF, last & 0xFFFF], axis=1)
+
+
+def _row_by_row(ref: list[int], hyp: list[int]) -> tuple[int, int, int]:
+    """S, D, I of one pair, in space that grows with one text: a row at a time, runs of insertions by a running minimum."""
+    b, at = np.array(hyp, np.int64), np.arange(len(hyp) + 1)
+    cost, counts = at.copy(), np.zeros((3, len(hyp) + 1), np.int64)
+    counts[2] = at
+    for w in ref:
+        step = (b != w).astype(np.int64)
+        diagonal, up = cost[:-1] + step, cost[1:] + 1
+        best = np.concatenate([cost[:1] + 1, np.minimum(diagonal, up)])
+        by_diagonal = np.concatenate([[False], diagonal <= up])
+        from_left = np.concatenate([counts[:, :1], counts[:, :-1]], axis=1)
+        new = np.where(by_diagonal, from_left, counts)
+        new[0, 1:] += by_diagonal[1:] * step
+        new[1] += ~by_diagonal
+        # the last cell to the left from which a run of insertions is as cheap as from any
+        ahead = best - at
+        least = np.minimum.accumulate(ahead)
+        source = np.maximum.accumulate(np.where(ahead == least, at, 0))
+        cost, counts = best[source] + at - source, new[:, source]
+        counts[2] += at - source
+    return tuple(int(x) for x in counts[:, -1])
 
 
 @pandas_udf(ERRORS)
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Substitutions, deletions, insertions, hits; ties go to hit, substitution, deletion, insertion."""
-    rows = [_errors((a or "").split(), (b or "").split()) for a, b in zip(ref, hyp)]
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "hits", "reference_length", "hypothesis_length"]).astype("int32")
+    """Substitutions, deletions, insertions, hits; ties go to hit, substitution, deletion, insertion; an empty reference has no errors."""
+    ids: dict[str, int] = {}
+    pairs = [tuple([ids.setdefault(w, len(ids)) for w in (t or "").split()] for t in pair) for pair in zip(ref, hyp)]
+    n, m = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    out = np.zeros((len(pairs), 3), np.int64)
+    some = np.flatnonzero(n > 0)
+    small = some[n[some] * m[some] <= SMALL_CELLS]
+    # pairs of like size together, so that little is padded
+    small = small[np.lexsort((m[small], n[small]))]
+    for k in range(0, len(small), 512):
+        part = small[k : k + 512]
+        out[part] = _side_by_side([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+    for i in some[n[some] * m[some] > SMALL_CELLS]:
+        out[i] = _row_by_row(*pairs[i])
+    return pd.DataFrame(dict(zip(ERRORS.fieldNames(), (*out.T, n - out[:, 0] - out[:, 1], n, m)))).astype("int32")
 
 
 def wer(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", preprocess: bool = True) -> DataFrame:
@@ -229,17 +268,20 @@ def rouge_n(ref: Column, hyp: Column, n: int) -> Column:
 
 @pandas_udf(DoubleType())
 def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """F1 by the longest common subsequence of words."""
+    """F1 by the longest common subsequence of words, with a bit for each word of the hypothesis; 0 where a side has none."""
     def one(a: str, b: str) -> float:
-        x, y = np.array((a or "").split(), object), np.array((b or "").split(), object)
-        if not len(x) or not len(y):
-            return 0.0
-        row = np.zeros(len(y) + 1, np.int32)
+        x, y = (a or "").split(), (b or "").split()
+        places: dict[str, int] = {}
+        for k, w in enumerate(y):
+            places[w] = places.get(w, 0) | 1 << k
+        every = same = (1 << len(y)) - 1
         for w in x:
-            row[1:] = np.maximum.accumulate(np.where(y == w, row[:-1] + 1, row[1:]))
-        return 2.0 * row[-1] / (len(x) + len(y))
+            if here := places.get(w):
+                up = same & here
+                same = (same + up | same - up) & every
+        return 2.0 * (len(y) - same.bit_count()) / (len(x) + len(y)) if x and y else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(ref, hyp)])
+    return pd.Series([one(a, b) for a, b in zip(ref, hyp)], dtype="float64")
 
 
 def confusion(pairs: DataFrame, ref: str, pred: str) -> DataFrame:

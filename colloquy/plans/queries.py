@@ -281,9 +281,29 @@ def simple_wer(spark, sf_dir):
     return _pairs(spark, sf_dir).select("o_orderkey", r6(E.simple_wer(F.col("ref"), F.col("hyp")), "wer"))
 
 
-@query()
+# the cells of the table of errors as one number each: cost, preference, substitutions, deletions, insertions
+_CELL = f"(least(acc[j[1]] + CASE WHEN hid[j[1]] = x[1] THEN 0 ELSE {E._COST + E._SUB} END, acc[j[1] + 1] + {E._COST + E._DEL + E._SECOND}, r[len(r)] + {E._COST + E._INS + 2 * E._SECOND}) & {E._PLAIN})"
+_TABLE = f"list_reduce(rid, lambda acc, x: list_reduce(list_transform(range(1, len(hid) + 1), lambda j: [j]), lambda r, j: list_append(r, {_CELL}), [acc[1] + {E._COST + E._DEL}]), list_transform(range(0, len(hid) + 1), lambda j: j * {E._COST + E._INS}))"
+_COUNTED = f"""{_PAIRS}, t AS (SELECT o_orderkey, trim(regexp_replace(replace(ref, '-', ' '), '\\s+', ' ', 'g')) AS ref, trim(regexp_replace(replace(lower(hyp), '-', ' '), '\\s+', ' ', 'g')) AS hyp FROM (SELECT o_orderkey, lower(ref) AS ref, hyp FROM p)),
+ w AS (SELECT *, string_split(ref, ' ') AS a, string_split(hyp, ' ') AS b FROM t), i AS (SELECT *, list_transform(a, lambda x: [list_position(list_concat(a, b), x)::BIGINT]) AS rid, list_transform(b, lambda x: list_position(list_concat(a, b), x)::BIGINT) AS hid FROM w),
+ c AS (SELECT *, {_TABLE} AS last FROM i), e AS (SELECT *, last[len(last)] AS z FROM c),
+ n AS (SELECT *, ((z >> 32) & 65535)::INTEGER AS substitutions, ((z >> 16) & 65535)::INTEGER AS deletions, (z & 65535)::INTEGER AS insertions, len(a)::INTEGER AS reference_length, len(b)::INTEGER AS hypothesis_length FROM e),
+ h AS (SELECT *, reference_length - substitutions - deletions AS hits, substitutions + deletions + insertions AS wrong FROM n)"""
+
+
+@query(f"""WITH {_COUNTED} SELECT o_orderkey, round(wrong::DOUBLE / reference_length, 6) AS wer, round(wrong::DOUBLE / (hits + wrong), 6) AS mer, round(1 - (hits::DOUBLE / reference_length) * (hits::DOUBLE / hypothesis_length), 6) AS wil,
+ round(levenshtein(ref, hyp)::DOUBLE / length(ref), 6) AS cer, substitutions, deletions, insertions, hits, reference_length, hypothesis_length FROM h""")
 def wer_counts(spark, sf_dir):
-    return E.wer(_pairs(spark, sf_dir)).drop("ref", "hyp")
+    out = E.wer(_pairs(spark, sf_dir)).drop("ref", "hyp")
+    return out.withColumns({c: F.round(c, 6) for c in ("wer", "mer", "wil", "cer")})
+
+
+@query()
+def wer_benchmark(spark, sf_dir):
+    """Each benchmark item against the next one: whole texts of several sentences."""
+    b = table(spark, sf_dir, "benchmark")
+    refs, hyps = b.select(F.col("item_id").alias("n"), F.col("text").alias("ref")), b.select((F.col("item_id") - 1).alias("n"), F.col("text").alias("hyp"))
+    return E.wer(refs.join(hyps, "n")).drop("ref", "hyp")
 
 
 @query(f"WITH {_LETTERED} SELECT round(sum(distance)::DOUBLE / sum(n), 6) AS micro_wer, round(avg(distance::DOUBLE / n), 6) AS macro_wer, round(stddev_pop(distance::DOUBLE / n), 6) AS std_wer, round(min(distance::DOUBLE / n), 6) AS min_wer, round(max(distance::DOUBLE / n), 6) AS max_wer, count(*) AS pairs FROM d".replace("string_split(ref, ' ')", "string_split(replace(lower(ref), '-', ' '), ' ')").replace("string_split(hyp, ' ')", "string_split(replace(lower(hyp), '-', ' '), ' ')").replace("FROM p), u", "FROM (SELECT o_orderkey, trim(regexp_replace(ref, '\\s+', ' ', 'g')) AS ref, trim(regexp_replace(hyp, '\\s+', ' ', 'g')) AS hyp FROM (SELECT o_orderkey, replace(ref, '-', ' ') AS ref, replace(hyp, '-', ' ') AS hyp FROM p))), u"))
@@ -316,7 +336,10 @@ def rouge_scores(spark, sf_dir):
     return p.select("o_orderkey", r6(E.rouge_n(a, b, 1), "rouge1"), r6(E.rouge_n(a, b, 2), "rouge2"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, w AS (SELECT o_orderkey, string_split(ref, ' ') AS a, string_split(hyp, ' ') AS b FROM p),
+ i AS (SELECT *, list_transform(a, lambda x: [list_position(list_concat(a, b), x)::BIGINT]) AS rid, list_transform(b, lambda x: list_position(list_concat(a, b), x)::BIGINT) AS hid FROM w),
+ t AS (SELECT *, list_reduce(rid, lambda acc, x: list_reduce(list_transform(range(1, len(hid) + 1), lambda j: [j]), lambda r, j: list_append(r, CASE WHEN hid[j[1]] = x[1] THEN acc[j[1]] + 1 ELSE greatest(acc[j[1] + 1], r[len(r)]) END), [0::BIGINT]), list_transform(range(0, len(hid) + 1), lambda j: 0::BIGINT)) AS last FROM i)
+ SELECT o_orderkey, round(2.0::DOUBLE * last[len(last)] / (len(a) + len(b)), 6) AS "rougeL" FROM t""")
 def rouge_longest(spark, sf_dir):
     return _pairs(spark, sf_dir).select("o_orderkey", r6(E.rouge_l("ref", "hyp"), "rougeL"))
 

@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from colloquy.functions import numeric as N
@@ -126,6 +127,37 @@ def test_errors_match_a_plain_table(spark):
             assert r["substitutions"] + r["deletions"] + r["insertions"] == plain(a, b) and r["hits"] + r["substitutions"] + r["deletions"] == len(a)
 
 
+def test_word_errors_equal_a_traced_table():
+    """Side by side and row by row: the path from the end that prefers hit, substitution, deletion, insertion."""
+    import random
+
+    def plain(a, b):
+        t = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = min(t[i - 1][j - 1] + (a[i - 1] != b[j - 1]), t[i - 1][j] + 1, t[i][j - 1] + 1)
+        i, j, s, d, k = len(a), len(b), 0, 0, 0
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+            elif i and j and t[i][j] == t[i - 1][j - 1] + 1:
+                i, j, s = i - 1, j - 1, s + 1
+            elif i and t[i][j] == t[i - 1][j] + 1:
+                i, d = i - 1, d + 1
+            else:
+                j, k = j - 1, k + 1
+        return [s, d, k]
+
+    rng = random.Random(8)
+    pairs = [([rng.randrange(4) for _ in range(rng.randrange(1, 12))], [rng.randrange(4) for _ in range(rng.randrange(12))]) for _ in range(400)]
+    want = [plain(a, b) for a, b in pairs]
+    assert E._side_by_side([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
+    assert [list(E._row_by_row(a, b)) for a, b in pairs] == want
+    refs, hyps = (pd.Series([" ".join(f"v{x}" for x in p[k]) for p in pairs] + [None, "a b", "", " ".join(["x", "y"] * 300)]) for k in (0, 1))
+    got = E.word_errors.func(refs, hyps)
+    assert got.iloc[:400, :3].values.tolist() == want and got.iloc[400].tolist() == [0] * 6 and got.iloc[403].tolist() == [0, 0, 0, 600, 600, 600]
+
+
 def test_empty_references(spark):
     d = spark.createDataFrame([("", "a b"), ("", ""), ("a", "")], "ref string, hyp string")
     assert [r["wer"] for r in E.wer(d).collect()] == [1.0, 0.0, 1.0]
