@@ -63,7 +63,7 @@ def context_decisions(sentences: DataFrame, key: str, most_words: int = 35) -> D
 
 def key_points(keys: DataFrame, key: str) -> DataFrame:
     """The chosen sentences in order, each as ``sentence (oleh speaker)``, repeats collapsed."""
-    point = F.concat(T.squeeze(T.collapse_repeats(F.col("sentence"))), F.lit(" (oleh "), F.col("speaker_id"), F.lit(")"))
+    point = F.concat(T.squeeze(T.collapsed(F.col("sentence"))), F.lit(" (oleh "), F.col("speaker_id"), F.lit(")"))
     packed = keys.withColumn("point", point).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent_idx", "point"))).alias("p"))
     return packed.select(key, F.transform("p", lambda r: r["point"]).alias("key_points"))
 

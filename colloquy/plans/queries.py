@@ -520,7 +520,7 @@ def jaccard_dedup(spark, sf_dir):
 
 @query()
 def collapse_repeats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse_repeats(F.col("text"))).alias("h"), T.is_repetitive(F.col("text")).alias("repetitive"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapsed(F.col("text"))).alias("h"), T.is_repetitive(F.col("text")).alias("repetitive"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")

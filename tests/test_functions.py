@@ -40,12 +40,30 @@ def test_repeats_collapse_to_the_fixpoint(spark):
     texts = ["kata " * n for n in (2, 4, 13, 23, 100, 20_000)] + ["a b " * 30 + "c d c d " * 30, "", "Ya ya. YA", "sama\u00a0sama"]
     texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(2, 200))) for _ in range(40)]
     d = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "id int, x string")
-    out = d.select("id", T.collapse_repeats(F.col("x")).alias("y"), T.sentences(F.col("x")).alias("s")).collect()
-    assert {r["id"]: r["y"] for r in out} == {-1: None} | {i: plain(t) for i, t in enumerate(texts)}
+    out = d.select("id", T.collapse_repeats(F.col("x")).alias("y"), T.collapsed(F.col("x")).alias("z"), T.sentences(F.col("x")).alias("s")).collect()
+    assert {r["id"]: r["y"] for r in out} == {r["id"]: r["z"] for r in out} == {-1: None} | {i: plain(t) for i, t in enumerate(texts)}
     got = {r["id"]: r["s"] for r in out}
     assert all(got[i] == [plain(t.strip())] for i, t in enumerate(texts) if 6 <= len(t.strip()) <= 300 and "." not in t)
 
 
+def test_repeats_by_words_equal_the_pattern(spark):
+    """Repetitions that end within a word, other white space, marks between words, letters whose lower case is longer."""
+    import random
+    import re
+
+    from colloquy.functions.repeats import _fixed
+
+    pattern = re.compile(r"(\b(?:\w+\s+){0,5}\w+\b)(?:\s+\1){1,}", re.IGNORECASE)
+    rng = random.Random(2)
+    for _ in range(8_000):
+        text = "".join(rng.choice(["a", "A", "b", "ab", "abc", "\u00e9", "\u0130", "\u0303"]) + rng.choice(["  ", " ", " ", "\n", ",", "."]) for _ in range(rng.randrange(40)))
+        want, before = text, None
+        while before != want:
+            before, want = want, pattern.sub(r"\1", want)
+        assert _fixed(text) == want, text
+    assert _fixed("ya " * 300_000) == "ya "
+
+
 def test_predicates(spark):
     assert one(spark, "ini menjadi bagian", T.is_decision) and not one(spark, "ini menjadi bagian", T.is_strict_decision)
     assert one(spark, "Budi siapkan laporan", T.is_actionable) and not one(spark, "halo semua", T.is_actionable)
