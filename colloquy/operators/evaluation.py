@@ -159,6 +159,21 @@ def run_totals(runs: DataFrame, ok: Column, seconds: str) -> DataFrame:
     return runs.agg(n.alias("files"), F.count_if(ok).alias("ok"), F.when(n > 0, F.count_if(ok) * 100.0 / n).otherwise(0.0).alias("success_rate"), F.sum(seconds).alias("total_time"), F.avg(seconds).alias("avg_time"))
 
 
+def batch_totals(runs: DataFrame, by: str, ok: Column, amount: str) -> DataFrame:
+    """Files, successes, sum and mean of ``amount`` for each value of ``by``."""
+    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.count_if(ok).alias("ok"), F.sum(amount).alias("total"), F.avg(amount).alias("mean"))
+
+
+def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """metric, count, mean, std (of a sample), min, quartiles and max of each column, a row a column; nulls don't count.
+
+    The columns become rows of (metric, value), so one pass gives all of them and no buffer holds a column.
+    """
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.metric", "r.value")
+    moments = long.groupBy("metric").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return moments.join(box_stats(long, "value", "metric"), "metric").select("metric", "count", "mean", "std", "min", "q1", "median", "q3", "max")
+
+
 def files_per_group(files: DataFrame, by: str, size: str) -> DataFrame:
     return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("size"))
 

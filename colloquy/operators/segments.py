@@ -39,6 +39,23 @@ def transcription_stats(segments: DataFrame, meeting: str = "meeting_id") -> Dat
     return out.withColumn("words_per_minute", words_per_minute(F.col("total_words"), F.col("total_duration")))
 
 
+def transcription_summary(segments: DataFrame) -> DataFrame:
+    """One row over all segments, zeros for none: totals, words a minute, and ``speakers``, a map to words, seconds and segments.
+
+    Sums are by speaker first, so the row is built from as many parts as there are speakers.
+    """
+    by = segments.groupBy("speaker_id").agg(
+        F.sum(T.word_count(F.col("text"))).alias("word_count"), F.sum(F.col("end") - F.col("start")).alias("duration"), F.count(F.lit(1)).alias("segment_count"),
+    )
+    known = F.when(F.col("speaker_id").isNotNull(), F.struct("speaker_id", F.struct("word_count", "duration", "segment_count")))
+    total = lambda c, zero: F.coalesce(F.sum(c), F.lit(zero))
+    out = by.agg(
+        total("segment_count", 0).alias("total_segments"), total("word_count", 0).alias("total_words"), total("duration", 0.0).alias("total_duration"),
+        F.map_from_entries(F.array_sort(F.collect_list(known))).alias("speakers"),
+    )
+    return out.withColumn("words_per_minute", F.when(F.col("total_duration") > 0, words_per_minute(F.col("total_words"), F.col("total_duration"))).otherwise(0.0))
+
+
 def overlap_stats(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:
     """Of segments with ``is_overlap``: total, overlapped and average seconds of each speaker."""
     d = F.col("end") - F.col("start")
@@ -70,14 +87,24 @@ def speaker_turns(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame
 
 
 def merge_segments(segments: DataFrame, gap: float = 0.5, meeting: str = "meeting_id") -> DataFrame:
-    """Consecutive segments of one speaker that start within ``gap`` of the end so far become one."""
+    """Consecutive segments of one speaker that start within ``gap`` of the end so far become one.
+
+    Where there is a ``confidence``, each segment's is averaged with that of all before it, in order: the last counts half,
+    the one before a quarter, and the first as much as the second.
+    """
     w = Window.partitionBy(meeting).orderBy("start", "seg_idx")
     rows = segments.withColumn("before", F.lag("speaker_id").over(w))
     rows = islands(rows, [meeting], ["start", "seg_idx"], F.col("before") != F.col("speaker_id")).withColumnRenamed("island", "run")
     past = Window.partitionBy(meeting, "run").orderBy("start", "seg_idx")
     rows = rows.withColumn("reach", F.max("end").over(past.rowsBetween(Window.unboundedPreceding, -1)))
     rows = islands(rows, [meeting, "run"], ["start", "seg_idx"], F.col("start") - F.col("reach") > gap)
-    return rows.groupBy(meeting, "run", "island", "speaker_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("merged")).drop("run", "island")
+    out = [F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("merged")]
+    if "confidence" in segments.columns:
+        one = Window.partitionBy(meeting, "run", "island")
+        left = F.row_number().over(one.orderBy(F.desc("start"), F.desc("seg_idx")))
+        rows = rows.withColumn("halvings", left - (left == F.count(F.lit(1)).over(one)).cast("int"))
+        out.append(F.sum(F.col("confidence") * F.pow(F.lit(0.5), "halvings")).alias("confidence"))
+    return rows.groupBy(meeting, "run", "island", "speaker_id").agg(*out).drop("run", "island")
 
 
 def merge_regions(regions: DataFrame, gap: float, keys: list[str], block: int = BLOCK) -> DataFrame:
@@ -242,12 +269,19 @@ def cumulative_starts(rows: DataFrame, keys: list[str], order: list[str], block:
     return running(rows, keys, order, {"start": F.col("duration")}, block=block)
 
 
-def proportional_durations(utterances: DataFrame, total: str = "total", floor: float = 0.2, keys: list[str] | None = None) -> DataFrame:
-    """The file's total dealt by share of words, at least ``floor`` each, scaled back to the total."""
+def proportional_durations(utterances: DataFrame, total: str = "total", floor: float = 0.2, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """The file's total dealt by share of words, at least ``floor`` each, scaled back to the total.
+
+    With an ``order``, the last row takes what rounding left over.
+    """
     w = Window.partitionBy(*(keys or ["file_id"]))
     share = F.greatest(F.col(total) * F.col("n_words") / F.greatest(F.sum("n_words").over(w), F.lit(1)), F.lit(floor))
     rows = utterances.withColumn("raw", share)
-    return rows.withColumn("duration", F.col("raw") * F.col(total) / F.sum("raw").over(w)).drop("raw")
+    rows = rows.withColumn("duration", F.col("raw") * F.col(total) / F.sum("raw").over(w)).drop("raw")
+    if order is None:
+        return rows
+    last = F.col(order) == F.max(order).over(w)
+    return rows.withColumn("duration", F.when(last, F.col("duration") + F.col(total) - F.sum("duration").over(w)).otherwise(F.col("duration")))
 
 
 def longest_segment(segments: DataFrame, cap: float = 10.0, keys: list[str] | None = None) -> DataFrame:

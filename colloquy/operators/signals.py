@@ -105,10 +105,35 @@ def resample(rows: DataFrame, key: str, rate: int, to: int) -> DataFrame:
     return made.select(key, F.col("__j").alias("pos"), (F.col("x") + share * (F.col("__y") - F.col("x"))).alias("x"))
 
 
+def resample_filtered(rows: DataFrame, key: str, rate: int, to: int, zeros: int = 16) -> DataFrame:
+    """Resampling through a low-pass filter: what lies above half the lower rate goes, in place of turning up as another tone.
+
+    The filter is a sine cardinal of ``zeros`` crossings on either side under a Blackman window, cut at 0.9 of half the
+    lower rate.  Each sample is sent to the new ones that it counts for, at most 2 * ``zeros`` * max(1, to / rate) + 1
+    of them, and sums are combined before the shuffle; weights are divided by their sum, so a constant stays one, also
+    at the ends.
+    """
+    if rate == to:
+        return rows.select(key, "pos", "x")
+    cut = 0.9 * min(1.0, to / rate)
+    reach = zeros / cut
+    ends = rows.groupBy(F.col(key).alias("__key")).agg(F.ceil((F.max("pos") + 1) * to / rate).alias("__n"))
+    first = F.greatest(F.ceil((F.col("pos") - reach) * to / rate), F.lit(0))
+    spread = rows.select(key, "pos", "x", F.explode(F.sequence(first.cast("long"), F.floor((F.col("pos") + reach) * to / rate).cast("long"))).alias("__j"))
+    t = F.col("__j") * F.lit(float(rate)) / to - F.col("pos")
+    angle = F.pi() * cut * t
+    sinc = F.when(F.abs(angle) < 1e-9, F.lit(1.0)).otherwise(F.sin(angle) / angle)
+    turn = F.pi() * t / reach
+    weight = sinc * (0.42 + 0.5 * F.cos(turn) + 0.08 * F.cos(2 * turn))
+    sums = spread.withColumn("__w", weight).groupBy(key, "__j").agg((F.sum(F.col("__w") * F.col("x")) / F.sum("__w")).alias("x"))
+    # the signal's length bounds the new places: the last sample's filter reaches beyond it
+    return sums.join(ends, F.col(key).eqNullSafe(F.col("__key"))).where("__j < __n").select(key, F.col("__j").alias("pos"), "x")
+
+
 def prepare(rows: DataFrame, key: str, rate: int, to: int = 16_000, start: float = 0.0, end: float | None = None, silence_db: float | None = None, most: float | None = None) -> DataFrame:
-    """A recording as the models take it: range, one channel, rate, peak 1, silence trimmed where asked, cut to ``most`` seconds."""
+    """A recording as the models take it: range, one channel, rate (filtered where it falls), peak 1, silence trimmed where asked, cut to ``most`` seconds."""
     x = mono(rows, key) if "channel" in rows.columns else rows.select(key, "pos", "x")
-    x = resample(time_slice(x, key, rate, start, end), key, rate, to)
+    x = (resample_filtered if to < rate else resample)(time_slice(x, key, rate, start, end), key, rate, to)
     x = peak_normalize(x, key).select(key, "pos", F.col("y").alias("x"))
     if silence_db is not None:
         x = trim_silence(x, key, silence_db)

@@ -77,6 +77,14 @@ def transcription_stats(spark, sf_dir):
     return S.transcription_stats(talk(spark, sf_dir)).withColumn("words_per_minute", F.round("words_per_minute", 6))
 
 
+@query(f"""WITH b AS (SELECT role, sum({WORDS.format('text')})::BIGINT AS w, count(*) AS n FROM conversations GROUP BY 1)
+ SELECT sum(n)::BIGINT AS total_segments, sum(w)::BIGINT AS total_words, sum(n)::DOUBLE AS total_duration, round(sum(w) * 60.0 / sum(n), 6) AS words_per_minute,
+ string_agg(role || ' ' || w || ' ' || n, ', ' ORDER BY role) AS speakers FROM b""")
+def transcription_summary(spark, sf_dir):
+    said = F.transform(F.map_entries("speakers"), lambda e: F.concat_ws(" ", e["key"], e["value"]["word_count"].cast("string"), e["value"]["segment_count"].cast("string")))
+    return S.transcription_summary(talk(spark, sf_dir)).withColumns({"speakers": F.array_join(said, ", "), "words_per_minute": F.round("words_per_minute", 6)})
+
+
 _OVERLAPS = f"""{SPOKEN}, marked AS (SELECT a.*, EXISTS (SELECT 1 FROM spoken b WHERE a.meeting_id = b.meeting_id AND a.speaker_id <> b.speaker_id
  AND greatest(a."start", b."start") < least(a."end", b."end")) AS is_overlap FROM spoken a)"""
 
@@ -123,6 +131,16 @@ def merge_segments(spark, sf_dir):
     return S.merge_segments(spoken(spark, sf_dir), gap=60.0)
 
 
+@query(f"""WITH {SPOKEN}, a AS (SELECT *, seg_idx % 11 / 10.0::DOUBLE AS c, lag(speaker_id) OVER (PARTITION BY meeting_id ORDER BY "start", seg_idx) AS b FROM spoken),
+ r AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> speaker_id THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY "start", seg_idx) AS run FROM a),
+ d AS (SELECT *, max("end") OVER (PARTITION BY meeting_id, run ORDER BY "start", seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+ e AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" - reach > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, run ORDER BY "start", seg_idx) AS g FROM d)
+ SELECT meeting_id, speaker_id, min("start") AS "start", count(*) AS merged, round(list_reduce(list(c ORDER BY "start", seg_idx), lambda x, y: (x + y) / 2), 6) AS confidence FROM e GROUP BY meeting_id, run, g, speaker_id""")
+def merged_confidence(spark, sf_dir):
+    rows = spoken(spark, sf_dir).withColumn("confidence", F.pmod("seg_idx", F.lit(11)) / 10.0)
+    return S.merge_segments(rows, gap=60.0).select("meeting_id", "speaker_id", "start", "merged", r6(F.col("confidence"), "confidence"))
+
+
 @query(f"""WITH {SPOKEN}, d AS (SELECT *, max("end") OVER (PARTITION BY meeting_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spoken),
  e AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" - reach > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM d)
  SELECT meeting_id, min("start") AS "start", max("end") AS "end" FROM e GROUP BY meeting_id, g""")
@@ -130,7 +148,10 @@ def merge_regions(spark, sf_dir):
     return S.merge_regions(spoken(spark, sf_dir).select("meeting_id", "start", "end"), 0.5, ["meeting_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPOKEN}, o AS MATERIALIZED (SELECT meeting_id, "start", seg_idx, "end", speaker_id AS said, row_number() OVER w AS i, lead(speaker_id) OVER w AS after FROM spoken WINDOW w AS (PARTITION BY meeting_id ORDER BY "start", seg_idx)),
+ f AS (SELECT meeting_id, i, said AS speaker_id FROM o WHERE i = 1 UNION ALL
+ SELECT o.meeting_id, o.i, CASE WHEN o."end" - o."start" < 5.0 AND f.speaker_id = o.after THEN f.speaker_id ELSE o.said END FROM f JOIN o ON o.meeting_id = f.meeting_id AND o.i = f.i + 1)
+ SELECT o.meeting_id, o."start", o.seg_idx, o."end", f.speaker_id FROM o JOIN f USING (meeting_id, i)""")
 def smooth_segments(spark, sf_dir):
     return S.smooth_segments(spoken(spark, sf_dir), shortest=5.0)
 
@@ -664,7 +685,17 @@ def rttm_lines(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS status, count(*) AS files, count(*) FILTER (o_totalprice > 1000) AS ok, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 5) AS mean FROM orders GROUP BY 1")
 def batch_totals(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("o_totalprice") > 1000).alias("ok"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    out = E.batch_totals(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), "status", F.col("o_totalprice") > 1000, "o_totalprice")
+    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 5)})
+
+
+@query("""WITH v AS (SELECT 'price' AS metric, o_totalprice::DOUBLE AS v FROM orders UNION ALL SELECT 'status', CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.0 END FROM orders)
+ SELECT metric, count(v) AS "count", round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS "min", round(quantile_cont(v, 0.25), 4) AS q1,
+ round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS "max" FROM v GROUP BY 1""")
+def run_describe(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("price"), F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).alias("status"))
+    out = E.describe(runs, ["price", "status"])
+    return out.select("metric", "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q1", "median", "q3", "max")])
 
 
 @query("SELECT n_name, coalesce(round(sum(c_acctbal), 2), 0) AS total FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY 1")
@@ -820,6 +851,15 @@ def resampled_signal(spark, sf_dir):
     return G.resample(signal(spark, sf_dir), "key", 100, 160).select("key", "pos", F.round("x", 5).alias("y"))
 
 
+@query(f"""WITH {_SIGNAL}, n AS (SELECT key, ceil((max(pos) + 1) * 40 / 100.0)::BIGINT AS n FROM s GROUP BY 1),
+ j AS (SELECT key, pos, x, unnest(generate_series(greatest(ceil((pos - 16 / 0.36::DOUBLE) * 40 / 100), 0)::BIGINT, floor((pos + 16 / 0.36::DOUBLE) * 40 / 100)::BIGINT)) AS j FROM s),
+ t AS (SELECT key, x, j, j * 2.5::DOUBLE - pos AS t FROM j),
+ w AS (SELECT key, x, j, CASE WHEN abs(t) < 1e-9 THEN 1.0::DOUBLE ELSE sin(pi() * 0.36 * t) / (pi() * 0.36 * t) END * (0.42 + 0.5 * cos(pi() * t * 0.36 / 16) + 0.08 * cos(2 * pi() * t * 0.36 / 16)) AS w FROM t)
+ SELECT w.key AS key, j AS pos, round(sum(w * x) / sum(w), 5) AS y FROM w JOIN n ON n.key = w.key WHERE j < n GROUP BY 1, 2""")
+def filtered_signal(spark, sf_dir):
+    return G.resample_filtered(signal(spark, sf_dir), "key", 100, 40).select("key", "pos", F.round("x", 5).alias("y"))
+
+
 @query(f"WITH {_SIGNAL}, n AS (SELECT pos, x FROM s WHERE key = (SELECT min(key) FROM s) AND pos < 50), c AS (SELECT avg(x * x) AS p FROM n), l AS (SELECT key, sqrt(avg(x * x) / any_value(p) / 10) AS l FROM s, c GROUP BY 1) SELECT s.key, s.pos, round(s.x + n.x * l, 5) AS y FROM s JOIN n ON s.pos % 50 = n.pos JOIN l ON l.key = s.key")
 def ambient_signal(spark, sf_dir):
     s = signal(spark, sf_dir)
