@@ -8,13 +8,14 @@ transcription a placeholder, a signal's embedding its plain statistics.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .functions.text import persons
 
@@ -92,16 +93,38 @@ def hash_vector(key: str, size: int = DIMENSIONS) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-def load_once(load: Callable[[], object]) -> Callable[[], object]:
-    """A loader that a worker calls once, however many batches it reads."""
-    held: list = []
+#: What this process has loaded, by name; Spark keeps Python workers from task to task, so a model is loaded once in each.
+_HELD: dict[str, object] = {}
 
-    def get_it():
-        if not held:
-            held.append(load())
-        return held[0]
 
-    return get_it
+def held(name: str, load: Callable[[], object]) -> object:
+    if name not in _HELD:
+        _HELD[name] = load()
+    return _HELD[name]
+
+
+def column_model(name: str, load: Callable[[], object], apply: Callable[[object, pd.Series], pd.Series], returns) -> Callable[[Column], Column]:
+    """A Column -> Column function over a model that each worker loads once, however many tasks and batches it runs.
+
+    Give it to ``register``; two models need two names.  ``load`` runs on the executors and must find its files there.
+    """
+    @F.pandas_udf(returns)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = held(name, load)
+        for batch in batches:
+            yield apply(model, batch)
+
+    return run
+
+
+def map_model(rows: DataFrame, name: str, load: Callable[[], object], apply: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, profile: ResourceProfile | None = None) -> DataFrame:
+    """Batches of rows through a model that each worker loads once; ``profile`` asks for what its stage needs (accelerators, memory)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held(name, load)
+        for batch in batches:
+            yield apply(model, batch)
+
+    return rows.mapInPandas(run, schema, profile=profile)
 
 
 def mel_coefficients(samples: np.ndarray, rate: int, count: int = 20, window: float = 0.025, hop: float = 0.01, bands: int = 26) -> np.ndarray:
@@ -140,6 +163,45 @@ def greedy_tokens(best: Column, blank: int = 0) -> Column:
     return F.transform(kept, lambda r: r["t"])
 
 
+def _best_prefix(frames: np.ndarray, width: int, blank: int) -> tuple[list[int], float]:
+    """The likeliest token sequence of log probabilities (frame, token), and its log probability.
+
+    A prefix carries the mass of its paths that end in the blank and of those that end in its last token; paths that
+    read the same are one prefix.  After each frame the ``width`` likeliest stay, ties by the smaller tokens.
+    """
+    beam: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, -np.inf)}
+    for frame in frames:
+        grown: dict[tuple[int, ...], list[float]] = {}
+        for prefix, (silent, voiced) in beam.items():
+            both = np.logaddexp(silent, voiced)
+            own = grown.setdefault(prefix, [-np.inf, -np.inf])
+            own[0] = np.logaddexp(own[0], both + frame[blank])
+            for token, p in enumerate(frame):
+                if token == blank or p == -np.inf:
+                    continue
+                again = bool(prefix) and prefix[-1] == token
+                if again:
+                    own[1] = np.logaddexp(own[1], voiced + p)
+                longer = grown.setdefault((*prefix, token), [-np.inf, -np.inf])
+                longer[1] = np.logaddexp(longer[1], (silent if again else both) + p)
+        kept = sorted(grown.items(), key=lambda e: (-np.logaddexp(*e[1]), e[0]))[:width]
+        beam = {prefix: (silent, voiced) for prefix, (silent, voiced) in kept}
+    prefix, mass = min(beam.items(), key=lambda e: (-np.logaddexp(*e[1]), e[0]))
+    return list(prefix), float(np.logaddexp(*mass))
+
+
+def beam_tokens(frames: Column, width: int = 16, blank: int = 0) -> Column:
+    """Connectionist decoding by prefixes: ``tokens`` and ``score`` of an array of frames, each the tokens' log probabilities; null stays null."""
+    fields = StructType([StructField("tokens", ArrayType(IntegerType())), StructField("score", DoubleType())])
+
+    @F.pandas_udf(fields)
+    def run(utterances: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if u is None else _best_prefix(np.array([np.asarray(f, float) for f in u]), width, blank) for u in utterances]
+        return pd.DataFrame(found, columns=["tokens", "score"])
+
+    return F.when(frames.isNotNull(), run(frames))
+
+
 def transcribe_segments(segments, text: str = "text", model: str = "default", least: float = 0.3):
     """Segments (start, end) of ``least`` seconds or more with the text that the registered model gives them."""
     long = segments.where(F.col("end") - F.col("start") >= least)

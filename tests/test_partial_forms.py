@@ -86,3 +86,51 @@ def test_filtered_resampling(spark):
     low = values(G.resample_filtered(signal(spark, np.sin(2 * np.pi * 5 * at / 100)), "key", 100, 40))[20:-20]
     high = values(G.resample_filtered(signal(spark, np.sin(2 * np.pi * 31 * at / 100)), "key", 100, 40))[40:-40]
     assert abs(low).max() > 0.99 and 20 * np.log10(abs(high).max()) < -60
+
+
+def test_beam_of_prefixes_equals_all_paths(spark):
+    import itertools
+
+    rng = np.random.default_rng(8)
+    rows, want = [(-1, None), (-2, [])], {-1: None, -2: ([], 0.0)}
+    for i in range(40):
+        n, tokens = int(rng.integers(1, 6)), int(rng.integers(2, 4))
+        p = rng.dirichlet(np.ones(tokens), n)
+        mass = {}
+        for path in itertools.product(range(tokens), repeat=n):
+            read = tuple(t for k, t in enumerate(path) if t and (k == 0 or path[k - 1] != t))
+            mass[read] = mass.get(read, 0) + math.prod(p[k, t] for k, t in enumerate(path))
+        best = max(mass, key=mass.get)
+        rows.append((i, np.log(p).tolist()))
+        want[i] = (list(best), math.log(mass[best]))
+    d = spark.createDataFrame(rows, "id int, frames array<array<double>>")
+    for r in d.select("id", models.beam_tokens(F.col("frames"), 1_000).alias("b")).collect():
+        if want[r.id] is None:
+            assert r.b is None
+        else:
+            assert r.b.tokens == want[r.id][0] and r.b.score == pytest.approx(want[r.id][1])
+    # one frame's worth of blanks between two equal tokens keeps both; a beam of one is a single path's prefix
+    sure = np.log(np.full((3, 2), 1e-9))
+    sure[0, 1] = sure[1, 0] = sure[2, 1] = 0
+    assert models._best_prefix(sure, 1, 0)[0] == [1, 1]
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return 3
+
+    double = models.column_model("threefold", load, lambda model, x: x * model, "long")
+    models.register("test", "threefold", double)
+    d = spark.range(0, 4_000, 1, 40)
+    for _ in range(2):
+        assert d.select(F.sum(models.get("test", "threefold")(F.col("id")))).first()[0] == 3 * sum(range(4_000))
+    mapped = models.map_model(d, "threefold", load, lambda model, b: b.assign(id=b["id"] + model), "id long")
+    assert mapped.agg(F.sum("id")).first()[0] == sum(range(4_000)) + 12_000
+    pids = open(log).read().split()
+    assert pids and len(pids) == len(set(pids)) < 40
