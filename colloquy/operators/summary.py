@@ -61,6 +61,19 @@ def context_decisions(sentences: DataFrame, key: str, most_words: int = 35) -> D
     return packed.select(key, T.distinct_by_words(F.array_distinct("all")).alias("decisions"))
 
 
+def settled_decisions(decisions: DataFrame, keys: DataFrame, key: str, model: str | None = "default") -> DataFrame:
+    """key, decisions: those found; in a meeting without any, its key sentences that hold a decision word; like ones (``semantic_distinct``) once.
+
+    What one meeting decides is its group, so this takes decisions, never a meeting's sentences.
+    """
+    found = decisions.where(F.size("decisions") > 0).select(key, F.posexplode("decisions").alias("place", "text"))
+    told = keys.where(T.contains_any(F.col("sentence"), T.DECISION_WORDS)).join(found.select(key).distinct(), key, "left_anti")
+    items = found.select(key, F.col("place").cast("long").alias("place"), "text").unionByName(told.select(key, F.col("sent_idx").cast("long").alias("place"), F.col("sentence").alias("text")))
+    once = items.groupBy(key, "text").agg(F.min("place").alias("place"))
+    kept = semantic_distinct(once, key, "place", "text", model=model)
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda r: r["text"]).alias("decisions"))
+
+
 def key_points(keys: DataFrame, key: str) -> DataFrame:
     """The chosen sentences in order, each as ``sentence (oleh speaker)``, repeats collapsed."""
     point = F.concat(T.squeeze(T.collapsed(F.col("sentence"))), F.lit(" (oleh "), F.col("speaker_id"), F.lit(")"))

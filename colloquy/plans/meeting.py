@@ -37,7 +37,7 @@ def summarize(transcript: DataFrame, meeting: str = "meeting_id", sentences: int
     rows = rows.withColumn("total", F.count(F.lit(1)).over(S.Window.partitionBy(meeting)))
     top = M.key_sentences(rows, M.heuristic_score(F.col("sent_idx"), F.col("total"), F.col("sentence"), F.col("similarity")), meeting, sentences)
     whole = turns.groupBy(meeting).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda r: r["text"]), " ").alias("text"))
-    return {"overview": M.overview(top, meeting), "decisions": M.decisions(rows, meeting), "actions": M.segment_actions(transcript, meeting), "points": M.key_points(top, meeting), "topics": M.keywords(whole, meeting, 5)}
+    return {"overview": M.overview(top, meeting), "decisions": M.settled_decisions(M.decisions(rows, meeting), top, meeting), "actions": M.segment_actions(transcript, meeting), "points": M.key_points(top, meeting), "topics": M.keywords(whole, meeting, 5)}
 
 
 def document(transcript: DataFrame, titles: DataFrame, meeting: str = "meeting_id") -> DataFrame:

@@ -123,6 +123,20 @@ def existing(rows: DataFrame, listing: DataFrame, key: str = "wav") -> tuple[Dat
     return rows.join(names, own, "left_semi"), rows.join(names, own, "left_anti")
 
 
+def corpus_manifest(spark: SparkSession, path: str, folder: str, kind: str = "jsonl") -> tuple[DataFrame, DataFrame]:
+    """A manifest's rows whose file lies in ``folder``, with the length from the file's header where no duration is given, and the rows without a file.
+
+    Files are known by their names; headers are read only of files that a row without a duration names.
+    """
+    rows = manifest(spark, path, kind)
+    have, missing = existing(rows, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path"))
+    name = F.regexp_extract("wav", r"([^/]+)$", 1)
+    lengths = audio_info(spark, folder, have.where("duration is null").select(name.alias("name")))
+    lengths = lengths.groupBy(F.regexp_extract("path", r"([^/]+)$", 1).alias("__f")).agg(F.min("duration").alias("__d"))
+    out = have.join(lengths, name == F.col("__f"), "left").withColumn("duration", F.coalesce("duration", "__d"))
+    return out.drop("__f", "__d"), missing
+
+
 def predictions(spark: SparkSession, path: str, bad_lines: str = "raise") -> DataFrame:
     """wav, start, end, ref, hyp, speaker, pred_spk, epoch; ``bad_lines`` is raise or drop."""
     schema = "wav string, start double, end double, ref string, hyp string, speaker string, pred_spk string, epoch int"
@@ -161,8 +175,8 @@ def segments_xml(spark: SparkSession, path: str) -> DataFrame:
     ).where("start is not null and end is not null")
 
 
-def audio_info(spark: SparkSession, folder: str) -> DataFrame:
-    """path, duration, sample_rate, channels, samples of wave files; null where a header doesn't parse."""
+def audio_info(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """path, duration, sample_rate, channels, samples of wave files (of the file names given); null where a header doesn't parse."""
     def run(batches):
         for b in batches:
             out = []
@@ -174,7 +188,10 @@ def audio_info(spark: SparkSession, folder: str) -> DataFrame:
                     out.append((path, None, None, None, None))
             yield pd.DataFrame(out, columns=["path", "duration", "sample_rate", "channels", "samples"])
 
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, "path string, duration double, sample_rate int, channels int, samples long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(names is not None).lower()).load(folder).select("path", "content")
+    if names is not None:
+        files = files.join(names.distinct(), F.regexp_extract("path", r"([^/]+)$", 1) == F.col("name"), "left_semi")
+    return files.mapInPandas(run, "path string, duration double, sample_rate int, channels int, samples long")
 
 
 def audio_samples(spark: SparkSession, folder: str, chunk: int = 16_000) -> DataFrame:

@@ -150,11 +150,11 @@ def evaluation_table(results: DataFrame) -> DataFrame:
 
 
 def _lines(spark, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "n int, value string")
+    return spark.createDataFrame([(n, None, r) for n, r in enumerate(rows)], "n int, sample string, value string")
 
 
 def evaluation_report(results: DataFrame, condition: str = "-", stamp: str = "") -> DataFrame:
-    """n, value: the lines of a report over wide results (sample, word and diarization errors, ROUGE); a row for each sample besides the totals."""
+    """n, sample, value: the lines of a report, in the order of n and sample, over wide results (sample, word and diarization errors, ROUGE); a row for each sample besides the totals."""
     has = lambda c: c if c in results.columns else "cast(null as double)"
     sums = results.selectExpr(*[f"{has(c)} as {c}" for c in ("wer", "der", "missed_speech", "false_alarm", "speaker_confusion", "substitutions", "deletions", "insertions", "hits", "rouge1_f", "rouge2_f", "rougel_f", "bertscore_f1")])
     t = sums.agg(
@@ -181,7 +181,7 @@ def evaluation_report(results: DataFrame, condition: str = "-", stamp: str = "")
 
     def samples(metric: str, at: int) -> DataFrame:
         line = F.format_string(f"   - %s: {metric.upper()} = %.4f (%.2f%%)", F.col("sample").cast("string"), F.col(metric), F.col(metric) * 100)
-        return results.where(F.col(metric).isNotNull()).select(F.lit(at).alias("n"), line.alias("value"))
+        return results.where(F.col(metric).isNotNull()).select(F.lit(at).alias("n"), F.col("sample").cast("string").alias("sample"), line.alias("value"))
 
     parts = [*head, *asr, *(["", "   Detail per Sampel:"] if t["n_wer"] else [])]
     out = _lines(results.sparkSession, parts)

@@ -11,6 +11,8 @@ from colloquy import models
 from colloquy.operators import evaluation as E
 from colloquy.operators import segments as S
 from colloquy.operators import signals as G
+from colloquy.operators import summary as M
+from colloquy.sources import readers as R
 
 
 def test_confidence_is_averaged_in_order(spark):
@@ -134,3 +136,23 @@ def test_a_worker_loads_a_model_once(spark, tmp_path):
     assert mapped.agg(F.sum("id")).first()[0] == sum(range(4_000)) + 12_000
     pids = open(log).read().split()
     assert pids and len(pids) == len(set(pids)) < 40
+
+
+def test_decisions_fall_back_to_key_sentences_and_like_ones_go(spark):
+    found = spark.createDataFrame([("a", ["diputuskan rilis hari senin", "diputuskan rilis hari senin pagi", "anggaran naik sepuluh persen"]), ("b", [])], "meeting_id string, decisions array<string>")
+    keys = spark.createDataFrame([("a", 1, "kita sepakat lain"), ("b", 4, "Kami sepakat memakai ruang dua"), ("b", 2, "cuaca cerah"), ("c", 0, "Jadi kita pindah")], "meeting_id string, sent_idx int, sentence string")
+    got = {r.meeting_id: r.decisions for r in M.settled_decisions(found, keys, "meeting_id").collect()}
+    assert got == {"a": ["diputuskan rilis hari senin", "anggaran naik sepuluh persen"], "b": ["Kami sepakat memakai ruang dua"], "c": ["Jadi kita pindah"]}
+
+
+def test_manifest_with_files_and_lengths(spark, tmp_path):
+    import wave
+
+    for name, frames in (("a", 8_000), ("b", 4_000), ("d", 100)):
+        (tmp_path / "audio").mkdir(exist_ok=True)
+        with wave.open(str(tmp_path / "audio" / f"{name}.wav"), "wb") as f:
+            f.setnchannels(1), f.setsampwidth(2), f.setframerate(8_000), f.writeframes(bytes(2 * frames))
+    (tmp_path / "m.jsonl").write_text('{"wav": "x/a.wav", "text": "t"}\n{"wav": "b.wav", "duration": 9.0}\n{"wav": "c.wav"}\n')
+    have, missing = R.corpus_manifest(spark, str(tmp_path / "m.jsonl"), str(tmp_path / "audio"))
+    assert sorted((r.wav, r.duration) for r in have.collect()) == [("b.wav", 9.0), ("x/a.wav", 1.0)]
+    assert [r.wav for r in missing.collect()] == ["c.wav"]
