@@ -183,40 +183,46 @@ def greedy_distinct(items: DataFrame, key: str, order: str, text: str, threshold
 
     No group holds all items of a key.  Equal word sets are one item, as only the first of them can stay.  Like
     sets are found by a prefix filter: sorted by how rare their words are, two sets that reach the threshold share
-    one of their first ``size - ceil(threshold * size) + 1`` words, so only these are joined on; sizes are compared
-    before words.  The pass itself is the lexicographically first independent set: in each round the items
+    one of their first ``size - ceil(threshold * size) + 1`` words, so only these are joined on, in narrow rows without
+    the sets; sizes, and how many words can be shared from there on, are compared before words.  The pass itself is
+    the lexicographically first independent set: in each round the items
     without an undecided like item before them stay, and what is like them goes; at least the first undecided item of
-    a key is settled in a round, usually almost all.
+    a key is settled in a round, usually almost all.  All joins merge sorted sides: none is sent through the driver,
+    however few bytes its shuffle takes.
     """
-    rows = items.withColumn("__w", F.array_sort(F.array_distinct(T.words(norm(F.col(text)))))).where(F.size("__w") > 0)
-    sets = materialize(rows.groupBy(F.col(key).alias("k"), F.col("__w").alias("w")).agg(F.min(order).alias("o")))
+    words = F.array_sort(F.array_distinct(T.words(norm(F.col(text)))))
+    sets = materialize(items.groupBy(F.col(key).alias("k"), words.alias("w")).agg(F.min(order).alias("o"))).where(F.size("w") > 0)
     said = sets.select("k", "o", F.explode("w").alias("x"))
     rarity = said.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    ranked = said.join(rarity, "x").groupBy("k", "o").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+    ranked = said.join(rarity.hint("merge"), "x").groupBy("k", "o").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
     size = F.size("r")
     first = F.slice("r", F.lit(1), (size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1).cast("int"))
-    keyed = ranked.select("k", "o", F.transform("r", lambda r: r["x"]).alias("w"), F.explode(first).alias("p")).select("k", "o", "w", F.col("p.x").alias("x"))
-    a, b = (keyed.select("k", "x", F.col("o").alias(f"o{n}"), F.col("w").alias(f"w{n}")) for n in "ab")
-    sizes = F.least(F.size("wa"), F.size("wb")) >= F.lit(threshold) * F.greatest(F.size("wa"), F.size("wb")) - F.lit(1e-9)
-    like = a.join(b, ["k", "x"]).where((F.col("oa") < F.col("ob")) & sizes).where(T.jaccard(F.col("wa"), F.col("wb")) >= threshold)
-    links = materialize(like.select("k", "oa", "ob").distinct())
+    keyed = ranked.select("k", "o", size.alias("n"), F.posexplode(F.transform(first, lambda r: r["x"])).alias("p", "x"))
+    a, b = (keyed.select("k", "x", *[F.col(c).alias(c + end) for c in "onp"]) for end in "ab")
+    sizes = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)
+    # of two like sets, the first word that they share leaves enough words behind it on either side
+    ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+    near = a.join(b.hint("merge"), ["k", "x"]).where((F.col("oa") < F.col("ob")) & sizes & ahead).select("k", "oa", "ob").distinct()
+    for end in "ab":
+        near = near.join(sets.select("k", F.col("o").alias(f"o{end}"), F.col("w").alias(f"w{end}")).hint("merge"), ["k", f"o{end}"])
+    links = materialize(near.where(T.jaccard(F.col("wa"), F.col("wb")) >= threshold).select("k", "oa", "ob"))
     kept, left = [], sets.select("k", "o")
     while True:
         blocked = links.select("k", F.col("ob").alias("o")).distinct()
-        stay = materialize(left.join(blocked, ["k", "o"], "left_anti"))
+        stay = materialize(left.join(blocked.hint("merge"), ["k", "o"], "left_anti"))
         kept.append(stay)
         if not links.head(1):
             break
-        gone = materialize(links.join(stay.withColumnRenamed("o", "oa"), ["k", "oa"], "left_semi").select("k", F.col("ob").alias("o")).distinct())
+        gone = materialize(links.join(stay.withColumnRenamed("o", "oa").hint("merge"), ["k", "oa"], "left_semi").select("k", F.col("ob").alias("o")).distinct())
         settled = stay.unionByName(gone)
-        left = materialize(left.join(settled, ["k", "o"], "left_anti"))
+        left = materialize(left.join(settled.hint("merge"), ["k", "o"], "left_anti"))
         for end in ("oa", "ob"):
-            links = links.join(settled.withColumnRenamed("o", end), ["k", end], "left_anti")
+            links = links.join(settled.withColumnRenamed("o", end).hint("merge"), ["k", end], "left_anti")
         links = materialize(links)
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
-    return items.join(out.select(F.col("k").alias("__k"), F.col("o").alias("__o")), (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__o")), "left_semi")
+    return items.join(out.select(F.col("k").alias("__k"), F.col("o").alias("__o")).hint("merge"), (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__o")), "left_semi")
 
 
 def semantic_distinct(items: DataFrame, key: str, order: str, text: str, cosine: float = 0.75, overlap: float = 0.45, model: str | None = "default") -> DataFrame:

@@ -249,3 +249,20 @@ def test_greedy_distinct_equals_the_loop(spark):
                     kept.append((o, own))
             want += [(k, o) for o, _ in kept]
         assert sorted((r["k"], r["o"]) for r in M.greedy_distinct(d, "k", "o", "t", threshold).collect()) == want
+
+
+def test_greedy_distinct_sends_no_table_through_the_driver(spark, monkeypatch):
+    from colloquy.operators import summary as M
+
+    plans, cut = [], M.materialize
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(M, "materialize", seen)
+    d = spark.createDataFrame([(1, 0, "one two three"), (1, 1, "one two three four"), (1, 2, "five six"), (1, 3, "one two four nine"), (2, 0, "five six"), (2, 1, "?")], "k long, o long, t string")
+    out = seen(M.greedy_distinct(d, "k", "o", "t"))
+    assert sorted((r["k"], r["o"]) for r in out.collect()) == [(1, 0), (1, 2), (1, 3), (2, 0)]
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
