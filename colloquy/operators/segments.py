@@ -14,7 +14,9 @@ from collections.abc import Iterator
 from heapq import merge
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,23 +179,108 @@ def detect_overlaps(segments: DataFrame, meeting: str = "meeting_id") -> DataFra
     return out.withColumn("is_overlap", marked).drop("__m0", "__t0", "__c0", "__m1", "__t1", "__c1")
 
 
+#: Width of a cell of time, in mean lengths of segments and blocks.
+CELL = 64
+
+
 def map_blocks(segments: DataFrame, blocks: DataFrame, contained: bool = False, meeting: str = "meeting_id", bucket: float | None = None) -> DataFrame:
     """Texts of the blocks that overlap (or lie within) each segment, joined in block order.
 
-    Both sides are laid on buckets of time, so the join has (meeting, bucket) as its keys; a pair is taken in the
-    bucket where the later of the two begins, hence once.  ``bucket`` is the mean length of both sides by default.
+    A segment goes to the one cell of time in which it starts, and a block to all cells from which a segment can reach
+    it, so texts are made where both meet and no pair is shuffled.  ``bucket`` is the width of the cells, by default ``CELL``
+    mean lengths of both sides; segments longer than a cell lie in cells of twice, four times, ... that width.
+    Segments of which several have one number are joined in pairs and then gathered.
     """
-    b = blocks.select(F.col(meeting).alias("__m"), F.col("block_idx").alias("__i"), F.col("start").alias("__a"), F.col("end").alias("__b"), F.trim("text").alias("__t")).where("__a is not null and __b is not null")
-    s = segments.select(meeting, "seg_idx", "start", "end")
+    b = blocks.select(F.col(meeting).alias("__m"), F.col("block_idx").alias("__i"), F.col("start").alias("__a"), F.col("end").alias("__b"), F.trim("text").alias("__t"))
+    b = b.where("__m is not null and __i is not null and __a is not null and __b is not null and __t is not null")
+    # equal numbers are counted first, by narrow rows
+    s = segments.groupBy(meeting, "seg_idx").agg(F.count(F.lit(1)).alias("__n"), F.first("start").alias("start"), F.first("end").alias("end"))
+    length = lambda d, x, y: d.select((F.col(y) - F.col(x)).alias("d"))
     if bucket is None:
-        length = lambda d, x, y: d.select((F.col(y) - F.col(x)).alias("d"))
-        bucket = length(s, "start", "end").unionByName(length(b, "__a", "__b")).where("d > 0").agg(F.avg("d")).first()[0] or 1.0
+        mean = length(segments, "start", "end").unionByName(length(b, "__a", "__b")).where("d > 0").agg(F.avg("d")).first()[0] or 1.0
+        bucket = CELL * mean
+    span = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
+    level = F.when(span <= bucket, 0).otherwise(F.ceil(F.log2(span / bucket))).cast("int")
+    s = s.withColumn("__l", level)
+    found = s.groupBy("__l").agg(F.max(F.when(F.col("__n") == 1, span)).alias("reach"), F.max("__n").alias("n")).collect()
+    reach = {r["__l"]: r["reach"] for r in found if r["__l"] is not None and r["reach"] is not None}
+    cell = lambda x, k: F.floor(x / F.lit(bucket * 2.0**k))
+    home = F.coalesce(*[F.when(F.col("__l") == k, cell(F.col("start"), k)) for k in reach], F.lit(None).cast("long"))
+    kinds = dict(segments.select(meeting, "seg_idx").dtypes)
+    own = s.where("__n = 1").select(meeting, F.col("__l").alias("__k"), home.alias("__c"), F.lit(1).alias("__side"), F.lit(None).cast(dict(b.dtypes)["__i"]).alias("__i"), "seg_idx", F.col("start").cast("double").alias("__a"), F.col("end").cast("double").alias("__b"), F.lit(None).cast("string").alias("__t"))
+    # a little more than the longest segment, for what subtraction rounds
+    first = lambda k: cell(F.least("__a", "__b") - F.lit(reach[k] + 1e-6 * bucket), k)
+    spread = F.array(*[F.struct(F.lit(k).alias("k"), first(k).alias("x"), cell(F.greatest("__a", "__b"), k).alias("y")) for k in reach]) if reach else None
+    rows = own
+    if reach:
+        laid = b.withColumn("__s", F.explode(spread)).withColumn("__c", F.explode(F.sequence("__s.x", "__s.y")))
+        rows = own.unionByName(laid.select(F.col("__m").alias(meeting), F.col("__s.k").alias("__k"), "__c", F.lit(0).alias("__side"), "__i", F.lit(None).cast(kinds["seg_idx"]).alias("seg_idx"), F.col("__a").cast("double").alias("__a"), F.col("__b").cast("double").alias("__b"), "__t"))
+    met = rows.repartition(meeting, "__k", "__c").sortWithinPartitions(meeting, "__k", "__c", "__side", "__i", "__t").select(meeting, "__k", "__c", "__side", "seg_idx", "__a", "__b", "__t")
+    out = met.mapInArrow(_joined_texts(contained), f"{meeting} {kinds[meeting]}, seg_idx {kinds['seg_idx']}, text string")
+    return out.unionByName(_gathered(segments, s, b, contained, meeting, bucket / CELL)) if any(r["n"] > 1 for r in found) else out
+
+
+def _joined_texts(contained: bool):
+    """Over rows sorted by cell, its blocks in order before its segments: meeting, segment and text of each segment."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ready, a, b, t = None, None, [], [], []
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns[:4]] + [c.to_pylist() for c in batch.columns[5:]]
+            kept, texts, size = [], [], 0
+            for k, (m, lev, c, side, x, y, text) in enumerate(zip(*cols)):
+                if (m, lev, c) != at:
+                    at, ready, a, b, t = (m, lev, c), None, [], [], []
+                if not side:
+                    a.append(x)
+                    b.append(y)
+                    t.append(text)
+                    continue
+                if ready is None:
+                    ready = _Reached(a, b, t)
+                texts.append(ready.text(x, y, contained) if a and x is not None and y is not None else "")
+                kept.append(k)
+                size += len(texts[-1])
+                if size > 1 << 25:
+                    yield _texts_of(batch, kept, texts)
+                    kept, texts, size = [], [], 0
+            yield _texts_of(batch, kept, texts)
+
+    return run
+
+
+def _texts_of(batch: pa.RecordBatch, kept: list[int], texts: list[str]) -> pa.RecordBatch:
+    rows = batch.take(pa.array(kept, pa.int64()))
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), pa.array(texts, pa.string())], names=[batch.schema.names[0], "seg_idx", "text"])
+
+
+class _Reached:
+    """Blocks of a cell in order: which ones a segment meets, by a search over their starts."""
+
+    def __init__(self, a: list[float], b: list[float], t: list[str]):
+        x = np.array(a)
+        self.order = np.argsort(x, kind="stable")
+        self.a, self.b, self.t = x[self.order], np.array(b)[self.order], np.array(t, object)
+        self.last, self.forward = np.maximum.accumulate(self.b), bool((self.b >= self.a).all())
+
+    def text(self, start: float, end: float, contained: bool) -> str:
+        if contained:
+            i, j = np.searchsorted(self.a, start, "left"), np.searchsorted(self.a, end, "right") if self.forward else len(self.a)
+            near = self.b[i:j] <= end
+        else:
+            i, j = np.searchsorted(self.last, start, "right"), np.searchsorted(self.a, end, "left")
+            near = self.b[i:j] > start
+        return " ".join(self.t[np.sort(self.order[i:j][near])].tolist())
+
+
+def _gathered(segments: DataFrame, counted: DataFrame, b: DataFrame, contained: bool, meeting: str, bucket: float) -> DataFrame:
+    """Texts of segments that share their number with others: every pair with a block, gathered by number."""
+    several = counted.where("__n > 1").select(F.col(meeting).alias("__sm"), F.col("seg_idx").alias("__si"))
+    s = segments.select(meeting, "seg_idx", "start", "end").join(several, F.col(meeting).eqNullSafe(F.col("__sm")) & F.col("seg_idx").eqNullSafe(F.col("__si")), "left_semi")
     cell = lambda x: F.floor(F.col(x) / bucket)
     spread = lambda d, x, y, name: d.where(F.col(x) <= F.col(y)).withColumn(name, F.explode(F.sequence(cell(x), cell(y))))
-    laid, placed = spread(s, "start", "end", "__k"), spread(b, "__a", "__b", "__j")
     when = (F.col("__a") >= F.col("start")) & (F.col("__b") <= F.col("end")) if contained else (F.col("__a") < F.col("end")) & (F.col("__b") > F.col("start"))
     once = F.col("__k") == F.greatest(cell("start"), cell("__a"))
-    pairs = laid.join(placed, (F.col(meeting) == F.col("__m")) & (F.col("__k") == F.col("__j")) & when & once).select(meeting, "seg_idx", "__i", "__t")
+    pairs = spread(s, "start", "end", "__k").join(spread(b, "__a", "__b", "__j"), (F.col(meeting) == F.col("__m")) & (F.col("__k") == F.col("__j")) & when & once).select(meeting, "seg_idx", "__i", "__t")
     every = pairs.unionByName(s.select(meeting, "seg_idx", F.lit(None).cast(dict(b.dtypes)["__i"]).alias("__i"), F.lit(None).cast("string").alias("__t")))
     packed = F.array_sort(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__t"))))
     return every.groupBy(meeting, "seg_idx").agg(packed.alias("p")).select(meeting, "seg_idx", F.array_join(F.transform("p", lambda x: x["__t"]), " ").alias("text"))

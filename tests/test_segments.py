@@ -83,3 +83,25 @@ def test_durations_add_up(spark):
     d = spark.createDataFrame([("f", i, n, 10.0) for i, n in enumerate((1, 0, 9))], "file_id string, i int, n_words int, total double")
     out = S.proportional_durations(d).collect()
     assert abs(sum(r["duration"] for r in out) - 10.0) < 1e-9 and min(r["duration"] for r in out) > 0.19
+
+
+def test_blocks_meet_segments_without_shuffling_pairs(spark):
+    """Segments and blocks of all lengths, nulls, repeated numbers; and each text is made where its blocks are."""
+    import random
+
+    rng = random.Random(4)
+    span = lambda: (a := rng.randrange(4000) / 8, a + rng.choice([0, 1, 3, 40, 700]))
+    s = [("m", i, *span()) for i in range(120)] + [("n", 0, 1.0, 2.0), (None, 7, 1.0, 2.0), ("m", 900, None, 3.0), ("m", 901, 3.0, None), ("m", 5, 10.0, 60.0)]
+    b = [("m", i // 2, *span(), f" t{i} ") for i in range(150)] + [("m", 999, 3.0, 4.0, None), ("m", None, 3.0, 4.0, "x"), ("o", 1, 1.0, 2.0, "y")]
+    segments = spark.createDataFrame(s, "meeting_id string, seg_idx long, start double, end double").repartition(3)
+    blocks = spark.createDataFrame(b, "meeting_id string, block_idx int, start double, end double, text string").repartition(3)
+    for contained in (False, True):
+        want = {}
+        for m, i, x, y in s:
+            near = [] if m is None or x is None or y is None else [(k, t.strip()) for n, k, p, q, t in b if n == m and k is not None and t and (x <= p and q <= y if contained else p < y and q > x)]
+            want.setdefault((m, i), []).extend(near)
+        got = S.map_blocks(segments, blocks, contained, bucket=8.0)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((m, i, " ".join(t for _, t in sorted(v))) for (m, i), v in want.items()), key=str)
+    once = segments.where("seg_idx <> 5")
+    plan = S.map_blocks(once, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
