@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +25,48 @@ def sentence_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def keywords(docs: DataFrame, key: str, k: int = 5, stopwords: list[str] | None = None, pattern: str = r"\b[a-zA-Z]{4,}\b", text: str = "text") -> DataFrame:
-    """The k most frequent words of each document; ties by first appearance."""
+    """The k most frequent words of each document; ties by first appearance.
+
+    A row's words are counted in place, so only keys are shuffled, to find those of several rows; of these the words
+    are counted together.
+    """
     w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), 0)
-    rows = docs.select(key, F.posexplode(w).alias("pos", "word")).where(~F.col("word").isin(stopwords or STOPWORDS))
+    stop = stopwords or STOPWORDS
+    several = docs.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__k")
+    kind = dict(docs.select(key).dtypes)[key]
+    schema = f"{key} {kind}, rank int, word string, n long"
+    if not several.head(1):
+        return docs.select(key, w.alias("w")).mapInArrow(_top_words(key, k, stop), schema)
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    out = docs.join(several.hint("merge"), same, "left_anti").select(key, w.alias("w")).mapInArrow(_top_words(key, k, stop), schema)
+    rows = docs.join(several.hint("merge"), same, "left_semi").select(key, F.posexplode(w).alias("pos", "word")).where(~F.col("word").isin(stop))
     counted = rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
+    return out.unionByName(counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "word", "n"))
+
+
+def _top_words(key: str, k: int, stop: list[str]):
+    """Of rows (key, words): key, rank, word and n of the k most frequent words of each row, of equals the first."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words, row = part.column(1).flatten(), pc.list_parent_indices(part.column(1)).to_numpy()
+                if not len(words):
+                    continue
+                coded = words.dictionary_encode()
+                names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                kept = np.flatnonzero(~pc.is_in(names, pa.array(stop, names.type)).to_numpy(zero_copy_only=False)[code])
+                pair, first, n = np.unique(row[kept].astype(np.int64) * len(names) + code[kept], return_index=True, return_counts=True)
+                own = pair // len(names)
+                # pairs by row, count and first place; then the place of each within its row
+                order = np.lexsort((first, -n, own))
+                own, pair, n = own[order], pair[order], n[order]
+                rank = np.arange(len(own)) - np.searchsorted(own, own, "left") + 1
+                best = np.flatnonzero(rank <= k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own[best])), pa.array(rank[best], pa.int32()), names.take(pa.array(pair[best] % len(names))), pa.array(n[best], pa.int64())], names=[key, "rank", "word", "n"])
+
+    return run
 
 
 def meeting_sentences(segments: DataFrame, meeting: str = "meeting_id") -> DataFrame:

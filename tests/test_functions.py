@@ -266,3 +266,25 @@ def test_greedy_distinct_sends_no_table_through_the_driver(spark, monkeypatch):
     out = seen(M.greedy_distinct(d, "k", "o", "t"))
     assert sorted((r["k"], r["o"]) for r in out.collect()) == [(1, 0), (1, 2), (1, 3), (2, 0)]
     assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_keywords_count_words_in_place(spark):
+    from collections import Counter
+
+    from colloquy.operators import summary as M
+
+    rows = [(1, "beta alpha beta Alpha gamma yang yang yang"), (2, None), (3, "no"), (None, "zeta delta zeta"), (4, "omega psi_ kappa omega"), (5, " ".join(f"word{'abcdefghij'[i % 7]}" for i in range(900)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = M.keywords(d, "doc_id", 2, pattern="[a-z]{4,}")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    # of one key, two rows' words count together, null keys too
+    for more in ([], [(1, "gamma Gamma gamma"), (None, "delta delta")]):
+        import re
+
+        texts, want = {}, []
+        for k, t in rows + more:
+            texts[k] = texts.get(k, Counter()) + Counter(w for w in re.findall("[a-z]{4,}", (t or "").lower()) if w != "yang")
+        for k, c in texts.items():
+            want += [(k, rank, w, n) for rank, (w, n) in enumerate(sorted(c.items(), key=lambda x: -x[1])[:2], 1)]
+        got = M.keywords(spark.createDataFrame(rows + more, "doc_id long, text string"), "doc_id", 2, pattern="[a-z]{4,}")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
