@@ -288,3 +288,10 @@ def test_keywords_count_words_in_place(spark):
             want += [(k, rank, w, n) for rank, (w, n) in enumerate(sorted(c.items(), key=lambda x: -x[1])[:2], 1)]
         got = M.keywords(spark.createDataFrame(rows + more, "doc_id long, text string"), "doc_id", 2, pattern="[a-z]{4,}")
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_topics_shuffle_no_words(spark):
+    from colloquy import catalog
+
+    plan = catalog.QUERIES["topics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
