@@ -295,3 +295,25 @@ def test_topics_shuffle_no_words(spark):
 
     plan = catalog.QUERIES["topics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_rouge_of_long_texts_takes_time_that_grows_with_the_words(spark):
+    import random
+    import time
+    from collections import Counter
+
+    from colloquy.operators import evaluation as E
+
+    rng = random.Random(5)
+    rows = [(i, [f"w{rng.randrange(900)}" for _ in range(4000)], [f"w{rng.randrange(900)}" for _ in range(4000)]) for i in range(40)]
+    rows += [(100, None, ["a"]), (101, [], ["a"]), (102, ["a"], ["a"]), (103, ["a", "b", "a", "b"], ["a", "b"])]
+    d = spark.createDataFrame(rows, "i long, r array<string>, h array<string>")
+    began = time.perf_counter()
+    got = {r["i"]: (r["r1"], r["r2"]) for r in d.select("i", E.rouge_n(F.col("r"), F.col("h"), 1).alias("r1"), E.rouge_n(F.col("r"), F.col("h"), 2).alias("r2")).collect()}
+    assert time.perf_counter() - began < 30
+
+    def f1(r, h, n):
+        a, b = (Counter(tuple(w[k : k + n]) for k in range(len(w or []) - n + 1)) for w in (r, h))
+        return 2.0 * (a & b).total() / (a.total() + b.total()) if a and b else 0.0
+
+    assert got == {i: (f1(r, h, 1), f1(r, h, 2)) for i, r, h in rows}
