@@ -135,6 +135,37 @@ def test_nearest_in_passes_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, nearest.nearest(d).collect())) == whole and len(whole) == 700
 
 
+def test_nearest_bounds_leave_few_pairs():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    q, c, p = x[::80], x.mean(0), nearest.rotation(64)
+    est, bound = nearest.estimate(*nearest.encode(x, c, p), q, c, p)
+    true = q @ x.T
+    kth = np.sort(true, axis=1)[:, -21]
+    reaching = est + bound >= kth[:, None]
+    assert reaching.mean() < 0.15 and reaching[true >= kth[:, None]].mean() > 0.995
+
+
+def test_nearest_first_bound_of_a_sample(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, ids = rng.standard_normal((300, 16)), np.repeat(np.arange(150), 2)
+    q, own = x[::10], ids[::10]
+    floor = nearest.kth_product(x, ids, q, own, 20)
+    for u, least in enumerate(floor):
+        firsts, every = (sorted((f(x[ids == i] @ q[u]) for i in range(150) if i != own[u]), reverse=True) for f in (lambda s: s[0], max))
+        assert firsts[19] - 0.01 < least <= firsts[19] <= every[19]
+    assert np.isneginf(nearest.kth_product(x[:40], ids[:40], q, own, 20)).all()
+    assert np.isneginf(nearest.kth_product(1e200 * x, ids, 1e200 * q, own, 20)).all()
+    # a sample that holds few of the rows, and products that single precision can't hold
+    monkeypatch.setattr(nearest, "SAMPLE_ROWS", 60)
+    for size in (1.0, 3e19, 1e30, 1e-30):
+        v = size * x
+        d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+        got = [(r["query_id"], r["vec_id"]) for r in nearest.nearest(d).orderBy("query_id", "rank").collect()]
+        assert got == [(i, j) for i in range(0, 300, 20) for j in [j for j in np.argsort(-(v @ v[i])) if j != i][:20]]
+
+
 # --- toxicity, quality, language ---------------------------------------------------------------
 
 
