@@ -55,7 +55,7 @@ SAMPLE_ROWS, ROW_BLOCK = 16_384, 8_192
 #: Queries (and bytes of them) sent to every task at once, and queries compared at once.
 PASS_QUERIES, PASS_BYTES, QUERY_BLOCK = 65_536, 64 << 20, 256
 MAX_CELLS = 4_096
-#: Components of pairs that are reranked at once.
+#: Components of pairs that are multiplied in double precision at once.
 PAIR_VALUES = 1 << 20
 #: Bits of a code at least; longer vectors have a bit for each dimension.
 BITS = 256
@@ -114,10 +114,16 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def paired(product, x: np.ndarray, at: np.ndarray, q: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """``product`` of the rows ``at`` of x and ``of`` of q, a bounded number at once."""
+def single_products(x: np.ndarray, at: np.ndarray, q: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``at`` of x and ``of`` (ascending) of q in their precision, a query at once."""
+    ends = np.searchsorted(of, np.arange(len(q) + 1))
+    return np.concatenate([x.take(at[a:b], axis=0) @ v for v, a, b in zip(q, ends[:-1], ends[1:])])
+
+
+def double_products(x: np.ndarray, at: np.ndarray, q: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``products`` of the rows ``at`` of x and ``of`` of q, a bounded number at once."""
     step = max(1, PAIR_VALUES // x.shape[1])
-    return np.concatenate([product(x[at[a : a + step]], q[of[a : a + step]]) for a in range(0, max(len(at), 1), step)])
+    return np.concatenate([products(x[at[a : a + step]], q[of[a : a + step]]) for a in range(0, max(len(at), 1), step)])
 
 
 def distinct(x: np.ndarray, ids: np.ndarray, most: int, *columns: np.ndarray) -> tuple:
@@ -203,7 +209,7 @@ def search_cell(best: Best, x: np.ndarray, ids: np.ndarray, codes, length, s, wi
         reached = (least - 4 * single(p.shape[1]) * span * unit) / scale / scale / beyond
         reaching = ~(upper < reached[:, None].astype(np.float32)) if len(x) > few else np.ones(upper.shape, bool)
         of, at = np.divmod(np.flatnonzero(reaching), len(x))
-        near = paired(lambda a, b: np.einsum("ij,ij->i", a, b), small, at, q_small, of)
+        near = single_products(small, at, q_small, of)
         # products in single precision that can't be among the best
         keep = ~(near * unit[of] < (least - margin)[of])
         of, at, near = of[keep], at[keep], near[keep]
@@ -217,7 +223,7 @@ def search_cell(best: Best, x: np.ndarray, ids: np.ndarray, codes, length, s, wi
         floor = np.where(sizes > few, near[nth] - 2 * slack, -np.inf)
         keep = near >= floor[of]
         of, at = of[keep], at[keep]
-        scores = paired(products, x, at, q, of)
+        scores = double_products(x, at, q, of)
         n = several[at]
         of, scores = np.repeat(of, n), np.repeat(scores, n)
         got = flat[np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(of))]
